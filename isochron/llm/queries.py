@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, licenses, mixing, quality
+from isochron.llm import decontaminate, jaccard, licenses, mixing, quality
 from isochron.llm.common import table
 
 
@@ -26,9 +26,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_jaccard_join": op10_jaccard_join,
 }
