@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, jaccard, licenses, mixing, pii, quality
+from isochron.llm import decontaminate, jaccard, licenses, mixing, pii, quality, toxicity
 from isochron.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,6 +41,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_surrogates": op2_surrogates,
+    "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
