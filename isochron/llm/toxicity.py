@@ -228,23 +228,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.spread @ self.weights + self.bias, -30, 30)))
 
 
-def featured(docs: DataFrame, model: Model, at: int, out, schema) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = shared.value.lookup()
-        for batch in batches:
-            x = np.array([features(t.decode(errors="replace"), lookup) for t in binary(batch.column(at))], float).reshape(-1, N_FEATURES)
-            yield out(batch, x, shared.value)
-
-    return docs.mapInArrow(each, schema)
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     rows = sample(docs, labels, "toxic", fit_rows)
     totals = {bool(r["toxic"]): r["n"] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = totals.get(True, 0), totals.get(False, 0)
     terms, beginnings, fuzzy = dict.fromkeys(SEEDS, SEED_WEIGHT), {}, set(SEEDS)
+    #: The same lexicon as a toxic row would see it that had not been counted itself.
+    left_terms, left_beginnings = dict(terms), {}
     if n_toxic and n_other:
         counts = rows.mapInArrow(counted, "term string, beginning boolean, toxic long, other long").groupBy("term", "beginning").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         weight = F.log((F.col("toxic") + 0.2) / (n_toxic + 0.4)) - F.log((F.col("other") + 0.2) / (n_other + 0.4))
@@ -252,15 +242,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for row in strong.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term", "beginning").limit(MAX_TERMS).collect():
             held = beginnings if row["beginning"] else terms
             held[row["term"]] = row["weight"] * (1 - 1 / (1 + row["toxic"]))
+            if row["toxic"] > MIN_DOCS:
+                less = row["weight"] + math.log((row["toxic"] - 0.8) / (row["toxic"] + 0.2))
+                (left_beginnings if row["beginning"] else left_terms)[row["term"]] = less * (1 - 1 / row["toxic"])
             # A term that many toxic documents share is worth looking for in misspelled form.
             if not row["beginning"] and row["toxic"] >= max(4, 0.005 * n_toxic) and row["other"] <= 0.02 * row["toxic"] and len(row["term"]) >= FUZZY_FROM and len(fuzzy) < MAX_FUZZY:
                 fuzzy.add(row["term"])
     model = Model(terms, beginnings, fuzzy)
 
-    def out(batch: pa.RecordBatch, x: np.ndarray, _: Model) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+    shared = docs.sparkSession.sparkContext.broadcast((model, Model(left_terms, left_beginnings, fuzzy)))
 
-    seen = featured(rows, model, 0, out, "label int, x array<double>").toArrow()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookups = [m.lookup() for m in shared.value]
+        for batch in batches:
+            x = [features(t.decode(errors="replace"), lookups[label > 0]) for t, label in zip(binary(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+
+    seen = rows.mapInArrow(each, "label int, x array<double>").toArrow()
     x, y = np.array(seen["x"].to_pylist(), float).reshape(-1, N_FEATURES), np.array(seen["label"], float) > 0
     order = np.lexsort([*x.T, y])
     model.train(x[order], y[order].astype(float))
@@ -269,12 +267,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a column toxic_score."""
-    made = docs.withColumn("toxic_score", F.lit(0.0))
+    out = docs.withColumn("toxic_score", F.lit(0.0))
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
-    def out(batch: pa.RecordBatch, x: np.ndarray, model: Model) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=batch.schema.names)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = shared.value.lookup()
+        for batch in batches:
+            x = np.array([features(t.decode(errors="replace"), lookup) for t in binary(batch.column(at))], float).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(x))], names=batch.schema.names)
 
-    return featured(made, model, docs.columns.index("text"), out, made.schema)
+    return out.mapInArrow(each, out.schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
