@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, jaccard, licenses, lm, mixing, pii, quality, suffix, toxicity
+from isochron.llm import decontaminate, jaccard, licenses, lm, mixing, neighbours, pii, quality, suffix, toxicity
 from isochron.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.join(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_surrogates": op2_surrogates,
     "op3_toxicity": op3_toxicity,
+    "op4_nn_descent": op4_nn_descent,
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
