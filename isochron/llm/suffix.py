@@ -9,11 +9,13 @@ strings have equal anchors at equal places, and each anchor stands for a run of
 2. anchors are shuffled by gram hash and sorted; they stream, holding one row. All but the first of equal contexts are
    repeats as a whole. Where one gram has different contexts, each context's first is contested: some of its strings
    may repeat while others don't;
-3. the contested contexts' texts are fetched and their suffixes sorted: multikey quicksort on eight-byte characters to
+3. the contested contexts are cut from their texts and their suffixes sorted: multikey quicksort on eight-byte characters to
    depth SHALLOW, then blind tries for what still agrees. Neighbours that agree on LENGTH bytes repeat. A gram with more
    contexts than HOT has its suffixes dealt by the hash of their LENGTH bytes, so no task holds a hot gram;
 4. the repeated spans are merged for each document and cut out of its bytes.
 
+Steps 3 and 4 join texts with places by document, at any size by shuffling both: the texts travel compressed.
+
 Document ids must fit a long. Defined results: null text is the empty text; a null doc_id comes after all others; rows
 that share a doc_id are sections of one document, in the order of their texts, and strings never cross sections.
 """
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +40,6 @@ SHALLOW, HOT = 32, 4_096
 #: Bits of a place within a batch's joined texts; 2**28 bytes at most.
 PLACE = 28
 CHUNK = 1 << 20
-#: Rows up to which spans and contested places are broadcast to the texts rather than shuffled with them.
-MAX_BROADCAST = 1_000_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -298,10 +299,11 @@ PLAIN, STRING, SETTLED = 0, 1, 2
 
 
 def fetched_contexts(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Rows (doc, text, wanted) to contexts, or for hot grams to strings, of equal ones the first only and marks."""
+    """Rows (doc, packed text, wanted) to contexts, or for hot grams to strings, of equal ones the first only and marks."""
     rows: list[list] = [[], [], [], [], []]
     strings: dict[bytes, list[tuple[int, int]]] = {}
-    for doc, text, wanted in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for doc, text, wanted in zip(batch.column(0).to_pylist(), map(unpack, batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
         for x in wanted:
             at = x["at"]
             first = ((at >> 16) & ((1 << 31) - 1)) - ((at >> 8) & 255)
@@ -343,7 +345,7 @@ def settle_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sort(held)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc, section, text, ...) rows and (doc, section, starts): what repeats in each, as packed runs of string starts."""
     keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("section", F.lit(0))
     if not keyed.groupBy("doc").count().filter("count > 1").isEmpty():
@@ -357,8 +359,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, max_broadcast:
     busy = contested.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
     marked = contested.join(busy, "gram", "left").select("gram", "doc", F.shiftright("at", 47).cast("int").alias("section"), "at", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = cut(marked.groupBy("doc", "section").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted")))
-    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= 3 * max_broadcast
-    texts = keyed.select("doc", "section", "text").join(F.broadcast(wanted) if few else wanted, ["doc", "section"]).select("doc", "text", "wanted")
+    texts = compressed(keyed).join(wanted.hint("shuffle_hash"), ["doc", "section"]).select("doc", "packed", "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -381,6 +382,20 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, max_broadcast:
     return keyed, cut(starts)
 
 
+def compressed(keyed: DataFrame) -> DataFrame:
+    """(doc_id, doc, section, packed): the texts as they are shuffled."""
+    rows = keyed.select("doc_id", "doc", "section", "text")
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed_texts = pa.array([pack(x) for x in binary(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed_texts], names=["doc_id", "doc", "section", "packed"])
+
+    return rows.mapInArrow(each, f"doc_id {kind}, doc long, section int, packed binary")
+
+
 def merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) of the maximal covered runs."""
     _, first, last = unpacked(np.sort(starts))
@@ -390,18 +405,18 @@ def merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return low[new], high[np.append(np.flatnonzero(new)[1:], len(low)) - 1]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, section, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row."""
-    keyed, starts = spans(docs.select("doc_id", "text"), length, hot, max_broadcast)
-    few = (starts.agg(F.sum(F.size("starts"))).first()[0] or 0) <= 8 * max_broadcast
-    rows = keyed.join(F.broadcast(starts) if few else starts, ["doc", "section"], "left").select("doc_id", "section", "text", "starts")
+    keyed, starts = spans(docs.select("doc_id", "text"), length, hot)
+    rows = compressed(keyed).join(starts.hint("shuffle_hash"), ["doc", "section"], "left").select("doc_id", "section", "packed", "starts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 out: list[list] = [[], [], [], [], []]
-                for text, packed_starts in zip(binary(batch.column(2)), batch.column(3), strict=True):
+                for text, packed_starts in zip(map(unpack, batch.column(2).to_pylist()), batch.column(3), strict=True):
                     kept, gone, n = text, 0, 0
                     if packed_starts.is_valid:
                         low, high = merged(packed_starts.values.to_numpy(), length)
