@@ -39,7 +39,8 @@ def bracket(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str
         whole = W.partitionBy(*keys).orderBy("asof_bucket")
         before = F.last("last", ignorenulls=True).over(whole.rowsBetween(W.unboundedPreceding, -1))
         after = F.first("first", ignorenulls=True).over(whole.rowsBetween(1, W.unboundedFollowing))
-        carried = edges.select(*keys, "asof_bucket", F.explode(F.array(before, after)).alias("asof_sample")).filter("asof_sample is not null")
+        around = edges.select(*keys, "asof_bucket", F.array(before, after).alias("around"))
+        carried = around.select(*keys, "asof_bucket", F.explode("around").alias("asof_sample")).filter("asof_sample is not null")
         carried = carried.withColumns({"asof_t": F.col("asof_sample.t"), "asof_query": F.lit(None).cast(left.schema["asof_query"].dataType), "asof_order": F.lit(0)})
         both = both.unionByName(carried)
         by.append("asof_bucket")
