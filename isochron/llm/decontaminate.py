@@ -178,8 +178,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
 
     Clean documents keep their text byte for byte; n_chars, where there is one, is counted anew for changed texts.
     """
-    found = scan(docs, benchmark, window=window, max_words=max_words)
     at, columns = docs.columns.index("text"), docs.columns
+    # Numbered names: whatever the columns are called, none clashes with those that the scan adds.
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    found = scan(numbered, benchmark, text=f"c{at}", window=window, max_words=max_words)
     chars = columns.index("n_chars") if "n_chars" in columns else -1
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
 

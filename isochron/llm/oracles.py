@@ -1,3 +1,78 @@
-"""DuckDB SQL for the queries of the training-data operators that SQL can express."""
+"""DuckDB SQL for the queries of the training-data operators that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Not here: learned scores (3, 7), the language model's score (8), surrogates (2) and the mix (5, its shuffle is a hash
+that SQL lacks); tests hold those against brute force or held-out labels.
+"""
+
+from __future__ import annotations
+
+from isochron.llm import jaccard, licenses, neighbours
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_templates = ", ".join(f"({t}, '{label}', {str(base).lower()}, {words}, {grams}, '{gram}', {pos})" for t, label, base, words, grams, gram, pos in licenses.template_grams(licenses.BASE, licenses.NOTICES))
+
+LICENSES = f"""WITH t(template, label, is_base, t_words, t_grams, gram, t_at) AS (VALUES {_templates}),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d),
+g AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {licenses.SHORT}], ' ') AS gram FROM p WHERE pos + {licenses.SHORT} <= len(w)
+ UNION ALL SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {licenses.LONG}], ' ') FROM p WHERE pos + {licenses.LONG} <= len(w)),
+v AS (SELECT DISTINCT doc_id, template, label, is_base, t_grams, t_at, pos - t_at AS diagonal FROM g JOIN t USING (gram)),
+x AS (SELECT doc_id, template, label, is_base, t_grams, diagonal FROM v GROUP BY ALL),
+y AS (SELECT *, CASE WHEN is_base OR diagonal - lag(diagonal) OVER o > {licenses.SHIFT} OR lag(diagonal) OVER o IS NULL THEN 1 ELSE 0 END AS apart FROM x WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+z AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM y),
+s AS (SELECT z.doc_id, z.template, z.label, z.is_base, z.span, min(z.diagonal) AS start, count(DISTINCT v.t_at) / max(z.t_grams) AS covered
+ FROM z JOIN v ON z.doc_id = v.doc_id AND z.template = v.template AND z.diagonal = v.diagonal GROUP BY ALL),
+k AS (SELECT *, covered >= CASE WHEN is_base THEN 1.0 ELSE {licenses.COVERAGE} END AS kept FROM s)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(*) FILTER (kept AND is_base) AS n_base,
+ CAST(min(start) FILTER (kept AND is_base) AS BIGINT) AS first_word, CAST(max(start) FILTER (kept AND is_base) AS BIGINT) AS last_word,
+ coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (kept AND is_base)), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (kept)), ','), '') AS labels, coalesce(max(covered), 0.0) AS score, count(*) FILTER (kept) AS n_spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
+NEIGHBOURS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, embedding, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= {neighbours.THRESHOLD}),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY 1), c AS (SELECT a, count(*) AS n FROM l GROUP BY 1), k AS (SELECT embedding, min(vec_id) AS class_id FROM v GROUP BY 1)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(m.m, v.vec_id)) AS component_id, v.vec_id <= coalesce(m.m, v.vec_id) AS kept, k.class_id
+FROM v JOIN k ON v.embedding = k.embedding LEFT JOIN c ON v.vec_id = c.a LEFT JOIN m ON v.vec_id = m.a"""
+
+SUFFIXES = """WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS s FROM h WHERE len(h) >= 200)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS nth FROM w) WHERE nth > 1),
+i AS (SELECT *, CASE WHEN s > lag(s) OVER o + 100 OR lag(s) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+j AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM i),
+k AS (SELECT doc_id, run, min(s) AS low, max(s) + 100 AS high FROM j GROUP BY 1, 2),
+e AS (SELECT k.doc_id, low, high, substr(h, 2 * coalesce(lag(high) OVER o, 0) + 1, 2 * (low - coalesce(lag(high) OVER o, 0))) AS piece, lead(low) OVER o IS NULL AS ends, h FROM k JOIN h USING (doc_id) WINDOW o AS (PARTITION BY k.doc_id ORDER BY low)),
+f AS (SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(piece || CASE WHEN ends THEN substr(h, 2 * high + 1) ELSE '' END, '' ORDER BY low) AS kept FROM e GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN f USING (doc_id)"""
+
+DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[pos + 1 : pos + least(10, len(w))], ' ') AS g FROM (SELECT item, w, unnest(range(len(w) - least(10, len(w)) + 1)) AS pos FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+m AS (SELECT doc_id, pos, p.k, item FROM (SELECT doc_id, pos, k, array_to_string(w[pos + 1 : pos + k], ' ') AS g FROM p) p JOIN i ON p.g = i.g AND p.k = i.k),
+c AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS word FROM m) GROUP BY 1),
+x AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[pos + 1 : pos + {jaccard.N}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - least({jaccard.N}, len(w)) + 1)) AS pos FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, shared = x.n AND shared = y.n AS same FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE shared / (x.n + y.n - shared) >= {jaccard.THRESHOLD}),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY 1), c AS (SELECT a, count(*) AS n_links, count(*) FILTER (same) AS copies, min(b) FILTER (same) AS first FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.first, d.doc_id)) AS class_id, coalesce(c.copies, 0) + 1 AS n_copies, coalesce(c.n_links, 0) AS n_links,
+ least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.m, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.a LEFT JOIN m ON d.doc_id = m.a"""
+
+ORACLES: dict[str, str] = {
+    "op1_licenses": LICENSES,
+    "op4_nn_descent": NEIGHBOURS,
+    "op6_suffix_dedup": SUFFIXES,
+    "op9_decontamination": DECONTAMINATION,
+    "op10_jaccard_join": JACCARD,
+}

@@ -206,29 +206,38 @@ def _assigned(known: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """The documents with surrogates in their text, n_entities and entity_kinds added."""
+def replace(docs: DataFrame, text: str = "text", key: str = KEY, chars: str | None = None, counts: bool = True) -> DataFrame:
+    """The documents with surrogates in their text, and n_entities and entity_kinds after their columns if wanted.
+
+    A column named by `chars` is counted anew where the text changes.
+    """
     found = docs.select(entities(text).alias("found")).filter(F.size("found") > 0)
     each = found.select(F.explode("found").alias("e")).filter("e.kind is not null").select("e.*")
     known = cut(each.groupBy("kind", "stem").agg(F.min("entity").alias("entity")))
     later = _assigned(known, key)
 
+    # Numbered names: whatever the columns are called, none clashes with those that are added here.
     columns = docs.columns
-    marked = docs.withColumn("pii_found", F.coalesce(entities(text), F.array()))
+    docs = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    at, n_chars = f"c{columns.index(text)}", f"c{columns.index(chars)}" if chars in columns else None
+    marked = docs.withColumn("pii_found", F.coalesce(entities(at), F.array()))
     if later.isEmpty():
         marked = marked.withColumn("pii_later", F.lit(None).cast("map<string,int>"))
     else:
-        row = [F.xxhash64(text)]
-        held = docs.select(*(c.alias("pii_row") for c in row), F.explode(entities(text)).alias("e")).filter("e.kind is not null")
+        row = F.xxhash64(at)
+        held = docs.select(row.alias("pii_row"), F.explode(entities(at)).alias("e")).filter("e.kind is not null")
         hits = held.select("pii_row", F.col("e.kind").alias("kind"), F.col("e.stem").alias("stem")).join(later, ["kind", "stem"]).distinct()
         hits = cut(hits.groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "stem"), "attempt"))).alias("pii_later")))
         hits = F.broadcast(hits) if hits.count() <= MAX_BROADCAST else hits
-        marked = marked.withColumn("pii_row", row[0]).join(hits, "pii_row", "left").drop("pii_row")
+        marked = marked.withColumn("pii_row", row).join(hits, "pii_row", "left").drop("pii_row")
     attempt = lambda e: F.coalesce(F.try_element_at("pii_later", F.concat_ws("\x1f", e["kind"], e["stem"])), F.lit(0))
     made = F.transform("pii_found", lambda e: F.when(e["kind"].isNull(), e["entity"]).otherwise(surrogate(e["kind"], e["entity"], e["stem"], attempt(e), key)))
-    parts = F.split(F.col(text), PATTERN, -1)
+    parts = F.split(F.col(at), PATTERN, -1)
     whole = F.array_join(F.flatten(F.zip_with(parts, F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     real = F.filter("pii_found", lambda e: e["kind"].isNotNull())
-    new = F.when(F.size(real) > 0, whole).otherwise(F.col(text))
+    new = F.when(F.size(real) > 0, whole).otherwise(F.col(at))
+    out = marked.withColumn("pii_new", new)
+    value = lambda k, c: F.col("pii_new") if c == at else F.when(F.size("pii_found") > 0, F.length("pii_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)) if c == n_chars else F.col(c)
     kinds = F.array_join(F.sort_array(F.array_distinct(F.transform(real, lambda e: e["kind"]))), ",")
-    return marked.select(*(new.alias(c) if c == text else F.col(c) for c in columns), F.size(real).cast("long").alias("n_entities"), kinds.alias("entity_kinds"))
+    added = [F.size(real).cast("long").alias("n_entities"), kinds.alias("entity_kinds")] if counts else []
+    return out.select(*(value(k, f"c{k}").alias(c) for k, c in enumerate(columns)), *added)

@@ -156,6 +156,18 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
     return out.mapInArrow(each, out.schema)
 
 
+def keep(docs: DataFrame, model: Ranking, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _rows(batches, at):
+            yield batch.filter(pa.array(shared.value.score(x) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
