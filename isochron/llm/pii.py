@@ -59,8 +59,9 @@ ENTITIES = {
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp])[_\-][A-Za-z0-9_\-]{16,100}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_titles})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
-#: A phone number has at least this many digits; shorter matches of its expression are left as they are.
+#: A phone number has at least this many digits, and is neither a date nor a number in groups of three.
 PHONE_DIGITS = 8
+NO_PHONE = r"^(?:[0-9]{1,4}([./\-])[0-9]{1,2}\1[0-9]{1,4}|[0-9]{1,3}(?:[ .][0-9]{3})+)$"
 PATTERN = "|".join(ENTITIES.values())
 MAX_ATTEMPTS = 64
 MAX_BROADCAST = 100_000
@@ -72,7 +73,7 @@ def kind_of(entity: Column) -> Column:
     for name, pattern in reversed(ENTITIES.items()):
         whole = entity.rlike(rf"^(?:{pattern})$")
         if name == "phone":
-            whole &= F.length(F.regexp_replace(entity, "[^0-9]", "")) >= PHONE_DIGITS
+            whole &= (F.length(F.regexp_replace(entity, "[^0-9]", "")) >= PHONE_DIGITS) & ~entity.rlike(NO_PHONE)
         out = F.when(whole, F.lit(name)).otherwise(out)
     return out
 
