@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isochron.llm.common import binary
+from isochron.llm.common import SEPARATORS, binary, slices
 
 WINDOW = 10
 #: Words of items in one automaton; about 400 bytes a word on each worker.
@@ -132,45 +132,67 @@ def shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, lis
         yield held
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """Adds hit_spans (word spans [start, end)), hit_items (sorted) and hit_words (all words) to each row."""
-    spans = "array<struct<start:long,end:long>>"
-    out = docs.withColumns({"hit_spans": F.expr(f"cast(array() as {spans})"), "hit_items": F.expr("cast(array() as array<string>)"), "hit_words": F.lit(0).cast("long")})
-    schema, at = out.schema, docs.columns.index(text)
-    kinds = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.int64())
-
-    for items in shards(benchmark, max_words):
+_spans = "array<struct<start:long,end:long>>"
+_kinds = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.int64())
+
+
+def _annotated(batch: pa.RecordBatch, at: int, automaton: Automaton) -> tuple[list, list, list]:
+    """(spans, items, words) of each row of a batch whose last three columns hold those of the automata before."""
+    before = batch.num_columns - 3
+    spans, items, n_words = [], [], []
+    for raw, old_spans, old_items in zip(binary(batch.column(at)), batch.column(before).to_pylist(), batch.column(before + 1).to_pylist(), strict=True):
+        words = WORD.findall(raw.lower())
+        hit, found = automaton.scan(words)
+        for span in old_spans:
+            hit[span["start"] : span["end"]] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+        spans.append([{"start": low, "end": high} for low, high in zip(edges[::2], edges[1::2], strict=True)])
+        items.append(sorted(found.union(old_items)))
+        n_words.append(len(words))
+    return spans, items, n_words
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_words: int, last=None, schema: T.StructType | None = None) -> DataFrame | None:
+    """One map-only pass for each automaton; the last one hands its finds to `last` in the same pass. None without items."""
+    out = docs.withColumns({"hit_spans": F.expr(f"cast(array() as {_spans})"), "hit_items": F.expr("cast(array() as array<string>)"), "hit_words": F.lit(0).cast("long")})
+    at, annotated = docs.columns.index(text), out.schema
+    waiting = shards(benchmark, max_words)
+    items = next(waiting, None)
+    if items is None:
+        return None
+    while items is not None:
+        following = next(waiting, None)
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                before = batch.num_columns - 3
-                all_spans, all_items, n_words = [], [], []
-                for raw, old_spans, old_items in zip(binary(batch.column(at)), batch.column(before).to_pylist(), batch.column(before + 1).to_pylist(), strict=True):
-                    words = WORD.findall(raw.lower())
-                    hit, found = automaton.scan(words)
-                    for span in old_spans:
-                        hit[span["start"] : span["end"]] = True
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
-                    all_spans.append([{"start": low, "end": high} for low, high in zip(edges[::2], edges[1::2], strict=True)])
-                    all_items.append(sorted(found.union(old_items)))
-                    n_words.append(len(words))
-                arrays = [*batch.columns[:before], *(pa.array(x, kind) for x, kind in zip((all_spans, all_items, n_words), kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-        out = out.mapInArrow(each, schema)
+        final = last if following is None else None
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared, final=final) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                finds = _annotated(batch, at, shared.value)
+                if final is not None:
+                    yield final(batch, *finds)
+                else:
+                    arrays = [*batch.columns[:-3], *(pa.array(x, kind) for x, kind in zip(finds, _kinds, strict=True))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+        out = out.mapInArrow(each, annotated if final is None else schema)
+        items = following
     return out
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """Adds hit_spans (word spans [start, end)), hit_items (sorted) and hit_words (all words) to each row."""
+    found = _passes(docs, benchmark, text, window, max_words)
+    if found is not None:
+        return found
+    n = F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")).cast("long")
+    return docs.withColumns({"hit_spans": F.expr(f"cast(array() as {_spans})"), "hit_items": F.expr("cast(array() as array<string>)"), "hit_words": n})
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """One row per document with the counts of hit words and items."""
     found = scan(docs.select("doc_id", "text"), benchmark, window=window, max_words=max_words)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
-    words = F.col("hit_words")
-    if not benchmark.take(1):
-        words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
-    return found.select("doc_id", words.alias("n_words"), hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return found.select("doc_id", F.col("hit_words").alias("n_words"), hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
@@ -181,34 +203,36 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
     at, columns = docs.columns.index("text"), docs.columns
     # Numbered names: whatever the columns are called, none clashes with those that the scan adds.
     numbered = docs.toDF(*(f"c{k}" for k in range(len(columns))))
-    found = scan(numbered, benchmark, text=f"c{at}", window=window, max_words=max_words)
     chars = columns.index("n_chars") if "n_chars" in columns else -1
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(len(columns)).to_pylist()
-            total = batch.column(len(columns) + 2).to_pylist()
-            kept = [k for k, x in enumerate(spans) if sum(s["end"] - s["start"] for s in x) <= max_coverage * max(total[k], 1)]
-            if len(kept) < batch.num_rows:
-                batch = batch.take(pa.array(kept, pa.int64()))
-            arrays = batch.columns[: len(columns)]
-            if any(spans[k] for k in kept):
-                texts, sizes = arrays[at].to_pylist(), arrays[chars].to_pylist() if chars >= 0 else []
-                for row, k in enumerate(kept):
-                    if spans[k]:
-                        raw = texts[row].encode()
-                        places = [m.span() for m in WORD.finditer(raw.lower())]
-                        pieces, last = [], 0
-                        for s in spans[k]:
-                            pieces.append(raw[last : places[s["start"]][0]])
-                            last = places[s["end"] - 1][1]
-                        texts[row] = b"".join([*pieces, raw[last:]]).decode()
-                        if chars >= 0:
-                            sizes[row] = len(texts[row])
-                arrays[at] = pa.array(texts, arrays[at].type)
-                if chars >= 0:
-                    arrays[chars] = pa.array(sizes, arrays[chars].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    return found.mapInArrow(each, schema)
+    def cleaned(batch: pa.RecordBatch, spans: list, items: list, total: list) -> pa.RecordBatch:
+        kept = [k for k, x in enumerate(spans) if sum(s["end"] - s["start"] for s in x) <= max_coverage * max(total[k], 1)]
+        if len(kept) < batch.num_rows:
+            batch = batch.take(pa.array(kept, pa.int64()))
+        arrays = batch.columns[: len(columns)]
+        if any(spans[k] for k in kept):
+            texts, sizes = arrays[at].to_pylist(), arrays[chars].to_pylist() if chars >= 0 else []
+            for row, k in enumerate(kept):
+                if spans[k]:
+                    texts[row] = without(texts[row], spans[k])
+                    if chars >= 0:
+                        sizes[row] = len(texts[row])
+            arrays[at] = pa.array(texts, arrays[at].type)
+            if chars >= 0:
+                arrays[chars] = pa.array(sizes, arrays[chars].type)
+        return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    found = _passes(numbered, benchmark, f"c{at}", window, max_words, cleaned, schema)
+    return docs if found is None else found
+
+
+def without(text: str, spans: list[dict[str, int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    raw = text.encode()
+    places = [m.span() for m in WORD.finditer(raw.lower())]
+    pieces, last = [], 0
+    for s in spans:
+        pieces.append(raw[last : places[s["start"]][0]])
+        last = places[s["end"] - 1][1]
+    return b"".join([*pieces, raw[last:]]).decode()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import binary, cut, lists, runs
+from isochron.llm.common import binary, cut, lists, runs, slices
 from isochron.llm.components import components
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -36,7 +36,7 @@ BLOCK, BLOCK_ROWS, MAX_BLOCKS, MAX_BLOCK = 65_536, 1_000, 16, 2_000_000
 #: Ids (two numbers each) up to which a table of candidates is broadcast rather than shuffled against the texts.
 MAX_BROADCAST = 1_000_000
 #: Distinct words whose hashes a worker keeps.
-MEMO = 1 << 19
+MEMO = 1 << 18
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -103,9 +103,8 @@ def fingerprints(docs: DataFrame, n: int = N, bands: int | None = None, rows: in
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+        for batch in slices(batches):
+            if batch.num_rows:
                 sets = [shingles(x, hashes, n) for x in binary(batch.column(1))]
                 digests = np.array([(h & (1 << 64) - 1, h >> 64) for h in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
                 full = [k for k, s in enumerate(sets) if len(s)]
@@ -201,9 +200,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+        for batch in slices(batches):
+            if batch.num_rows:
                 found = [shingles(x, hashes, n) for x in binary(batch.column(1))]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in found]))), pa.int32())
                 flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)

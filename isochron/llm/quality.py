@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import binary, fold
+from isochron.llm.common import binary, fold, slices
 
 FIT_ROWS, PAIRS, THRESHOLD = 20_000, 100_000, 0.3
 SCALE = 0.25
@@ -75,7 +75,7 @@ N_FEATURES = 28
 
 
 def _rows(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in batches:
+    for batch in slices(batches):
         yield batch, np.array([features(x) for x in binary(batch.column(at))], float).reshape(-1, N_FEATURES)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import binary, fold
+from isochron.llm.common import binary, fold, slices
 from isochron.llm.quality import sample
 
 FIT_ROWS, MAX_TERMS, MIN_DOCS = 20_000, 4_000, 2
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = shared.value.lookup()
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t.decode(errors="replace"), lookup) for t in binary(batch.column(at))], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(x))], names=batch.schema.names)
 
