@@ -78,7 +78,8 @@ def every_nth(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
     numbered = rows.withColumn("row_idx", F.row_number().over(w) - 1)
     keep = F.col("row_idx") % n == 0
     if with_last:
-        keep |= F.col("row_idx") == F.count("*").over(W.partitionBy(*keys)) - 1
+        numbered = numbered.withColumn("row_last", F.count("*").over(W.partitionBy(*keys)) - 1)
+        return numbered.filter(keep | (F.col("row_idx") == F.col("row_last"))).drop("row_last")
     return numbered.filter(keep)
 
 

@@ -95,9 +95,15 @@ def telemetry(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(files(spark, path, "*.tel"), TELEMETRY, decode)
 
 
+def little_endian(content: Column, start: Column) -> Column:
+    """The 32-bit number at a byte (from 1); by hexadecimal, as reversing bytes that are no text would damage them."""
+    h = F.hex(F.substring(content, start, F.lit(4)))
+    return F.conv(F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
+
+
 def file_versions(spark: SparkSession, path: str) -> DataFrame:
     """(recording_id, part, magic, version) by the first bytes only, in SQL: the version is the number at byte 8."""
-    version = F.conv(F.hex(F.reverse(F.expr("substring(content, 9, 4)"))), 16, 10).cast("int")
+    version = little_endian(F.col("content"), F.lit(9)).cast("int")
     return files(spark, path, "*.{imu,vts,tel}").select("recording_id", "part", F.expr("decode(substring(content, 1, 7), 'US-ASCII')").alias("magic"), version.alias("version"))
 
 
@@ -163,7 +169,7 @@ def calibrations(listed: DataFrame) -> DataFrame:
 def blob_valid(content: Column) -> Column:
     """Whether a blob's checksum holds, in SQL."""
     body = F.substring(content, F.lit(1), F.length(content) - 4)
-    return F.crc32(body) == F.conv(F.hex(F.reverse(F.substring(content, F.length(content) - 3, F.lit(4)))), 16, 10).cast("long")
+    return F.crc32(body) == little_endian(content, F.length(content) - 3)
 
 
 META = "format string, session long, `group` long, role string, device_id string, device_tag string, segment int, synced boolean, master_clock_offset_ns long, clock_skew_ppb int, sync_quality_us int, sync_flags int, mode string, basename string, created_unix long"
