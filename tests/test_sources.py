@@ -93,3 +93,28 @@ def test_streams_equal_batches(spark, tmp_path):
     values = np.array([x[2:] for x in rows])
     want = fusion.gradient_filter(np.array([x[1] for x in rows]), values[:, :3], values[:, 3:])
     assert [fused[x[1]] for x in rows] == pytest.approx(want[:, 3].tolist(), abs=1e-9)
+
+
+def test_plans(spark, folder):
+    from isochron.plans import takes
+
+    path = str(folder)
+    row = takes.inspected(spark, path).first()
+    assert row["samples"] == 200 and row["accel_range"] == "±2 g" and row["actual_rate_hz"] == pytest.approx(400)
+    assert takes.channels_per_frame(spark, path, 30.0).filter("recording_id = 'left'").count() == 10
+    assert takes.attitudes_per_frame(spark, path).filter("recording_id = 'left' and abs(q.x*q.x + q.y*q.y + q.z*q.z + q.w*q.w - 1) < 1e-9").count() == 10
+    report = {r["recording_id"]: r for r in takes.cadence_report(spark, path).collect()}
+    assert report["left"]["mean_ms"] == pytest.approx(33.0) and report["left"]["std_ms"] == pytest.approx(0, abs=1e-9)
+    assert takes.dropped_frames(spark, path).count() == 0
+    assert takes.multi_camera(spark, path, 30.0).filter("n_cameras = 1 and spread_ns = 0").count() == 9
+
+
+def test_command_line(tmp_path, capsys):
+    from isochron import cli
+
+    (tmp_path / "c.json").write_text(json.dumps(MONO))
+    assert cli.main(["pack", str(tmp_path / "c.json"), "--out", str(tmp_path / "c.bin")]) == 0
+    assert cli.main(["unpack", str(tmp_path / "c.bin")]) == 0 and '"version": 1' in capsys.readouterr().out
+    (tmp_path / "s.h264").write_bytes(sei_stream(6))
+    assert cli.main(["stream", str(tmp_path / "s.h264"), "--out", str(tmp_path / "o")]) == 0 and (tmp_path / "o" / "s.imu").exists()
+    assert cli.main(["unpack", str(tmp_path / "missing")]) == 2
