@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import cut
+from isochron.llm.common import cut, hub_size, lookup
 
 MAX_ROUNDS = 60
 
@@ -15,12 +15,19 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def _towards_least(links: DataFrame, hub: int) -> DataFrame:
+    """The links (a, b) with m, the smallest b of their a; the links of a hub are not gathered for it."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return lookup(links, least.select("a", "m"), "a", least.filter(F.col("n") >= hub).select("a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids to (id, component): component is the smallest id that can be reached; linked ids only.
 
     Each step replaces links by links to smaller ids (large star: larger neighbours go to the smallest neighbour; small
     star: the node and its smaller neighbours do), so stars around hubs stay stars: no row's size grows with a degree.
-    A round is two aggregates and two joins on the links; the state is cut by a checkpoint after each round.
+    A round is two aggregates and two joins on the links, the links of hubs joined where they are; the state is cut by a
+    checkpoint after each round.
     """
     stars = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _digest(stars)
@@ -28,10 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
         return stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(MAX_ROUNDS):
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
+        # No more than these links come of either step, so the size of a hub holds for both.
+        hub = hub_size(2 * before[0])
+        large = _towards_least(both, hub).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a != b").distinct()
+        small = _towards_least(large, hub).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
         stars = cut(small.select("x.a", F.col("x.m").alias("b")).filter("a != b").distinct())
         after = _digest(stars)
         if after == before:
