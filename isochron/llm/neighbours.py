@@ -7,7 +7,9 @@ best it has met. A centre with a long reverse list is dealt into chunks, so hubs
 members. Rounds go on until one brings no new link (similarity at the threshold or above).
 
 Saturated lists, whose K neighbours are all links, are enlarged without a cap: links make connected parts, and inside
-each part all pairs are compared in double precision, in blocks whose pairs are tasks of their own. An audit compares
+each part all pairs are compared in double precision, in blocks whose pairs are tasks of their own. A link between two
+parts can be in neither list only if both its ends are saturated: the saturated classes of each part lie in balls, and
+balls of two parts that are near enough for a link are compared, all pairs again, and the parts joined. An audit compares
 AUDIT classes with all others; links that the lists missed are added, and with a recall under RECALL more rounds follow.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors
@@ -34,6 +36,8 @@ from isochron.llm.jaccard import roots
 THRESHOLD, K, TABLES, ROUNDS, RECALL = 0.9, 10, 8, 6, 0.999
 #: Members of a bucket or of a centre's chunk, classes of a block, classes that the audit compares with all.
 CHUNK, BLOCK_ROWS, AUDIT = 128, 512, 256
+#: Balls of a tile; tiles meet in pairs.
+TILE = 1_024
 #: Single precision may put a link this far below the threshold; such pairs are decided in double precision.
 SLACK = 1e-5
 
@@ -142,8 +146,70 @@ def linked(graph: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("e.other").alias("b"))
 
 
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, block, unit), sorted by the first two: mean and radius of each block."""
+    for group in runs(batches, 2):
+        x = _matrix(group["unit"], np.float64)
+        centre = x.mean(0)
+        radius = np.sqrt(((x - centre) ** 2).sum(1).max())
+        yield pa.RecordBatch.from_arrays([group["component"][:1].combine_chunks(), group["block"][:1].combine_chunks(), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])], names=["component", "block", "centre", "radius"])
+
+
+def _reaching(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+    """Rows (i, j, tile, component, block, centre, radius), sorted by the first two: balls of two parts within reach."""
+    for group in runs(batches, 2):
+        tile, component, block, radius = (group[name].to_numpy() for name in ("tile", "component", "block", "radius"))
+        x = _matrix(group["centre"], np.float64)
+        square = (x * x).sum(1)
+        near = square[:, None] + square[None, :] - 2 * (x @ x.T) <= (radius[:, None] + radius[None, :] + reach) ** 2
+        near &= component[:, None] < component[None, :]
+        if group["i"][0] != group["j"][0]:
+            near &= tile[:, None] != tile[None, :]
+        a, b = np.nonzero(near)
+        for low in range(0, len(a), 100_000):
+            u, v = a[low : low + 100_000], b[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (component[u], block[u], component[v], block[v])], names=["ca", "ba", "cb", "bb"])
+
+
+def _bridge(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (ca, ba, cb, bb, side, unit), sorted by the first four: the two parts, where a link joins their balls."""
+    for group in runs(batches, 4):
+        side, x = group["side"].to_numpy(), _matrix(group["unit"], np.float64)
+        if (x[side == 0] @ x[side == 1].T >= threshold).any():
+            yield pa.RecordBatch.from_arrays([group["ca"][:1].combine_chunks(), group["cb"][:1].combine_chunks()], names=["a", "b"])
+
+
+def bridged(graph: DataFrame, classes: DataFrame, parts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The parts with those in one that are linked by classes whose lists are saturated."""
+    full = graph.filter(F.size("near") >= k).filter(F.element_at("near", k)["similar"] >= threshold - SLACK).select("id")
+    held = cut(full.join(parts, "id"))
+    blocks = held.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    if blocks.limit(2).count() < 2:
+        return parts
+    held = held.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(classes.select("id", "unit"), "id")
+    held = cut(held.select("component", "block", "unit"))
+    balls = held.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(_balls, "component long, block int, centre binary, radius double")
+    balls = cut(balls)
+    tiles = -(-balls.count() // TILE)
+    dealt = balls.withColumn("tile", F.pmod(F.xxhash64("component", "block"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "component", "block", "centre", "radius")
+    # Unit vectors with a cosine of at least the threshold are at most so far apart.
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    pairs = cut(dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(lambda batches: _reaching(batches, reach), "ca long, ba int, cb long, bb int"))
+    sides = F.array(*(F.struct(F.col(f"c{x}").alias("component"), F.col(f"b{x}").alias("block"), F.lit(n).alias("side")) for n, x in enumerate("ab")))
+    met = pairs.withColumn("x", F.explode(sides)).select("ca", "ba", "cb", "bb", "x.*").join(held, ["component", "block"])
+    met = met.select("ca", "ba", "cb", "bb", "side", "unit").repartition("ca", "ba", "cb", "bb").sortWithinPartitions("ca", "ba", "cb", "bb")
+    joined = cut(met.mapInArrow(lambda batches: _bridge(batches, threshold - 1e-9), "a long, b long"))
+    if joined.isEmpty():
+        return parts
+    whole = components(joined).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    return cut(parts.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
+
+
 def missed(classes: DataFrame, parts: DataFrame, threshold: float, audit: int) -> tuple[int, DataFrame]:
     """(links of the audited classes, those of them that lie in no one part)."""
+    if not audit:
+        return 0, classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     chosen = classes.select("id", "unit").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(audit).toArrow()
     ids, x = chosen["id"].to_numpy(), _matrix(chosen["unit"], np.float64)
     shared = classes.sparkSession.sparkContext.broadcast((ids, x))
@@ -196,14 +262,14 @@ def _found(classes: DataFrame, dim: int, threshold: float, k: int, tables: int,
                 break
             links = now
         edges = reduce(DataFrame.union, [linked(graph, threshold), *extra])
-        parts = components(edges)
+        parts = bridged(graph, classes, components(edges), threshold, k)
         total, gone = missed(classes, parts, threshold, audit)
         lost = gone.count()
         if not lost:
             break
         extra.append(gone)
         if not left or lost <= (1 - recall) * total:
-            parts = components(edges.union(gone))
+            parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(gone))
             break
     sized = parts.join(classes.select("id", "unit", "copies"), "id")
     blocks = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))

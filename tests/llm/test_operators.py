@@ -296,6 +296,22 @@ def test_neighbours(spark):
     assert {i: r["component_id"] for i, r in out.items()} == best
 
 
+def test_links_between_saturated_parts(spark):
+    random = np.random.default_rng(9)
+    axes = np.linalg.qr(random.standard_normal((32, 32)))[0]
+    # Pairs of tight clusters at a cosine of about 0.93 to each other, and single vectors.
+    centres = [y for k in range(6) for y in (axes[k], 0.945 * axes[k] + np.sqrt(1 - 0.945**2) * axes[k + 10])]
+    x = np.concatenate([*(c + 0.014 * random.standard_normal((20, 32)) for c in centres), random.standard_normal((300, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert (linked[:240].sum(1) == 39).all() and unit[:20].dot(unit[:20].T).min() > 0.98 and unit[:20].dot(unit[20:40].T).max() < 0.96
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = {r["vec_id"]: r for r in neighbours.join(table, audit=0).collect()}
+    assert [out[i]["n_links"] for i in range(len(x))] == linked.sum(1).tolist()
+    assert [out[i]["component_id"] for i in range(len(x))] == [i // 40 * 40 if i < 240 else i for i in range(len(x))]
+
+
 def _labelled(spark, texts, quality_of, toxic_of):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, quality_of(t), toxic_of(t)) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
