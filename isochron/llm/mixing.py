@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot n of the schedule is the van der Corput point of n (its bits mirrored); the cumulative target shares map the point
-to a source, and the slot's rank among its source's slots is the block it takes. A source's documents, shuffled by a
+to a source, and the slot's rank among its source's slots is the block it takes. Blocks of a source whose interval holds
+fewer points than it has blocks, as a small source's beside a huge one, get slots after the others. A source's documents, shuffled by a
 keyed hash, are one stream of words that repeats; block r is its words [r * BLOCK, (r + 1) * BLOCK), and the block in
 which the target falls is taken in part. A document's words taken are its parts of the blocks taken.
 
@@ -69,7 +70,11 @@ def schedule(quotas: DataFrame, block: int) -> DataFrame:
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("nth").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(W.partitionBy("nth", "chunk").orderBy("slot")) - 1
     ranked = dealt.withColumn("within", within).join(sums.drop("n"), ["nth", "chunk"]).withColumn("rank", F.col("base") + F.col("within"))
-    return ranked.filter(F.col("rank") < F.col("blocks")).select("nth", "slot", "rank")
+    ranked = ranked.filter(F.col("rank") < F.col("blocks")).select("nth", "slot", "rank")
+    short = quotas.join(sums.groupBy("nth").agg(F.sum("n").alias("dealt")), "nth", "left").withColumn("dealt", F.coalesce("dealt", F.lit(0))).filter(F.col("dealt") < F.col("blocks"))
+    ahead = F.coalesce(F.sum(F.col("blocks") - F.col("dealt")).over(W.partitionBy(F.lit(0)).orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    late = short.withColumn("ahead", ahead).withColumn("rank", F.explode(F.sequence(F.col("dealt"), F.col("blocks") - 1)))
+    return ranked.union(late.select("nth", (F.lit(total) + F.col("ahead") + F.col("rank") - F.col("dealt")).alias("slot"), "rank"))
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 11, block: int = BLOCK) -> DataFrame:

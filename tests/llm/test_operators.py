@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from isochron.llm import decontaminate, jaccard, licenses, lm, mixing, neighbours, pii, quality, suffix, toxicity
 from isochron.llm.components import components
@@ -244,6 +245,22 @@ def test_mix(docs, texts):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(2), block=64).collect()} == {i: r["taken"] for i, r in out.items()}
 
 
+def test_mix_of_one_huge_and_tiny_sources(spark):
+    sizes = [("a", 100, 50_000), ("b", 1, 300), ("c", 40, 50_000), ("d", 10, 2_000), ("e", 60, 50_000), (None, 1, 40)]
+    made = spark.createDataFrame([(f"{s}{k}", s, n) for s, docs, n in sizes for k in range(docs)], "doc_id string, source string, n int").repartition(4)
+    docs = made.select("doc_id", "source", functions.repeat(functions.lit("w "), functions.col("n")).alias("text"))
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target["b"] == 600 and target[None] == 80
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    quotas = spark.createDataFrame([(0, 0, (1 << 40) - 9, 9_000), (1, (1 << 40) - 9, (1 << 40) - 8, 3), (2, (1 << 40) - 8, (1 << 40) - 8, 2)], "nth int, low long, high long, blocks long")
+    slots = mixing.schedule(quotas, 64).collect()
+    assert len({r["slot"] for r in slots}) == len(slots)
+    assert sorted((r["nth"], r["rank"]) for r in slots) == [(n, k) for n, most in ((0, 9_000), (1, 3), (2, 2)) for k in range(most)]
+
+
 @pytest.mark.parametrize("tokens,words", [(lm.TOKENS, lm.WORDS), (900, 60)])
 def test_language_model(docs, texts, monkeypatch, tokens, words):
     monkeypatch.setattr(lm, "TOKENS", tokens)
