@@ -9,8 +9,12 @@ members. Rounds go on until one brings no new link (similarity at the threshold
 Saturated lists, whose K neighbours are all links, are enlarged without a cap: links make connected parts, and inside
 each part all pairs are compared in double precision, in blocks whose pairs are tasks of their own. A link between two
 parts can be in neither list only if both its ends are saturated: the saturated classes of each part lie in balls, and
-balls of two parts that are near enough for a link are compared, all pairs again, and the parts joined. An audit compares
-AUDIT classes with all others; links that the lists missed are added, and with a recall under RECALL more rounds follow.
+balls of two parts that are near enough for a link are compared, all pairs again, and the parts joined.
+
+There are so many tables that a pair at the threshold shares a bucket with probability RECALL, TABLES at least. An audit
+compares random classes with all others, until LINKED of them have links or all classes are audited, AUDIT at least;
+links that the lists missed are added. Recall is the mean over audited classes with links, so one large group does not
+outweigh the others; while it is under RECALL, more tables and rounds follow, and after TRIES of them an error.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors
 link only with vectors of their own length; a null vec_id links with nothing and is kept; rows that share a vec_id
@@ -38,6 +42,8 @@ THRESHOLD, K, TABLES, ROUNDS, RECALL = 0.9, 10, 8, 6, 0.999
 CHUNK, BLOCK_ROWS, AUDIT = 128, 512, 256
 #: Balls of a tile; tiles meet in pairs.
 TILE = 1_024
+#: Classes that one pass of the audit compares with all, classes with links that it asks for, and audits before the error.
+PIECE, LINKED, TRIES = 2_048, 1_000, 8
 #: Single precision may put a link this far below the threshold; such pairs are decided in double precision.
 SLACK = 1e-5
 
@@ -98,10 +104,24 @@ def _best(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[pa.R
 FOUND = "id long, other long, similar float"
 
 
-def start(classes: DataFrame, dim: int, count: int, k: int, tables: int) -> DataFrame:
-    """First lists: the k best of each bucket chunk of random hyperplanes."""
-    bits = max(0, int(np.log2(max(1, count / CHUNK))))
-    planes = np.random.default_rng(17).standard_normal((tables, max(bits, 1), dim)).astype(np.float32)
+def _bits(count: int) -> int:
+    return max(0, int(np.log2(max(1, count / CHUNK))))
+
+
+def tables_for(bits: int, threshold: float, recall: float, least: int) -> int:
+    """Tables in which a pair at the threshold shares one bucket of so many hyperplanes or more with probability recall."""
+    shared = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    if shared >= 1 or recall <= 0:
+        return least
+    if shared <= 0 or recall >= 1:
+        raise ValueError("no number of tables gives this recall")
+    return max(least, int(np.ceil(np.log(1 - recall) / np.log1p(-shared))))
+
+
+def start(classes: DataFrame, dim: int, count: int, k: int, tables: int, first: int = 0) -> DataFrame:
+    """First lists: the k best of each bucket chunk of random hyperplanes; tables with another first are others."""
+    bits = _bits(count)
+    planes = np.random.default_rng(17 + first).standard_normal((tables, max(bits, 1), dim)).astype(np.float32)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,6 +146,19 @@ def _lists(found: DataFrame, k: int) -> DataFrame:
     return cut(best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("similar", "other")), False).alias("near")))
 
 
+def _known(graph: DataFrame) -> DataFrame:
+    return graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.similar").alias("similar"))
+
+
+def widen(graph: DataFrame | None, classes: DataFrame, dim: int, count: int, k: int, tables: int, first: int, last: int) -> DataFrame:
+    """The lists with the best of tables first to last - 1, a few tables at a time."""
+    step = max(1, tables)
+    for low in range(first, last, step):
+        more = start(classes, dim, count, k, min(step, last - low), low)
+        graph = more if graph is None else _lists(_known(graph).union(_known(more)), k)
+    return graph
+
+
 def descend(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """One round: each class introduces its neighbours to each other."""
     edges = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
@@ -137,8 +170,7 @@ def descend(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     narrow = classes.select("id", "vector").join(worst, "id")
     dealt = members.join(narrow, "id").select("centre", "chunk", "id", "worst", "vector").repartition("centre", "chunk").sortWithinPartitions("centre", "chunk")
     met = dealt.mapInArrow(lambda batches: _best(batches, 2, k), FOUND)
-    known = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.similar").alias("similar"))
-    return _lists(known.union(met), k)
+    return _lists(_known(graph).union(met), k)
 
 
 def linked(graph: DataFrame, threshold: float) -> DataFrame:
@@ -206,25 +238,46 @@ def bridged(graph: DataFrame, classes: DataFrame, parts: DataFrame, threshold: f
     return cut(parts.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
 
 
-def missed(classes: DataFrame, parts: DataFrame, threshold: float, audit: int) -> tuple[int, DataFrame]:
-    """(links of the audited classes, those of them that lie in no one part)."""
+def missed(classes: DataFrame, parts: DataFrame, threshold: float, audit: int, count: int) -> tuple[float, DataFrame]:
+    """(recall of the links of the audited classes, those of them that lie in no one part); all audited: nothing is left."""
+    none = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     if not audit:
-        return 0, classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    chosen = classes.select("id", "unit").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(audit).toArrow()
-    ids, x = chosen["id"].to_numpy(), _matrix(chosen["unit"], np.float64)
-    shared = classes.sparkSession.sparkContext.broadcast((ids, x))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            row, column = np.nonzero((_matrix(batch.column(1), np.float64) @ x.T >= threshold) & (own[:, None] != ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[column])], names=["a", "b"])
-
-    links = cut(classes.select("id", "unit").mapInArrow(each, "a long, b long"))
-    part = lambda name: parts.select(F.col("id").alias(name), F.col("component").alias(f"part_{name}"))
-    joined = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
-    return links.count(), cut(joined.filter("part_a is null or part_b is null or part_a != part_b").select("a", "b"))
+        return 1.0, none
+    parted = classes.select("id", "unit").join(parts, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("part"))
+    pieces = max(1, count // PIECE)
+    parted = cut(parted.withColumn("piece", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(pieces))))
+    seen, linked, found, gone = 0, 0, 0.0, []
+    for piece in range(pieces):
+        chosen = parted.filter(F.col("piece") == piece).toArrow()
+        if not chosen.num_rows:
+            continue
+        shared = classes.sparkSession.sparkContext.broadcast((chosen["id"].to_numpy(), chosen["part"].to_numpy(), _matrix(chosen["unit"], np.float64)))
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, part, x = shared.value
+            for batch in batches:
+                own, home = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for low in range(0, len(own), 1_000):
+                    some = slice(low, low + 1_000)
+                    links = (_matrix(batch.column(1)[some], np.float64) @ x.T >= threshold) & (own[some, None] != ids[None, :])
+                    row, column = np.nonzero(links & (home[some, None] != part[None, :]))
+                    n, lost = links.sum(0), np.bincount(column, minlength=len(ids))
+                    any_ = n > 0
+                    zero = np.zeros(len(row), np.int64)
+                    a = pa.concat_arrays([pa.array(own[some][row]), pa.nulls(int(any_.sum()), pa.int64())])
+                    parts_of = [a, *(pa.array(np.concatenate(v).astype(np.int64)) for v in ((ids[column], ids[any_]), (zero, n[any_]), (zero, lost[any_])))]
+                    yield pa.RecordBatch.from_arrays(parts_of, names=["a", "b", "n", "lost"])
+
+        rows = cut(parted.select("id", "unit", "part").mapInArrow(each, "a long, b long, n long, lost long"))
+        sums = rows.groupBy("b").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+        got = sums.agg(F.count("*"), F.coalesce(F.sum(1 - F.col("lost") / F.col("n")), F.lit(0.0)), F.coalesce(F.sum("lost"), F.lit(0))).first()
+        shared.unpersist()
+        seen, linked, found = seen + chosen.num_rows, linked + got[0], found + got[1]
+        if got[2]:
+            gone.append(rows.filter("a is not null").select("a", "b"))
+        if linked >= LINKED and seen >= audit:
+            break
+    return (1.0 if seen >= count else found / linked), reduce(DataFrame.union, gone) if gone else none
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -250,12 +303,13 @@ def _found(classes: DataFrame, dim: int, threshold: float, k: int, tables: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "vector"])
 
     narrow = classes.select("id", "unit").mapInArrow(narrowed, "id long, vector binary")
-    graph = start(classes, dim, classes.count(), k, tables)
+    count = classes.count()
+    last = tables_for(_bits(count), threshold, recall, tables)
+    graph = widen(None, classes, dim, count, k, tables, 0, last)
     extra: list[DataFrame] = []
-    links, left = linked(graph, threshold).count(), rounds
-    while True:
-        while left:
-            left -= 1
+    for _ in range(TRIES):
+        links = linked(graph, threshold).count()
+        for _ in range(rounds):
             graph = descend(graph, narrow, k)
             now = linked(graph, threshold).count()
             if now == links:
@@ -263,14 +317,16 @@ def _found(classes: DataFrame, dim: int, threshold: float, k: int, tables: int,
             links = now
         edges = reduce(DataFrame.union, [linked(graph, threshold), *extra])
         parts = bridged(graph, classes, components(edges), threshold, k)
-        total, gone = missed(classes, parts, threshold, audit)
-        lost = gone.count()
-        if not lost:
-            break
-        extra.append(gone)
-        if not left or lost <= (1 - recall) * total:
+        reached, gone = missed(classes, parts, threshold, audit, count)
+        if not gone.isEmpty():
+            extra.append(gone)
             parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(gone))
+        if reached >= recall:
             break
+        graph = widen(graph, classes, dim, count, k, tables, last, last + tables)
+        last += tables
+    else:
+        raise RuntimeError(f"recall of {reached:.4f} is under {recall} after {TRIES} audits and {last} tables")
     sized = parts.join(classes.select("id", "unit", "copies"), "id")
     blocks = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

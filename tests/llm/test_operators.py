@@ -329,6 +329,32 @@ def test_links_between_saturated_parts(spark):
     assert [out[i]["component_id"] for i in range(len(x))] == [i // 40 * 40 if i < 240 else i for i in range(len(x))]
 
 
+def test_recall_of_sparse_links(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PIECE", 400, raising=False)
+    random = np.random.default_rng(10)
+    near = lambda x, by: x + by * random.standard_normal(x.shape)
+    base = random.standard_normal((200, 32))
+    x = np.concatenate([base, near(base, 0.42), near(np.repeat(random.standard_normal((1, 32)), 150, 0), 0.05), random.standard_normal((700, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = {r["vec_id"]: r["n_links"] for r in neighbours.join(table, tables=1, rounds=0, audit=64, recall=0.99).collect()}
+    assert [out[i] for i in range(len(x))] == linked.sum(1).tolist()
+
+
+def test_tables_and_missed_recall(spark, monkeypatch):
+    p = 1 - math.acos(0.9) / math.pi
+    for bits in (1, 6, 18):
+        n = neighbours.tables_for(bits, 0.9, 0.999, 1)
+        assert (1 - p**bits) ** n <= 0.001 < (1 - p**bits) ** (n - 1)
+    assert neighbours.tables_for(0, 0.9, 0.999, 8) == neighbours.tables_for(1, 0.9, 0.999, 8) == 8
+    monkeypatch.setattr(neighbours, "TRIES", 1)
+    monkeypatch.setattr(neighbours, "missed", lambda classes, *a: (0.5, classes.select(classes.id.alias("a"), classes.id.alias("b")).limit(0)))
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.join(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>"), tables=1, rounds=0)
+
+
 def _labelled(spark, texts, quality_of, toxic_of):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, quality_of(t), toxic_of(t)) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
