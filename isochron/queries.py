@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions import scalar
-from isochron.operators import asof, clock, frames, fusion, session, signal
+from isochron.operators import asof, clock, frames, fusion, matching, session, signal
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Time buckets that long series are split by in as-of joins.
@@ -342,13 +342,15 @@ def coalesce_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id),
 r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM d) SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.i = 1 AND y.i = 1""")
 def vec_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual nearest descriptors of one image's set: small by nature, so all pairs of it are compared."""
-    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label = 3").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    a, b = n.select(F.col("vec_id").alias("a"), "label", F.col("e").alias("ea")), n.select(F.col("vec_id").alias("b"), "label", F.col("e").alias("eb"))
-    far = F.aggregate(F.zip_with("ea", "eb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    best = a.join(b, "label").filter("a != b").select("a", "b", far.alias("d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return best.join(back, ["a", "b"])
+    """Mutual nearest descriptors of one image's set, the one of its statement; vec_pairs has those of every set."""
+    return vec_pairs(spark, sf_dir, F.col("label") == 3).select("a", "b")
+
+
+@query()
+def vec_pairs(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -> DataFrame:
+    """Mutual nearest descriptors within every label, over the whole table."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return matching.mutual_nearest(rows if chosen is None else rows.filter(chosen), "label", "vec_id", "embedding")
 
 
 def _spun(spark: SparkSession, sf_dir: str) -> DataFrame:
