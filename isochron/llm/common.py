@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Java regular expression of what separates words once A-Z are lower case; the same words result when A-Z are kept.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A key is a hub with at least 1 / HUBS of the rows, and LEAST_HUB of them; so there are HUBS hubs at most.
-HUBS, LEAST_HUB = 500, 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,21 +43,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hub_size(total: int) -> int:
-    """Rows from which a key of `total` rows is a hub."""
-    return max(LEAST_HUB, total // HUBS)
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str, hubs: DataFrame) -> DataFrame:
-    """rows.join(table, key) for a table with one row a key, where `hubs` has the keys that are hubs.
-
-    The rows of hubs stay in their tasks, which are sent the at most HUBS table rows; only the other rows are shuffled.
-    """
-    hubs = F.broadcast(hubs)
-    few = F.broadcast(table.join(hubs, key, "left_semi"))
-    return rows.join(few, key).union(rows.join(hubs, key, "left_anti").join(table, key))
-
-
 def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The column's texts as bytes; null is the empty text."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

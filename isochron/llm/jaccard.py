@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import binary, cut, hub_size, lists, lookup, runs, slices
+from isochron.llm.common import binary, cut, lists, runs, slices
 from isochron.llm.components import components
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -189,15 +189,13 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     firsts = known.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).filter("doc_id = class_id")
     banded = firsts.select("class_id", F.explode("bands").alias("band")).distinct()
     heads = banded.groupBy("band").agg(F.min("class_id").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    n_classes = classes.count()
-    hubs = heads.filter(F.col("size") >= hub_size(n_classes * bands_for(threshold, recall, rows))).select("band")
-    parts = components(lookup(banded, heads.drop("size"), "band", hubs).filter("class_id != head").select(F.col("class_id").alias("a"), F.col("head").alias("b")))
+    # What many classes share, a band or a component, is no hot key: adaptive joins split it.
+    parts = components(banded.join(heads.drop("size"), "band").filter("class_id != head").select(F.col("class_id").alias("a"), F.col("head").alias("b")))
 
     sized = parts.join(classes.groupBy(F.col("class_id").alias("id")).agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")), "id")
     totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     wanted = F.greatest(F.least(F.ceil(F.col("total") / BLOCK), F.lit(MAX_BLOCKS)), F.ceil(F.col("total") / MAX_BLOCK), F.ceil(F.col("members") / BLOCK_ROWS))
-    hubs = totals.filter(F.col("members") >= hub_size(n_classes)).select("component")
-    candidates = cut(lookup(sized, totals.select("component", wanted.cast("int").alias("blocks")), "component", hubs).select("id", "component", "copies", "blocks"))
+    candidates = cut(sized.join(totals.select("component", wanted.cast("int").alias("blocks")), "component").select("id", "component", "copies", "blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     picked = texts.join(F.broadcast(candidates) if candidates.count() <= MAX_BROADCAST else candidates, "id")
 
