@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isochron.llm import decontaminate, jaccard, mixing, pii, quality
-from isochron.llm.common import checkpoint_dir, table
+from isochron.llm.common import checkpoint_dir, cut, table
 
 #: Ids up to which the documents to drop are broadcast rather than shuffled against the texts.
 MAX_BROADCAST = 1_000_000
@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    drop = jaccard.join(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    drop = cut(jaccard.join(docs).filter(~F.col("kept")).select("doc_id").distinct())
     drop = F.broadcast(drop) if drop.count() <= MAX_BROADCAST else drop
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
