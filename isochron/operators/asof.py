@@ -2,15 +2,18 @@
 
 All point joins rest on one rewrite, `bracket`: queries and samples are put into one relation, sorted by time within
 their key, and each query takes the last sample before or at its time and the first one after it. That is one shuffle
-and one sort, whatever the number of matches. With `bucket`, long series are split by time buckets, so that one key may
-hold most rows: each bucket is given the nearest samples around it, found on one row for each key and bucket.
+and a sort each way, whatever the number of matches: both sides are running values, one from the start of the series and
+one from its end. With `bucket`, long series are split by time buckets, so that one key may hold most rows: each bucket
+is given the nearest samples around it, found on one row for each key and bucket.
 
-Samples that share key and time are reduced to one, the smallest by their columns in order.
+Samples that share key and time are reduced to one, the smallest by their columns in order. Samples with a null key or
+time match nothing; queries with a null key or time stay, without a match; repeated queries each stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +28,8 @@ def floor_div(x: Column | str, n: int) -> Column:
 
 def bracket(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], bucket: int | None = None) -> DataFrame:
     """The queries with `lo` and `hi`: structs (t, values...) of the samples at or before and after each time, or null."""
-    right = samples.filter(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.min(F.struct(*values)).alias("v"))
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*keys, on)))
+    right = samples.filter(known).groupBy(*keys, on).agg(F.min(F.struct(*values)).alias("v"))
     right = right.select(*keys, F.col(on).alias("asof_t"), F.struct(F.col(on).alias("t"), *(F.col(f"v.{c}").alias(c) for c in values)).alias("asof_sample"))
     left = queries.withColumn("asof_query", F.struct(*queries.columns)).select(*keys, F.col(on).alias("asof_t"), "asof_query")
     kind = right.schema["asof_sample"].dataType
@@ -38,16 +42,16 @@ def bracket(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str
         edges = both.groupBy(*keys, "asof_bucket").agg(F.min("asof_sample").alias("first"), F.max("asof_sample").alias("last"))
         whole = W.partitionBy(*keys).orderBy("asof_bucket")
         before = F.last("last", ignorenulls=True).over(whole.rowsBetween(W.unboundedPreceding, -1))
-        after = F.first("first", ignorenulls=True).over(whole.rowsBetween(1, W.unboundedFollowing))
+        after = F.last("first", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.desc("asof_bucket")).rowsBetween(W.unboundedPreceding, -1))
         around = edges.select(*keys, "asof_bucket", F.array(before, after).alias("around"))
         carried = around.select(*keys, "asof_bucket", F.explode("around").alias("asof_sample")).filter("asof_sample is not null")
         carried = carried.withColumns({"asof_t": F.col("asof_sample.t"), "asof_query": F.lit(None).cast(left.schema["asof_query"].dataType), "asof_order": F.lit(0)})
         both = both.unionByName(carried)
         by.append("asof_bucket")
-    order = W.partitionBy(*by).orderBy("asof_t", "asof_order")
-    lo = F.last("asof_sample", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    hi = F.first("asof_sample", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    return both.select("asof_query", lo.alias("lo"), hi.alias("hi")).filter("asof_query is not null").select("asof_query.*", "lo", "hi")
+    behind = W.partitionBy(*by).orderBy("asof_t", "asof_order").rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(*by).orderBy(F.desc("asof_t"), F.desc("asof_order")).rowsBetween(W.unboundedPreceding, 0)
+    timed = lambda w: F.when(F.col("asof_t").isNotNull(), F.last("asof_sample", ignorenulls=True).over(w))
+    return both.select("asof_query", timed(behind).alias("lo"), timed(ahead).alias("hi")).filter("asof_query is not null").select("asof_query.*", "lo", "hi")
 
 
 def backward(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], bucket: int | None = None) -> DataFrame:
@@ -89,23 +93,30 @@ def interpolate(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on:
 def between(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, length: int, values: Sequence[str]) -> DataFrame:
     """Each query joined with the samples in [t, t + length], both ends included; queries without one stay, with nulls.
 
-    Times fall into buckets of `length`, so that an interval touches two of them and the join is one on equal keys.
+    Times fall into buckets of `length`, so that an interval touches two of them and the join is one on equal keys. What
+    is met depends on key and time alone: it is found once for each of them and joined back by them, so that queries
+    that repeat or have nulls in other columns keep a row for each match.
     """
     at = floor_div(on, length)
-    left = queries.withColumn("between_bucket", F.explode(F.array(at, at + 1)))
+    times = queries.select(*keys, on).filter(F.col(on).isNotNull()).distinct()
+    left = times.withColumn("between_bucket", F.explode(F.array(at, at + 1)))
     right = samples.select(*keys, F.col(on).alias("sample_t"), *(F.col(c).alias(f"sample_{c}") for c in values)).withColumn("between_bucket", floor_div("sample_t", length))
-    met = left.join(right, [*keys, "between_bucket"]).filter((F.col("sample_t") >= F.col(on)) & (F.col("sample_t") <= F.col(on) + length)).drop("between_bucket")
-    return queries.join(met.select(*queries.columns, "sample_t", *(f"sample_{c}" for c in values)), queries.columns, "left")
+    met = left.join(right, [*keys, "between_bucket"]).filter((F.col("sample_t") >= F.col(on)) & (F.col("sample_t") <= F.col(on) + length))
+    found = queries.join(met.select(*keys, on, "sample_t", *(f"sample_{c}" for c in values)), [*keys, on], "left")
+    return found.select(*queries.columns, "sample_t", *(f"sample_{c}" for c in values))
 
 
 def grid(samples: DataFrame, streams: str, on: str, step: int, values: Sequence[str], bucket: int | None = None) -> DataFrame:
     """N-way synchronised grid: over the time all streams share, every `step`, each stream's nearest sample.
 
-    (t, stream, match); streams without a common time give no rows.
+    (t, stream, match); streams without a common time give no rows. The two bounds are read first, so that the grid is a
+    range that Spark deals over tasks.
     """
-    ranges = samples.groupBy(streams).agg(F.min(on).alias("low"), F.max(on).alias("high"))
-    shared = ranges.agg(F.max("low").alias("low"), F.min("high").alias("high")).filter("low <= high")
-    times = shared.select(F.explode(F.sequence("low", "high", F.lit(step).cast("long"))).alias(on))
-    # One row of bounds and one for each stream: both sides of this product are small by nature.
+    ranges = samples.filter(F.col(streams).isNotNull()).groupBy(streams).agg(F.min(on).alias("low"), F.max(on).alias("high"))
+    low, high = ranges.agg(F.max("low"), F.min("high")).first()
+    if low is None or high is None or low > high:
+        low, high = 0, -1
+    times = samples.sparkSession.range(low, high + 1, step).select(F.col("id").alias(on))
+    # The result itself has a row for each time and stream.
     points = times.crossJoin(ranges.select(streams))
     return nearest(points, samples, [streams], on, values, bucket=bucket)

@@ -16,26 +16,30 @@ from isochron.operators import asof, clock, signal
 CHANNELS = ("accel", "gyro", "mag", "lin_accel", "quat")
 
 
-def match_pulses(ts: np.ndarray, delay_us: np.ndarray, frame_ns: np.ndarray, rate_hz: float, fps: float) -> np.ndarray | None:
+def match_pulses(ts: np.ndarray, delay_us: np.ndarray, frame_ns: np.ndarray, fps: float) -> np.ndarray | None:
     """Frame times by the frame-sync pulses, or None where a frame has no pulse near it.
 
     Samples with a positive delay are pulses, at their time less the delay. A frame looks at pulses from four samples
-    before its place to max(8, twice the samples of a frame) after it, not before the one the last frame took, and takes
-    the nearest, the first of equals. Any frame without a pulse leaves the whole recording without.
+    before its place to max(8, twice the samples of a frame) after it, by the measured rate, and takes the nearest, the
+    first of equals. No frame looks, or has its place, before the pulse that the last frame took, the first frame before
+    the first pulse. Any frame without a pulse leaves the whole recording without.
     """
-    if len(ts) < 2 or not len(frame_ns) or (delay_us > 0).sum() < 2:
+    pulses = np.flatnonzero(delay_us > 0)
+    if not len(frame_ns) or len(pulses) < 2 or ts[-1] <= ts[0]:
         return None
-    reach = max(8, 2 * int(np.rint(rate_hz / max(fps, 1e-9))))
-    pulses = ts - (delay_us.astype(np.float64) * 1000)
-    at, out = 0, np.empty(len(frame_ns), np.int64)
+    rate = (len(ts) - 1) / ((ts[-1] - ts[0]) / 1e9)
+    reach = max(8, 2 * int(np.rint(rate / max(fps, 1.0))))
+    times = ts[pulses] - delay_us[pulses].astype(np.float64) * 1000
+    out = np.empty(len(frame_ns), np.int64)
+    taken = 0  # number of the pulse that the last frame took
     for k, place in enumerate(np.searchsorted(ts, frame_ns, "left").tolist()):
-        place = max(place, at)
-        low, high = max(at, place - 4), min(len(ts), place + reach)
-        own = low + np.flatnonzero(delay_us[low:high] > 0)
-        if not len(own):
+        place = max(place, int(pulses[taken]))
+        low, high = np.searchsorted(pulses, (place - 4, min(len(ts), place + reach)))
+        low = max(int(low), taken)
+        if low >= high:
             return None
-        at = int(own[np.argmin(np.abs(pulses[own] - frame_ns[k]))])
-        out[k] = int(pulses[at])
+        taken = low + int(np.argmin(np.abs(times[low:high] - frame_ns[k])))
+        out[k] = int(times[taken])
     return out
 
 
@@ -44,8 +48,8 @@ def pulse_times(samples: DataFrame, frames: DataFrame, headers: DataFrame, fps:
 
     The match is monotone over a recording's frames, so a recording is one group.
     """
-    enabled = headers.filter(F.col("flags").bitwiseAND(F.lit(1)) != 0).select(*keys, "rate_hz")
-    left = samples.filter("fsync_delay_us is not null").join(enabled, list(keys)).select(*keys, "ts_ns", "fsync_delay_us", "rate_hz")
+    enabled = headers.filter(F.col("flags").bitwiseAND(F.lit(1)) != 0).select(*keys)
+    left = samples.filter("fsync_delay_us is not null").join(enabled, list(keys)).select(*keys, "ts_ns", "fsync_delay_us")
     right = frames.select(*keys, "frame_idx", "best_ns")
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -55,7 +59,7 @@ def pulse_times(samples: DataFrame, frames: DataFrame, headers: DataFrame, fps:
         if not a.num_rows or not b.num_rows:
             return empty if b.num_rows else pa.table({**{k: a[k].slice(0, 0) for k in keys}, "frame_idx": pa.array([], pa.int64()), "pulse_ns": pa.array([], pa.int64())})
         a, b = a.sort_by("ts_ns"), b.sort_by("frame_idx")
-        found = match_pulses(a["ts_ns"].to_numpy(), a["fsync_delay_us"].to_numpy(), b["best_ns"].to_numpy(), a["rate_hz"][0].as_py(), fps)
+        found = match_pulses(a["ts_ns"].to_numpy(), a["fsync_delay_us"].to_numpy(), b["best_ns"].to_numpy(), fps)
         return empty if found is None else pa.table([*(b[k] for k in keys), b["frame_idx"], pa.array(found)], names=names)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(each, f"{kinds}, frame_idx long, pulse_ns long")
@@ -106,8 +110,9 @@ def calm(frames: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, le
 def readout_motion(frames: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, readout_ns: int) -> DataFrame:
     """Mean magnitude of each turn rate during a frame's readout; 0 where no sample falls in it."""
     rates = samples.select(*keys, on, *(F.abs(F.col(f"gyro.{a}")).alias(f"g{a}") for a in "xyz"))
-    met = asof.between(frames, rates, keys, on, readout_ns, ["gx", "gy", "gz"])
-    return met.groupBy(*frames.columns).agg(*(F.coalesce(F.avg(f"sample_g{a}"), F.lit(0.0)).alias(f"mean_{a}") for a in "xyz"))
+    met = asof.between(frames.select(*keys, on).distinct(), rates, keys, on, readout_ns, ["gx", "gy", "gz"])
+    means = met.groupBy(*keys, on).agg(*(F.avg(f"sample_g{a}").alias(f"mean_{a}") for a in "xyz"))
+    return frames.join(means, [*keys, on], "left").select(*frames.columns, *(F.coalesce(f"mean_{a}", F.lit(0.0)).alias(f"mean_{a}") for a in "xyz"))
 
 
 def poses_at(frames: DataFrame, poses: DataFrame, keys: Sequence[str], on: str, max_gap: int, margin: int, bucket: int | None = None) -> DataFrame:

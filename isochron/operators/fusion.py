@@ -1,9 +1,9 @@
-"""Orientation fusion: sequential per recording, parallel over recordings (grouped Arrow tables of one recording)."""
+"""Orientation fusion: sequential per recording, parallel over recordings, in sorted Arrow batches with a carried state."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,65 +14,78 @@ from pyspark.sql import functions as F
 MAX_STEP, GAIN = 0.5, 0.08
 
 
+def _half(along: float, across: float) -> tuple[float, float]:
+    """Cosine and sine of half the angle from the first axis to (along, across), by the half-angle identities."""
+    length = math.hypot(along, across)
+    if not length:
+        return 1.0, 0.0
+    larger = math.sqrt((1 + abs(along) / length) / 2)
+    smaller = abs(across) / (2 * length * larger)
+    c, s = (larger, smaller) if along >= 0 else (smaller, larger)
+    return c, math.copysign(s, across)
+
+
 def seeded(accel: np.ndarray) -> tuple[float, float, float, float]:
-    """Level attitude (w, x, y, z) of a resting accelerometer; identity where it reads nothing."""
-    ax, ay, az = (float(a) for a in accel)
-    if math.sqrt(ax * ax + ay * ay + az * az) <= 1e-6:
+    """Level attitude (w, x, y, z) of a resting accelerometer; identity where it reads nothing.
+
+    Two turns level it: one about x takes the reading into the plane of x and z, one about y takes it up. None is about z.
+    """
+    right, forward, up = (float(a) for a in accel)
+    if math.sqrt(right * right + forward * forward + up * up) <= 1e-6:
         return 1.0, 0.0, 0.0, 0.0
-    roll, pitch = math.atan2(ay, az), math.atan2(-ax, math.hypot(ay, az))
-    cr, sr, cp, sp = math.cos(roll / 2), math.sin(roll / 2), math.cos(pitch / 2), math.sin(pitch / 2)
-    return cr * cp, sr * cp, cr * sp, -sr * sp
+    about_x, about_y = _half(up, forward), _half(math.hypot(forward, up), -right)
+    return tuple(_times(np.array([about_y[0], 0.0, about_y[1], 0.0]), np.array([about_x[0], about_x[1], 0.0, 0.0])).tolist())
 
 
-def _advanced(q: tuple, dt: float, accel: np.ndarray, gyro: np.ndarray, gain: float) -> tuple:
-    """One step of the filter on (w, x, y, z)."""
+def _gravity_pull(q: Sequence[float], up: Sequence[float]) -> list[float]:
+    """Gradient by q of half the squared error of the predicted upward direction: its Jacobian, transposed, times the error."""
     w, x, y, z = q
-    gx, gy, gz = gyro
-    rate = [0.5 * (-x * gx - y * gy - z * gz), 0.5 * (w * gx + y * gz - z * gy), 0.5 * (w * gy - x * gz + z * gx), 0.5 * (w * gz + x * gy - y * gx)]
-    size = math.sqrt(float(accel @ accel))
-    if size > 1e-9:
-        ax, ay, az = accel / size
-        # Gradient of the distance between measured and predicted gravity.
-        s = [
-            4 * w * y * y + 2 * y * ax + 4 * w * x * x - 2 * x * ay,
-            4 * x * z * z - 2 * z * ax + 4 * w * w * x - 2 * w * ay - 4 * x + 8 * x**3 + 8 * x * y * y + 4 * x * az,
-            4 * w * w * y + 2 * w * ax + 4 * y * z * z - 2 * z * ay - 4 * y + 8 * y * x * x + 8 * y**3 + 4 * y * az,
-            4 * x * x * z - 2 * x * ax + 4 * y * y * z - 2 * y * ay,
-        ]
-        length = math.sqrt(sum(v * v for v in s))
-        if length > 1e-9:
-            rate = [r - gain * v / length for r, v in zip(rate, s, strict=True)]
-    q = tuple(a + r * dt for a, r in zip(q, rate, strict=True))
-    length = math.sqrt(sum(v * v for v in q))
-    return tuple(v / length for v in q)
+    predicted = (2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y))
+    jacobian = ((-2 * y, 2 * z, -2 * w, 2 * x), (2 * x, 2 * w, 2 * z, 2 * y), (0.0, -4 * x, -4 * y, 0.0))
+    error = [p - m for p, m in zip(predicted, up, strict=True)]
+    return [sum(e * row[k] for e, row in zip(error, jacobian, strict=True)) for k in range(4)]
+
+
+def _unit(v: Sequence[float], least: float = 0.0) -> list[float] | None:
+    """The vector at length one; None where it is not longer than `least`."""
+    length = math.sqrt(math.fsum(x * x for x in v))
+    return [x / length for x in v] if length > least else None
+
+
+def _advanced(q: Sequence[float], dt: float, accel: Sequence[float], gyro: Sequence[float], gain: float) -> list[float]:
+    """One step on (w, x, y, z): half the product of q and the turn rate, less the gain along the pull of gravity."""
+    w, (x, y, z), (p, r, s) = q[0], q[1:], gyro
+    speed = [-(x * p + y * r + z * s) / 2, (w * p + y * s - z * r) / 2, (w * r + z * p - x * s) / 2, (w * s + x * r - y * p) / 2]
+    up = _unit(accel, 1e-9)
+    pull = _unit(_gravity_pull(q, up), 1e-9) if up else None
+    moved = [a + dt * (v - gain * g) for a, v, g in zip(q, speed, pull or (0.0,) * 4, strict=True)]
+    return _unit(moved)
 
 
 def resumed(before_ns: int, t_ns: int, accel: np.ndarray, gyro: np.ndarray, q: np.ndarray, gain: float = GAIN) -> np.ndarray:
     """The attitude (x, y, z, w) at t_ns, from the one before."""
-    dt = (int(t_ns) - int(before_ns)) / 1e9
-    if not 0 < dt <= MAX_STEP:
-        return np.asarray(q, float)
-    w, x, y, z = _advanced((q[3], q[0], q[1], q[2]), dt, accel, gyro, gain)
-    return np.array([x, y, z, w])
+    return gradient_filter(np.array([int(t_ns)]), np.asarray([accel], float), np.asarray([gyro], float), gain, (int(before_ns), np.asarray(q, float)))[0]
 
 
-def gradient_filter(t_ns: np.ndarray, accel: np.ndarray, gyro: np.ndarray, gain: float = GAIN) -> np.ndarray:
-    """Attitudes (x, y, z, w) by gyro integration with a gradient step towards gravity."""
-    q = seeded(accel[0]) if len(t_ns) else (1.0, 0.0, 0.0, 0.0)
+def gradient_filter(t_ns: np.ndarray, accel: np.ndarray, gyro: np.ndarray, gain: float = GAIN, before: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+    """Attitudes (x, y, z, w) by gyro integration with a gradient step towards gravity; `before`: time and attitude to go on from."""
     out = np.empty((len(t_ns), 4))
-    steps = np.diff(t_ns, prepend=t_ns[:1]) / 1e9
-    for k, dt in enumerate(steps.tolist()):
+    if not len(t_ns):
+        return out
+    q = seeded(accel[0]) if before is None else (before[1][3], *before[1][:3])
+    steps = np.diff(t_ns, prepend=t_ns[:1] if before is None else before[0]) / 1e9
+    for k, (dt, a, g) in enumerate(zip(steps.tolist(), accel.tolist(), gyro.tolist(), strict=True)):
         if 0 < dt <= MAX_STEP:
-            q = _advanced(q, dt, accel[k], gyro[k], gain)
+            q = _advanced(q, dt, a, g, gain)
         out[k] = (q[1], q[2], q[3], q[0])
     return out
 
 
-def gyro_only(t_ns: np.ndarray, gyro: np.ndarray) -> np.ndarray:
+def gyro_only(t_ns: np.ndarray, gyro: np.ndarray, before: tuple[int, np.ndarray] | None = None) -> np.ndarray:
     """Attitudes (x, y, z, w) from identity by turning by rate times step; turns below 1e-10 hold."""
-    q = np.array([1.0, 0.0, 0.0, 0.0])
+    q = np.array([1.0, 0.0, 0.0, 0.0]) if before is None else np.asarray(before[1])[[3, 0, 1, 2]]
     out = np.empty((len(t_ns), 4))
-    steps = np.diff(t_ns, prepend=t_ns[:1]) / 1e9
+    steps = np.diff(t_ns, prepend=t_ns[:1] if before is None else before[0]) / 1e9
     for k in range(len(t_ns)):
         turn = gyro[k] * steps[k]
         angle = float(np.sqrt(turn @ turn))
@@ -175,35 +188,68 @@ def _field_gradient(q: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _per_recording(samples: DataFrame, keys: Sequence[str], fuse: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """One attitude for each sample; a recording's samples meet in one task because the state is sequential."""
+    """One attitude for each sample, from a recording's whole table."""
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
 
     def each(table: pa.Table) -> pa.Table:
         group = table.sort_by("ts_ns")
         q = fuse(group)
-        return pa.table({**{k: group[k] for k in keys}, "ts_ns": group["ts_ns"], **{n: pa.array(q[:, i]) for i, n in enumerate(("qx", "qy", "qz", "qw"))}})
+        return pa.table({**{k: group[k] for k in keys}, "ts_ns": group["ts_ns"], **{n: pa.array(q[:, i]) for i, n in enumerate(TURN)}})
 
     return samples.groupBy(*keys).applyInArrow(each, f"{kinds}, ts_ns long, qx double, qy double, qz double, qw double")
 
 
+TURN = ("qx", "qy", "qz", "qw")
+
+
+def _in_order(samples: DataFrame, keys: Sequence[str], order: Sequence[str], fuse: Callable[[pa.RecordBatch, tuple | None], np.ndarray]) -> DataFrame:
+    """One attitude for each sample; rows come sorted, a batch at a time, and the last time and attitude are carried on.
+
+    The state is sequential, so a recording stays in one task, but no more of it than a batch is in memory.
+    """
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "ts_ns", *TURN]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, before = None, None
+        for batch in batches:
+            held = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            edges = [0, *(k for k in range(1, len(held)) if held[k] != held[k - 1]), len(held)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                q = fuse(part, before if held[low] == last_key else None)
+                last_key, before = held[low], (part.column("ts_ns")[-1].as_py(), q[-1])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), part.column("ts_ns"), *(pa.array(q[:, i]) for i in range(4))], names=names)
+
+    dealt = samples.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(each, f"{kinds}, ts_ns long, qx double, qy double, qz double, qw double")
+
+
 def _axes(group: pa.Table, name: str) -> np.ndarray:
-    flat = group[name].combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return np.nan_to_num(np.column_stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(3)]))
+    flat = group.column(name)
+    if isinstance(flat, pa.ChunkedArray):
+        flat = pa.concat_arrays(flat.chunks)
+    flat = flat.flatten()
+    return np.nan_to_num(np.column_stack([flat[k].to_numpy(zero_copy_only=False).astype(float) for k in range(3)]))
 
 
 def attitudes(samples: DataFrame, keys: Sequence[str] = ("recording_id",), mode: str = "gravity", gain: float | None = None, max_samples: int | None = None) -> DataFrame:
     """Attitudes of accel, gyro (and mag) samples: mode gravity, gyro or field."""
-    def fuse(group: pa.Table) -> np.ndarray:
-        t = group["ts_ns"].to_numpy()
+    columns = ["ts_ns", "gyro", *(["accel"] if mode != "gyro" else []), *(["mag"] if mode == "field" else [])]
+    samples = samples.select(*keys, *columns)
+    if mode == "field":  # whether a magnetometer reads, and the stride, depend on the whole recording
+        return _per_recording(samples, keys, lambda group: marg_filter(group["ts_ns"].to_numpy(), _axes(group, "accel"), _axes(group, "gyro"), _axes(group, "mag"), gain or 0.041, max_samples))
+
+    def fuse(part: pa.RecordBatch, before: tuple | None) -> np.ndarray:
+        t = part.column("ts_ns").to_numpy()
         if mode == "gyro":
-            return gyro_only(t, _axes(group, "gyro"))
-        if mode == "field":
-            return marg_filter(t, _axes(group, "accel"), _axes(group, "gyro"), _axes(group, "mag"), gain or 0.041, max_samples)
-        return gradient_filter(t, _axes(group, "accel"), _axes(group, "gyro"), gain or GAIN)
+            return gyro_only(t, _axes(part, "gyro"), before)
+        return gradient_filter(t, _axes(part, "accel"), _axes(part, "gyro"), gain or GAIN, before)
 
-    columns = ["ts_ns", "gyro", *(["accel"] if mode != "gyro" else []), *(["mag"] if mode == "field" else [])]
-    return _per_recording(samples.select(*keys, *columns), keys, fuse)
+    # Rows of one time differ in no way that the state depends on but their values, which settle their order.
+    return _in_order(samples, keys, ["ts_ns", *columns[1:]], fuse)
 
 
 def camera_attitudes(samples: DataFrame, rate_hz: float, r_cam_imu: tuple[float, float, float, float], gyro_bias: Sequence[float], accel_bias: Sequence[float], keys: Sequence[str] = ("recording_id",), target_hz: float = 120.0) -> DataFrame:

@@ -39,10 +39,11 @@ def gaps(rows: DataFrame, keys: Sequence[str], on: str, factor: float = 1.5, nom
     return steps.filter(F.col("step") > F.col("nominal") * factor)
 
 
-def onset(rows: DataFrame, keys: Sequence[str], on: str, value: str, jump: float = 2.0) -> DataFrame:
+def onset(rows: DataFrame, keys: Sequence[str], on: str | Sequence[str], value: str, jump: float = 2.0) -> DataFrame:
     """Per key the first time at which the value moves by more than `jump`; null where it never does."""
-    moved = rows.withColumn("moved", F.abs(step(value, keys, [on])) > jump)
-    return moved.groupBy(*keys).agg(F.min(F.when(F.col("moved"), F.col(on))).alias("onset"))
+    order = _order(on)
+    moved = rows.withColumn("moved", F.abs(step(value, keys, order)) > jump)
+    return moved.groupBy(*keys).agg(F.min(F.when(F.col("moved"), F.col(order[0]))).alias("onset"))
 
 
 def upper_median(values: Column, least: int = 0) -> Column:
@@ -60,15 +61,20 @@ def sample_rate(rows: DataFrame, keys: Sequence[str], on: str) -> DataFrame:
     return steps.groupBy(*keys).agg(F.bround(F.lit(1e9) / upper_median(F.when(F.col("step") > 0, F.col("step")), 10)).cast("long").alias("rate_hz"))
 
 
-def islands(rows: DataFrame, keys: Sequence[str], on: str, breaks: Column) -> DataFrame:
+def _order(on: str | Sequence[str]) -> list[str]:
+    """Columns that put rows in order; with ties in time, give more than one."""
+    return [on] if isinstance(on, str) else list(on)
+
+
+def islands(rows: DataFrame, keys: Sequence[str], on: str | Sequence[str], breaks: Column) -> DataFrame:
     """Rows with `island`: how many breaking rows came before; breaking rows themselves are left out."""
-    before = F.coalesce(F.sum(breaks.cast("int")).over(W.partitionBy(*keys).orderBy(on).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    before = F.coalesce(F.sum(breaks.cast("int")).over(W.partitionBy(*keys).orderBy(*_order(on)).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
     return rows.withColumn("island", before.cast("long")).filter(~breaks)
 
 
-def ahead_group(rows: DataFrame, keys: Sequence[str], on: str, closes: Column) -> DataFrame:
+def ahead_group(rows: DataFrame, keys: Sequence[str], on: str | Sequence[str], closes: Column) -> DataFrame:
     """Rows with `group`: the number of the closing row that each belongs to, itself or the next one (data before frame)."""
-    before = F.sum(closes.cast("int")).over(W.partitionBy(*keys).orderBy(on).rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum(closes.cast("int")).over(W.partitionBy(*keys).orderBy(*_order(on)).rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("group", F.coalesce(before, F.lit(0)).cast("long"))
 
 

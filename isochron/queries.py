@@ -163,9 +163,9 @@ def gap_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.gaps(events(spark, sf_dir), ["user_id"], "t").select("event_id", "user_id", "step")
 
 
-@query(f"WITH e AS ({E}), s AS (SELECT user_id, t, abs(cents - lag(cents) OVER (PARTITION BY user_id ORDER BY t)) > 200 AS j FROM e) SELECT user_id, min(CASE WHEN j THEN t END) AS onset FROM s GROUP BY 1")
+@query(f"WITH e AS ({E}), s AS (SELECT user_id, t, abs(cents - lag(cents) OVER (PARTITION BY user_id ORDER BY t, event_id)) > 200 AS j FROM e) SELECT user_id, min(CASE WHEN j THEN t END) AS onset FROM s GROUP BY 1")
 def onset_first_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.onset(events(spark, sf_dir), ["user_id"], "t", "cents", 200)
+    return signal.onset(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "cents", 200)
 
 
 @query(_STEPS + ", l AS (SELECT user_id, list_sort(list(d) FILTER (d > 0)) AS x FROM s GROUP BY 1) SELECT user_id, x[len(x) // 2 + 1] AS upper_median FROM l WHERE len(x) > 10")
@@ -270,14 +270,14 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH e AS ({E}), s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island FROM e)
 SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM s WHERE event_type <> 'error' GROUP BY 1, 2""")
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signal.islands(events(spark, sf_dir), ["user_id"], "t", F.col("event_type") == "error")
+    rows = signal.islands(events(spark, sf_dir), ["user_id"], ["t", "event_id"], F.col("event_type") == "error")
     return rows.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query(f"""WITH e AS ({E}), s AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e)
+@query(f"""WITH e AS ({E}), s AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e)
 SELECT user_id, CAST(g AS BIGINT) AS grp, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM s GROUP BY 1, 2""")
 def next_frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signal.ahead_group(events(spark, sf_dir), ["user_id"], "t", F.col("event_type") == "purchase")
+    rows = signal.ahead_group(events(spark, sf_dir), ["user_id"], ["t", "event_id"], F.col("event_type") == "purchase")
     return rows.groupBy("user_id", F.col("group").alias("grp")).agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 

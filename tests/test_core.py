@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from isochron.codecs import boxes, calibration, records, sei
 from isochron.functions import geometry
@@ -227,10 +228,117 @@ def test_pulses():
     at = np.arange(10, 390, 13)
     delay[at] = 100.0
     pulses = ts[at] - 100_000
-    found = frames.match_pulses(ts, delay, pulses + 50_000, 400, 30)
+    found = frames.match_pulses(ts, delay, pulses + 50_000, 30)
     assert (found == pulses).all()
-    assert frames.match_pulses(ts, delay, np.array([-10**9, 2 * 10**9]), 400, 30) is None
-    assert frames.match_pulses(ts, np.zeros(400, np.float32), pulses, 400, 30) is None
+    assert frames.match_pulses(ts, delay, np.array([0, 2 * 10**9]), 30) is None
+    assert frames.match_pulses(ts, np.zeros(400, np.float32), pulses, 30) is None
+
+
+def plain_pulses(ts, delay, frames_ns, fps):
+    """The rule of SURVEY J3, sample by sample."""
+    found = [j for j in range(len(ts)) if delay[j] > 0]
+    if len(found) < 2 or len(ts) < 2 or not len(frames_ns):
+        return None
+    rate = (len(ts) - 1) / (float(ts[-1] - ts[0]) / 1e9)
+    start, reach, out = found[0], max(8, round(rate / max(fps, 1.0)) * 2), []
+    for t in frames_ns:
+        place = max(sum(int(x) < t for x in ts), start)
+        near = [(abs(ts[j] - float(delay[j]) * 1000 - t), j) for j in range(max(start, place - 4), min(len(ts), place + reach)) if delay[j] > 0]
+        if not near:
+            return None
+        start = min(near)[1]
+        out.append(int(ts[start] - float(delay[start]) * 1000))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pulses_by_the_rule(seed):
+    r = np.random.default_rng(seed)
+    ts = np.cumsum(r.integers(1_500_000, 3_500_000, 300))
+    delay = np.where(r.random(300) < (0.3, 0.08, 0.02)[seed % 3], r.integers(1, 2000, 300), 0).astype(np.float32)
+    delay[: r.integers(0, 60)] = 0
+    frame_ns = ts[0] + np.arange(int(r.integers(1, 12))) * 33_000_000 + r.integers(0, 2_000_000)
+    got = frames.match_pulses(ts, delay, frame_ns, 30.0)
+    assert (None if got is None else got.tolist()) == plain_pulses(ts, delay, frame_ns, 30.0)
+
+
+def test_pulses_that_begin_late():
+    ts, delay = np.arange(200) * 2_500_000, np.zeros(200, np.float32)
+    delay[36::13] = 50.0
+    assert frames.match_pulses(ts, delay, np.array([0, 33_000_000]), 30).tolist() == [36 * 2_500_000 - 50_000] * 2
+
+
+def test_interval_joins_keep_rows(spark):
+    left = spark.createDataFrame([("a", 0, None), ("a", 0, None), ("a", 0, 5), ("b", 0, 1), (None, 0, 1), ("a", None, 1)], "k string, t long, exposure int")
+    right = spark.createDataFrame([("a", 3, 2.0), ("a", 10, 4.0), ("a", 11, 8.0), (None, 1, 1.0)], "k string, t long, v double")
+    rows = sorted((str(r["k"]), str(r["t"]), str(r["exposure"]), r["sample_v"] or 0) for r in asof.between(left, right, ["k"], "t", 10, ["v"]).collect())
+    assert rows == [("None", "0", "1", 0), ("a", "0", "5", 2.0), ("a", "0", "5", 4.0), *[("a", "0", "None", v) for v in (2.0, 2.0, 4.0, 4.0)], ("a", "None", "1", 0), ("b", "0", "1", 0)]
+    gyro = right.selectExpr("k", "t", "struct(v as x, -v as y, 0D as z) as gyro")
+    turned = sorted((str(r["k"]), str(r["exposure"]), r["mean_x"], r["mean_y"]) for r in frames.readout_motion(left.filter("t = 0"), gyro, ["k"], "t", 10).collect())
+    assert turned == [("None", "1", 0.0, 0.0), ("a", "5", 3.0, 3.0), ("a", "None", 3.0, 3.0), ("a", "None", 3.0, 3.0), ("b", "1", 0.0, 0.0)]
+
+
+def test_point_joins_of_nulls_and_repeats(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 5, 1), ("a", None, 2), (None, 5, 3)], "k string, t long, n int")
+    right = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 0.5), ("a", 9, None), (None, 5, 7.0), ("a", None, 9.0)], "k string, t long, v double")
+    for bucket in (None, 3):
+        got = sorted((str(r["k"]), str(r["t"]), r["match"]["v"] if r["match"] else None) for r in asof.nearest(left, right, ["k"], "t", ["v"], bucket=bucket).collect())
+        assert got == [("None", "5", None), ("a", "5", 0.5), ("a", "5", 0.5), ("a", "None", None)]
+
+
+def test_point_join_is_linear(spark):
+    import time
+
+    def seconds(n):
+        ids = spark.range(n).select((F.col("id") % 2).alias("odd"), F.col("id").alias("t"), F.lit("one").alias("k"))
+        began = time.time()
+        asof.nearest(ids.filter("odd = 0").select("k", "t"), ids.filter("odd = 1").select("k", "t", F.col("t").alias("v")), ["k"], "t", ["v"]).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(50_000)
+    assert seconds(400_000) < 8 * max(0.5, seconds(100_000))
+
+
+def test_filter_step_by_the_formula():
+    """The gradient as SURVEY 2.15 writes it out, term by term."""
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        q, a = r.standard_normal(4), r.standard_normal(3)
+        q, a = q / np.linalg.norm(q), a / np.linalg.norm(a)
+        q0, q1, q2, q3 = q
+        ax, ay, az = a
+        s0 = 4 * q0 * q2**2 + 2 * q2 * ax + 4 * q0 * q1**2 - 2 * q1 * ay
+        s3 = 4 * q1**2 * q3 - 2 * q1 * ax + 4 * q2**2 * q3 - 2 * q2 * ay
+        pull = fusion._gravity_pull(q.tolist(), a.tolist())
+        assert (pull[0], pull[3]) == pytest.approx((s0, s3), abs=1e-12)
+        numeric = [(err(q + d, a) - err(q - d, a)) / 2e-6 for d in 1e-6 * np.eye(4)]
+        assert np.allclose(pull, numeric, atol=1e-6)
+        roll, pitch = np.arctan2(ay, az), np.arctan2(-ax, np.hypot(ay, az))
+        cr, sr, cp, sp = np.cos(roll / 2), np.sin(roll / 2), np.cos(pitch / 2), np.sin(pitch / 2)
+        assert np.allclose(fusion.seeded(a), [cr * cp, sr * cp, cr * sp, -sr * sp], atol=1e-12)
+    assert fusion.seeded(np.zeros(3)) == (1.0, 0.0, 0.0, 0.0)
+
+
+def err(q, a):
+    w, x, y, z = q
+    up = np.array([2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)])
+    return 0.5 * ((up - a) ** 2).sum()
+
+
+def test_fusion_in_batches(spark):
+    r = np.random.default_rng(6)
+    t = np.cumsum(r.integers(1, 4, 300)) * 2_000_000
+    a, g = r.standard_normal((2, 300, 3))
+    rows = [(k, int(t[i]), tuple(map(float, a[i])), tuple(map(float, g[i]))) for k in "ab" for i in r.permutation(300)]
+    axes = "struct<x:double,y:double,z:double>"
+    table = spark.createDataFrame(rows, f"recording_id string, ts_ns long, accel {axes}, gyro {axes}").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for mode, want in (("gravity", fusion.gradient_filter(t, a, g)), ("gyro", fusion.gyro_only(t, g))):
+            got = fusion.attitudes(table, mode=mode).orderBy("recording_id", "ts_ns").collect()
+            assert np.allclose([[x[c] for c in fusion.TURN] for x in got], np.concatenate([want, want]), atol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_fusion(spark):
