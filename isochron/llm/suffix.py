@@ -4,7 +4,7 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts earlie
 is not needed for that: in each string of LENGTH bytes the least hash of its GRAM-byte substrings marks an anchor, equal
 strings have equal anchors at equal places, and each anchor stands for a run of string starts, its context. So
 
-1. a map-only pass finds the anchors, (gram hash, context hash, document, place); of equal contexts in one batch only
+1. a map-only pass finds the anchors, (gram hash, context hash, document, row, place); of equal contexts in one batch only
    the first goes on, the later ones are repeats already, which keeps hot passages from gathering;
 2. anchors are shuffled by gram hash and sorted; they stream, holding one row. All but the first of equal contexts are
    repeats as a whole. Where one gram has different contexts, each context's first is contested: some of its strings
@@ -14,10 +14,12 @@ strings have equal anchors at equal places, and each anchor stands for a run of
    contexts than HOT has its suffixes dealt by the hash of their LENGTH bytes, so no task holds a hot gram;
 4. the repeated spans are merged for each document and cut out of its bytes.
 
-Steps 3 and 4 join texts with places by document, at any size by shuffling both: the texts travel compressed.
+Each row gets a number of its own, fixed by writing the numbered, compressed texts once; steps 3 and 4 join them with
+places by that number, so that neither rows that share a doc_id nor those without one meet in a task. Long texts are
+walked in overlapping pieces, so a text's size is bounded by what one value may hold, not by this module.
 
 Document ids must fit a long. Defined results: null text is the empty text; a null doc_id comes after all others; rows
-that share a doc_id are sections of one document, in the order of their texts, and strings never cross sections.
+that share a doc_id are sections of one document, in the order in which they are read, and strings never cross sections.
 """
 
 from __future__ import annotations
@@ -30,16 +32,14 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.llm.common import binary, cut, runs
+from isochron.llm.common import binary, cut, runs, slices
 
 LENGTH, GRAM = 100, 32
 SHALLOW, HOT = 32, 4_096
-#: Bits of a place within a batch's joined texts; 2**28 bytes at most.
-PLACE = 28
-CHUNK = 1 << 20
+#: Bytes that are searched for anchors at a time, in pieces of one text or of several; bits of a place within them.
+CHUNK, PLACE = 1 << 20, 28
 NULL_ID = (1 << 63) - 1
 
 
@@ -97,62 +97,75 @@ def anchors(text_bytes: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     return text, place - (ends - sizes)[text], place - first, last - first, hashes[place], context
 
 
-def chunks(sizes: list[int], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    low = 0
-    while low < len(sizes):
-        high, total = low, 0
-        while high < len(sizes) and (high == low or total + sizes[high] <= most):
-            total += sizes[high]
-            high += 1
-        yield low, high
-        low = high
+def pieces(texts: list[bytes], length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(text, offset, bytes) lists of about `most` bytes; a longer text comes in pieces that share length - 1 bytes."""
+    text: list[int] = []
+    offset: list[int] = []
+    held: list[bytes] = []
+    size = 0
+    for k, x in enumerate(texts):
+        for low in range(0, max(len(x) - length + 1, 0), most):
+            piece = x if len(x) < most + length else x[low : low + most + length - 1]
+            if held and size + len(piece) > most + length:
+                yield np.array(text), np.array(offset), held
+                text, offset, held, size = [], [], [], 0
+            text.append(k)
+            offset.append(low)
+            held.append(piece)
+            size += len(piece)
+    if held:
+        yield np.array(text), np.array(offset), held
 
 
-KEYS = ["gram", "context", "doc", "at", "kind"]
+#: A row of the anchors' table; `at` has the anchor's place, the starts before it and those after the first.
+KEYS = ["gram", "context", "doc", "row", "at", "kind"]
 #: Kinds of rows: an anchor to be shuffled, one whose whole context repeats.
 ANCHOR, REPEAT = 0, 1
 
 
-def packed(section: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return (section << 47) | (place << 16) | (before << 8) | after
+def packed(place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return (place << 16) | (before << 8) | after
 
 
-def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(section, first start, last start) of an anchor's strings."""
-    first = ((at >> 16) & ((1 << 31) - 1)) - ((at >> 8) & 255)
-    return at >> 47, first, first + (at & 255)
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first start, last start) of an anchor's strings."""
+    first = (at >> 16) - ((at >> 8) & 255)
+    return first, first + (at & 255)
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, section, text) to anchors, of equal contexts in a batch only the first."""
-    for batch in batches:
-        texts = binary(batch.column(2))
-        docs, sections = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-        parts = []
-        for low, high in chunks([len(x) for x in texts]):
-            text, place, before, after, gram, context = anchors(texts[low:high])
-            if len(text):
-                parts.append((gram, context, docs[low + text], packed(sections[low + text], place, before, after)))
-        if not parts:
-            continue
-        gram, context, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, doc, context, gram))
-        gram, context, doc, at = gram[order], context[order], doc[order], at[order]
-        again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again.astype(np.int8))], names=KEYS)
+def scan(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, row, packed text) to anchors, of equal contexts in a batch only the first."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for at_row in range(0, whole.num_rows, 2_048):
+            batch = whole.slice(at_row, 2_048)
+            docs, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            parts = []
+            for source, offset, held in pieces([unpack(x) for x in batch.column(2).to_pylist()], length, most):
+                text, place, before, after, gram, context = anchors(held, length)
+                if len(text):
+                    own = source[text]
+                    parts.append((gram, context, docs[own], rows[own], packed(offset[text] + place, before, after)))
+            if not parts:
+                continue
+            gram, context, doc, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, row, doc, context, gram))
+            gram, context, doc, row, at = (x[order] for x in (gram, context, doc, row, at))
+            again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(row), pa.array(at), pa.array(again.astype(np.int8))], names=KEYS)
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by KEYS' first four and repeats last to repeats and contested anchors; a gram's last row is carried."""
+    """Rows sorted by KEYS' first five and repeats last to repeats and contested anchors; a gram's last row is carried."""
     carried: tuple[int, int] | None = None  # gram and context of the row before
     waiting: list | None = None  # the gram's only context so far
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram, context, doc, at, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        gram, context, *place, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
         moved = kind == REPEAT
-        out = [(gram[moved], doc[moved], at[moved], np.full(int(moved.sum()), REPEAT, np.int8))]
-        gram, context, doc, at = (x[~moved] for x in (gram, context, doc, at))
+        out = [(gram[moved], *(x[moved] for x in place), np.full(int(moved.sum()), REPEAT, np.int8))]
+        gram, context, *place = (x[~moved] for x in (gram, context, *place))
         if len(gram):
             same = np.empty(len(gram), bool)
             same[1:] = gram[1:] == gram[:-1]
@@ -160,24 +173,28 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = same.copy()
             again[1:] &= context[1:] == context[:-1]
             again[0] = same[0] and carried[1] == context[0]
-            out.append((gram[again], doc[again], at[again], np.full(int(again.sum()), REPEAT, np.int8)))
+            out.append((gram[again], *(x[again] for x in place), np.full(int(again.sum()), REPEAT, np.int8)))
             # Firsts of contexts; contested where the gram has another one.
             heads = np.flatnonzero(~again)
             joined = same[heads]
             contested = joined.copy()
             contested[:-1] |= joined[1:] & (gram[heads[1:]] == gram[heads[:-1]]) if len(heads) > 1 else False
             picked = heads[contested]
-            out.append((gram[picked], doc[picked], at[picked], np.full(len(picked), ANCHOR, np.int8)))
+            out.append((gram[picked], *(x[picked] for x in place), np.full(len(picked), ANCHOR, np.int8)))
             if waiting is not None:
                 if len(heads) and joined[0] and gram[heads[0]] == waiting[0]:
                     out.append(tuple(np.array([x]) for x in waiting) + (np.full(1, ANCHOR, np.int8),))
                 if gram[-1] != waiting[0] or (len(heads) and joined[0]):
                     waiting = None
             if len(heads) and not contested[-1] and gram[heads[-1]] == gram[-1]:
-                waiting = [gram[heads[-1]], doc[heads[-1]], at[heads[-1]]]
+                waiting = [gram[heads[-1]], *(x[heads[-1]] for x in place)]
             carried = (gram[-1], context[-1])
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "doc", "at", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", *PLACES, "kind"])
+
+
+#: Columns that say where a string or a run of them starts.
+PLACES = ["doc", "row", "at"]
 
 
 def equal_classes(windows: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
@@ -236,49 +253,46 @@ def _numbered(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sorted_values[1:] != sorted_values[:-1])))
 
 
-def later(classes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def later(classes: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which rows have an earlier row of their class."""
-    order = np.lexsort((start, doc, classes))
+    order = np.lexsort((at, row, doc, classes))
     out = np.zeros(len(classes), bool)
     out[order[1:]] = classes[order[1:]] == classes[order[:-1]]
     return out
 
 
 def sorted_windows(tables: list[pa.Table], length: int) -> pa.RecordBatch:
-    """Contexts (gram, doc, at, bytes) of whole grams to the (doc, at) of the strings that repeat."""
+    """Contexts (gram, doc, row, at, bytes) of whole grams to the (row, at) of the strings that repeat."""
     whole = pa.concat_tables(tables)
-    gram, doc, at = (whole[k].to_numpy() for k in ("gram", "doc", "at"))
+    gram, doc, own, at = (whole[k].to_numpy() for k in ("gram", *PLACES))
     texts = whole["bytes"].to_pylist()
-    section, first, last = unpacked(at)
+    first, last = unpacked(at)
     counts = (last - first + 1).astype(np.int64)
     lengths = np.array([len(x) for x in texts], np.int64)
     bases = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    row = np.repeat(np.arange(len(texts)), counts)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    context = np.repeat(np.arange(len(texts)), counts)
+    step = np.arange(len(context)) - np.repeat(np.cumsum(counts) - counts, counts)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[bases[row] + step]
-    start = first[row] + step
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)[bases[context] + step]
+    start = first[context] + step
     # Strings of one gram can only agree where the gram lies at the same place in them.
-    before = ((at >> 8) & 255)[row] - step
+    before = ((at >> 8) & 255)[context] - step
     _, number = np.unique(gram, return_inverse=True)
-    classes = equal_classes(windows, number[row] * 512 + before + 256)
-    position = (section[row] << 47) | (start << 16)
-    again = later(classes, doc[row], position)
-    return as_runs(doc[row][again], position[again])
-
-
-def as_runs(doc: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
-    """Single starts to (doc, at) runs of at most 256 starts."""
-    order = np.lexsort((position, doc))
-    doc, position = doc[order], position[order]
-    if not len(doc):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(position)], names=["doc", "at"])
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (position[1:] != position[:-1] + (1 << 16))))
+    classes = equal_classes(windows, number[context] * 512 + before + 256)
+    again = later(classes, doc[context], own[context], start)
+    return as_runs(own[context][again], start[again])
+
+
+def as_runs(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Single starts to (row, at) runs of at most 256 starts."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(row) else np.empty(0, bool)
     heads = np.flatnonzero(new)
-    nth = np.arange(len(doc)) - heads[np.cumsum(new) - 1]
+    nth = np.arange(len(row)) - heads[np.cumsum(new) - 1]
     heads = np.flatnonzero(new | (nth % 256 == 0))
-    sizes = np.diff(np.append(heads, len(doc)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(position[heads] | (sizes - 1))], names=["doc", "at"])
+    sizes = np.diff(np.append(heads, len(row)))
+    return pa.RecordBatch.from_arrays([pa.array(row[heads]), pa.array((start[heads] << 16) | (sizes - 1))], names=["row", "at"])
 
 
 def settle_contested(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -299,41 +313,40 @@ PLAIN, STRING, SETTLED = 0, 1, 2
 
 
 def fetched_contexts(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Rows (doc, packed text, wanted) to contexts, or for hot grams to strings, of equal ones the first only and marks."""
-    rows: list[list] = [[], [], [], [], []]
-    strings: dict[bytes, list[tuple[int, int]]] = {}
+    """Rows (doc, row, packed text, wanted) to contexts, or for hot grams to strings, of equal ones the first only and marks."""
+    rows: list[list] = [[], [], [], [], [], []]
+    strings: dict[bytes, list[tuple[int, int, int]]] = {}
     unpack = zstandard.ZstdDecompressor().decompress
-    for doc, text, wanted in zip(batch.column(0).to_pylist(), map(unpack, batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+    for doc, row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(unpack, batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
         for x in wanted:
             at = x["at"]
-            first = ((at >> 16) & ((1 << 31) - 1)) - ((at >> 8) & 255)
+            first = (at >> 16) - ((at >> 8) & 255)
             if x["hot"]:
                 for start in range(first, first + (at & 255) + 1):
-                    strings.setdefault(text[start : start + length], []).append((doc, at >> 47 << 47 | start << 16))
+                    strings.setdefault(text[start : start + length], []).append((doc, row, start))
             else:
-                for k, v in enumerate((x["gram"], doc, at, text[first : first + (at & 255) + length], PLAIN)):
+                for k, v in enumerate((x["gram"], doc, row, at, text[first : first + (at & 255) + length], PLAIN)):
                     rows[k].append(v)
     for piece, places in strings.items():
         digest = xxhash.xxh3_64_intdigest(piece)
-        for nth, (doc, at) in enumerate(sorted(places)):
-            for k, v in enumerate((digest - (1 << 64) if digest >> 63 else digest, doc, at, None if nth else piece, SETTLED if nth else STRING)):
+        for nth, (doc, row, start) in enumerate(sorted(places)):
+            for k, v in enumerate((digest - (1 << 64) if digest >> 63 else digest, doc, row, start << 16, None if nth else piece, SETTLED if nth else STRING)):
                 rows[k].append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int8())
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)], names=["gram", "doc", "at", "bytes", "kind"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int8())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)], names=["gram", *PLACES, "bytes", "kind"])
 
 
 def settle_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings (hash, doc, at, bytes) sorted by hash to those that repeat; a hash has a row from each batch at most."""
+    """Strings (hash, doc, row, at, bytes) sorted by hash to those that repeat; a hash has a row from each batch at most."""
     held: list[pa.Table] = []
     size = 0
 
     def sort(tables: list[pa.Table]) -> pa.RecordBatch:
         whole = pa.concat_tables(tables)
         windows = np.frombuffer(b"".join(whole["bytes"].to_pylist()), np.uint8).reshape(whole.num_rows, -1)
-        doc, at = whole["doc"].to_numpy(), whole["at"].to_numpy()
-        classes = equal_classes(windows, whole["hash"].to_numpy())
-        again = later(classes, doc, at)
-        return as_runs(doc[again], at[again])
+        doc, row, at = (whole[k].to_numpy() for k in PLACES)
+        again = later(equal_classes(windows, whole["hash"].to_numpy()), doc, row, at)
+        return as_runs(row[again], at[again] >> 16)
 
     for group in runs(batches, 1):
         if held and size + group.num_rows > 50_000:
@@ -345,91 +358,84 @@ def settle_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sort(held)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(doc, section, text, ...) rows and (doc, section, starts): what repeats in each, as packed runs of string starts."""
-    keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("section", F.lit(0))
-    if not keyed.groupBy("doc").count().filter("count > 1").isEmpty():
-        keyed = keyed.withColumn("section", F.row_number().over(W.partitionBy("doc").orderBy("text")) - 1)
-    found = keyed.select("doc", "section", "text").mapInArrow(scan, "gram long, context long, doc long, at long, kind byte")
-    # Repeats that were settled on the way need no place of their own in the shuffle: they spread by document.
-    dealt = found.repartition(F.when(F.col("kind") == REPEAT, F.col("doc")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "context", "doc", "at")
-    settled = cut(dealt.mapInArrow(settle, "gram long, doc long, at long, kind byte"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, row, packed): the texts compressed, each row with a number of its own; written once, so numbers stay."""
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.monotonically_increasing_id().alias("row"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    contested = settled.filter(F.col("kind") == ANCHOR).select("gram", "doc", "at")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(x) for x in binary(batch.column(3))], pa.binary())], names=["doc_id", "doc", "row", "packed"])
+
+    return cut(rows.mapInArrow(each, f"doc_id {kind}, doc long, row long, packed binary"))
+
+
+def spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT, most: int = CHUNK) -> DataFrame:
+    """(row, starts): what repeats in each of the numbered rows, as packed runs of string starts."""
+    found = keyed.select("doc", "row", "packed").mapInArrow(lambda batches: scan(batches, length, most), "gram long, context long, doc long, row long, at long, kind byte")
+    # Repeats that were settled on the way need no place of their own in the shuffle: they spread by row.
+    dealt = found.repartition(F.when(F.col("kind") == REPEAT, F.col("row")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "context", *PLACES)
+    settled = cut(dealt.mapInArrow(settle, "gram long, doc long, row long, at long, kind byte"))
+
+    contested = settled.filter(F.col("kind") == ANCHOR).select("gram", "row", "at")
     busy = contested.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
-    marked = contested.join(busy, "gram", "left").select("gram", "doc", F.shiftright("at", 47).cast("int").alias("section"), "at", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = cut(marked.groupBy("doc", "section").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted")))
-    texts = compressed(keyed).join(wanted.hint("shuffle_hash"), ["doc", "section"]).select("doc", "packed", "wanted")
+    marked = contested.join(busy, "gram", "left").select("gram", "row", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = marked.groupBy("row").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted"))
+    texts = keyed.select("doc", "row", "packed").join(wanted.hint("shuffle_hash"), "row").select("doc", "row", "packed", "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 64):
-                yield fetched_contexts(whole.slice(low, 64), length)
+        for part in slices(batches, 64):
+            yield fetched_contexts(part, length)
 
-    fetched = texts.mapInArrow(contexts, "gram long, doc long, at long, bytes binary, kind byte")
+    fetched = texts.mapInArrow(contexts, "gram long, doc long, row long, at long, bytes binary, kind byte")
     if busy.isEmpty():
         plain = fetched
     else:
         fetched = cut(fetched)
         plain = fetched.filter(F.col("kind") == PLAIN)
     plain = plain.drop("kind").repartition("gram").sortWithinPartitions("gram")
-    parts = plain.mapInArrow(lambda batches: settle_contested(batches, length), "doc long, at long")
+    parts = plain.mapInArrow(lambda batches: settle_contested(batches, length), "row long, at long")
     if not busy.isEmpty():
-        many = fetched.filter(F.col("kind") == STRING).select(F.col("gram").alias("hash"), "doc", "at", "bytes").repartition("hash").sortWithinPartitions("hash", "doc", "at")
-        parts = parts.union(many.mapInArrow(settle_hot, "doc long, at long")).union(fetched.filter(F.col("kind") == SETTLED).select("doc", "at"))
-    again = settled.filter(F.col("kind") == REPEAT).select("doc", "at").union(parts)
-    starts = again.withColumn("section", F.shiftright("at", 47).cast("int")).groupBy("doc", "section").agg(F.collect_list("at").alias("starts"))
-    return keyed, cut(starts)
-
-
-def compressed(keyed: DataFrame) -> DataFrame:
-    """(doc_id, doc, section, packed): the texts as they are shuffled."""
-    rows = keyed.select("doc_id", "doc", "section", "text")
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            packed_texts = pa.array([pack(x) for x in binary(batch.column(3))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed_texts], names=["doc_id", "doc", "section", "packed"])
-
-    return rows.mapInArrow(each, f"doc_id {kind}, doc long, section int, packed binary")
+        many = fetched.filter(F.col("kind") == STRING).select(F.col("gram").alias("hash"), *PLACES, "bytes").repartition("hash").sortWithinPartitions("hash", *PLACES)
+        parts = parts.union(many.mapInArrow(settle_hot, "row long, at long")).union(fetched.filter(F.col("kind") == SETTLED).select("row", "at"))
+    again = settled.filter(F.col("kind") == REPEAT).select("row", "at").union(parts)
+    return cut(again.groupBy("row").agg(F.collect_list("at").alias("starts")))
 
 
 def merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) of the maximal covered runs."""
-    _, first, last = unpacked(np.sort(starts))
+    first, last = unpacked(np.sort(starts))
     order = np.argsort(first, kind="stable")
     low, high = first[order], np.maximum.accumulate(last[order] + length)
     new = np.concatenate(([True], low[1:] > high[:-1]))
     return low[new], high[np.append(np.flatnonzero(new)[1:], len(low)) - 1]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT, most: int = CHUNK) -> DataFrame:
     """doc_id, section, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row."""
-    keyed, starts = spans(docs.select("doc_id", "text"), length, hot)
-    rows = compressed(keyed).join(starts.hint("shuffle_hash"), ["doc", "section"], "left").select("doc_id", "section", "packed", "starts")
+    keyed = numbered(docs.select("doc_id", "text"))
+    starts = spans(keyed, length, hot, most)
+    rows = keyed.join(starts.hint("shuffle_hash"), "row", "left").select("doc_id", F.col("row").alias("section"), "packed", "starts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out: list[list] = [[], [], [], [], []]
-                for text, packed_starts in zip(map(unpack, batch.column(2).to_pylist()), batch.column(3), strict=True):
-                    kept, gone, n = text, 0, 0
-                    if packed_starts.is_valid:
-                        low, high = merged(packed_starts.values.to_numpy(), length)
-                        n, gone = len(low), int((high - low).sum())
-                        edges = [0, *np.column_stack([low, high]).ravel().tolist(), len(text)]
-                        kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    for k, v in enumerate((len(text), gone, n, hashlib.sha256(kept).hexdigest(), kept)):
-                        out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))], names=["doc_id", "section", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], [], []]
+            for text, packed_starts in zip(map(unpack, batch.column(2).to_pylist()), batch.column(3), strict=True):
+                kept, gone, n = text, 0, 0
+                if packed_starts.is_valid:
+                    low, high = merged(packed_starts.values.to_numpy(), length)
+                    n, gone = len(low), int((high - low).sum())
+                    edges = [0, *np.column_stack([low, high]).ravel().tolist(), len(text)]
+                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                for k, v in enumerate((len(text), gone, n, hashlib.sha256(kept).hexdigest(), kept)):
+                    out[k].append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))], names=["doc_id", "section", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(each, f"doc_id {key}, section int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(each, f"doc_id {key}, section long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -98,8 +98,9 @@ def test_bands_reach_the_recall():
     assert (1 - 0.8**jaccard.ROWS) ** jaccard.bands_for() <= 1 - jaccard.RECALL
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT, 2])
-def test_suffixes(docs, texts, hot):
+@pytest.mark.parametrize("hot,most", [(suffix.HOT, suffix.CHUNK), (2, suffix.CHUNK), (suffix.HOT, 130)])
+def test_suffixes(docs, texts, hot, most):
+    """Plain texts, grams held to be hot, and texts that are walked in pieces."""
     seen, want = set(), {}
     for i, t in enumerate(texts):
         b = t.encode()
@@ -111,7 +112,7 @@ def test_suffixes(docs, texts, hot):
             seen.add(w)
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
-    out = {r["doc_id"]: tuple(r)[1:] for r in suffix.report(docs, hot=hot).collect()}
+    out = {r["doc_id"]: tuple(r)[1:] for r in suffix.report(docs, hot=hot, most=most).collect()}
     assert sum(w[1] for w in want.values()) > 2000
     assert out == want
 
@@ -124,6 +125,16 @@ def test_suffix_sections(spark):
     assert sorted((r["doc_id"] or 99, r["n_bytes"], r["n_removed"]) for r in out.collect()) == [(1, 100, 0), (5, 99, 0), (5, 150, 100), (5, 150, 150), (99, 150, 150)]
 
 
+def test_suffix_of_very_many_rows_without_id(spark):
+    """70,000 equal rows: all but one go; and a passage that comes back in one text of many pieces."""
+    text = "".join(random.Random(4).choices("abcdefgh", k=150))
+    out = suffix.report(spark.range(70_000, numPartitions=4).select(functions.lit(None).cast("long").alias("doc_id"), functions.lit(text).alias("text")))
+    assert [tuple(r) for r in out.groupBy("n_removed", "n_spans").count().orderBy("n_removed").collect()] == [(0, 0, 1), (150, 1, 69_999)]
+    far = "".join(random.Random(5).choices("abcdefgh", k=60_000)) + text + "".join(random.Random(6).choices("abcdefgh", k=60_000)) + text
+    out = suffix.report(spark.createDataFrame([(1, far)], "doc_id long, text string"), most=7_000).first()
+    assert (out["n_bytes"], out["n_removed"], out["n_spans"]) == (120_300, 150, 1)
+
+
 def test_equal_classes():
     random_bytes = np.random.default_rng(2).integers(0, 3, (400, 100), dtype=np.uint8)
     random_bytes[:, :90] = 7
