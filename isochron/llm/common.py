@@ -35,6 +35,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of surrogates, from spark.isochron.surrogates.key; the synthetic tables do without a secret one."""
+    return spark.conf.get("spark.isochron.surrogates.key", None) or "synthetic-tables"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     directory, sc = checkpoint_dir(df.sparkSession), df.sparkSession.sparkContext

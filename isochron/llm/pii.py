@@ -4,15 +4,23 @@ One expression finds the entities (e-mail addresses, phone numbers, IPv4 address
 security numbers, secrets and titled names); a text is split around them and each gets a surrogate derived from
 sha2(key, type, canonical form, attempt): the same entity gets the same surrogate everywhere (coreference), whatever its
 spelling's case or separators, and the surrogate keeps the type's format: separators, country code, digits, letter case,
-hexadecimal alphabet, Luhn check digit, IPv4 form, and for names the script and the gender of the title.
+hexadecimal alphabet, the check digits of cards and IBANs, IPv4 form, and for names the script and the person's gender.
+
+Names are two entities: the family name, so that 'Mr Doe' and 'Ms Jane Doe' stay one family, and the given name within
+its family. A person's gender is what all their titles in the table say; where they say both or none, it is neutral. In
+a text that names somebody with a title, later mentions of the full or the family name alone are replaced as well.
 
 Collision checks: all distinct entities of the table are assigned attempt 0; while two entities of one type share a
-surrogate, or a surrogate is itself an entity of the table, all but the first of them take the next attempt. Only
-entities are shuffled for this, never texts. The few that ended with a later attempt are joined back to the rows that
-hold them; with none, the rewriting is one map-only pass over the texts.
+surrogate, or a surrogate is itself an entity of the table, all but the first of them take the next attempt. The
+canonical form of a surrogate depends on the entity's canonical form alone, so one spelling of each stands for all. Only
+entities are shuffled for this, never texts. The few that ended with a later attempt, or whose titles differ, are joined
+back to the rows that hold them; with none, the rewriting is one map-only pass over the texts.
+
+The key is the caller's: with it, surrogates can be made again; without it, they can't be looked up.
 
 Defined results: null text stays null with no entities; text without an entity is kept byte for byte; repeated rows each
-get a row; null doc_ids are kept; columns other than the text pass through.
+get a row; null doc_ids are kept; columns other than the text pass through. A name without a title anywhere in its text
+is not found.
 """
 
 from __future__ import annotations
@@ -22,7 +30,6 @@ from pyspark.sql import functions as F
 
 from isochron.llm.common import cut
 
-KEY = "isochron-surrogates"
 #: Titles with the gender they show, in several languages and scripts.
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа", "Κυρία"),
@@ -48,21 +55,26 @@ SYLLABLES = {
     "greek": ("βα", "γε", "δη", "θα", "κα", "λε", "μα", "νι", "πα", "ρο", "σα", "τε", "φι", "χα", "ψη", "ζα"),
 }
 _titles = "|".join(t for group in TITLES.values() for t in sorted(group, key=len, reverse=True))
-#: Java regular expressions by type, in order of precedence.
+_initials = "".join(sorted({t[0] for group in TITLES.values() for t in group}))
+#: Java regular expressions by type, in order of precedence. None repeats a group without bound: that would recurse.
 ENTITIES = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?=[A-Za-z0-9\-]{1,200}\.[A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9.\-]*[A-Za-z0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{1,4}(?:[ \-]?[0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])(?!\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,5}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-/][0-9]{2,5}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{7,15}(?![0-9A-Za-z])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp])[_\-][A-Za-z0-9_\-]{16,100}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_titles})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"(?=[{_initials}])(?<![\p{{L}}])(?:{_titles})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
 #: A phone number has at least this many digits, and is neither a date nor a number in groups of three.
 PHONE_DIGITS = 8
 NO_PHONE = r"^(?:[0-9]{1,4}([./\-])[0-9]{1,2}\1[0-9]{1,4}|[0-9]{1,3}(?:[ .][0-9]{3})+)$"
-PATTERN = "|".join(ENTITIES.values())
+_foreign = "".join(c for c in _initials if c > "\x7f")
+#: No entity begins inside a word of ASCII letters and digits, so the alternatives are tried at few places.
+PATTERN = rf"(?<![0-9A-Za-z])(?=[0-9A-Za-z._%+(\-{_foreign}])(?:{'|'.join(ENTITIES.values())})"
+#: Calling codes (fixed values): one digit, or two; all others have three.
+CODES = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 MAX_ATTEMPTS = 64
 MAX_BROADCAST = 100_000
 
@@ -137,26 +149,42 @@ def _ip(h: Column) -> Column:
     return F.concat_ws(".", (240 + F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 15).cast("string"), part(2), part(4), part(6))
 
 
-def _number(h: Column, entity: Column) -> Column:
-    """New digits in the places of the old ones but for a country code; numbers that differ in separators agree."""
-    keep = F.length(F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?=[ .\-(]))", 1))
+def _number(h: Column, entity: Column, stem: Column) -> Column:
+    """New digits in the places of the old ones but for a calling code; numbers that differ in separators agree."""
+    code = F.greatest(F.length(F.regexp_extract(stem, CODES, 0)) - 1, F.lit(0))
     place = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", ""))
-    digit = lambda d, i: F.substring(d, F.pmod(place(i) - 1, F.lit(64)) + 1, F.lit(1))
-    return _let(_digits(h), lambda d: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when((i < keep) | ~c.rlike("[0-9]"), c).otherwise(digit(d, i))), ""))
+    digit = lambda d, c, p: F.when(p <= code, c).otherwise(F.substring(d, F.pmod(p - 1, F.lit(64)) + 1, F.lit(1)))
+    return _let(_digits(h), lambda d: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(~c.rlike("[0-9]"), c).otherwise(digit(d, c, place(i)))), ""))
+
+
+def untitled(entity: Column) -> Column:
+    return F.regexp_replace(entity, rf"^(?:{_titles})\.? ", "")
+
+
+def titled_gender(entity: Column) -> Column:
+    """The gender that a name's title shows: f, m, or n for neither."""
+    title = F.regexp_extract(entity, rf"^({_titles})\.? ", 1)
+    return F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("n")
+
 
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
-def _name(h: Column, entity: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^((?:{_titles})\.? )", 1)
-    bare = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(bare.isin(*TITLES["f"]), "f").when(bare.isin(*TITLES["m"]), "m").otherwise("n")
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+def _styled(new: Column, old: Column) -> Column:
+    return F.when(old == F.upper(old), F.upper(new)).otherwise(new)
+
+
+def _given(h: Column, name: Column, gender: Column, attempt: Column) -> Column:
+    """A given name of the script and gender; later attempts have two or three, so that no family runs out of them."""
     options = F.create_map(*(x for (which, sex), names in GIVEN.items() for x in (F.lit(f"{which} {sex}"), F.array(*map(F.lit, names)))))
+    chosen = lambda names: F.concat_ws("-", _pick(h, 1, names), F.when(attempt >= 4, _pick(h, 21, names)), F.when(attempt >= 12, _pick(h, 31, names)))
+    return _styled(_let(F.element_at(options, F.concat_ws(" ", _script(name), gender)), chosen), name)
+
+
+def _family(h: Column, name: Column) -> Column:
     parts = F.create_map(*(x for which, names in SYLLABLES.items() for x in (F.lit(which), F.array(*map(F.lit, names)))))
-    given = _pick(h, 1, F.element_at(options, F.concat_ws(" ", script, gender)))
-    family = _let(F.element_at(parts, script), lambda p: F.initcap(F.concat(*(_pick(h, at, p) for at in range(3, 15, 2)))))
-    rest = F.substring(entity, F.length(title) + 1, F.length(entity))
-    new = F.when(rest.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
-    return F.concat(title, F.when(rest == F.upper(rest), F.upper(new)).otherwise(new))
+    return _styled(_let(F.element_at(parts, _script(name)), lambda p: F.initcap(F.concat(*(_pick(h, at, p) for at in range(3, 15, 2))))), name)
 
 
 def _secret(h: Column, entity: Column, key: str) -> Column:
@@ -165,18 +193,26 @@ def _secret(h: Column, entity: Column, key: str) -> Column:
 
 
 def _iban(h: Column, entity: Column, stem: Column) -> Column:
-    plain = F.concat(F.substring(stem, 1, 2), F.substring(_mapped(stem, h, 2), 3, 64))
+    """Country and layout stay; the check digits are those of the new account (mod 97)."""
+    account = F.substring(_mapped(stem, h, 4), 5, 64)
+    numbered = F.concat(account, F.substring(stem, 1, 2), F.lit("00"))
+    rest = F.aggregate(F.split(numbered, ""), F.lit(0), lambda r, c: F.pmod(r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.ascii(c) - 55), F.lit(97)))
+    plain = F.concat(F.substring(stem, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), account)
     return F.when(entity.contains(" "), F.trim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
 
 
-def surrogate(kind: Column, entity: Column, stem: Column, attempt: Column, key: str = KEY) -> Column:
-    """Keyed replacement of an entity; equal canonical forms of one type give replacements that differ in form only."""
+def surrogate(kind: Column, entity: Column, stem: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """Keyed replacement of an entity; equal canonical forms of one type give replacements that differ in form only.
+
+    A given name's stem is the whole name in lower case, its entity the given name as it is written.
+    """
     made = lambda h: (
         F.when(kind == "email", _email(h, stem))
         .when(kind == "ip", _ip(h))
-        .when(kind == "card", _luhn(_number(h, entity)))
-        .when(kind.isin("phone", "ssn"), _number(h, entity))
-        .when(kind == "name", _name(h, entity))
+        .when(kind == "card", _luhn(_number(h, entity, stem)))
+        .when(kind.isin("phone", "ssn"), _number(h, entity, stem))
+        .when(kind == "family", _family(h, entity))
+        .when(kind == "given", _given(h, entity, gender, attempt))
         .when(kind == "secret", _secret(h, entity, key))
         .when(kind == "iban", _iban(h, entity, stem))
         .otherwise(entity)
@@ -190,32 +226,54 @@ def entities(text: str = "text") -> Column:
     return F.transform(found, lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), canonical(k, e).alias("stem"))))
 
 
+def components(e: Column) -> Column:
+    """array<struct<kind, stem, entity>>: an entity by itself, a name as its family name and, where it has one, its given name."""
+    rest = untitled(e["entity"])
+    family = F.struct(F.lit("family").alias("kind"), F.element_at(F.split(e["stem"], " "), -1).alias("stem"), F.element_at(F.split(rest, " "), -1).alias("entity"))
+    given = F.struct(F.lit("given").alias("kind"), e["stem"].alias("stem"), F.element_at(F.split(rest, " "), 1).alias("entity"))
+    alone = F.array(F.struct(e["kind"].alias("kind"), e["stem"].alias("stem"), e["entity"].alias("entity")))
+    return F.when(e["kind"] != "name", alone).when(rest.contains(" "), F.array(family, given)).otherwise(F.array(family))
+
+
 def _assigned(known: DataFrame, key: str) -> DataFrame:
-    """(kind, stem) that need a later attempt, with it; known: distinct (kind, stem, entity)."""
+    """(kind, stem) with a later attempt or with titles of more than one gender, with attempt and gender.
+
+    known: (kind, stem, entity, gender, mixed), a row for each kind and stem.
+    """
     state = known.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ATTEMPTS):
-        made = state.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("stem"), F.col("attempt"), key))
-        made = cut(made.withColumn("made", canonical(F.col("kind"), F.col("new"))).drop("new"))
+        new = surrogate(F.col("kind"), F.col("entity"), F.col("stem"), F.col("gender"), F.col("attempt"), key)
+        # Given names need to differ within their family only.
+        made = F.when(F.col("kind") == "given", F.concat(F.lower(new), F.lit("|"), F.element_at(F.split("stem", " "), -1)))
+        made = made.when(F.col("kind") == "family", F.lower(new)).otherwise(canonical(F.col("kind"), new))
+        made = cut(state.withColumn("made", made))
         firsts = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "stem")).alias("first"), F.count("*").alias("n"))
         shared = made.join(firsts.filter("n > 1"), ["kind", "made"]).filter((F.col("stem") != F.col("first.stem"))).select("kind", "stem")
         real = made.join(known.select("kind", F.col("stem").alias("made")), ["kind", "made"], "left_semi").select("kind", "stem")
         again = cut(shared.union(real).distinct())
         if again.isEmpty():
-            return state.filter("attempt > 0").select("kind", "stem", "attempt")
+            return state.filter("attempt > 0 or mixed").select("kind", "stem", "attempt", "gender")
         bumped = state.join(again.withColumn("bump", F.lit(1)), ["kind", "stem"], "left")
-        state = cut(bumped.select("kind", "stem", "entity", (F.col("attempt") + F.coalesce("bump", F.lit(0))).alias("attempt")))
+        state = cut(bumped.select("kind", "stem", "entity", "gender", "mixed", (F.col("attempt") + F.coalesce("bump", F.lit(0))).alias("attempt")))
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY, chars: str | None = None, counts: bool = True) -> DataFrame:
+def known_entities(docs: DataFrame, text: str) -> DataFrame:
+    """(kind, stem, entity, gender, mixed) of each distinct entity; gender and mixed are of a person's titles."""
+    found = docs.select(F.explode(entities(text)).alias("e")).filter("e.kind is not null")
+    parts = found.select(F.explode(components(F.col("e"))).alias("c"), titled_gender(F.col("e.entity")).alias("title"))
+    says = lambda g: F.max((F.col("title") == g).cast("int")) > 0
+    grouped = parts.groupBy("c.kind", "c.stem").agg(F.min("c.entity").alias("entity"), says("f").alias("f"), says("m").alias("m"), (F.min("title") != F.max("title")).alias("differ"))
+    gender = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n")
+    return cut(grouped.select("kind", "stem", "entity", gender.alias("gender"), (F.col("differ") & (F.col("kind") == "given")).alias("mixed")))
+
+
+def replace(docs: DataFrame, key: str, text: str = "text", chars: str | None = None, counts: bool = True) -> DataFrame:
     """The documents with surrogates in their text, and n_entities and entity_kinds after their columns if wanted.
 
     A column named by `chars` is counted anew where the text changes.
     """
-    found = docs.select(entities(text).alias("found")).filter(F.size("found") > 0)
-    each = found.select(F.explode("found").alias("e")).filter("e.kind is not null").select("e.*")
-    known = cut(each.groupBy("kind", "stem").agg(F.min("entity").alias("entity")))
-    later = _assigned(known, key)
+    later = _assigned(known_entities(docs, text), key)
 
     # Numbered names: whatever the columns are called, none clashes with those that are added here.
     columns = docs.columns
@@ -223,22 +281,44 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, chars: str | No
     at, n_chars = f"c{columns.index(text)}", f"c{columns.index(chars)}" if chars in columns else None
     marked = docs.withColumn("pii_found", F.coalesce(entities(at), F.array()))
     if later.isEmpty():
-        marked = marked.withColumn("pii_later", F.lit(None).cast("map<string,int>"))
+        marked = marked.withColumn("pii_later", F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
     else:
         row = F.xxhash64(at)
-        held = docs.select(row.alias("pii_row"), F.explode(entities(at)).alias("e")).filter("e.kind is not null")
-        hits = held.select("pii_row", F.col("e.kind").alias("kind"), F.col("e.stem").alias("stem")).join(later, ["kind", "stem"]).distinct()
-        hits = cut(hits.groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "stem"), "attempt"))).alias("pii_later")))
+        held = docs.select(row.alias("pii_row"), F.explode(entities(at)).alias("e")).filter("e.kind is not null").select("pii_row", F.explode(components(F.col("e"))).alias("c"))
+        hits = held.select("pii_row", "c.kind", "c.stem").join(later, ["kind", "stem"]).distinct()
+        hits = cut(hits.groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "stem"), F.struct("attempt", "gender")))).alias("pii_later")))
         hits = F.broadcast(hits) if hits.count() <= MAX_BROADCAST else hits
         marked = marked.withColumn("pii_row", row).join(hits, "pii_row", "left").drop("pii_row")
-    attempt = lambda e: F.coalesce(F.try_element_at("pii_later", F.concat_ws("\x1f", e["kind"], e["stem"])), F.lit(0))
-    made = F.transform("pii_found", lambda e: F.when(e["kind"].isNull(), e["entity"]).otherwise(surrogate(e["kind"], e["entity"], e["stem"], attempt(e), key)))
-    parts = F.split(F.col(at), PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(parts, F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+    def part(c: Column, gender: Column) -> Column:
+        decided = F.try_element_at("pii_later", F.concat_ws("\x1f", c["kind"], c["stem"]))
+        return surrogate(c["kind"], c["entity"], c["stem"], F.coalesce(decided["gender"], gender), F.coalesce(decided["attempt"], F.lit(0)), key)
+
+    def made(e: Column) -> Column:
+        """The surrogates of an entity's components: of a name, the family name's and the given name's."""
+        return F.transform(components(e), lambda c: part(c, titled_gender(e["entity"])))
+
+    def named(new: Column) -> Column:
+        return F.concat_ws(" ", F.try_element_at(new, F.lit(2)), F.element_at(new, 1))
+
+    title = lambda e: F.when(e["kind"] == "name", F.regexp_extract(e["entity"], rf"^(?:{_titles})\.? ", 0)).otherwise("")
+    replaced = F.transform("pii_found", lambda e: F.when(e["kind"].isNull(), e["entity"]).otherwise(F.concat(title(e), named(made(e)))))
     real = F.filter("pii_found", lambda e: e["kind"].isNotNull())
-    new = F.when(F.size(real) > 0, whole).otherwise(F.col(at))
-    out = marked.withColumn("pii_new", new)
-    value = lambda k, c: F.col("pii_new") if c == at else F.when(F.size("pii_found") > 0, F.length("pii_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)) if c == n_chars else F.col(c)
+    marked = marked.withColumn("pii_new", F.when(F.size(real) > 0, replaced))
+
+    # What a text's titled names are called elsewhere in it: the full and the family name.
+    aliases = lambda e, new: F.array(F.struct(untitled(e["entity"]), named(new)), F.struct(F.element_at(F.split(untitled(e["entity"]), " "), -1), F.element_at(new, 1)))
+    people = F.filter("pii_found", lambda e: e["kind"] == "name")
+    marked = marked.withColumn("pii_names", F.when(F.size(people) > 0, F.map_from_entries(F.array_distinct(F.flatten(F.transform(people, lambda e: _let(made(e), lambda new: aliases(e, new))))))))
+    longest = F.array_sort(F.map_keys("pii_names"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    marked = marked.withColumn("pii_pattern", F.when(F.col("pii_names").isNotNull(), F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))))
+
+    parts = F.split(F.col(at), PATTERN, -1)
+    woven = lambda between, new: F.array_join(F.flatten(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    mentions = lambda p: woven(F.split(p, F.col("pii_pattern"), -1), F.transform(F.regexp_extract_all(p, F.col("pii_pattern"), F.lit(0)), lambda m: F.element_at(F.col("pii_names"), m)))
+    parts = F.when(F.col("pii_pattern").isNull(), parts).otherwise(F.transform(parts, mentions))
+    out = marked.withColumn("pii_text", F.when(F.col("pii_new").isNotNull(), woven(parts, F.col("pii_new"))).otherwise(F.col(at)))
+    value = lambda k, c: F.col("pii_text") if c == at else F.when(F.size("pii_found") > 0, F.length("pii_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)) if c == n_chars else F.col(c)
     kinds = F.array_join(F.sort_array(F.array_distinct(F.transform(real, lambda e: e["kind"]))), ",")
     added = [F.size(real).cast("long").alias("n_entities"), kinds.alias("entity_kinds")] if counts else []
     return out.select(*(value(k, f"c{k}").alias(c) for k, c in enumerate(columns)), *added)

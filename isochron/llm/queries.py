@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from isochron.llm import decontaminate, jaccard, licenses, lm, mixing, neighbours, pii, quality, suffix, toxicity
-from isochron.llm.common import table
+from isochron.llm.common import surrogate_key, table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def benchmark(spark):
 
 def reports(labels, benchmark):
     return {
-        "1": licenses.scan, "2": pii.replace, "3": lambda d: toxicity.report(d, labels), "5": mixing.mix, "6": suffix.report,
+        "1": licenses.scan, "2": lambda d: pii.replace(d, "key"), "3": lambda d: toxicity.report(d, labels), "5": mixing.mix, "6": suffix.report,
         "7": lambda d: quality.report(d, labels), "8": lm.report, "9": lambda d: decontaminate.report(d, benchmark), "10": jaccard.join,
     }
 
@@ -57,7 +57,7 @@ def test_licenses_of_odd_texts(docs):
 
 def test_stages_keep_columns(docs, none, labels, benchmark):
     assert decontaminate.remove(docs, benchmark).columns == docs.columns
-    assert pii.replace(docs, counts=False, chars="n_chars").columns == docs.columns
+    assert pii.replace(docs, "key", counts=False, chars="n_chars").columns == docs.columns
     for table in (docs, none):
         assert decontaminate.remove(table, benchmark).count() <= table.count()
         assert quality.keep(table, quality.fit(docs, labels)).columns == docs.columns

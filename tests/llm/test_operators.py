@@ -194,7 +194,7 @@ def test_licenses(spark):
 
 def test_surrogates(spark):
     rows = [(1, "Write to Ann.Lee7@mail.example.com or ANN.LEE7@MAIL.EXAMPLE.COM, call +1 (555) 123-4567."), (2, "ann.lee7@mail.example.com from 10.1.2.3 and +1 (555) 123-4567; card 4532 0151 1283 0366"), (3, "Frau Schmidt met Mr. John Doe; Господин Иван Петров. token 0123456789abcdef0123456789abcdef01234567"), (4, "Version 1.2.3 of 2024-01-02, 12 items of 10 000 000 on 3.10.2024, pages 3-7."), (5, None), (6, "DE89 3704 0044 0532 0130 00 and 123-45-6789")]
-    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
     one, two = out[1]["text"], out[2]["text"]
     found = lambda t: re.findall(r"[^ ]+@[^ ,]+", t)
     assert len({x.lower().rstrip(".") for x in found(one) + found(two)}) == 1 and "ann" not in one.lower()
@@ -218,17 +218,67 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
 
     plain = pii.surrogate
 
-    def narrow(kind, entity, stem, attempt, key=pii.KEY):
+    def narrow(kind, entity, stem, gender, attempt, key):
         h = F.sha2(F.concat_ws("-", stem, attempt.cast("string")), 256)
-        return F.when(kind == "ip", F.concat(F.lit("240.0.0."), F.pmod(F.xxhash64(h), F.lit(40)).cast("string"))).otherwise(plain(kind, entity, stem, attempt, key))
+        return F.when(kind == "ip", F.concat(F.lit("240.0.0."), F.pmod(F.xxhash64(h), F.lit(40)).cast("string"))).otherwise(plain(kind, entity, stem, gender, attempt, key))
 
     monkeypatch.setattr(pii, "surrogate", narrow)
     ips = [f"10.0.0.{k}" for k in range(20)]
-    out = [r["text"] for r in pii.replace(spark.createDataFrame([(k, f"at {ip} twice {ip}") for k, ip in enumerate(ips)], "doc_id long, text string")).collect()]
+    out = [r["text"] for r in pii.replace(spark.createDataFrame([(k, f"at {ip} twice {ip}") for k, ip in enumerate(ips)], "doc_id long, text string"), "key").collect()]
     new = [re.findall(r"240\.0\.0\.\d+", t) for t in out]
     assert all(len(x) == 2 and x[0] == x[1] for x in new) and len({x[0] for x in new}) == 20
 
 
+def test_surrogates_of_people(spark):
+    """One person keeps one name whatever the title, families keep theirs, later mentions without a title follow."""
+    rows = [(1, "Mr. John Doe came. John Doe spoke; Doe left. Doeville stays."), (2, "Dr. John Doe and Ms. Jane Doe"), (3, "Prof. Doe, MR DOE, Mr. DOE"), (4, "Dr. Kim Roe"), (5, "Frau Martin and Mr. Paul Doe: Martin, Paul Doe")]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    john, doe = re.match(r"Mr\. (\S+) (\S+) came\.", out[1]).groups()
+    assert out[1] == f"Mr. {john} {doe} came. {john} {doe} spoke; {doe} left. Doeville stays." and john in pii.GIVEN["latin", "m"]
+    jane = re.match(rf"Dr\. {john} {doe} and Ms\. (\S+) {doe}$", out[2]).group(1)
+    assert jane in pii.GIVEN["latin", "f"] and out[3] == f"Prof. {doe}, MR {doe.upper()}, Mr. {doe.upper()}"
+    assert "Roe" not in out[4] and out[4].split()[1] in pii.GIVEN["latin", "n"]
+    martin, paul = re.match(rf"Frau (\S+) and Mr\. (\S+) {doe}: ", out[5]).groups()
+    assert out[5] == f"Frau {martin} and Mr. {paul} {doe}: {martin}, {paul} {doe}" and len({martin, doe, "Martin", "Doe"}) == 4
+
+
+def test_surrogates_one_to_one(spark):
+    """Plain bookkeeping over random entities and spellings: equal entities agree, different ones don't, forms are kept."""
+    r = random.Random(8)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    plain = []
+    for _ in range(60):
+        local, number, card, account = f"u{digits(3)}", f"+{r.choice(['1', '44', '353'])}" + digits(9), "4" + digits(15), "DE" + digits(20)
+        plain += [("email", local, f"{local}@mail.example.org"), ("email", local, f"{local.upper()}@MAIL.example.org"), ("phone", number, number), ("phone", number, f"{number[:-7]} {number[-7:-4]} {number[-4:]}")]
+        plain += [("card", card, card), ("card", card, " ".join(card[k : k + 4] for k in (0, 4, 8, 12))), ("iban", account, account), ("iban", account, " ".join(account[k : k + 4] for k in range(0, 22, 4)))]
+        plain += [("person", f"{(n := r.choice(['Ann', 'Bob', 'Cy', 'Dan', 'Ed', 'Flo', 'Gus', 'Hal']))} Same", f"Mr. {n} Same")]
+    out = [x["text"] for x in pii.replace(spark.createDataFrame([(k, f"see {t} now") for k, (_, _, t) in enumerate(plain)], "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    form = {"email": str.lower, "person": str.lower, "phone": lambda t: t.replace(" ", ""), "card": lambda t: t.replace(" ", ""), "iban": lambda t: t.replace(" ", "")}
+    made = {}
+    for (kind, entity, old), new in zip(plain, out, strict=True):
+        assert (m := re.match(r"see (.*) now$", new)) and old not in new, (old, new)
+        made.setdefault((kind, entity), set()).add(form[kind](m.group(1)))
+        if kind != "email":
+            assert re.sub(r"\w", "", old) == re.sub(r"\w", "", m.group(1)).replace("-", "")
+        if kind == "iban":
+            bare = m.group(1).replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and bare.startswith("DE")
+        if kind == "phone":
+            assert re.match(r"\+(1|44|353)", m.group(1)).group() == re.match(r"\+(1|44|353)", old).group()
+    assert all(len(v) == 1 for v in made.values())
+    for kind in form:
+        assert len({next(iter(v)) for k, v in made.items() if k[0] == kind}) == sum(k[0] == kind for k in made)
+    again = pii.replace(spark.createDataFrame([(0, "see 10.9.8.7 now")], "doc_id long, text string"), "other").first()["text"]
+    assert again != pii.replace(spark.createDataFrame([(0, "see 10.9.8.7 now")], "doc_id long, text string"), "key").first()["text"]
+
+
+def test_surrogates_of_long_texts(spark):
+    """An address of 100,000 labels and texts of megabytes: the expressions don't recurse."""
+    rows = [(1, "to anna@" + "ab." * 100_000 + "com end"), (2, "word " * 1_000_000 + "anna@example.com"), (3, "a" * 3_000_000 + "@b"), (4, "1 " * 500_000), (5, "Mr. " * 300_000)]
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert [out[k]["n_entities"] for k in range(1, 6)] == [1, 1, 0, 0, 150_000] and "ab.ab" not in out[1]["text"] and "anna" not in out[2]["text"]
+
+
 def test_mix(docs, texts):
     out = {r["doc_id"]: r for r in mixing.mix(docs, block=64).collect()}
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in enumerate(texts)}
