@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isochron.llm import decontaminate, jaccard, mixing, pii, quality
-from isochron.llm.common import checkpoint_dir, cut, table
+from isochron.llm.common import checkpoint_dir, cut, surrogate_key, table
 
 #: Ids up to which the documents to drop are broadcast rather than shuffled against the texts.
 MAX_BROADCAST = 1_000_000
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data; n_chars counts the new text."""
-    return pii.replace(docs, chars="n_chars", counts=False)
+    return pii.replace(docs, surrogate_key(spark), chars="n_chars", counts=False)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
