@@ -4,13 +4,15 @@ Level 1 holds the words: their sorted 64-bit hashes as Elias-Fano sequences, dea
 counts; a word's number is its rank. Level 2 holds the bigrams, dealt into shards by context: per shard the contexts
 (Elias-Fano), monotone pointers to their ranges (Elias-Fano), and the successors' word numbers, made monotone by adding
 to each context's words the last value of the range before (Elias-Fano), so that a lookup is a successor search relative
-to its context; smoothed log10 probabilities and backoff weights are quantised to 256 values a shard. A context with
-many tokens (heavy) has its successors dealt over all shards, so no shard grows with a hot word.
+to its context; discounted probabilities and backoff weights are quantised to 256 values a shard. A context with many
+tokens (heavy) has its successors dealt over all shards, so no shard grows with a hot word; its number of successors is
+summed over them, so that the probabilities are the same whatever the number of shards.
 
 Probabilities are interpolated absolute discounting over the base unigram model:
     p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
     p(w | h) = max(c(h w) - D, 0) / c(h) + D * n(h) / c(h) * p(w),  n(h) distinct successors of h
-and p(w) alone after an unseen h. Every token of every training text is counted, nothing is pruned.
+and p(w) alone after an unseen h. The trie has the first term of each bigram and the weight of p(w) of each context.
+Every token of every training text is counted, nothing is pruned.
 
 The shards are files of the shared folder, written whole under another name and then renamed (a task that runs again
 writes the same), and memory-mapped where they are read; folders that are no local path are read through pyarrow's file
@@ -26,7 +28,7 @@ import json
 import math
 import os
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -43,6 +45,8 @@ from isochron.llm.common import binary, checkpoint_dir, cut, fold, runs
 #: Words of a shard of level 1, bigram tokens of a shard of level 2, on average; bytes of text worked on at a time.
 WORDS, TOKENS, BYTES = 1_000_000, 4_000_000, 4_000_000
 DISCOUNT, LEVELS = 0.75, 256
+#: Files that a worker keeps open: maps, which cost no memory of their own, and copies of what can't be mapped.
+OPEN_MAPS, OPEN_COPIES = 256, 8
 #: The end of a text as a word: no word has a space.
 END = xxhash.xxh3_64_intdigest(b" end")
 
@@ -135,7 +139,8 @@ class Store:
         self.folder = folder
         parsed = urlparse(folder)
         self.local = parsed.path if parsed.scheme in ("", "file") else None
-        self._open: dict[str, dict[str, np.ndarray]] = {}
+        #: The files that were read last: maps of local ones, contents of others.
+        self._open: OrderedDict[str, dict[str, np.ndarray] | None] = OrderedDict()
 
     def __reduce__(self):
         return Store, (self.folder,)
@@ -167,22 +172,31 @@ class Store:
                 f.write(data)
             system.move(f"{path}/{name}.{other}", f"{path}/{name}")
 
-    def read(self, name: str) -> dict[str, np.ndarray]:
+    def _bytes(self, name: str) -> np.ndarray:
+        if self.local:
+            return np.memmap(f"{self.local}/{name}", np.uint8, "r")
+        system, path = self._remote()
+        with system.open_input_stream(f"{path}/{name}") as f:
+            return np.frombuffer(f.read(), np.uint8)
+
+    def read(self, name: str) -> dict[str, np.ndarray] | None:
+        """The arrays of a file; None where there is none, as for a shard without entries."""
         if name in self._open:
+            self._open.move_to_end(name)
             return self._open[name]
-        if self.local:
-            data = np.memmap(f"{self.local}/{name}", np.uint8, "r")
-        else:
-            system, path = self._remote()
-            with system.open_input_stream(f"{path}/{name}") as f:
-                data = np.frombuffer(f.read(), np.uint8)
-        size = int.from_bytes(data[:8].tobytes(), "little")
-        out = {}
-        for key, (kind, shape, at) in json.loads(data[8 : 8 + size].tobytes()).items():
-            n = int(np.prod(shape)) * np.dtype(kind).itemsize
-            out[key] = data[8 + size + at : 8 + size + at + n].view(kind).reshape(shape)
-        if self.local:  # a map costs no memory of its own
-            self._open[name] = out
+        out: dict[str, np.ndarray] | None = {}
+        try:
+            data = self._bytes(name)
+        except FileNotFoundError:
+            out = None
+        if out is not None:
+            size = int.from_bytes(data[:8].tobytes(), "little")
+            for key, (kind, shape, at) in json.loads(data[8 : 8 + size].tobytes()).items():
+                n = int(np.prod(shape)) * np.dtype(kind).itemsize
+                out[key] = data[8 + size + at : 8 + size + at + n].view(kind).reshape(shape)
+        self._open[name] = out
+        if len(self._open) > (OPEN_MAPS if self.local else OPEN_COPIES):
+            self._open.popitem(last=False)
         return out
 
 
@@ -205,6 +219,15 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return book, code[inverse].astype(np.uint8)
 
 
+def trie_level(contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray) -> dict[str, np.ndarray]:
+    return nested("contexts", EliasFano.parts(contexts)) | nested("pointers", EliasFano.parts(pointers)) | nested("successors", EliasFano.parts(successors))
+
+
+_none = np.empty(0, np.int64)
+#: A shard without entries.
+EMPTY = trie_level(_none, np.zeros(1, np.int64), _none) | {"book": np.zeros(1), "codes": _none.astype(np.uint8), "backoff_book": np.zeros(1), "backoff": _none.astype(np.uint8)}
+
+
 class Words:
     """Level 1: numbers and counts of words by hash."""
 
@@ -227,14 +250,6 @@ class Words:
             count[low:high][known] = arrays["counts"][at[known]]
         return number, count
 
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Counts of sorted word numbers."""
-        out = np.zeros(len(numbers), np.int64)
-        shard = np.searchsorted(self.offsets, numbers, "right") - 1
-        for s, low, high in _spans(shard):
-            out[low:high] = self.store.read(f"words-{s}")["counts"][numbers[low:high] - self.offsets[s]]
-        return out
-
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.size + 1)))
 
@@ -272,7 +287,7 @@ class Model:
         usable, shard = usable[order], shard[order]
         for s, low, high in _spans(shard):
             rows = usable[low:high]
-            arrays = self.words.store.read(f"bigrams-{s}")
+            arrays = self.words.store.read(f"bigrams-{s}") or EMPTY
             c, inverse = np.unique(context[rows], return_inverse=True)
             at = sequence(arrays, "contexts").find(c.astype(np.uint64))
             known = at >= 0
@@ -300,7 +315,8 @@ class Model:
                 ends = np.zeros(len(c), np.int64)
                 ends[known] = bounds.astype(np.int64)
                 good = (hit >= after[which]) & (hit < ends[which])
-                out[rows[look[good]]] = arrays["book"][arrays["codes"][hit[good]]]
+                found = rows[look[good]]
+                out[found] = np.log10(10 ** arrays["book"][arrays["codes"][hit[good]]] + 10 ** out[found])
         return out
 
 
@@ -357,109 +373,97 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array([*found.values(), len(texts)], pa.int64())], names=["hash", "n"])
 
 
-def build_words(training: DataFrame, store: Store) -> Words:
+def build_words(training: DataFrame, store: Store) -> tuple[Words, int, dict[int, int]]:
+    """The words of the texts, the number of bigram shards, and the counts of heavy words by number."""
     counts = cut(training.mapInArrow(count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, size / WORDS))))
     # A signed hash's leading bits in unsigned order.
     shard = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
 
+    shards = max(1, math.ceil(total / TOKENS))
+    limit = max(1, total // (4 * shards))
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes shards; yields a row with each one's words, and one for each of its heavy words."""
         for group in runs(batches, 1):
             s = group["shard"][0].as_py()
             hashes, n = group["hash"].to_numpy().view(np.uint64), group["n"].to_numpy()
             order = np.argsort(hashes)
             rest = hashes[order] & np.uint64((1 << (64 - bits)) - 1)
             store.write(f"words-{s}", nested("hashes", EliasFano.parts(rest)) | {"counts": n[order]})
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(n)], pa.int64())], names=["shard", "n"])
+            heavy = np.flatnonzero(n[order] > limit)
+            columns = (np.full(len(heavy) + 1, s, np.int32), np.append(-1, heavy), np.append(len(n), n[order][heavy]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "at", "n"])
 
-    written = counts.withColumn("shard", shard).select("shard", "hash", "n").repartition("shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, n long").collect()
+    # Heavy words have over a quarter of a bigram shard's tokens: fewer than four for each of those shards.
+    written = counts.withColumn("shard", shard).select("shard", "hash", "n").repartition("shard").sortWithinPartitions("shard").mapInArrow(write, "shard int, at long, n long").collect()
     sizes = np.zeros((1 << bits) + 1, np.int64)
     for row in written:
-        sizes[row["shard"] + 1] = row["n"]
-    return Words(store, bits, np.cumsum(sizes), int(total))
+        if row["at"] < 0:
+            sizes[row["shard"] + 1] = row["n"]
+    offsets = np.cumsum(sizes)
+    heavy = {int(offsets[row["shard"]] + row["at"]): row["n"] for row in written if row["at"] >= 0}
+    return Words(store, bits, offsets, int(total)), shards, heavy
 
 
 def build(training: DataFrame, folder: str, discount: float = DISCOUNT) -> Model:
     """Count and write the model of the texts (column text) under the folder."""
     store = Store(folder)
-    words = build_words(training, store)
-    if words.size >= 1 << 32:
-        raise ValueError("word numbers have 32 bits")
-    sc = training.sparkSession.sparkContext
-    shards = max(1, math.ceil(words.total / TOKENS))
-    model = Model(words, shards)
-    n_texts = words.find(np.array([END], np.uint64))[1][0] if store.local or words.size else 0
-    limit = max(1, words.total // (4 * shards))
-    # Contexts with over a quarter of a shard's tokens: fewer than four for each shard.
-    heavy = {model.start: int(n_texts)}
-    for s in range(len(words.offsets) - 1):
-        if words.offsets[s] < words.offsets[s + 1]:
-            counts = store.read(f"words-{s}")["counts"]
-            heavy |= {int(words.offsets[s] + k): int(counts[k]) for k in np.flatnonzero(counts > limit)}
-    model = Model(words, shards, dict.fromkeys(heavy, 0.0))
-    shared = sc.broadcast(model)
+    words, shards, heavy = build_words(training, store)
+    n_texts = int(words.find(np.array([END], np.uint64))[1][0]) if words.size else 0
+    totals = heavy | {words.size: n_texts}  # the start of a text comes after all words' numbers
+    shared = training.sparkSession.sparkContext.broadcast((Model(words, shards, dict.fromkeys(totals, 0.0)), totals))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of the distinct bigrams of each shard: contexts as differences, words, counts."""
         packer = zstandard.ZstdCompressor(level=1)
-        model = shared.value
+        model = shared.value[0]
         for _, texts in pieces(batches, 0):
             codes, offsets, hashes = tokens(texts)
-            numbers = model.words.find(hashes)[0][codes]
-            keys = (contexts_of(numbers, offsets, model.start).astype(np.uint64) << np.uint64(32)) | numbers.astype(np.uint64)
-            keys, n = np.unique(keys, return_counts=True)
-            shard = model.shard_of((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            numbers = np.append(model.words.find(hashes)[0], model.start)
+            keys, n = np.unique(contexts_of(codes, offsets, len(hashes)) * (len(hashes) + 1) + codes, return_counts=True)
+            context, word = (numbers[x] for x in np.divmod(keys, len(hashes) + 1))
+            shard = model.shard_of(context, word)
             order = np.argsort(shard, kind="stable")
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], [], [], []]
             for s, low, high in _spans(shard[order]):
-                own = keys[order[low:high]]
-                for k, v in enumerate((s, packer.compress(np.diff(own, prepend=np.uint64(0)).tobytes()), packer.compress(n[order[low:high]].astype(np.uint32).tobytes()))):
+                own = order[low:high]
+                for k, v in enumerate((s, *(packer.compress(x.tobytes()) for x in (np.diff(context[own], prepend=0), word[own], n[own].astype(np.uint32))))):
                     rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)], names=["shard", "contexts", "words", "counts"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        model = shared.value
+        model, totals = shared.value
         for group in runs(batches, 1):
             s = group["shard"][0].as_py()
-            keys = np.concatenate([np.cumsum(np.frombuffer(unpack.decompress(x), np.uint64)) for x in group["keys"].to_pylist()])
-            n = np.concatenate([np.frombuffer(unpack.decompress(x), np.uint32) for x in group["counts"].to_pylist()]).astype(np.int64)
-            keys, inverse = np.unique(keys, return_inverse=True)
-            n = np.bincount(inverse, n, len(keys))
-            context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            block = lambda name, kind: [np.frombuffer(unpack.decompress(x), kind) for x in group[name].to_pylist()]  # noqa: B023, E731
+            context = np.concatenate([np.cumsum(x) for x in block("contexts", np.int64)])
+            word, n = np.concatenate(block("words", np.int64)), np.concatenate(block("counts", np.uint32)).astype(np.int64)
+            order = np.lexsort((word, context))
+            context, word, n = context[order], word[order], n[order]
+            firsts = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
+            context, word, n = context[firsts], word[firsts], np.add.reduceat(n, firsts)
             heads = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            sizes = np.diff(np.append(heads, len(keys)))
+            sizes = np.diff(np.append(heads, len(context)))
             own = context[heads]
-            regular = own < model.start
-            totals = np.full(len(own), n_texts, np.float64)
-            totals[regular] = model.words.counts(own[regular])
+            # Each token but an end is followed by one, so a context's tokens are those of its bigrams, all of them here.
+            total = np.add.reduceat(n, heads).astype(np.float64)
             spread = np.isin(own, model.heavy_ids)
-            weight = discount * sizes / totals
-            order = np.argsort(word, kind="stable")
-            unigram = np.empty(len(word))
-            unigram[order] = 10 ** model.words.base(model.words.counts(word[order]))
-            # A heavy context's successors are dealt evenly by hash: their number here times the shards stands for n(h).
-            p = np.maximum(n - discount, 0) / np.repeat(totals, sizes) + np.repeat(np.where(spread, np.minimum(weight * model.shards, 1), weight), sizes) * unigram
+            total[spread] = [totals[c] for c in own[spread].tolist()]
+            book, codes = quantised(np.log10((n - discount) / np.repeat(total, sizes)))
+            backoff_book, backoff = quantised(np.log10(discount * sizes / total))
             lasts = word[heads + sizes - 1].astype(np.uint64) + np.uint64(1)
             bases = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lasts)[:-1]))
-            book, codes = quantised(np.log10(p))
-            backoff_book, backoff = quantised(np.log10(np.maximum(weight, 1e-300)))
-            arrays = nested("contexts", EliasFano.parts(own)) | nested("pointers", EliasFano.parts(np.append(heads, len(keys)))) | nested("successors", EliasFano.parts(np.repeat(bases, sizes) + word.astype(np.uint64)))
-            model.words.store.write(f"bigrams-{s}", arrays | {"book": book, "codes": codes, "backoff_book": backoff_book, "backoff": backoff})
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(own[spread], -1)), pa.array(np.append(sizes[spread], len(keys)).astype(np.int64))], names=["context", "n"])
-
-    blocks = training.mapInArrow(count, "shard int, keys binary, counts binary").repartition(max(shards, 1), "shard").sortWithinPartitions("shard")
-    found = blocks.mapInArrow(write, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).collect()  # four rows a shard at most
-    weights = {r["context"]: math.log10(discount * r["n"] / heavy[r["context"]]) for r in found if r["context"] >= 0}
-    written = {name for name in (f"bigrams-{s}" for s in range(shards))}
-    for name in written:  # a shard that got no bigram
-        try:
-            store.read(name)
-        except FileNotFoundError:
-            none = np.empty(0, np.int64)
-            empty = nested("contexts", EliasFano.parts(none)) | nested("pointers", EliasFano.parts(np.zeros(1, np.int64))) | nested("successors", EliasFano.parts(none))
-            store.write(name, empty | {"book": np.zeros(1), "codes": none.astype(np.uint8), "backoff_book": np.zeros(1), "backoff": none.astype(np.uint8)})
-    return Model(words, shards, weights)
+            model.words.store.write(f"bigrams-{s}", trie_level(own, np.append(heads, len(context)), np.repeat(bases, sizes) + word.astype(np.uint64)) | {"book": book, "codes": codes, "backoff_book": backoff_book, "backoff": backoff})
+            yield pa.RecordBatch.from_arrays([pa.array(own[spread]), pa.array(sizes[spread].astype(np.int64))], names=["context", "n"])
+
+    blocks = training.mapInArrow(count, "shard int, contexts binary, words binary, counts binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    # A row for each heavy context.
+    found = blocks.mapInArrow(write, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).collect()
+    return Model(words, shards, {r["context"]: math.log10(discount * r["n"] / totals[r["context"]]) for r in found})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
