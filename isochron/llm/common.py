@@ -25,13 +25,14 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; where none is set, one of this machine's, in local mode only."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         return configured
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="isochron-"))
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="isochron-"))
     return sc.getCheckpointDir()
 
 

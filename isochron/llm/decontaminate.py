@@ -180,7 +180,12 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_w
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """Adds hit_spans (word spans [start, end)), hit_items (sorted) and hit_words (all words) to each row."""
+    """Adds hit_spans (word spans [start, end)), hit_items (sorted) and hit_words (all words) to each row.
+
+    The documents must not have columns of these names; `report` and `remove` take any.
+    """
+    if clash := {"hit_spans", "hit_items", "hit_words"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns that the scan would overwrite: {sorted(clash)}")
     found = _passes(docs, benchmark, text, window, max_words)
     if found is not None:
         return found

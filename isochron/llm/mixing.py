@@ -3,7 +3,7 @@
 Slot n of the schedule is the van der Corput point of n (its bits mirrored); the cumulative target shares map the point
 to a source, and the slot's rank among its source's slots is the block it takes. Blocks of a source whose interval holds
 fewer points than it has blocks, as a small source's beside a huge one, get slots after the others. A source's documents, shuffled by a
-keyed hash, are one stream of words that repeats; block r is its words [r * BLOCK, (r + 1) * BLOCK), and the block in
+keyed hash of id and text, are one stream of words that repeats; block r is its words [r * BLOCK, (r + 1) * BLOCK), and the block in
 which the target falls is taken in part. A document's words taken are its parts of the blocks taken.
 
 Nothing here orders a whole source in one task: stream offsets and slot ranks are prefix sums in two levels (sums of
@@ -79,7 +79,7 @@ def schedule(quotas: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 11, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each document."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("hash"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("hash"))
     sized = cut(sized)
     buckets = max(1, sized.count() // BUCKET_ROWS)
     sized = sized.withColumn("bucket", F.expr(f"shiftrightunsigned(hash, 1) % {buckets}"))

@@ -11,7 +11,8 @@ FIT_ROWS labelled documents (by keyed hash of the id) and PAIRS pairs, both boun
 else covers all rows.
 
 Defined results: null text is the empty text and gets a score like any other; where the labelled rows lack one of the
-classes, every document scores 0.5; labels that are null are left out; repeated rows each get a row.
+classes, every document scores 0.5; labels that are null or contradict each other are left out; repeated rows each get
+a row.
 """
 
 from __future__ import annotations
@@ -120,14 +121,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_R
     """(text, label) of at most fit_rows labelled documents outside the held-out fold, the same ones on each run.
 
     The ids are chosen before the texts are touched: of labels only, by keyed hash, with a hash threshold that leaves
-    about fit_rows; so the texts join a bounded set of ids.
+    about fit_rows; so the texts join a bounded set of ids. An id whose labels contradict each other is left out; of
+    several rows with one id, the smallest text counts.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"), F.max(F.col(label).cast("int")).alias("other"))
+    known = known.filter("label = other").select("doc_id", "label")
     total = known.count()
     if total > fit_rows:
         known = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) < int((1 << 53) * fit_rows / total)).limit(2 * fit_rows)
     known = F.broadcast(known)  # 2 * fit_rows rows of two numbers at most
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranking:

@@ -67,6 +67,45 @@ def test_stages_keep_columns(docs, none, labels, benchmark):
     assert decontaminate.report(docs, benchmark.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_pipeline_stages(spark, docs, none):
+    """Repeated rows, null ids and texts, empty tables and odd columns in the stages that group and mix."""
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    # 7 has the words of 1, the two equal rows of 1 leave one; what has no words or no id stays.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, 4, 5, 6, 8]))
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+    mixed = corpus_pipeline.source_mix(spark, docs, "").collect()
+    assert {r["doc_id"] for r in mixed} <= {1, None, 4, 5, 6, 7, 8} and all(0 < r["taken"] <= 2 * r["size"] for r in mixed)
+    assert corpus_pipeline.source_mix(spark, none, "").count() == 0
+
+
+def test_contradicting_labels(spark, docs):
+    """An id that is labelled both ways counts for neither side, in whatever order its labels come."""
+    many = spark.createDataFrame([(i, f"plain words number {i} and more of them" if i % 2 else "||| $$ !! &&& ###") for i in range(60)], "doc_id long, text string")
+    good = [(i, i % 2, i % 2) for i in range(60)]
+    scores = []
+    for extra in ([(1, 0, 0), (3, 0, 0)], [(3, 0, 0), (1, 0, 0)]):
+        labels = spark.createDataFrame(extra + good if extra[0][0] == 1 else good + extra, "doc_id long, quality int, toxic int")
+        scores.append(sorted(tuple(r) for r in quality.report(many, labels).collect()))
+        assert quality.sample(many, labels, "quality").count() == quality.sample(many, labels.filter("doc_id not in (1, 3)"), "quality").count()
+    assert scores[0] == scores[1]
+
+
+def test_no_folder_of_one_machine(spark, monkeypatch):
+    from isochron.llm import common
+
+    class Context:
+        master, getConf, getCheckpointDir = "spark://host:7077", lambda self: {}, lambda self: None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda self, key, other=None: other})()
+
+    with pytest.raises(ValueError):
+        common.checkpoint_dir(Session())
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0, 0.0]), (None, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [0.0, 1.0]), (1, [1.0, 0.0])]

@@ -459,6 +459,52 @@ def test_one_edit():
     assert trie.exact("vequ") == 3.0 and trie.exact("ve") is None
 
 
+def edits(a, b):
+    """Edit distance with swaps of neighbours, by the table."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_automaton_by_brute_force():
+    """Random lexicons and words of few letters: what the automata find is what the distance table finds."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abc", k=r.randint(5, 9)))
+    found = 0
+    for _ in range(40):
+        terms = {word(): r.random() + 0.1 for _ in range(12)}
+        trie = toxicity.Trie(terms, {}, set(terms))
+        for _ in range(60):
+            w = word()
+            near = [v for t, v in terms.items() if edits(t, w) <= 1]
+            assert trie.near(w) == (max(near) if near else None), (w, terms)
+            found += bool(near)
+    assert found > 100
+
+
+def test_ranking_minimises_the_pairwise_loss():
+    """The fitted weights lose less on the pairs than any near them, and order a linear quality right."""
+    r = np.random.default_rng(10)
+    x = r.standard_normal((400, quality.N_FEATURES))
+    truth = r.standard_normal(quality.N_FEATURES)
+    good = x @ truth + 0.5 * r.standard_normal(400) > 0
+    model = quality.Ranking(x, good, pairs=20_000)
+    z = model.standard(x)
+    draw = np.random.default_rng(7)
+    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
+    count = min(20_000, max(5_000, len(better) * len(worse)))
+    difference = z[draw.choice(better, count)] - z[draw.choice(worse, count)]
+    loss = lambda w: np.logaddexp(0, -difference @ w).sum() + 0.5e-3 * count * (w @ w)
+    least = loss(model.weights)
+    assert all(loss(model.weights + 0.05 * r.standard_normal(len(truth))) > least for _ in range(50))
+    scores = model.score(x)
+    assert np.mean(scores[better][:, None] > scores[worse][None, :]) > 0.95
+
+
 def test_quotation_counts_apart():
     lookup = toxicity.Model({"idiot": 2.0}, {}, {"idiot"}).lookup()
     quoted, plain = toxicity.features('he said "idiot" once', lookup), toxicity.features("you idiot there", lookup)
