@@ -15,14 +15,27 @@ def rigid_inverse(t: np.ndarray) -> np.ndarray:
     return out
 
 
+def once(value: Column, body) -> Column:
+    """body(value), the value computed once for each row however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matmul(a: Column, b: Column) -> Column:
     """Product of matrices as arrays of rows."""
+    return once(a, lambda left: once(b, lambda right: _product(left, right)))
+
+
+def _product(a: Column, b: Column) -> Column:
     cell = lambda row, j: F.aggregate(F.zip_with(row, F.transform(b, lambda r: F.get(r, j)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return F.transform(a, lambda row: F.transform(F.sequence(F.lit(0), F.size(F.get(b, F.lit(0))) - 1), lambda j: cell(row, j)))
 
 
 def inverse(t: Column) -> Column:
     """Inverse of a rigid transform given as four rows."""
+    return once(t, _inverse)
+
+
+def _inverse(t: Column) -> Column:
     e = lambda i, j: F.get(F.get(t, F.lit(i)), F.lit(j))
     moved = [-(e(0, i) * e(0, 3) + e(1, i) * e(1, 3) + e(2, i) * e(2, 3)) for i in range(3)]
     return F.array(*(F.array(e(0, i), e(1, i), e(2, i), moved[i]) for i in range(3)), F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
@@ -48,19 +61,24 @@ def magnitude(q: Column) -> Column:
 
 
 def unit(q: Column) -> Column:
-    n = magnitude(q)
-    return quat(q["x"] / n, q["y"] / n, q["z"] / n, q["w"] / n)
+    return once(q, lambda v: once(magnitude(v), lambda n: quat(v["x"] / n, v["y"] / n, v["z"] / n, v["w"] / n)))
 
 
 def slerp(a: Column, b: Column, share: Column) -> Column:
     """Spherical interpolation along the shorter arc; linear where the ends nearly agree."""
-    dot = a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
-    flat = F.sin(angle) < 1e-6
-    left = F.when(flat, 1 - share).otherwise(F.sin((1 - share) * angle) / F.sin(angle))
-    right = sign * F.when(flat, share).otherwise(F.sin(share * angle) / F.sin(angle))
-    return unit(quat(*(left * a[n] + right * b[n] for n in "xyzw")))
+
+    def between(v: Column) -> Column:
+        dot = sum((v["a"][n] * v["b"][n] for n in "yzw"), v["a"]["x"] * v["b"]["x"])
+        return once(F.struct(F.when(dot < 0, -1.0).otherwise(1.0).alias("sign"), F.acos(F.least(F.abs(dot), F.lit(1.0))).alias("angle")), lambda arc: blended(v, arc))
+
+    def blended(v: Column, arc: Column) -> Column:
+        angle, share = arc["angle"], v["share"]
+        flat = F.sin(angle) < 1e-6
+        left = F.when(flat, 1 - share).otherwise(F.sin((1 - share) * angle) / F.sin(angle))
+        right = arc["sign"] * F.when(flat, share).otherwise(F.sin(share * angle) / F.sin(angle))
+        return once(F.struct(left.alias("left"), right.alias("right")), lambda k: quat(*(k["left"] * v["a"][n] + k["right"] * v["b"][n] for n in "xyzw")))
+
+    return unit(once(F.struct(a.alias("a"), b.alias("b"), share.alias("share")), between))
 
 
 def matrix(q: Column) -> Column:

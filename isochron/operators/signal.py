@@ -128,3 +128,46 @@ def voxels(rows: DataFrame, axes: Sequence[str], size: float, keys: Sequence[str
     """One averaged point for each occupied cube of `size`."""
     cells = [F.floor(F.col(a) / size).alias(f"cell_{a}") for a in axes]
     return rows.groupBy(*keys, *cells).agg(F.count("*").alias("n"), *(F.avg(a).alias(a) for a in axes))
+
+
+def within(rows: DataFrame, on: str, low: Column | float | None = None, high: Column | float | None = None, closed: bool = True) -> DataFrame:
+    """Rows of a take's time range: both ends included, or without the later one; no bound, no limit on that side."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    if low is not None:
+        rows = rows.filter(F.col(on) >= as_column(low))
+    if high is not None:
+        rows = rows.filter((F.col(on) <= as_column(high)) if closed else (F.col(on) < as_column(high)))
+    return rows
+
+
+def frame_range(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fps: float, start_s: float = 0.0, end_s: float | None = None) -> DataFrame:
+    """Rows whose place in their recording lies in [int(start * fps), int(end * fps)), with row_idx."""
+    numbered = rows.withColumn("row_idx", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    return within(numbered, "row_idx", int(start_s * fps), None if end_s is None else int(end_s * fps), closed=False)
+
+
+def masked_before(value: str, on: str, onset: Column) -> Column:
+    """The value from its onset on; null before it, and everywhere where there is no onset."""
+    return F.when(F.col(on) >= onset, F.col(value))
+
+
+def present(values: Column) -> Column:
+    """The values with null for those that are no number, so that aggregates leave them out."""
+    return F.when(~F.isnan(values), values)
+
+
+def delays(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per key: how many values are numbers, their mean, median and maximum; null where none is."""
+    v = present(F.col(value).cast("double"))
+    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("largest"))
+
+
+def sampled(rows: DataFrame, identity: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """`n` rows without replacement, the same ones for a seed: those with the smallest keyed hashes of their identity."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *identity), *identity).limit(n)
+
+
+def thermal(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: lowest and highest temperature in degrees, and how many records are throttled (a state above 0)."""
+    milli = F.col("temp_milli_c")
+    return rows.groupBy(*keys).agg((F.min(milli) / 1000).alias("low_c"), (F.max(milli) / 1000).alias("high_c"), F.count_if(F.col("thermal_state") > 0).alias("throttled"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions import scalar
-from isochron.operators import asof, clock, frames, fusion, matching, session, signal
+from isochron.operators import asof, clock, frames, matching, session, signal
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Time buckets that long series are split by in as-of joins.
@@ -360,14 +360,3 @@ def _spun(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(9.81).alias("z"))
     first = F.min("t").over(W.partitionBy("user_id"))
     return rows.select(F.col("user_id").alias("recording_id"), (F.col("t") - first).alias("ts_ns"), turn.alias("gyro"), rest.alias("accel"))
-
-
-@query()
-def gyro_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.attitudes(_spun(spark, sf_dir), mode="gyro")
-
-
-@query()
-def gradient_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.attitudes(_spun(spark, sf_dir), mode="gravity")
-

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,20 +72,38 @@ def _headers(listed: DataFrame, ddl: str, decode: Callable[[bytes], dict]) -> Da
     return listed.mapInArrow(each, schema)
 
 
+def imu_headers_of(listed: DataFrame) -> DataFrame:
+    """Headers of (recording_id, part, content) rows; so for the other functions that end in `_of`."""
+    return _headers(listed, HEADER, lambda data: records.decode_imu(data)[0])
+
+
 def imu_headers(spark: SparkSession, path: str) -> DataFrame:
-    return _headers(files(spark, path, "*.imu"), HEADER, lambda data: records.decode_imu(data)[0])
+    return imu_headers_of(files(spark, path, "*.imu"))
+
+
+def imu_samples_of(listed: DataFrame) -> DataFrame:
+    return _decoded(listed, SAMPLES, lambda data: records.decode_imu(data)[1], "sample_idx")
 
 
 def imu_samples(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(files(spark, path, "*.imu"), SAMPLES, lambda data: records.decode_imu(data)[1], "sample_idx")
+    return imu_samples_of(files(spark, path, "*.imu"))
+
+
+def vts_headers_of(listed: DataFrame) -> DataFrame:
+    """Headers with fps, the frame rate in frames a second."""
+    return _headers(listed, VTS_HEADERS, lambda data: records.decode_vts(data)[0]).withColumn("fps", F.col("frame_rate_milli") / F.lit(1000.0))
 
 
 def vts_headers(spark: SparkSession, path: str) -> DataFrame:
-    return _headers(files(spark, path, "*.vts"), VTS_HEADERS, lambda data: records.decode_vts(data)[0])
+    return vts_headers_of(files(spark, path, "*.vts"))
+
+
+def frames_of(listed: DataFrame) -> DataFrame:
+    return _decoded(listed, FRAMES, lambda data: records.decode_vts(data)[1], "frame_idx")
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(files(spark, path, "*.vts"), FRAMES, lambda data: records.decode_vts(data)[1], "frame_idx")
+    return frames_of(files(spark, path, "*.vts"))
 
 
 def telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -101,10 +120,14 @@ def little_endian(content: Column, start: Column) -> Column:
     return F.conv(F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
 
 
-def file_versions(spark: SparkSession, path: str) -> DataFrame:
+def versions_of(listed: DataFrame) -> DataFrame:
     """(recording_id, part, magic, version) by the first bytes only, in SQL: the version is the number at byte 8."""
     version = little_endian(F.col("content"), F.lit(9)).cast("int")
-    return files(spark, path, "*.{imu,vts,tel}").select("recording_id", "part", F.expr("decode(substring(content, 1, 7), 'US-ASCII')").alias("magic"), version.alias("version"))
+    return listed.select("recording_id", "part", F.expr("decode(substring(content, 1, 7), 'US-ASCII')").alias("magic"), version.alias("version"))
+
+
+def file_versions(spark: SparkSession, path: str) -> DataFrame:
+    return versions_of(files(spark, path, "*.{imu,vts,tel}"))
 
 
 def embedded(spark: SparkSession, path: str) -> DataFrame:
@@ -182,9 +205,26 @@ def recording_meta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("recording_id"), parsed.alias("m")).select("recording_id", "m.*")
 
 
+#: A trajectory has at least so many poses.
+LEAST_POSES = 10
+
+
 def trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """Poses `t x y z qx qy qz qw`: comments and short lines are left out, commas are spaces."""
-    raw = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^/.]+$", 1).alias("recording_id"), F.trim(F.translate("value", ",\t", "  ")).alias("line"))
+    """Poses of text files, see `poses_of`."""
+    raw = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^/.]+$", 1).alias("recording_id"), "value")
+    return poses_of(raw)
+
+
+def poses_of(lines: DataFrame) -> DataFrame:
+    """(recording_id, value) lines to poses `t x y z qx qy qz qw`: comments and short lines are left out, commas are spaces."""
+    raw = lines.select("recording_id", F.trim(F.translate("value", ",\t", "  ")).alias("line"))
     fields = F.split("line", " +")
     kept = raw.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("f", fields).filter(F.size("f") >= 8)
     return kept.select("recording_id", *(F.get("f", F.lit(k)).cast("double").alias(n) for k, n in enumerate(("t_s", "x", "y", "z", "qx", "qy", "qz", "qw"))))
+
+
+def long_enough(poses: DataFrame, least: int = LEAST_POSES) -> DataFrame:
+    """The poses; a recording with fewer than `least` ends the query with an error."""
+    n = F.count("*").over(W.partitionBy("recording_id"))
+    short = F.raise_error(F.concat(F.lit("too few poses in "), F.coalesce("recording_id", F.lit("?")))).cast("boolean")
+    return poses.withColumn("n_poses", n).filter(F.when(F.col("n_poses") < least, short).otherwise(F.lit(True))).drop("n_poses")
