@@ -23,6 +23,7 @@ share a component.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,6 +38,7 @@ from isochron.llm.common import cut, runs
 from isochron.llm.components import components
 from isochron.llm.jaccard import roots
 
+LOG = logging.getLogger(__name__)
 THRESHOLD, K, TABLES, ROUNDS, RECALL = 0.9, 10, 8, 6, 0.999
 #: Members of a bucket or of a centre's chunk, classes of a block, classes that the audit compares with all.
 CHUNK, BLOCK_ROWS, AUDIT = 128, 512, 256
@@ -321,6 +323,7 @@ def _found(classes: DataFrame, dim: int, threshold: float, k: int, tables: int,
         if not gone.isEmpty():
             extra.append(gone)
             parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(gone))
+        LOG.info("audited recall %.5f with %d tables over %d classes", reached, last, count)
         if reached >= recall:
             break
         graph = widen(graph, classes, dim, count, k, tables, last, last + tables)

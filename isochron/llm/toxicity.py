@@ -10,7 +10,7 @@ Each match has a context window of words: inside quotation marks or next to a wo
 else as abuse. A logistic model over the summed weights of each kind of match gives the score.
 
 Lexicon statistics and the model are fitted on at most FIT_ROWS labelled documents of the training folds; every text is
-scored as a whole in one map-only pass with the broadcast lexicon (at most MAX_TERMS terms).
+scored as a whole in one map-only pass with the broadcast lexicon, whose size the fitted rows bound.
 
 Defined results: null text is the empty text; a text without matches gets the model's score for none; with no labelled
 toxic row the seeds alone decide; repeated rows each get a row.
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from isochron.llm.common import binary, fold, slices
 from isochron.llm.quality import sample
 
-FIT_ROWS, MAX_TERMS, MIN_DOCS = 20_000, 4_000, 2
+FIT_ROWS, MIN_DOCS = 20_000, 2
 #: Terms of abuse known beforehand.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
 #: Words of reporting that mark a quotation nearby.
 REPORTING = frozenset("said says wrote called quote quoted quotes term word words phrase slur insult insulting reported alleged".split())
 SEED_WEIGHT, PREFIXES = 2.0, (4, 5, 6)
-WINDOW, FUZZY_FROM, MAX_FUZZY = 4, 5, 1_000
+WINDOW, FUZZY_FROM = 4, 5
 WORD = re.compile(r"[^\W_]+")
 #: Words whose lookups a worker keeps.
 MEMO = 1 << 19
@@ -239,14 +239,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         counts = rows.mapInArrow(counted, "term string, beginning boolean, toxic long, other long").groupBy("term", "beginning").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         weight = F.log((F.col("toxic") + 0.2) / (n_toxic + 0.4)) - F.log((F.col("other") + 0.2) / (n_other + 0.4))
         strong = counts.filter(F.col("toxic") >= MIN_DOCS).withColumn("weight", weight).filter(F.col("weight") >= 2.0)
-        for row in strong.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term", "beginning").limit(MAX_TERMS).collect():
+        for row in strong.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term", "beginning").collect():  # words of the fitted rows at most
             held = beginnings if row["beginning"] else terms
             held[row["term"]] = row["weight"] * (1 - 1 / (1 + row["toxic"]))
             if row["toxic"] > MIN_DOCS:
                 less = row["weight"] + math.log((row["toxic"] - 0.8) / (row["toxic"] + 0.2))
                 (left_beginnings if row["beginning"] else left_terms)[row["term"]] = less * (1 - 1 / row["toxic"])
             # A term that many toxic documents share is worth looking for in misspelled form.
-            if not row["beginning"] and row["toxic"] >= max(4, 0.005 * n_toxic) and row["other"] <= 0.02 * row["toxic"] and len(row["term"]) >= FUZZY_FROM and len(fuzzy) < MAX_FUZZY:
+            if not row["beginning"] and row["toxic"] >= max(4, 0.005 * n_toxic) and row["other"] <= 0.02 * row["toxic"] and len(row["term"]) >= FUZZY_FROM:
                 fuzzy.add(row["term"])
     model = Model(terms, beginnings, fuzzy)
 
