@@ -26,7 +26,7 @@ BLOCK = 4096
 #: Share of all words that the mix takes, and how often a source may be taken at most.
 SHARE, LIMIT = 1.5, 2
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rows of a bucket on average, slots of a chunk, and cells that the sources' intervals are looked up by.
+#: Rows of a bucket on average, slots of a chunk, and the least number of cells that the sources' intervals are looked up by.
 BUCKET_ROWS, CHUNK, CELLS = 2_000, 65_536, 1_024
 BITS = 40
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,7 +62,8 @@ def schedule(quotas: DataFrame, block: int) -> DataFrame:
     n = quotas.agg(F.sum("blocks"), F.count("*")).first()
     total = int((n[0] or 0) * 1.02) + 64 * n[1]
     slots = spark.range(total).withColumn("point", F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("long"))
-    width = (1 << BITS) // CELLS
+    # As many cells as sources: a slot then meets two intervals on average, whatever their number.
+    width = (1 << BITS) // max(CELLS, 1 << (n[1] - 1).bit_length() if n[1] else 0)
     cells = quotas.filter(F.col("high") > F.col("low")).withColumn("cell", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))))
     dealt = slots.withColumn("cell", F.expr(f"point div {width}")).join(cells, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     dealt = dealt.select("nth", F.col("id").alias("slot"), "blocks", F.expr(f"id div {CHUNK}").alias("chunk"))
