@@ -3,8 +3,9 @@
 The automaton holds every word sequence that occurs in an item. While a document's words pass, it tracks the longest
 suffix that occurs in some item; wherever that suffix covers a window (WINDOW consecutive words of an item, or a shorter
 item as a whole), the window's words are hit. Words that no item has reset the automaton, so that only runs of known
-words are walked. Items are dealt into automata of at most MAX_WORDS words each (the bound on what is broadcast); a
-larger benchmark costs further map-only passes, never a shuffle of the texts.
+words are walked. Items are dealt into automata of at most MAX_WORDS words each (the bound on what is broadcast). A
+larger benchmark costs a reading of the texts for each automaton, one after the other: each writes only what it finds, by
+a key of the text, and one join brings the finds to the rows, so memory does not grow with the benchmark.
 
 Defined results: null or wordless text has no words, no hits and is not contaminated; items without words are left out;
 a null item_id counts as the empty text; repeated rows each get their own result row; further columns are ignored.
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isochron.llm.common import SEPARATORS, binary, slices
+from isochron.llm.common import SEPARATORS, binary, cut, slices
 
 WINDOW = 10
 #: Words of items in one automaton; about 400 bytes a word on each worker.
@@ -136,6 +137,135 @@ _spans = "array<struct<start:long,end:long>>"
 _kinds = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.int64())
 
 
+def _found(batch: pa.RecordBatch, at: int, automaton: Automaton | None) -> tuple[list, list, list]:
+    """(spans, items, words) of each row of a batch whose last three columns hold finds made before."""
+    before = batch.num_columns - 3
+    spans, items, n_words = [], [], []
+    for raw, old_spans, old_items in zip(binary(batch.column(at)), batch.column(before).to_pylist(), batch.column(before + 1).to_pylist(), strict=True):
+        words = WORD.findall(raw.lower())
+        hit, found = automaton.scan(words) if automaton else (np.zeros(len(words), bool), set())
+        for span in old_spans:
+            hit[span["start"] : span["end"]] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+        spans.append([{"start": low, "end": high} for low, high in zip(edges[::2], edges[1::2], strict=True)])
+        items.append(sorted(found.union(old_items)))
+        n_words.append(len(words))
+    return spans, items, n_words
+
+
+def _no_finds() -> dict[str, Column]:
+    return {"hit_spans": F.expr(f"cast(array() as {_spans})"), "hit_items": F.expr("cast(array() as array<string>)"), "hit_words": F.lit(0).cast("long")}
+
+
+def _finds(docs: DataFrame, automaton: Automaton) -> DataFrame:
+    """(hit_spans, hit_words, hit_items): key, spans and items of each different text in which this automaton finds windows.
+
+    docs: hit_spans (the key), text. Only finds are written; then the automaton is given up on every worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, spans, items = [], [], []
+            for k, raw in enumerate(binary(batch.column(1))):
+                hit, found = shared.value.scan(WORD.findall(raw.lower()))
+                if found:
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+                    keys.append(k)
+                    spans.append([{"start": low, "end": high} for low, high in zip(edges[::2], edges[1::2], strict=True)])
+                    items.append(sorted(found))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(spans, _kinds[0]), pa.array(items, _kinds[1])], names=["hit_spans", "hit_words", "hit_items"])
+
+    schema = f"hit_spans struct<h:bigint,g:bigint>, hit_words {_spans}, hit_items array<string>"
+    found = docs.mapInArrow(each, schema).groupBy("hit_spans").agg(F.first("hit_words").alias("hit_words"), F.first("hit_items").alias("hit_items"))
+    out = cut(found)
+    shared.destroy()
+    return out
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_words: int, last=None, schema: T.StructType | None = None) -> DataFrame | None:
+    """Each row's finds, handed to `last` in the same pass; None without items.
+
+    A benchmark of one automaton takes one map-only pass. Of a larger one each automaton has a pass that writes its finds
+    by a 128-bit key of the text, and one join brings all finds to the rows; one automaton is alive at a time.
+    """
+    waiting = shards(benchmark, max_words)
+    items, following = next(waiting, None), next(waiting, None)
+    if items is None:
+        return None
+    automaton = None
+    if following is None:
+        out, automaton = docs.withColumns(_no_finds()), docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
+    else:
+        whole = F.coalesce(F.col(text), F.lit(""))
+        keyed = docs.withColumn("hit_spans", F.struct(F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(9), whole).alias("g")))
+        read = keyed.select("hit_spans", F.col(text))
+        finds = _finds(read, Automaton(items, window))
+        while following is not None:
+            items, following = following, next(waiting, None)
+            finds = finds.union(_finds(read, Automaton(items, window)))
+        # A list for each automaton at most, so a text's row is bounded by their number.
+        merged = finds.groupBy("hit_spans").agg(F.flatten(F.collect_list("hit_words")).alias("hit_words"), F.flatten(F.collect_list("hit_items")).alias("hit_items"))
+        joined = keyed.join(merged, "hit_spans", "left").drop("hit_spans").withColumnRenamed("hit_words", "hit_spans")
+        out = joined.withColumns({name: value if name == "hit_words" else F.coalesce(F.col(name), value) for name, value in _no_finds().items()})
+    at = docs.columns.index(text)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            finds = _found(batch, at, automaton and automaton.value)
+            if last is not None:
+                yield last(batch, *finds)
+            else:
+                arrays = [*batch.columns[:-3], *(pa.array(x, kind) for x, kind in zip(finds, _kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return out.mapInArrow(each, out.schema if last is None else schema)
+
+
+def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which words are hit, and the items that have a window here."""
+        hit, found = np.zeros(len(words) + 1, np.int64), set()
+        get = self.vocabulary.get
+        codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], (codes >= 0).astype(np.int8), [0]))))
+        for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if high - low < self.least:
+                continue
+            state = matched = 0
+            for at, word in enumerate(codes[low:high].tolist(), low + 1):
+                state, matched = self.step(state, matched, word)
+                longest = 0
+                for size, items in self.out[state]:
+                    if size <= matched:
+                        longest = max(longest, size)
+                        found |= items
+                if longest:
+                    hit[at - longest] += 1
+                    hit[at] -= 1
+        return np.cumsum(hit[:-1]) > 0, found
+
+
+def shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items, a bounded number of words at a time."""
+    held: list[tuple[str, list[bytes]]] = []
+    size = 0
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    for row in rows.toLocalIterator():
+        words = WORD.findall(row["text"].encode().lower())
+        if held and size + len(words) > max_words:
+            yield held
+            held, size = [], 0
+        held.append((row["item"], words))
+        size += len(words)
+    if held:
+        yield held
+
+
+_spans = "array<struct<start:long,end:long>>"
+_kinds = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.int64())
+
+
 def _annotated(batch: pa.RecordBatch, at: int, automaton: Automaton) -> tuple[list, list, list]:
     """(spans, items, words) of each row of a batch whose last three columns hold those of the automata before."""
     before = batch.num_columns - 3
@@ -190,7 +320,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     if found is not None:
         return found
     n = F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")).cast("long")
-    return docs.withColumns({"hit_spans": F.expr(f"cast(array() as {_spans})"), "hit_items": F.expr("cast(array() as array<string>)"), "hit_words": n})
+    return docs.withColumns(_no_finds() | {"hit_words": n})
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:

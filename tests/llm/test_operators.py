@@ -1,5 +1,6 @@
 """Operators against brute force on small tables."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -168,6 +169,10 @@ def test_decontamination(spark, docs, texts):
     for most in (500_000, 35):  # one automaton, several
         assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.report(docs, benchmark, max_words=most).collect()} == want
     left = {r["doc_id"]: r["text"] for r in decontaminate.remove(docs, benchmark).collect()}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.remove(docs, benchmark, max_words=35).collect()} == left
+    odd = spark.createDataFrame([(None, None, 1), (7, "", 2), (8, texts[0], 3), (8, texts[0], 3)], "doc_id long, text string, spans int")
+    both = [[tuple(r) for r in decontaminate.scan(odd, benchmark, max_words=most).orderBy("spans").collect()] for most in (500_000, 35)]
+    assert both[0] == both[1] and len(both[0]) == 4
     assert all(left[d] == texts[d] for d in want if not want[d][1])
     assert all(d not in left or decontaminate.WORD.findall(left[d].encode()) != [] for d in want if want[d][1])
 
@@ -322,6 +327,22 @@ def test_mix_of_one_huge_and_tiny_sources(spark):
     assert sorted((r["nth"], r["rank"]) for r in slots) == [(n, k) for n, most in ((0, 9_000), (1, 3), (2, 2)) for k in range(most)]
 
 
+def test_schedule_of_many_sources(spark):
+    random.seed(6)
+    blocks = [random.randint(1, 4) for _ in range(3_000)]
+    edges = [(1 << 40) * k // 3_000 for k in range(3_001)]
+    quotas = spark.createDataFrame([(k, edges[k], edges[k + 1], n) for k, n in enumerate(blocks)], "nth int, low long, high long, blocks long")
+    slots = [tuple(r) for r in mixing.schedule(quotas, 64).collect()]
+    total = int(sum(blocks) * 1.02) + 64 * len(blocks)
+    taken, want = Counter(), set()
+    for slot in range(total):
+        nth = bisect.bisect_right(edges, int(f"{slot:040b}"[::-1], 2)) - 1
+        if taken[nth] < blocks[nth]:
+            want.add((nth, slot, taken[nth]))
+            taken[nth] += 1
+    assert len(slots) == sum(blocks) and want <= set(slots)
+
+
 @pytest.mark.parametrize("tokens,words", [(lm.TOKENS, lm.WORDS), (900, 60)])
 def test_language_model(docs, texts, monkeypatch, tokens, words):
     monkeypatch.setattr(lm, "TOKENS", tokens)
