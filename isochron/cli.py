@@ -56,16 +56,37 @@ def _inspect(args: argparse.Namespace) -> int:
     return 0
 
 
+def _config(args: argparse.Namespace) -> int:
+    from isochron.sources import writers
+
+    args.out.mkdir(parents=True, exist_ok=True)
+    for name, text in writers.vio_config(calibration.load(args.file.read_bytes()), args.inflation).items():
+        (args.out / name).write_text(text)
+    return 0
+
+
+def _trajectory(args: argparse.Namespace) -> int:
+    from pyspark.sql import SparkSession
+
+    from isochron.operators import signal
+    from isochron.sources import readers
+
+    poses = readers.long_enough(readers.trajectories(SparkSession.builder.getOrCreate(), str(args.file)))
+    for row in signal.trajectory(poses, ["recording_id"], "t_s").toJSON().collect():  # one row a file
+        print(row)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="isochron")
     commands = parser.add_subparsers(required=True)
-    for name, run, options in (("embedded", _embedded, ["out"]), ("stream", _stream, ["out!", "pts", "fps"]), ("pack", _pack, ["out!", "chip-id"]), ("unpack", _unpack, []), ("inspect", _inspect, [])):
+    for name, run, options in (("embedded", _embedded, ["out"]), ("stream", _stream, ["out!", "pts", "fps"]), ("pack", _pack, ["out!", "chip-id"]), ("unpack", _unpack, []), ("inspect", _inspect, []), ("config", _config, ["out!", "inflation"]), ("trajectory", _trajectory, [])):
         sub = commands.add_parser(name)
         sub.add_argument("file", type=Path)
         sub.set_defaults(run=run)
         for option in options:
-            kind = {"fps": float, "chip-id": str}.get(option.rstrip("!"), Path)
-            sub.add_argument(f"--{option.rstrip('!')}", type=kind, required=option.endswith("!"), default={"fps": 30.0, "chip-id": ""}.get(option))
+            kind = {"fps": float, "inflation": float, "chip-id": str}.get(option.rstrip("!"), Path)
+            sub.add_argument(f"--{option.rstrip('!')}", type=kind, required=option.endswith("!"), default={"fps": 30.0, "inflation": 5.0, "chip-id": ""}.get(option))
     args = parser.parse_args(argv)
     if not args.file.exists():
         print(f"{args.file} is not there", file=sys.stderr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,3 +108,34 @@ def fisheye(x: Column, y: Column, z: Column, k: tuple[float, float, float, float
     bent = theta * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3]))))
     scale = F.when(r > 1e-12, bent / r).otherwise(F.lit(0.0))
     return F.struct((fx * x * scale + cx).alias("u"), (fy * y * scale + cy).alias("v"))
+
+
+def unfisheye(u: Column, v: Column, k: tuple[float, float, float, float], fx: float, fy: float, cx: float, cy: float, steps: int = 12) -> Column:
+    """The ray (x, y, 1) that `fisheye` puts at an image point: the angle by Newton steps; rays ahead of the camera only."""
+    a, b = (u - cx) / fx, (v - cy) / fy
+    bent = F.sqrt(a * a + b * b)
+
+    def nearer(theta: Column, _: Column) -> Column:
+        t2 = theta * theta
+        value = theta * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3]))))
+        slope = 1 + t2 * (3 * k[0] + t2 * (5 * k[1] + t2 * (7 * k[2] + t2 * 9 * k[3])))
+        return theta - (value - bent) / slope
+
+    theta = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), bent, nearer)
+    scale = F.when(bent > 1e-12, F.tan(theta) / bent).otherwise(F.lit(1.0))
+    return F.struct((a * scale).alias("x"), (b * scale).alias("y"))
+
+
+def baseline(placed: Column) -> Column:
+    """Distance of two cameras from the 4x4 placement of one in the other; rectified images keep it."""
+    return F.sqrt(sum((placed[k][3] * placed[k][3] for k in (1, 2)), placed[0][3] * placed[0][3]))
+
+
+#: The panel's view of the axes.
+VIEW = ((1.0, 0.0, 0.0), (0.0, 0.85, -0.53), (0.0, 0.53, 0.85))
+
+
+def axis_tips(q: Column, view: Sequence[Sequence[float]] = VIEW) -> Column:
+    """Where the tips of the turned x, y and z axes lie in the panel: three structs (right, up), in axis lengths."""
+    seen = lambda m, row, axis: sum((view[row][j] * m[j][axis] for j in (1, 2)), view[row][0] * m[0][axis])
+    return once(matrix(q), lambda m: F.array(*(F.struct(seen(m, 0, k).alias("right"), seen(m, 1, k).alias("up")) for k in range(3))))

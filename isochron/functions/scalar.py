@@ -78,3 +78,8 @@ def vertical_offset(dx: Column, dy: Column, least: int = 100) -> Column:
     """Aggregate: median vertical offset of the kept matches; null with `least` or fewer."""
     kept = F.when(match_kept(dx, dy), dy)
     return F.when(F.count(kept) > least, F.median(kept))
+
+
+def frame_rate(milli: Column) -> Column:
+    """Frames a second from thousandths."""
+    return milli / 1000

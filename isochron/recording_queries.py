@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.functions import geometry
-from isochron.operators import clock, frames, fusion, session, signal
+from isochron.functions import geometry, scalar
+from isochron.operators import charts, clock, frames, fusion, session, signal
 from isochron.queries import DAY, E, _SIDES, _sides, _spun, events, query
-from isochron.sources import readers, writers
+from isochron.sources import readers, resolve, writers
 
 _N = f"WITH e AS ({E}), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, t - min(t) OVER (PARTITION BY user_id) AS u FROM e)"
 _REC = "CAST(user_id AS VARCHAR) AS recording_id"
@@ -251,3 +251,65 @@ def transform_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = geometry.matmul(geometry.inverse(turn), geometry.matmul(turn, point))
     at = lambda r: F.round(back[r][3] * 1000).cast("long")
     return rows.select("l_orderkey", "l_linenumber", at(0).alias("x_milli"), at(1).alias("y_milli"))
+
+
+_KIND = "CASE event_id % 4 WHEN 0 THEN 'mp4' WHEN 1 THEN 'vts' WHEN 2 THEN 'imu' ELSE 'tel' END"
+
+
+@query(f"""WITH m AS (SELECT user_id AS u, event_id % 5 AS p, {_KIND} AS k, '/takes/u' || user_id || '/part00' || event_id % 5 || '.' || {_KIND} AS path FROM events)
+SELECT 'u' || u AS recording_id, CAST(p AS INTEGER) AS part, min(path) FILTER (k = 'mp4') AS mp4, min(path) FILTER (k = 'vts') AS vts, min(path) FILTER (k = 'imu') AS imu, min(path) FILTER (k = 'tel') AS tel,
+CASE u % 3 WHEN 0 THEN '/takes/u' || u || '.json' WHEN 1 THEN '/takes/u' || u || '/meta.json' END AS meta, bool_or(k = 'mp4') AND bool_or(k = 'vts') AS placeable FROM m GROUP BY u, p""")
+def recording_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    path = F.concat(F.lit("/takes/u"), "user_id", F.lit("/part00"), F.col("event_id") % 5, F.lit("."), F.expr(_KIND))
+    meta = F.when(F.col("user_id") % 3 < 2, F.concat(F.lit("/takes/u"), "user_id", F.lit("/meta.json")))
+    own = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("/takes/u"), "user_id", F.lit(".json")))
+    listed = rows.select(path.alias("path")).union(rows.select(meta)).union(rows.select(own)).filter("path is not null").distinct()
+    return resolve.parts(resolve.members(listed))
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 7 AS k FROM orders), p AS (SELECT c, bool_or(k = 0) AS l, bool_or(k = 1) AS r, bool_or(k = 2) AS vl, bool_or(k = 3) AS vr, bool_or(k = 4) AS i FROM m GROUP BY c)
+SELECT 'take' || c AS take, CASE WHEN l THEN '/s/take' || c || '_L.mp4' END AS mp4_l, CASE WHEN r THEN '/s/take' || c || '_R.mp4' END AS mp4_r, l AND r AS complete,
+CASE WHEN vl THEN 'sidecar' ELSE 'embedded' END AS vts_l_from, CASE WHEN vr THEN 'sidecar' ELSE 'embedded' END AS vts_r_from, CASE WHEN i THEN 'sidecar' ELSE 'embedded' END AS imu_from FROM p WHERE l OR r""")
+def stereo_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ("_L.mp4", "_R.mp4", "_L.vts", "_R.vts", ".imu", ".json", ".tel"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    listed = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("/s/take"), "o_custkey", ending).alias("path")).distinct()
+    return resolve.stereo_takes(resolve.members(listed)).select("take", "mp4_l", "mp4_r", "complete", "vts_l_from", "vts_r_from", "imu_from")
+
+
+@query(f"""WITH e AS ({E}), n AS (SELECT user_id, event_id, (t - min(t) OVER (PARTITION BY user_id)) / 1e6::DOUBLE AS s, CASE WHEN event_id % 11 > 0 THEN cents END AS c FROM e),
+w AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS k, min(c) OVER (PARTITION BY user_id) / 100.0::DOUBLE - 0.5 AS y0, max(c) OVER (PARTITION BY user_id) / 100.0::DOUBLE + 0.5 AS y1, row_number() OVER (PARTITION BY user_id ORDER BY s, coalesce(c, 1e12)) - 1 AS i FROM n WHERE s BETWEEN 100000 AND 1500000),
+d AS (SELECT *, sum(CASE WHEN c IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS segment FROM w WHERE k > 1 AND y0 IS NOT NULL AND i % greatest(k // 20, 1) = 0)
+SELECT user_id, CAST(round(s) AS BIGINT) AS s, c AS cents, CAST(segment AS BIGINT) AS segment, CAST(round((s - 100000) / 1400000 * 1000000) AS BIGINT) AS across_ppm,
+CAST(round(CASE WHEN y1 - y0 < 1 THEN (c / 100.0::DOUBLE - (y0 + y1) / 2 + 1) / 2 ELSE (c / 100.0::DOUBLE - y0) / (y1 - y0) END * 1000000) AS BIGINT) AS up_ppm FROM d WHERE c IS NOT NULL""")
+def chart_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("cents") / 100)
+    rows = _numbered(spark, sf_dir).select("user_id", (F.col("u") / 1e6).alias("s"), broken.alias("v"))
+    whole = lambda c, by=1: F.round(F.col(c) * by).cast("long")
+    return charts.panel(rows, ["user_id"], "s", "v", 800_000.0, 700_000.0, 20).select("user_id", whole("s").alias("s"), whole("v", 100).alias("cents"), "segment", whole("across", 1_000_000).alias("across_ppm"), whole("up", 1_000_000).alias("up_ppm"))
+
+
+_ANGLE = "radians(CAST(l_orderkey % 360 AS DOUBLE))"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(round(cos({_ANGLE}) * 1e6) AS BIGINT) AS x_right, CAST(round(0.85 * sin({_ANGLE}) * 1e6) AS BIGINT) AS x_up,
+CAST(round(-sin({_ANGLE}) * 1e6) AS BIGINT) AS y_right, CAST(round(0.85 * cos({_ANGLE}) * 1e6) AS BIGINT) AS y_up, 0::BIGINT AS z_right, -530000::BIGINT AS z_up FROM lineitem""")
+def axis_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns about z by whole degrees."""
+    half = F.radians((F.col("l_orderkey") % 360).cast("double")) / 2
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("tips", geometry.axis_tips(geometry.quat(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))))
+    micro = lambda k, side: F.round(F.col("tips")[k][side] * 1e6).cast("long").alias(f"{'xyz'[k]}_{side}")
+    return rows.select("l_orderkey", "l_linenumber", *(micro(k, side) for k in range(3) for side in ("right", "up")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(round((l_quantity - 25) / 20.0::DOUBLE * 1e6) AS BIGINT) AS x_micro, CAST(round((l_linenumber - 4) / 4.0::DOUBLE * 1e6) AS BIGINT) AS y_micro,
+CAST(round(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber + 4.0::DOUBLE) * 1e6) AS BIGINT) AS baseline_micro, l_orderkey / 1000.0::DOUBLE AS fps FROM lineitem""")
+def fisheye_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays (x, y, 1) to image points and back, the distance of two cameras, and a rate."""
+    lens = ((0.05, -0.01, 0.004, -0.0008), 820.0, 815.0, 960.0, 540.0)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"q": F.col("l_quantity").cast("double"), "n": F.col("l_linenumber").cast("double")})
+    seen = rows.withColumn("p", geometry.fisheye((F.col("q") - 25) / 20, (F.col("n") - 4) / 4, F.lit(1.0), *lens))
+    ray = seen.withColumn("r", geometry.unfisheye(F.col("p.u"), F.col("p.v"), *lens))
+    placed = F.array(*(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), c) for c in (F.col("q"), F.col("n"), F.lit(2.0))))
+    micro = lambda c: F.round(c * 1e6).cast("long")
+    return ray.select("l_orderkey", "l_linenumber", micro(F.col("r.x")).alias("x_micro"), micro(F.col("r.y")).alias("y_micro"), micro(geometry.baseline(placed)).alias("baseline_micro"), scalar.frame_rate(F.col("l_orderkey")).alias("fps"))

@@ -118,3 +118,31 @@ def test_command_line(tmp_path, capsys):
     (tmp_path / "s.h264").write_bytes(sei_stream(6))
     assert cli.main(["stream", str(tmp_path / "s.h264"), "--out", str(tmp_path / "o")]) == 0 and (tmp_path / "o" / "s.imu").exists()
     assert cli.main(["unpack", str(tmp_path / "missing")]) == 2
+    (tmp_path / "stereo.json").write_text(json.dumps(STEREO))
+    assert cli.main(["config", str(tmp_path / "stereo.json"), "--out", str(tmp_path / "v")]) == 0 and "cam1" in (tmp_path / "v" / "cameras.yaml").read_text()
+    (tmp_path / "poses.txt").write_text("# t x y z q\n" + "".join(f"{k} {k}, 0 0 0 0 0 1\n" for k in range(10)))
+    assert cli.main(["trajectory", str(tmp_path / "poses.txt")]) == 0 and '"path_length":9.0' in capsys.readouterr().out
+
+
+def test_resolved_folders(spark, tmp_path):
+    from isochron.sources import resolve
+
+    for name in ("a/part000.mp4", "a/part000.vts", "a/part001.mp4", "a/meta.json", "b.mp4", "b.vts", "b.json", "t_L.mp4", "t_R.mp4", "t_L.vts", "t.imu", "u_L.mp4"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = resolve.members(resolve.listing(spark, str(tmp_path)))
+    parts = {(r["recording_id"], r["part"]): r for r in resolve.parts(found).collect()}
+    assert {k for k, r in parts.items() if r["placeable"]} == {("a", 0), ("b", 0), ("t_L", 0)}
+    assert parts["a", 1]["meta"].endswith("/a/meta.json") and parts["b", 0]["meta"].endswith("/b.json") and parts["t_L", 0]["meta"] is None
+    takes = {r["take"]: r for r in resolve.stereo_takes(found).collect()}
+    assert set(takes) == {"t", "u"} and takes["t"]["complete"] and not takes["u"]["complete"]
+    assert (takes["t"]["vts_l_from"], takes["t"]["vts_r_from"], takes["t"]["imu_from"], takes["u"]["imu_from"]) == ("sidecar", "embedded", "sidecar", "embedded")
+
+
+def test_panels_of_odd_values(spark):
+    from isochron.operators import charts
+
+    rows = spark.createDataFrame([("one", 1.0, 2.0), ("none", 1.0, None), ("none", 2.0, float("nan")), ("flat", 1.0, 5.0), ("flat", 2.0, float("inf")), ("flat", 3.0, 5.0), ("flat", 99.0, 8.0)], "k string, t double, v double")
+    out = charts.panel(rows, ["k"], "t", "v", 2.0, 4.0, 100).orderBy("t").collect()
+    assert [(r["k"], r["t"], r["segment"], r["across"]) for r in out] == [("flat", 1.0, 0, 1 / 6), ("flat", 3.0, 1, 0.5)] and all(r["up"] == 0.5 for r in out)
+    assert charts.panel(rows.limit(0), ["k"], "t", "v", 2.0, 4.0, 100).count() == 0
