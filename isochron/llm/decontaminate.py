@@ -223,92 +223,6 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_w
     return out.mapInArrow(each, out.schema if last is None else schema)
 
 
-def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words are hit, and the items that have a window here."""
-        hit, found = np.zeros(len(words) + 1, np.int64), set()
-        get = self.vocabulary.get
-        codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], (codes >= 0).astype(np.int8), [0]))))
-        for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if high - low < self.least:
-                continue
-            state = matched = 0
-            for at, word in enumerate(codes[low:high].tolist(), low + 1):
-                state, matched = self.step(state, matched, word)
-                longest = 0
-                for size, items in self.out[state]:
-                    if size <= matched:
-                        longest = max(longest, size)
-                        found |= items
-                if longest:
-                    hit[at - longest] += 1
-                    hit[at] -= 1
-        return np.cumsum(hit[:-1]) > 0, found
-
-
-def shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, a bounded number of words at a time."""
-    held: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    for row in rows.toLocalIterator():
-        words = WORD.findall(row["text"].encode().lower())
-        if held and size + len(words) > max_words:
-            yield held
-            held, size = [], 0
-        held.append((row["item"], words))
-        size += len(words)
-    if held:
-        yield held
-
-
-_spans = "array<struct<start:long,end:long>>"
-_kinds = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.int64())
-
-
-def _annotated(batch: pa.RecordBatch, at: int, automaton: Automaton) -> tuple[list, list, list]:
-    """(spans, items, words) of each row of a batch whose last three columns hold those of the automata before."""
-    before = batch.num_columns - 3
-    spans, items, n_words = [], [], []
-    for raw, old_spans, old_items in zip(binary(batch.column(at)), batch.column(before).to_pylist(), batch.column(before + 1).to_pylist(), strict=True):
-        words = WORD.findall(raw.lower())
-        hit, found = automaton.scan(words)
-        for span in old_spans:
-            hit[span["start"] : span["end"]] = True
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
-        spans.append([{"start": low, "end": high} for low, high in zip(edges[::2], edges[1::2], strict=True)])
-        items.append(sorted(found.union(old_items)))
-        n_words.append(len(words))
-    return spans, items, n_words
-
-
-def _passes(docs: DataFrame, benchmark: DataFrame, text: str, window: int, max_words: int, last=None, schema: T.StructType | None = None) -> DataFrame | None:
-    """One map-only pass for each automaton; the last one hands its finds to `last` in the same pass. None without items."""
-    out = docs.withColumns({"hit_spans": F.expr(f"cast(array() as {_spans})"), "hit_items": F.expr("cast(array() as array<string>)"), "hit_words": F.lit(0).cast("long")})
-    at, annotated = docs.columns.index(text), out.schema
-    waiting = shards(benchmark, max_words)
-    items = next(waiting, None)
-    if items is None:
-        return None
-    while items is not None:
-        following = next(waiting, None)
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-        final = last if following is None else None
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared, final=final) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                finds = _annotated(batch, at, shared.value)
-                if final is not None:
-                    yield final(batch, *finds)
-                else:
-                    arrays = [*batch.columns[:-3], *(pa.array(x, kind) for x, kind in zip(finds, _kinds, strict=True))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-        out = out.mapInArrow(each, annotated if final is None else schema)
-        items = following
-    return out
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """Adds hit_spans (word spans [start, end)), hit_items (sorted) and hit_words (all words) to each row.
 
