@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, jaccard, licenses, lm, mixing, neighbours, pii, quality, suffix, toxicity
+from isochron.llm import conversations, decontaminate, jaccard, licenses, lm, merkle, mixing, neighbours, pii, quality, suffix, toxicity, urls
 from isochron.llm.common import surrogate_key, table
 
 
@@ -50,6 +50,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_surrogates": op2_surrogates,
@@ -61,4 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_merkle": op11_merkle,
+    "op12_conversations": op12_conversations,
+    "op13_urls": op13_urls,
 }
