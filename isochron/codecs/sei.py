@@ -30,6 +30,8 @@ class Packet:
 def nal_units(stream: bytes) -> Iterator[bytes]:
     """The units between start codes, without the zeros that trail them."""
     starts = [m.end() for m in _start.finditer(stream)]
+    if not starts:
+        return
     for begin, after in zip(starts, [*(s - 3 for s in starts[1:]), len(stream)], strict=True):
         if unit := stream[begin:after].rstrip(b"\x00"):
             yield unit

@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from isochron import recording_queries
+from isochron import file_queries, recording_queries
 from isochron.operators import signal
 from isochron.sources import readers
 
 SF = Path("/root/testdata/sf0.001")
-NAMES = [n for n, f in __spark_entry__.queries().items() if f.__module__ == recording_queries.__name__]
+NAMES = [n for n, f in __spark_entry__.queries().items() if f.__module__ in (recording_queries.__name__, file_queries.__name__)]
 
 
 @pytest.fixture(scope="module")
