@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.functions import geometry
+from isochron.functions import geometry, scalar
 from isochron.operators import asof, clock, signal
 
 CHANNELS = ("accel", "gyro", "mag", "lin_accel", "quat")
@@ -43,14 +44,18 @@ def match_pulses(ts: np.ndarray, delay_us: np.ndarray, frame_ns: np.ndarray, fps
     return out
 
 
-def pulse_times(samples: DataFrame, frames: DataFrame, headers: DataFrame, fps: float, keys: Sequence[str] = ("recording_id", "part")) -> DataFrame:
+def pulse_times(samples: DataFrame, frames: DataFrame, headers: DataFrame, rates: DataFrame, keys: Sequence[str] = ("recording_id", "part")) -> DataFrame:
     """(keys, frame_idx, pulse_ns) of the recordings whose every frame has a pulse; frames need best_ns.
 
-    The match is monotone over a recording's frames, so a recording is one group.
+    rates: keys and fps, the frame rate in the frame-timing file's own header; a recording without one has no match. The
+    match is monotone over a recording's frames, so a recording is one group.
     """
     enabled = headers.filter(F.col("flags").bitwiseAND(F.lit(1)) != 0).select(*keys)
     left = samples.filter("fsync_delay_us is not null").join(enabled, list(keys)).select(*keys, "ts_ns", "fsync_delay_us")
-    right = frames.select(*keys, "frame_idx", "best_ns")
+    known = rates.select(*(F.col(k).alias(f"rate_{k}") for k in keys), F.col("fps").alias("pulse_fps")).filter("pulse_fps is not null")
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"rate_{k}") for k in keys))
+    # Names anew, so that both sides may come from one table.
+    right = frames.join(known, same).select(*keys, "frame_idx", "best_ns", "pulse_fps").toDF(*keys, "frame_idx", "best_ns", "pulse_fps")
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
 
     def each(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -59,7 +64,7 @@ def pulse_times(samples: DataFrame, frames: DataFrame, headers: DataFrame, fps:
         if not a.num_rows or not b.num_rows:
             return empty if b.num_rows else pa.table({**{k: a[k].slice(0, 0) for k in keys}, "frame_idx": pa.array([], pa.int64()), "pulse_ns": pa.array([], pa.int64())})
         a, b = a.sort_by("ts_ns"), b.sort_by("frame_idx")
-        found = match_pulses(a["ts_ns"].to_numpy(), a["fsync_delay_us"].to_numpy(), b["best_ns"].to_numpy(), fps)
+        found = match_pulses(a["ts_ns"].to_numpy(), a["fsync_delay_us"].to_numpy(), b["best_ns"].to_numpy(), b["pulse_fps"][0].as_py())
         return empty if found is None else pa.table([*(b[k] for k in keys), b["frame_idx"], pa.array(found)], names=names)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(each, f"{kinds}, frame_idx long, pulse_ns long")
@@ -125,17 +130,27 @@ def poses_at(frames: DataFrame, poses: DataFrame, keys: Sequence[str], on: str,
     return inside.select(*frames.columns, *((F.col(f"lo.{a}") + share * (F.col(f"hi.{a}") - F.col(f"lo.{a}"))).alias(a) for a in axes), *(near(c).alias(c) for c in turn))
 
 
-def camera_grid(frames: DataFrame, fps: float, master: Column | None = None, bucket: int | None = None) -> DataFrame:
+def camera_grid(frames: DataFrame, fps: float, bucket: int | None = None) -> DataFrame:
     """(t, n_cameras, spread_ns): the grid all cameras share, and how far their nearest frames lie apart."""
     rows = asof.grid(frames, "recording_id", "global_ns", int(1e9 / fps), ["frame_idx"], bucket)
     return rows.groupBy("global_ns").agg(F.count("match").alias("n_cameras"), (F.max("match.t") - F.min("match.t")).alias("spread_ns"))
 
 
-def take_of_sidecars(samples: DataFrame, frames: DataFrame, vts_headers: DataFrame, imu_headers: DataFrame, fps: float, timeshift_s: float = 0.0, bucket: int | None = None) -> DataFrame:
-    """Sidecars to per-frame channels: frame time by pulses, else best time, plus the time shift; then interpolation."""
+def camera_offsets(frames: DataFrame, fps: float, master: str, bucket: int | None = None) -> DataFrame:
+    """(global_ns, recording_id, frame_idx, offset_ns): each camera's nearest frame on the shared grid, and how much later
+    than the master's it is; null offsets without a frame of the master."""
+    rows = asof.grid(frames, "recording_id", "global_ns", int(1e9 / fps), ["frame_idx"], bucket)
+    led = rows.filter(F.col("recording_id") == master).select(F.col("global_ns").alias("led_ns"), F.col("match.t").alias("master_ns"))
+    joined = rows.join(led, F.col("global_ns") == F.col("led_ns"), "left")
+    return joined.select("global_ns", "recording_id", F.col("match.frame_idx").alias("frame_idx"), (F.col("match.t") - F.col("master_ns")).alias("offset_ns"))
+
+
+def take_of_sidecars(samples: DataFrame, frames: DataFrame, vts_headers: DataFrame, imu_headers: DataFrame, timeshift_s: float = 0.0, bucket: int | None = None) -> DataFrame:
+    """Sidecars to per-frame channels: frame time by pulses at each file's own rate, else best time plus the time shift;
+    then interpolation."""
     keys = ["recording_id", "part"]
     timed = clock.best_time(frames, keys)
-    pulses = pulse_times(samples, timed, imu_headers, fps, keys)
+    pulses = pulse_times(samples, timed, imu_headers, vts_headers.select(*keys, scalar.frame_rate(F.col("frame_rate_milli")).alias("fps")), keys)
     joined = timed.join(pulses, [*keys, "frame_idx"], "left")
     time = F.coalesce("pulse_ns", clock.imu_time(F.col("best_ns"), F.lit(timeshift_s)))
     return imu_at_frames(samples, joined.select(*keys, "frame_idx", "best_ns", time.alias("time_ns")), keys, bucket)

@@ -1,15 +1,20 @@
-"""Orientation fusion: sequential per recording, parallel over recordings, in sorted Arrow batches with a carried state."""
+"""Orientation fusion: turn rates alone as a scan that is parallel over time, filters sequential per recording in sorted Arrow
+batches with a carried state."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isochron.functions import geometry
+
 #: Steps of time outside (0, MAX_STEP] hold the state; the filter's gain.
 MAX_STEP, GAIN = 0.5, 0.08
 
@@ -98,6 +103,95 @@ def gyro_only(t_ns: np.ndarray, gyro: np.ndarray, before: tuple[int, np.ndarray]
     return out
 
 
+def products(turns: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Running products of quaternions (w, x, y, z), each segment from its row of place 0 on, by doubling: log n passes."""
+    out, reach = turns.copy(), 1
+    while reach <= places.max(initial=0):
+        at = np.flatnonzero(places >= reach)
+        out[at] = _hamilton(out[at - reach], out[at])
+        reach *= 2
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _hamilton(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows of quaternions (w, x, y, z)."""
+    w, v, u, r = a[:, :1], a[:, 1:], b[:, :1], b[:, 1:]
+    return np.hstack([w * u - (v * r).sum(1, keepdims=True), w * r + u * v + np.cross(v, r)])
+
+
+def turned(dt: np.ndarray, gyro: np.ndarray) -> np.ndarray:
+    """The turn (w, x, y, z) of each step; steps outside (0, MAX_STEP] and turns below 1e-10 are none."""
+    turn = gyro * dt[:, None]
+    angle = np.sqrt((turn * turn).sum(1))
+    go = (dt > 0) & (dt <= MAX_STEP) & np.isfinite(angle) & (angle >= 1e-10)
+    safe = np.where(go, angle, 1.0)
+    out = np.hstack([np.cos(safe / 2)[:, None], turn * (np.sin(safe / 2) / safe)[:, None]])
+    out[~go] = (1.0, 0.0, 0.0, 0.0)
+    return out
+
+
+def gyro_scan(samples: DataFrame, keys: Sequence[str] = ("recording_id",), block_ns: int = 10_000_000_000) -> DataFrame:
+    """The attitudes of `gyro_only` for all samples, as an associative scan: a recording's blocks of time are independent.
+
+    Each block multiplies its own turns up from identity, knowing the last time before it; the blocks' products, one row
+    for each, are multiplied up along each recording; each sample's attitude is its block's start times its own. Two
+    shuffles by (recording, block) and none of a recording as a whole.
+    """
+    rows = samples.select(*keys, "ts_ns", *(F.col(f"gyro.{a}").cast("double").alias(f"g{a}") for a in "xyz"))
+    rows = rows.withColumn("block", F.expr(f"(ts_ns - pmod(ts_ns, {block_ns}L)) div {block_ns}L"))
+    edges = rows.groupBy(*keys, "block").agg(F.max("ts_ns").alias("last")).select(*(F.col(k).alias(f"edge_{k}") for k in keys), F.col("block").alias("edge_block"), F.lag("last").over(W.partitionBy(*keys).orderBy("block")).alias("before_ns"))
+    same = F.col("block") == F.col("edge_block")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"edge_{k}"))
+    known = rows.join(edges, same).select(*rows.columns, "before_ns")
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "block", "ts_ns", *TURN]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, state = None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "block")), strict=True))
+            first = np.array([own[0] != held, *(a != b for a, b in itertools.pairwise(own))])
+            t = batch.column("ts_ns").to_numpy()
+            known = np.array([b is not None for b in batch.column("before_ns").to_pylist()])
+            earlier = np.concatenate([[last], t[:-1]])
+            prior = batch.column("before_ns").fill_null(0).to_numpy()
+            earlier = np.where(first, np.where(known, prior, t), earlier)
+            gyro = np.nan_to_num(np.column_stack([batch.column(f"g{a}").to_pandas().to_numpy(float, na_value=np.nan) for a in "xyz"]))
+            turns = turned((t - earlier) / 1e9, gyro)
+            if not first[0]:
+                turns[0] = _hamilton(state[None], turns[:1])[0]
+            at = np.arange(n)
+            places = at - np.maximum.accumulate(np.where(first | (at == 0), at, 0))
+            q = products(turns, places)
+            held, last, state = own[-1], int(t[-1]), q[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "block", "ts_ns")), *(pa.array(q[:, k]) for k in (1, 2, 3, 0))], names=names)
+
+    dealt = known.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "ts_ns", "gx", "gy", "gz")
+    inside = dealt.mapInArrow(local, f"{kinds}, block long, ts_ns long, qx double, qy double, qz double, qw double")
+    # The rows of a block's last time: its last row's product holds all of its turns, as rows of one time turn nothing more.
+    ends = inside.groupBy(*keys, "block").agg(F.max_by(F.struct(*TURN), F.struct("ts_ns")).alias("q"))
+
+    def along(table: pa.Table) -> pa.Table:
+        group = table.sort_by("block")
+        flat = group["q"].combine_chunks()
+        own = np.column_stack([flat.field(c).to_numpy() for c in ("qw", "qx", "qy", "qz")])
+        up = products(own, np.arange(len(own)))
+        start = np.vstack([[1.0, 0.0, 0.0, 0.0], up[:-1]])
+        return pa.table({**{f"start_{k}": group[k] for k in keys}, "start_block": group["block"], **{f"start_{c}": start[:, k] for c, k in (("qx", 1), ("qy", 2), ("qz", 3), ("qw", 0))}})
+
+    starts = ends.groupBy(*keys).applyInArrow(along, ", ".join([*(f"start_{k} {samples.schema[k].dataType.simpleString()}" for k in keys), "start_block long", *(f"start_{c} double" for c in TURN)]))
+    same = F.col("block") == F.col("start_block")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"start_{k}"))
+    q = geometry.unit(geometry.multiply(geometry.quat(*(F.col(f"start_{c}") for c in TURN)), geometry.quat(*(F.col(c) for c in TURN))))
+    out = inside.join(starts, same).select(*keys, "ts_ns", q.alias("q"))
+    return out.select(*keys, "ts_ns", *(F.col(f"q.{c[1]}").alias(c) for c in TURN))
+
+
 def slerped(t: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Attitudes at times, on the shorter arc between the ones around them, clamped at both ends."""
     at = np.clip(at, t[0], t[-1])
@@ -237,15 +331,15 @@ def _axes(group: pa.Table, name: str) -> np.ndarray:
 
 def attitudes(samples: DataFrame, keys: Sequence[str] = ("recording_id",), mode: str = "gravity", gain: float | None = None, max_samples: int | None = None) -> DataFrame:
     """Attitudes of accel, gyro (and mag) samples: mode gravity, gyro or field."""
-    columns = ["ts_ns", "gyro", *(["accel"] if mode != "gyro" else []), *(["mag"] if mode == "field" else [])]
+    if mode == "gyro":
+        return gyro_scan(samples, keys)
+    columns = ["ts_ns", "gyro", "accel", *(["mag"] if mode == "field" else [])]
     samples = samples.select(*keys, *columns)
     if mode == "field":  # whether a magnetometer reads, and the stride, depend on the whole recording
         return _per_recording(samples, keys, lambda group: marg_filter(group["ts_ns"].to_numpy(), _axes(group, "accel"), _axes(group, "gyro"), _axes(group, "mag"), gain or 0.041, max_samples))
 
     def fuse(part: pa.RecordBatch, before: tuple | None) -> np.ndarray:
         t = part.column("ts_ns").to_numpy()
-        if mode == "gyro":
-            return gyro_only(t, _axes(part, "gyro"), before)
         return gradient_filter(t, _axes(part, "accel"), _axes(part, "gyro"), gain or GAIN, before)
 
     # Rows of one time differ in no way that the state depends on but their values, which settle their order.
@@ -254,7 +348,6 @@ def attitudes(samples: DataFrame, keys: Sequence[str] = ("recording_id",), mode:
 
 def camera_attitudes(samples: DataFrame, rate_hz: float, r_cam_imu: tuple[float, float, float, float], gyro_bias: Sequence[float], accel_bias: Sequence[float], keys: Sequence[str] = ("recording_id",), target_hz: float = 120.0) -> DataFrame:
     """Camera attitudes: biases taken off, about target_hz of the samples fused, turned into the camera's frame."""
-    from isochron.functions import geometry
     from isochron.operators import signal
 
     free = lambda name, bias: F.struct(*((F.col(f"{name}.{a}").cast("double") - b).alias(a) for a, b in zip("xyz", bias, strict=True))).alias(name)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isochron.operators import ordering
+
 
 def step(value: str | Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     """Difference from the row before; null for a key's first row."""
@@ -46,19 +48,24 @@ def onset(rows: DataFrame, keys: Sequence[str], on: str | Sequence[str], value:
     return moved.groupBy(*keys).agg(F.min(F.when(F.col("moved"), F.col(order[0]))).alias("onset"))
 
 
-def upper_median(values: Column, least: int = 0) -> Column:
-    """Element n div 2 of the sorted values (the upper one of two middles); null with `least` values or fewer.
+def upper_median(rows: DataFrame, keys: Sequence[str], value: str, least: int = 0) -> DataFrame:
+    """Per key `upper`, element n div 2 of its sorted values (the upper one of two middles), and their number n.
 
-    A key's values are gathered, so a key must be bounded: a recording's steps, not a whole table's.
+    Null with `least` values or fewer; a key without values has no row. Exact for keys of any size, see `ordering`.
     """
-    ordered = F.sort_array(F.collect_list(values))
-    return F.when(F.size(ordered) > least, F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")))
+    found = ordering.statistics(rows, keys, value, {"upper": "upper"})
+    return found.withColumn("upper", F.when(F.col("n") > least, F.col("upper")))
 
 
 def sample_rate(rows: DataFrame, keys: Sequence[str], on: str) -> DataFrame:
-    """Per key round(1e9 / upper median of the positive steps), from more than 10 steps."""
+    """Per key round(1e9 / upper median of the positive steps), from more than 10 steps; else null."""
     steps = rows.withColumn("step", step(on, keys, [on]))
-    return steps.groupBy(*keys).agg(F.bround(F.lit(1e9) / upper_median(F.when(F.col("step") > 0, F.col("step")), 10)).cast("long").alias("rate_hz"))
+    middle = upper_median(steps.withColumn("step", F.when(F.col("step") > 0, F.col("step"))), keys, "step", 10)
+    found = middle.select(*(F.col(k).alias(f"rate_{k}") for k in keys), F.bround(F.lit(1e9) / F.col("upper")).cast("long").alias("rate_hz"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"rate_{k}"))
+    return rows.select(*keys).distinct().join(found, same, "left").select(*keys, "rate_hz")
 
 
 def _order(on: str | Sequence[str]) -> list[str]:
@@ -67,9 +74,9 @@ def _order(on: str | Sequence[str]) -> list[str]:
 
 
 def islands(rows: DataFrame, keys: Sequence[str], on: str | Sequence[str], breaks: Column) -> DataFrame:
-    """Rows with `island`: how many breaking rows came before; breaking rows themselves are left out."""
+    """Rows with `island`: how many breaking rows came before; breaking rows are left out, an unknown break is none."""
     before = F.coalesce(F.sum(breaks.cast("int")).over(W.partitionBy(*keys).orderBy(*_order(on)).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    return rows.withColumn("island", before.cast("long")).filter(~breaks)
+    return rows.withColumn("island", before.cast("long")).filter(~F.coalesce(breaks, F.lit(False)))
 
 
 def ahead_group(rows: DataFrame, keys: Sequence[str], on: str | Sequence[str], closes: Column) -> DataFrame:
@@ -103,19 +110,20 @@ def smoothed(values: Column, keep: float) -> Column:
 
 
 def percentile_clip(rows: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98, margin: float = 0.5) -> DataFrame:
-    """Rows inside [p_low - margin, p_high + margin] in every column."""
-    bounds = rows.agg(*(F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in columns for n, q in (("low", low), ("high", high))))
-    joined = rows.crossJoin(F.broadcast(bounds))  # one row of bounds
+    """Rows inside [p_low - margin, p_high + margin] in every column, by exact percentiles of the whole table."""
+    joined = rows
     for c in columns:
-        joined = joined.filter((F.col(c) >= F.col(f"{c}_low") - margin) & (F.col(c) <= F.col(f"{c}_high") + margin))
-    return joined.select(*rows.columns)
+        bounds = ordering.statistics(rows, [], c, {"low": low, "high": high}).select(F.col("low").alias("clip_low"), F.col("high").alias("clip_high"))
+        kept = (F.col(c) >= F.col("clip_low") - margin) & (F.col(c) <= F.col("clip_high") + margin)
+        joined = joined.crossJoin(F.broadcast(bounds)).filter(kept).drop("clip_low", "clip_high")  # one row of bounds
+    return joined
 
 
-def trajectory(rows: DataFrame, keys: Sequence[str], order: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+def trajectory(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str], axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Per key: points, path length, displacement, drift in percent of the length, and extents."""
-    moved = [step(a, keys, [order]) for a in axes]
+    moved, last = [step(a, keys, _order(order)) for a in axes], F.struct(*_order(order))
     measured = rows.withColumn("moved", F.sqrt(sum((m * m for m in moved[1:]), moved[0] * moved[0])))
-    ends = [F.max_by(a, order) - F.min_by(a, order) for a in axes]
+    ends = [F.max_by(a, last) - F.min_by(a, last) for a in axes]
     length = F.coalesce(F.sum("moved"), F.lit(0.0))
     displacement = F.sqrt(sum((e * e for e in ends[1:]), ends[0] * ends[0]))
     return measured.groupBy(*keys).agg(
@@ -124,9 +132,10 @@ def trajectory(rows: DataFrame, keys: Sequence[str], order: str, axes: Sequence[
     )
 
 
-def voxels(rows: DataFrame, axes: Sequence[str], size: float, keys: Sequence[str] = ()) -> DataFrame:
-    """One averaged point for each occupied cube of `size`."""
-    cells = [F.floor(F.col(a) / size).alias(f"cell_{a}") for a in axes]
+def voxels(rows: DataFrame, axes: Sequence[str], size: float | Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """One averaged point for each occupied cube of `size`, or box of a size for each axis."""
+    sizes = [size] * len(axes) if isinstance(size, (int, float)) else size
+    cells = [F.floor(F.col(a) / s).alias(f"cell_{a}") for a, s in zip(axes, sizes, strict=True)]
     return rows.groupBy(*keys, *cells).agg(F.count("*").alias("n"), *(F.avg(a).alias(a) for a in axes))
 
 

@@ -28,9 +28,9 @@ def inspected(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("actual_rate_hz", F.try_divide(F.col("samples") - 1, F.col("duration_s")))
 
 
-def channels_per_frame(spark: SparkSession, path: str, fps: float, timeshift_s: float = 0.0, bucket: int | None = None) -> DataFrame:
+def channels_per_frame(spark: SparkSession, path: str, timeshift_s: float = 0.0, bucket: int | None = None) -> DataFrame:
     """Sidecar files to every channel at every frame."""
-    return frames.take_of_sidecars(readers.imu_samples(spark, path), readers.frames(spark, path), readers.vts_headers(spark, path), readers.imu_headers(spark, path), fps, timeshift_s, bucket)
+    return frames.take_of_sidecars(readers.imu_samples(spark, path), readers.frames(spark, path), readers.vts_headers(spark, path), readers.imu_headers(spark, path), timeshift_s, bucket)
 
 
 def attitudes_per_frame(spark: SparkSession, path: str, timeshift_s: float = 0.0, mode: str = "gravity") -> DataFrame:
@@ -48,6 +48,13 @@ def multi_camera(spark: SparkSession, path: str, fps: float) -> DataFrame:
     return frames.camera_grid(timed.filter("global_ns is not null"), fps)
 
 
+def camera_offsets(spark: SparkSession, path: str, fps: float, master: str) -> DataFrame:
+    """Each synced camera's nearest frame on that grid, and how much later than the master's it is."""
+    members = session.largest(readers.recording_meta(spark, path)).select(F.explode("members").alias("recording_id"))
+    timed = clock.global_time(readers.frames(spark, path).join(members, "recording_id", "left_semi"), readers.vts_headers(spark, path), KEYS)
+    return frames.camera_offsets(timed.filter("global_ns is not null"), fps, master)
+
+
 def dropped_frames(spark: SparkSession, path: str) -> DataFrame:
     """Gaps of each recording's frames against the nominal step of its header."""
     timed = clock.best_time(readers.frames(spark, path), KEYS).join(readers.vts_headers(spark, path).select(*KEYS, "frame_rate_milli"), KEYS)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions import scalar
-from isochron.operators import asof, clock, frames, matching, session, signal
+from isochron.operators import asof, clock, frames, matching, ordering, session, signal
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Time buckets that long series are split by in as-of joins.
@@ -122,8 +122,8 @@ m AS (SELECT c.event_id, sum(x.cents) AS s, count(*) AS n FROM c JOIN x ON c.use
 SELECT event_id FROM m WHERE s <= 5000 * n""")
 def motion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = events(spark, sf_dir, "click").select("event_id", "user_id", "t")
-    met = asof.between(left, events(spark, sf_dir, "error").select("user_id", "t", "cents"), ["user_id"], "t", DAY, ["cents"])
-    return met.groupBy("event_id").agg(F.sum("sample_cents").alias("s"), F.count("sample_t").alias("n")).filter("n > 0 and s <= 5000 * n").select("event_id")
+    right = events(spark, sf_dir, "error").select("user_id", "t", F.struct(F.col("cents").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")).alias("gyro"))
+    return frames.calm(left, right, ["user_id"], "t", DAY, 5000).select("event_id")
 
 
 @query(f"""WITH e AS ({E}), r AS (SELECT event_type, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1), o AS (SELECT max(lo) AS lo, min(hi) AS hi FROM r),
@@ -138,6 +138,17 @@ def grid_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("t").agg(F.count("match").alias("n"), (F.max("match.t") - F.min("match.t")).alias("spread_us"))
 
 
+@query(f"""WITH e AS ({E}), r AS (SELECT event_type, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1), o AS (SELECT max(lo) AS lo, min(hi) AS hi FROM r),
+g AS (SELECT unnest(generate_series(lo, hi, {DAY // 2})) AS t FROM o), k AS (SELECT g.t, r.event_type FROM g, r), s AS (SELECT DISTINCT event_type, t FROM e),
+b AS (SELECT k.*, s.t AS bt FROM k ASOF LEFT JOIN s ON k.event_type = s.event_type AND k.t >= s.t), a AS (SELECT b.*, s.t AS aft FROM b ASOF LEFT JOIN s ON b.event_type = s.event_type AND b.t <= s.t),
+n AS (SELECT t, event_type, CASE WHEN aft IS NULL OR (bt IS NOT NULL AND t - bt <= aft - t) THEN bt ELSE aft END AS mt FROM a)
+SELECT n.t AS global_ns, n.event_type AS recording_id, n.mt - m.mt AS offset_ns FROM n JOIN n m ON n.t = m.t AND m.event_type = 'purchase'""")
+def grid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream's distance from the master's sample at every second half-day of the common time."""
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("recording_id"), F.col("t").alias("global_ns"), F.col("event_id").alias("frame_idx"))
+    return frames.camera_offsets(rows, 1e9 / (DAY // 2), "purchase", BUCKET).select("global_ns", "recording_id", "offset_ns")
+
+
 @query(f"WITH e AS ({E}), r AS (SELECT event_type, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1) SELECT max(lo) AS low, min(hi) AS high FROM r")
 def overlap_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.common_range(events(spark, sf_dir), "event_type", "t")
@@ -148,14 +159,12 @@ _STEPS = f"WITH e AS ({E}), s AS (SELECT *, t - lag(t) OVER (PARTITION BY user_i
 
 @query(_STEPS + " SELECT user_id, count(*) AS n, max(t) - min(t) AS span, CAST(sum(d) AS DOUBLE) / count(d) AS mean_step, quantile_cont(d, 0.5) AS median_step FROM s GROUP BY 1")
 def diff_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = events(spark, sf_dir).withColumn("step", signal.step("t", ["user_id"], ["t"]))
-    return steps.groupBy("user_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"), (F.sum("step").cast("double") / F.count("step")).alias("mean_step"), F.median("step").alias("median_step"))
+    return signal.cadence(events(spark, sf_dir), ["user_id"], "t").select("user_id", "n", "span", "mean_step", "median_step")
 
 
 @query("WITH e AS (" + E + "), s AS (SELECT user_id, CAST(stddev_pop(d / 1e6) AS DOUBLE) AS sd FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS d FROM e) GROUP BY 1) SELECT user_id, CAST(round(sd * 1000) AS BIGINT) AS std_ms FROM s")
 def cadence_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = events(spark, sf_dir).withColumn("step", signal.step("t", ["user_id"], ["t"]) / 1e6)
-    return steps.groupBy("user_id").agg(F.round(F.stddev_pop("step") * 1000).cast("long").alias("std_ms"))
+    return signal.cadence(events(spark, sf_dir), ["user_id"], "t").select("user_id", F.round(F.col("std_step") / 1000).cast("long").alias("std_ms"))
 
 
 @query(_STEPS + ", m AS (SELECT user_id, quantile_cont(d, 0.5) AS nominal FROM s GROUP BY 1) SELECT event_id, s.user_id, d AS step FROM s JOIN m USING (user_id) WHERE d > nominal * 1.5")
@@ -170,13 +179,14 @@ def onset_first_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STEPS + ", l AS (SELECT user_id, list_sort(list(d) FILTER (d > 0)) AS x FROM s GROUP BY 1) SELECT user_id, x[len(x) // 2 + 1] AS upper_median FROM l WHERE len(x) > 10")
 def upper_median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = events(spark, sf_dir).withColumn("step", signal.step("t", ["user_id"], ["t"]))
-    return steps.groupBy("user_id").agg(signal.upper_median(F.when(F.col("step") > 0, F.col("step")), 10).alias("upper_median")).filter("upper_median is not null")
+    steps = events(spark, sf_dir).withColumn("step", signal.step("t", ["user_id"], ["t"])).filter("step > 0")
+    return signal.upper_median(steps, ["user_id"], "step", 10).filter("upper is not null").select("user_id", F.col("upper").alias("upper_median"))
 
 
 @query(f"WITH e AS ({E}) SELECT event_type, " + ", ".join(f"CAST(round(quantile_cont(cents, {q}) * 1000) AS BIGINT) AS {n}" for n, q in PERCENTILES) + " FROM e GROUP BY 1")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type").agg(*(F.round(F.percentile("cents", F.lit(q)) * 1000).cast("long").alias(n) for n, q in PERCENTILES))
+    found = ordering.statistics(events(spark, sf_dir), ["event_type"], "cents", dict(PERCENTILES))
+    return found.select("event_type", *(F.round(F.col(n) * 1000).cast("long").alias(n) for n, _ in PERCENTILES))
 
 
 @query("WITH b AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events) SELECT event_id, value FROM events, b WHERE value BETWEEN lo - 0.5 AND hi + 0.5")
@@ -246,8 +256,8 @@ s AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY o_custkey ORDER BY o_orderdate
 SELECT o_custkey, count(*) AS n, CAST(coalesce(sum(d), 0) AS BIGINT) AS path_length, max(x) - min(x) AS extent FROM s GROUP BY 1""")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("x"))
-    moved = rows.withColumn("d", F.abs(signal.step("x", ["o_custkey"], ["o_orderdate", "o_orderkey"])))
-    return moved.groupBy("o_custkey").agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("path_length"), (F.max("x") - F.min("x")).alias("extent"))
+    whole = signal.trajectory(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["x"])
+    return whole.select("o_custkey", "n", F.col("path_length").cast("long").alias("path_length"), F.col("extent_x").alias("extent"))
 
 
 @query(f"WITH e AS ({E}), n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS row_idx FROM e) SELECT event_id, row_idx FROM n WHERE row_idx % 5 = 0")
@@ -295,9 +305,8 @@ def semi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH l AS (SELECT CAST(floor(l_quantity / 5.0) AS BIGINT) AS cell_q, CAST(floor(l_extendedprice / 10000.0) AS BIGINT) AS cell_p, CAST(round(l_quantity) AS BIGINT) AS q FROM lineitem) SELECT cell_q, cell_p, count(*) AS n, CAST(sum(q) AS DOUBLE) / count(*) AS mean_quantity FROM l GROUP BY 1, 2")
 def downsample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_extendedprice")
-    cells = rows.groupBy(F.floor(F.col("l_quantity") / 5.0).alias("cell_q"), F.floor(F.col("l_extendedprice") / 10000.0).alias("cell_p"))
-    return cells.agg(F.count("*").alias("n"), (F.sum(F.round("l_quantity").cast("long")).cast("double") / F.count("*")).alias("mean_quantity"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("p"))
+    return signal.voxels(rows, ["q", "p"], [5.0, 10000.0]).select("cell_q", "cell_p", "n", F.col("q").alias("mean_quantity"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0.5 AND 700 * 0.12 / l_quantity BETWEEN 2.0 AND 40.0 THEN 700 * 0.12 / l_quantity END AS depth_m FROM lineitem")

@@ -313,3 +313,109 @@ def fisheye_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = F.array(*(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), c) for c in (F.col("q"), F.col("n"), F.lit(2.0))))
     micro = lambda c: F.round(c * 1e6).cast("long")
     return ray.select("l_orderkey", "l_linenumber", micro(F.col("r.x")).alias("x_micro"), micro(F.col("r.y")).alias("y_micro"), micro(geometry.baseline(placed)).alias("baseline_micro"), scalar.frame_rate(F.col("l_orderkey")).alias("fps"))
+
+
+_TILTED = """WITH RECURSIVE e AS (SELECT event_id, user_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 200 AS ts, value, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+k AS (SELECT user_id, ts, value / 400 AS gx, (c % 7) / 10.0::DOUBLE AS gz, (c % 5 - 2) / 2.0::DOUBLE AS ax, (event_id % 3 - 1) / 2.0::DOUBLE AS ay, 9.0::DOUBLE AS az, 20 + c % 7 AS mx, event_id % 5 AS my, -30 AS mz FROM e QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS nth FROM k),"""
+
+
+def _tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples most of whose steps move: times a two-hundredth of the events', a tilted accelerometer, a field."""
+    rows = events(spark, sf_dir)
+    k, c = F.col("event_id"), F.col("cents")
+    xyz = lambda *v: F.struct(*(x.cast("double").alias(a) for a, x in zip("xyz", v, strict=True)))
+    sample = F.struct(xyz(F.col("value") / 400, F.lit(0), c % 7 / F.lit(10.0)).alias("gyro"), xyz((c % 5 - 2) / F.lit(2.0), (k % 3 - 1) / F.lit(2.0), F.lit(9)).alias("accel"), xyz(20 + c % 7, k % 5, F.lit(-30)).alias("mag"))
+    late = F.floor((F.col("t") - F.min("t").over(W.partitionBy("user_id"))) / 200).cast("long")
+    return rows.select(F.col("user_id").alias("recording_id"), late.alias("ts_ns"), "event_id", sample.alias("s")).groupBy("recording_id", "ts_ns").agg(F.min_by("s", "event_id").alias("s")).select("recording_id", "ts_ns", "s.*")
+
+
+def _turns(source: str) -> str:
+    """DuckDB CTE s: samples in order with their step in seconds."""
+    return f" s AS (SELECT *, row_number() OVER w AS i, (ts - lag(ts) OVER w) / 1e9::DOUBLE AS dt FROM {source} WINDOW w AS (PARTITION BY user_id ORDER BY ts)),"
+
+
+#: Seed from the accelerometer by two angles, and half the product of attitude and turn rate.
+_SEED = "cos(b / 2) * cos(r / 2) AS w, cos(b / 2) * sin(r / 2) AS x, sin(b / 2) * cos(r / 2) AS y, -sin(b / 2) * sin(r / 2) AS z FROM (SELECT *, atan2(ay, az) AS r, atan2(-ax, sqrt(ay * ay + az * az)) AS b FROM s WHERE i = 1)"
+_SPEED = {"w": "-x * gx - z * gz", "x": "w * gx + y * gz", "y": "z * gx - x * gz", "z": "w * gz - y * gx"}
+_PULL = {"w": "2 * x * f2 - 2 * y * f1", "x": "2 * z * f1 + 2 * w * f2 - 4 * x * f3", "y": "2 * z * f2 - 2 * w * f1 - 4 * y * f3", "z": "2 * x * f1 + 2 * y * f2"}
+
+
+def _filtered(pull: dict[str, str], gain: float, inner: str, seed: str) -> str:
+    """DuckDB CTE q: a filter's attitudes; `inner` adds to each step what the pull's formulas name."""
+    moved = ", ".join(f"CASE WHEN dt > 0 AND dt <= 0.5 THEN {c} + dt * (0.5 * ({_SPEED[c]}) - CASE WHEN m > 1e-9 THEN {gain} * s_{c} / m ELSE 0 END) ELSE {c} END AS {c}" for c in "wxyz")
+    pulls = ", ".join(f"{v} AS s_{c}" for c, v in pull.items())
+    return f""" q AS ({seed} UNION ALL SELECT user_id, ts, i, w / l, x / l, y / l, z / l FROM (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS l FROM (SELECT user_id, ts, i, {moved}
+ FROM (SELECT *, sqrt(s_w * s_w + s_x * s_x + s_y * s_y + s_z * s_z) AS m FROM (SELECT *, {pulls} FROM ({inner}))))))"""
+
+
+_STEP = "SELECT s.*, q.w, q.x, q.y, q.z, sqrt(ax * ax + ay * ay + az * az) AS la FROM q JOIN s ON s.user_id = q.user_id AND s.i = q.i + 1"
+_GRAVITY = _filtered(_PULL, 0.08, f"SELECT *, 2 * (x * z - w * y) - ax / la AS f1, 2 * (y * z + w * x) - ay / la AS f2, 1 - 2 * (x * x + y * y) - az / la AS f3 FROM ({_STEP})", f"SELECT user_id, ts, i, {_SEED}")
+
+
+@query(_TILTED + _turns("p") + """ q AS (SELECT user_id, ts, i, 1.0::DOUBLE AS w, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM s WHERE i = 1 UNION ALL
+ SELECT s.user_id, s.ts, s.i, CASE WHEN go THEN q.w * c - q.x * a - q.z * b ELSE q.w END, CASE WHEN go THEN q.w * a + q.x * c + q.y * b ELSE q.x END, CASE WHEN go THEN q.y * c + q.z * a - q.x * b ELSE q.y END, CASE WHEN go THEN q.w * b + q.z * c - q.y * a ELSE q.z END
+ FROM q JOIN (SELECT *, cos(h / 2) AS c, gx * dt * sin(h / 2) / h AS a, gz * dt * sin(h / 2) / h AS b, dt > 0 AND dt <= 0.5 AND h >= 1e-10 AS go FROM (SELECT *, sqrt(gx * gx + gz * gz) * dt AS h FROM s)) s ON s.user_id = q.user_id AND s.i = q.i + 1) """ + _MICRO)
+def gyro_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn rates integrated by the scan in blocks of two seconds; three steps of four move."""
+    return _micro(fusion.gyro_scan(_tilted(spark, sf_dir), ["recording_id"], 2_000_000_000))
+
+
+@query(_TILTED + _turns("p") + _GRAVITY + _MICRO)
+def gravity_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(fusion.attitudes(_tilted(spark, sf_dir), mode="gravity"))
+
+
+_THIN = "t AS (SELECT user_id, ts, gx - 0.01 AS gx, gz + 0.02 AS gz, ax - 0.1 AS ax, ay + 0.2 AS ay, az - 0.3 AS az FROM p WHERE nth % 3 = 0),"
+
+
+@query(_TILTED + _THIN + _turns("t") + _GRAVITY + """ SELECT user_id AS recording_id, ts AS ts_ns, CAST(round((x + z - w - y) / 2 * 1e6) AS BIGINT) AS qx, CAST(round((x + y - w - z) / 2 * 1e6) AS BIGINT) AS qy,
+CAST(round((y + z - w - x) / 2 * 1e6) AS BIGINT) AS qz, CAST(round((w + x + y + z) / 2 * 1e6) AS BIGINT) AS qw FROM q""")
+def camera_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera a third of a turn from the sensor, whose biases are taken off every third sample."""
+    rows = fusion.camera_attitudes(_tilted(spark, sf_dir), 400.0, (0.5, 0.5, 0.5, 0.5), (0.01, 0.0, -0.02), (0.1, -0.2, 0.3))
+    return _micro(rows.select("recording_id", "ts_ns", *(F.col(f"q.{c[1]}").alias(c) for c in fusion.TURN)))
+
+
+_ROWS = {"w": (("0", "-2 * z", "2 * y"), ("-2 * y", "2 * x", "0")), "x": (("0", "2 * y", "2 * z"), ("2 * z", "2 * w", "-4 * x")), "y": (("-4 * y", "2 * x", "2 * w"), ("-2 * w", "2 * z", "-4 * y")), "z": (("-4 * z", "-2 * w", "2 * x"), ("2 * x", "2 * y", "0"))}
+_FIELD_PULL = {c: " + ".join(f"({low[j]}) * a{j} + (fx * ({top[j]}) + fz * ({low[j]})) * m{j}" for j in range(3)) for c, (top, low) in _ROWS.items()}
+_MATRIX = "1 - 2 * (y * y + z * z) AS r11, 2 * (x * y - w * z) AS r12, 2 * (x * z + w * y) AS r13, 2 * (x * y + w * z) AS r21, 1 - 2 * (x * x + z * z) AS r22, 2 * (y * z - w * x) AS r23, 2 * (x * z - w * y) AS r31, 2 * (y * z + w * x) AS r32, 1 - 2 * (x * x + y * y) AS r33"
+_ERRORS = f"""SELECT *, r31 - ax / la AS a0, r32 - ay / la AS a1, r33 - az / la AS a2, fx * r11 + fz * r31 - ux AS m0, fx * r12 + fz * r32 - uy AS m1, fx * r13 + fz * r33 - uz AS m2 FROM (
+ SELECT *, sqrt(pow(r11 * ux + r12 * uy + r13 * uz, 2) + pow(r21 * ux + r22 * uy + r23 * uz, 2)) AS fx, r31 * ux + r32 * uy + r33 * uz AS fz FROM (
+ SELECT *, {_MATRIX}, mx / sqrt(mx * mx + my * my + mz * mz) AS ux, my / sqrt(mx * mx + my * my + mz * mz) AS uy, mz / sqrt(mx * mx + my * my + mz * mz) AS uz FROM ({_STEP})))"""
+_NORTH = f"""SELECT user_id, ts, i, cos(o) * w - sin(o) * z AS w, cos(o) * x - sin(o) * y AS x, cos(o) * y + sin(o) * x AS y, cos(o) * z + sin(o) * w AS z FROM (
+ SELECT *, -atan2(r21 * mx + r22 * my + r23 * mz, r11 * mx + r12 * my + r13 * mz) / 2 AS o FROM (SELECT *, {_MATRIX} FROM (SELECT *, {_SEED})))"""
+
+
+@query(_TILTED + _turns("p") + _filtered(_FIELD_PULL, 0.041, _ERRORS, _NORTH) + _MICRO)
+def field_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine axes: gravity and the direction of the horizontal field."""
+    return _micro(fusion.attitudes(_tilted(spark, sf_dir), mode="field"))
+
+
+@query(_AROUND + f""", k AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT event_id, CAST(CAST(CASE WHEN k.n IS NULL THEN NULL WHEN k.n < 2 THEN 0 WHEN bt IS NULL THEN ac WHEN aft IS NULL OR bt = t THEN bc ELSE bc + (ac - bc) * ({_SHARE}) END AS FLOAT) AS DOUBLE) AS accel_x,
+CAST(CAST(CASE WHEN k.n IS NULL THEN NULL WHEN k.n < 2 THEN 0 WHEN bt IS NULL THEN ac % 7 WHEN aft IS NULL OR bt = t THEN bc % 7 ELSE bc % 7 + (ac % 7 - bc % 7) * ({_SHARE}) END AS FLOAT) AS DOUBLE) AS quat_w, CAST(NULL AS DOUBLE) AS mag_x FROM a LEFT JOIN k USING (user_id)""")
+def imu_at_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as frames, purchases as samples: channels interpolated, zeros for one sample, nulls for channels that are missing."""
+    left, right = _sides(spark, sf_dir)
+    value = F.col("cents").cast("double")
+    samples = right.select("user_id", F.col("t").alias("ts_ns"), F.struct(value.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")).alias("accel"), F.expr("cast(null as struct<x:double,y:double,z:double>)").alias("mag"), geometry.quat(0.0, 0.0, 0.0, (F.col("cents") % 7).cast("double")).alias("quat"))
+    out = frames.imu_at_frames(samples, left.withColumnRenamed("t", "time_ns"), ["user_id"], 7 * DAY, ("accel", "mag", "quat"))
+    return out.select("event_id", F.col("accel.x").cast("double").alias("accel_x"), F.col("quat.w").cast("double").alias("quat_w"), F.col("mag.x").cast("double").alias("mag_x"))
+
+
+@query(_N + """, f AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 12 ELSE 6 END AS k, 40 + user_id % 50 AS d FROM n), g AS (SELECT *, 1000000000 + i * 2500000 AS ts, count(*) FILTER (i % k = 0) OVER (PARTITION BY user_id) AS pulses FROM f)
+SELECT user_id AS recording_id, i // k AS frame_idx, ts - d * 1000 AS pulse_ns FROM g WHERE i % k = 0 AND pulses >= 2 AND user_id % 5 > 0""")
+def pulse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by their pulses in files of two frame rates; each fifth recording says that it has no frame sync."""
+    k = F.when(F.col("user_id") % 2 == 0, 12).otherwise(6)
+    rows = _numbered(spark, sf_dir).select(F.col("user_id").alias("recording_id"), "user_id", "event_id", "i", k.alias("k"), (1_000_000_000 + F.col("i") * 2_500_000).alias("ts_ns"))
+    pulse = F.col("i") % F.col("k") == 0
+    late = 40 + F.col("user_id") % 50
+    samples = rows.select("recording_id", "ts_ns", F.when(pulse, late).otherwise(0).cast("float").alias("fsync_delay_us"))
+    seen = rows.filter(pulse).select("recording_id", F.floor(F.col("i") / F.col("k")).alias("frame_idx"), (F.col("ts_ns") - late * 1000 + (F.col("event_id") % 7 - 3) * 100_000).alias("best_ns"))
+    files = rows.select("recording_id", "user_id", "k").distinct()
+    headers = files.select("recording_id", F.when(F.col("user_id") % 5 > 0, 1).otherwise(0).alias("flags"))
+    rates = files.select("recording_id", (F.lit(400.0) / F.col("k")).alias("fps"))
+    return frames.pulse_times(samples, seen, headers, rates, ["recording_id"])

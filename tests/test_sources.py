@@ -67,7 +67,7 @@ def test_side_channel_files(spark):
 def test_channels_at_frames(spark, folder):
     path = str(folder)
     samples = readers.imu_samples(spark, path)
-    got = frame_ops.take_of_sidecars(samples, readers.frames(spark, path).filter("recording_id = 'left'"), readers.vts_headers(spark, path), readers.imu_headers(spark, path), 30.0).orderBy("frame_idx").collect()
+    got = frame_ops.take_of_sidecars(samples, readers.frames(spark, path).filter("recording_id = 'left'"), readers.vts_headers(spark, path), readers.imu_headers(spark, path)).orderBy("frame_idx").collect()
     columns = imu_columns(200)
     times = np.arange(10) * 33_000_000 + 1_000_000
     want = np.interp(times, columns["ts_ns"], columns["accel"][:, 1].astype(float)).astype(np.float32)
@@ -101,7 +101,7 @@ def test_plans(spark, folder):
     path = str(folder)
     row = takes.inspected(spark, path).first()
     assert row["samples"] == 200 and row["accel_range"] == "±2 g" and row["actual_rate_hz"] == pytest.approx(400)
-    assert takes.channels_per_frame(spark, path, 30.0).filter("recording_id = 'left'").count() == 10
+    assert takes.channels_per_frame(spark, path).filter("recording_id = 'left'").count() == 10
     assert takes.attitudes_per_frame(spark, path).filter("recording_id = 'left' and abs(q.x*q.x + q.y*q.y + q.z*q.z + q.w*q.w - 1) < 1e-9").count() == 10
     report = {r["recording_id"]: r for r in takes.cadence_report(spark, path).collect()}
     assert report["left"]["mean_ms"] == pytest.approx(33.0) and report["left"]["std_ms"] == pytest.approx(0, abs=1e-9)
