@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from isochron.operators import fusion
+from isochron.operators import asof, fusion
 
 
 def chunk_files(spark: SparkSession, path: str, pattern: str, per_trigger: int = 100) -> DataFrame:
@@ -24,7 +24,7 @@ def chunk_files(spark: SparkSession, path: str, pattern: str, per_trigger: int =
 
 def with_event_time(rows: DataFrame, ts_ns: str = "ts_ns", late: str = "10 seconds") -> DataFrame:
     """Rows with event_time and its watermark."""
-    return rows.withColumn("event_time", F.timestamp_micros(F.col(ts_ns) / 1000)).withWatermark("event_time", late)
+    return rows.withColumn("event_time", F.timestamp_micros(asof.floor_div(ts_ns, 1000))).withWatermark("event_time", late)
 
 
 def windowed(rows: DataFrame, key: str, value: str, length: str = "1 second", slide: str | None = None) -> DataFrame:
