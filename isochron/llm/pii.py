@@ -1,14 +1,16 @@
 """Personal data: surrogate generation, in DataFrame operations only.
 
-One expression finds the entities (e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs, social
-security numbers, secrets and titled names); a text is split around them and each gets a surrogate derived from
+One expression finds the entities (e-mail addresses, phone numbers, IPv4, IPv6 and MAC addresses, payment cards, IBANs,
+social security numbers, secrets and titled names of up to three words and particles); a text is split around them and each gets a surrogate derived from
 sha2(key, type, canonical form, attempt): the same entity gets the same surrogate everywhere (coreference), whatever its
 spelling's case or separators, and the surrogate keeps the type's format: separators, country code, digits, letter case,
 hexadecimal alphabet, the check digits of cards and IBANs, IPv4 form, and for names the script and the person's gender.
 
 Names are two entities: the family name, so that 'Mr Doe' and 'Ms Jane Doe' stay one family, and the given name within
 its family. A person's gender is what all their titles in the table say; where they say both or none, it is neutral. In
-a text that names somebody with a title, later mentions of the full or the family name alone are replaced as well.
+a text that names somebody with a title, mentions of the full or the family name alone are replaced as well, in capitals
+too; a name that is a plain word (PLAIN) is replaced only with its title. A title before an office or the like (NOT_NAMES)
+is none.
 
 Collision checks: all distinct entities of the table are assigned attempt 0; while two entities of one type share a
 surrogate, or a surrogate is itself an entity of the table, all but the first of them take the next attempt. The
@@ -54,6 +56,12 @@ SYLLABLES = {
     "cyrillic": ("ба", "вел", "гор", "да", "зан", "ка", "лен", "мор", "на", "пол", "ра", "сер", "та", "фе", "ха", "шан"),
     "greek": ("βα", "γε", "δη", "θα", "κα", "λε", "μα", "νι", "πα", "ρο", "σα", "τε", "φι", "χα", "ψη", "ζα"),
 }
+#: What a title may stand before that is no name, and words that are left alone where they stand without one.
+NOT_NAMES = ("President", "Chairman", "Chairwoman", "Speaker", "Minister", "Chancellor", "Ambassador", "Secretary", "Justice", "Mayor", "Universe", "World", "America", "Who", "Right", "Wrong", "Perfect")
+PLAIN = ("will", "may", "can", "might", "must", "who", "what", "when", "where", "why", "how", "which", "the", "this", "that", "and", "but", "for", "not", "you", "she", "they", "have", "has", "was", "are", "is", "it", "in", "on", "so", "long", "short", "small", "young", "old", "new", "good", "best", "white", "black", "brown", "green", "gray", "rose", "hope", "grace", "faith", "joy", "dawn", "summer", "april", "june", "august", "mark", "bill", "art", "rich", "frank", "king", "queen", "prince", "day", "may", "street", "house", "church", "president", "minister")
+#: Lower-case words inside a name.
+_particle = "(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|al|ter|zu|zum)"
+_word = r"\p{Lu}[\p{L}'\-]+"
 _titles = "|".join(t for group in TITLES.values() for t in sorted(group, key=len, reverse=True))
 _initials = "".join(sorted({t[0] for group in TITLES.values() for t in group}))
 #: Java regular expressions by type, in order of precedence. None repeats a group without bound: that would recurse.
@@ -62,10 +70,12 @@ ENTITIES = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{1,4}(?:[ \-]?[0-9]{1,3})?(?![0-9A-Za-z])",
+    "mac": r"(?<![0-9A-Za-z:\-])(?:[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Za-z:\-])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]{4,39}(?![0-9A-Za-z:]))[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])(?!\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,5}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-/][0-9]{2,5}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{7,15}(?![0-9A-Za-z])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp])[_\-][A-Za-z0-9_\-]{16,100}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
-    "name": rf"(?=[{_initials}])(?<![\p{{L}}])(?:{_titles})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"(?=[{_initials}])(?<![\p{{L}}])(?:{_titles})\.? {_word}(?:(?: {_particle}){{0,2}} {_word}){{0,2}}",
 }
 #: A phone number has at least this many digits, and is neither a date nor a number in groups of three.
 PHONE_DIGITS = 8
@@ -86,6 +96,8 @@ def kind_of(entity: Column) -> Column:
         whole = entity.rlike(rf"^(?:{pattern})$")
         if name == "phone":
             whole &= (F.length(F.regexp_replace(entity, "[^0-9]", "")) >= PHONE_DIGITS) & ~entity.rlike(NO_PHONE)
+        if name == "name":
+            whole &= ~untitled(entity).isin(*NOT_NAMES)
         out = F.when(whole, F.lit(name)).otherwise(out)
     return out
 
@@ -96,6 +108,8 @@ def canonical(kind: Column, entity: Column) -> Column:
         F.when(kind == "email", F.lower(entity))
         .when(kind.isin("card", "iban", "ssn"), F.regexp_replace(entity, r"[ \-]", ""))
         .when(kind == "phone", F.regexp_replace(entity, r"[^0-9+]", ""))
+        .when(kind == "mac", F.lower(F.regexp_replace(entity, r"[:\-]", "")))
+        .when(kind == "ipv6", F.regexp_replace(F.lower(entity), r"(?<![0-9a-f])0+(?=[0-9a-f])", ""))
         .when(kind == "name", F.lower(F.regexp_replace(entity, rf"^(?:{_titles})\.? ", "")))
         .otherwise(entity)
     )
@@ -110,9 +124,9 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _pick(h: Column, at: int, options: Column) -> Column:
+def _pick(h: Column, at: int | Column, options: Column) -> Column:
     """One of the options by two hexadecimal digits of h."""
-    return F.element_at(options, F.pmod(F.conv(F.substring(h, at, 2), 16, 10).cast("int"), F.size(options)) + 1)
+    return F.element_at(options, F.pmod(F.conv(F.substring(h, at, F.lit(2) if isinstance(at, Column) else 2), 16, 10).cast("int"), F.size(options)) + 1)
 
 
 def _mapped(entity: Column, stream: Column, first: int = 0) -> Column:
@@ -149,6 +163,15 @@ def _ip(h: Column) -> Column:
     return F.concat_ws(".", (240 + F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 15).cast("string"), part(2), part(4), part(6))
 
 
+def _hexed(h: Column, entity: Column, first: str) -> Column:
+    """New hexadecimal digits in the places and the case of the old ones, but for the first two, which are given."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Fa-f]", ""))
+    # As many digits in all as the hash has, at most; a group's first one is no zero, so that spellings stay as long.
+    one = lambda c, i: F.when(~c.rlike("[0-9A-Fa-f]"), c).otherwise(_let(place(i), lambda p: F.when(p <= 2, F.substring(F.lit(first), p, F.lit(1))).otherwise(F.translate(F.substring(h, p, F.lit(1)), "0", "1"))))
+    made = F.array_join(F.transform(F.split(entity, ""), one), "")
+    return F.when(entity.rlike("[A-F]"), F.upper(made)).otherwise(made)
+
+
 def _number(h: Column, entity: Column, stem: Column) -> Column:
     """New digits in the places of the old ones but for a calling code; numbers that differ in separators agree."""
     code = F.greatest(F.length(F.regexp_extract(stem, CODES, 0)) - 1, F.lit(0))
@@ -176,10 +199,12 @@ def _styled(new: Column, old: Column) -> Column:
 
 
 def _given(h: Column, name: Column, gender: Column, attempt: Column) -> Column:
-    """A given name of the script and gender; later attempts have two or three, so that no family runs out of them."""
+    """A given name of the script and gender for each one; later attempts join two or three, so that no family runs out."""
     options = F.create_map(*(x for (which, sex), names in GIVEN.items() for x in (F.lit(f"{which} {sex}"), F.array(*map(F.lit, names)))))
     chosen = lambda names: F.concat_ws("-", _pick(h, 1, names), F.when(attempt >= 4, _pick(h, 21, names)), F.when(attempt >= 12, _pick(h, 31, names)))
-    return _styled(_let(F.element_at(options, F.concat_ws(" ", _script(name), gender)), chosen), name)
+    words = F.split(name, " ")
+    more = lambda names: F.transform(F.slice(words, 2, 8), lambda w, i: F.when(w.rlike(r"^\p{Lu}"), _pick(h, F.lit(41) + 2 * i, names)).otherwise(w))
+    return _styled(_let(F.element_at(options, F.concat_ws(" ", _script(name), gender)), lambda names: F.concat_ws(" ", F.array(chosen(names)), more(names))), name)
 
 
 def _family(h: Column, name: Column) -> Column:
@@ -209,6 +234,8 @@ def surrogate(kind: Column, entity: Column, stem: Column, gender: Column, attemp
     made = lambda h: (
         F.when(kind == "email", _email(h, stem))
         .when(kind == "ip", _ip(h))
+        .when(kind == "mac", _hexed(h, entity, "02"))
+        .when(kind == "ipv6", _hexed(h, entity, "fd"))
         .when(kind == "card", _luhn(_number(h, entity, stem)))
         .when(kind.isin("phone", "ssn"), _number(h, entity, stem))
         .when(kind == "family", _family(h, entity))
@@ -227,10 +254,10 @@ def entities(text: str = "text") -> Column:
 
 
 def components(e: Column) -> Column:
-    """array<struct<kind, stem, entity>>: an entity by itself, a name as its family name and, where it has one, its given name."""
+    """array<struct<kind, stem, entity>>: an entity by itself, a name as its family name and, where it has one, all before it."""
     rest = untitled(e["entity"])
     family = F.struct(F.lit("family").alias("kind"), F.element_at(F.split(e["stem"], " "), -1).alias("stem"), F.element_at(F.split(rest, " "), -1).alias("entity"))
-    given = F.struct(F.lit("given").alias("kind"), e["stem"].alias("stem"), F.element_at(F.split(rest, " "), 1).alias("entity"))
+    given = F.struct(F.lit("given").alias("kind"), e["stem"].alias("stem"), F.regexp_replace(rest, r" [^ ]+$", "").alias("entity"))
     alone = F.array(F.struct(e["kind"].alias("kind"), e["stem"].alias("stem"), e["entity"].alias("entity")))
     return F.when(e["kind"] != "name", alone).when(rest.contains(" "), F.array(family, given)).otherwise(F.array(family))
 
@@ -306,10 +333,16 @@ def replace(docs: DataFrame, key: str, text: str = "text", chars: str | None = N
     real = F.filter("pii_found", lambda e: e["kind"].isNotNull())
     marked = marked.withColumn("pii_new", F.when(F.size(real) > 0, replaced))
 
-    # What a text's titled names are called elsewhere in it: the full and the family name.
-    aliases = lambda e, new: F.array(F.struct(untitled(e["entity"]), named(new)), F.struct(F.element_at(F.split(untitled(e["entity"]), " "), -1), F.element_at(new, 1)))
+    # What a text's titled names are called elsewhere in it: the full and the family name, as written, in capitals, and as
+    # usual where they are written in capitals. What is made of a form depends on form and stem alone.
+    aliases = lambda f, new: F.array(F.struct(f.alias("called"), named(new).alias("new")), F.struct(F.element_at(F.split(f, " "), -1).alias("called"), F.element_at(new, 1).alias("new")))
+    forms = lambda e: _let(untitled(e["entity"]), lambda f: F.array_distinct(F.array(f, F.upper(f), F.when(f == F.upper(f), F.initcap(f)).otherwise(f))))
+    of_form = lambda e, f: F.transform(components(F.struct(e["kind"].alias("kind"), f.alias("entity"), e["stem"].alias("stem"))), lambda c: part(c, titled_gender(e["entity"])))
+    called = lambda e: F.flatten(F.transform(forms(e), lambda f: _let(of_form(e, f), lambda new: aliases(f, new))))
     people = F.filter("pii_found", lambda e: e["kind"] == "name")
-    marked = marked.withColumn("pii_names", F.when(F.size(people) > 0, F.map_from_entries(F.array_distinct(F.flatten(F.transform(people, lambda e: _let(made(e), lambda new: aliases(e, new))))))))
+    elsewhere = F.filter(F.array_distinct(F.flatten(F.transform(people, called))), lambda a: ~F.lower(a["called"]).isin(*PLAIN))
+    marked = marked.withColumn("pii_names", F.when(F.size(people) > 0, F.map_from_entries(elsewhere)))
+    marked = marked.withColumn("pii_names", F.when(F.size("pii_names") > 0, F.col("pii_names")))
     longest = F.array_sort(F.map_keys("pii_names"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     marked = marked.withColumn("pii_pattern", F.when(F.col("pii_names").isNotNull(), F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))))
 

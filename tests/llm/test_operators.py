@@ -530,3 +530,29 @@ def test_quotation_counts_apart():
     lookup = toxicity.Model({"idiot": 2.0}, {}, {"idiot"}).lookup()
     quoted, plain = toxicity.features('he said "idiot" once', lookup), toxicity.features("you idiot there", lookup)
     assert quoted[4] > 0 and quoted[0] == 0 and plain[0] > 0 and plain[4] == 0
+
+
+def test_surrogates_of_long_names_and_plain_words(spark):
+    """Names of three words and with particles, capitals, plain words and offices, IPv6 and MAC addresses."""
+    texts = [
+        "Dr. Jean Paul Sartre spoke; Sartre left. JEAN PAUL SARTRE, SARTRE.",
+        "Mr. José García; García; JOSÉ GARCÍA",
+        "Mr. Will said so. Will you? Will it rain? Free Will",
+        "Miss America and Dr. Who: Who are you? Mr President said. President Obama",
+        "Herr Ludwig van Beethoven; Beethoven",
+        "at 2001:db8:0:12::7 and 2001:0DB8:0000:0012::0007, fe80:1:2:3:4:5:6:7; 00:1a:2B:3c:4d:5e or 00-1A-2B-3C-4D-5E",
+        "at 12:34:56 on 2024-01-02, ratio 1:2:3, std::vector and a::b, abc::def",
+        "Mr. GARCÍA, then García",
+    ]
+    out = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    for text, gone in ((0, ("Jean", "Sartre", "SARTRE")), (1, ("José", "García", "GARCÍA")), (4, ("Ludwig", "Beethoven")), (5, ("db8", "DB8", "fe80", "1a", "2B", "1A")), (7, ("GARCÍA", "García"))):
+        assert not [g for g in gone if g in out[text]], out[text]
+    family = out[0].split(";")[1].split()[0]
+    assert out[0].startswith("Dr. ") and out[0].split(" spoke")[0].endswith(family) and out[0].endswith(f"{family.upper()}.")
+    assert out[0].split(". ")[-1].split(",")[0] == out[0][4:].split(" spoke")[0].upper() and len(out[0].split(" spoke")[0].split()) == 4
+    assert out[2].startswith("Mr. ") and "Mr. Will" not in out[2] and out[2].endswith(" said so. Will you? Will it rain? Free Will")
+    assert out[3] == texts[3] and out[6] == texts[6] and " van " in out[4]
+    a, b = out[5].split(" and ")[0].removeprefix("at "), out[5].split(" and ")[1].split(",")[0]
+    assert a.startswith("fd") and "::" in a and len(a) == len("2001:db8:0:12::7")
+    macs = out[5].split("; ")[1].split(" or ")
+    assert macs[0].replace(":", "").lower() == macs[1].replace("-", "").lower() and macs[0].startswith("02:")
