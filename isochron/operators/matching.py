@@ -66,3 +66,57 @@ def mutual_nearest(rows: DataFrame, group: str, vec_id: str, embedding: str) ->
     best = near.groupBy("grp", "dim", "a").agg(F.min(F.struct("d", "b")).alias("m")).select("grp", "dim", "a", F.col("m.b").alias("b"))
     back = best.select("grp", "dim", F.col("b").alias("a"), F.col("a").alias("b"))
     return best.join(back, ["grp", "dim", "a", "b"]).select(F.col("grp").alias(group), "a", "b")
+
+
+def _words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Descriptors of one length as rows of 64-bit words, zeros behind them."""
+    held = [bytes(x) for x in column.to_pylist()]
+    size = -(-len(held[0]) // 8) * 8
+    return np.frombuffer(b"".join(x.ljust(size, b"\x00") for x in held), np.uint64).reshape(len(held), -1)
+
+
+def _nearest_bits(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, distance) of each row's nearest one of the others: the smaller id of equals."""
+    order = np.argsort(b, kind="stable")
+    b, y = b[order], y[order]
+    at, far = [], []
+    for low in range(0, len(a), ROWS):
+        d = np.bitwise_count(x[low : low + ROWS, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+        at.append(d.argmin(1))
+        far.append(d.min(1))
+    return b[np.concatenate(at)], np.concatenate(far)
+
+
+def mutual_hamming(left: DataFrame, right: DataFrame, group: str, row_id: str, descriptor: str) -> DataFrame:
+    """(group, a, b, distance) of left and right rows of a group that are each other's nearest by different bits.
+
+    Descriptors are binary; those of one length are compared, exactly, by a task for each pair of blocks of about BLOCK_ROWS
+    rows of either side. Of equals the smaller id is nearest. Null groups, ids and descriptors and empty ones match nothing.
+    """
+    clean = lambda rows, side: rows.select(F.col(group).alias("grp"), F.col(row_id).cast("long").alias("id"), F.col(descriptor).alias("e"), F.lit(side).alias("side")).dropna().filter(F.length("e") > 0).withColumn("dim", F.length("e"))
+    both = clean(left, 0).unionByName(clean(right, 1))
+    count = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, 1).otherwise(0)) / BLOCK_ROWS).cast("int")
+    sizes = both.groupBy("grp", "dim").agg(count(0).alias("n0"), count(1).alias("n1")).filter("n0 > 0 and n1 > 0")
+    dealt = both.join(sizes, ["grp", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, if(side = 0, n1, n0) - 1)")))
+    dealt = dealt.select("grp", "dim", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block")).alias("j"), "side", "id", "e")
+
+    def each(table: pa.Table) -> pa.Table:
+        side, ids, x = table["side"].to_numpy(), table["id"].to_numpy(), _words(table["e"])
+        out: dict[str, list] = {"side": [], "a": [], "b": [], "d": []}
+        for own in (0, 1):
+            s, t = side == own, side != own
+            if s.any() and t.any():
+                b, d = _nearest_bits(ids[s], x[s], ids[t], x[t])
+                for name, values in (("side", np.full(len(d), own, np.int32)), ("a", ids[s]), ("b", b), ("d", d)):
+                    out[name].append(values)
+        joined = {name: np.concatenate(v) if v else np.empty(0, np.int32 if name == "side" else np.int64) for name, v in out.items()}
+        grp = pa.chunked_array([pa.array([table["grp"][0].as_py()] * len(joined["a"]), table["grp"].type)])
+        return pa.table({"grp": grp, "dim": pa.array(np.full(len(joined["a"]), table["dim"][0].as_py(), np.int32)), **joined})
+
+    kind = both.schema["grp"].dataType.simpleString()
+    near = dealt.groupBy("grp", "dim", "i", "j").applyInArrow(each, f"grp {kind}, dim int, side int, a long, b long, d long")
+    best = near.groupBy("grp", "dim", "side", "a").agg(F.min(F.struct("d", "b")).alias("m"))
+    there = best.filter("side = 0").select("grp", "dim", "a", F.col("m.b").alias("b"), F.col("m.d").alias("distance"))
+    back = best.filter("side = 1").select("grp", "dim", F.col("a").alias("b"), F.col("m.b").alias("a"))
+    return there.join(back, ["grp", "dim", "a", "b"]).select(F.col("grp").alias(group), "a", "b", "distance")

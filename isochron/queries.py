@@ -347,19 +347,33 @@ def coalesce_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("event_type") == "click").join(own, "user_id", "left").select("event_id", "user_id", F.coalesce("k", "user_id").alias("k"))
 
 
-@query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label = 3),
-d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id),
-r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM d) SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.i = 1 AND y.i = 1""")
+_PAIRS = """WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+d AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.label = b.label),
+r AS (SELECT label, a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM d)"""
+
+
+@query(_PAIRS + " SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.i = 1 AND y.i = 1")
 def vec_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual nearest descriptors of one image's set, the one of its statement; vec_pairs has those of every set."""
-    return vec_pairs(spark, sf_dir, F.col("label") == 3).select("a", "b")
+    """Mutual nearest descriptors within every label, without the label."""
+    return vec_pairs(spark, sf_dir).select("a", "b")
 
 
-@query()
-def vec_pairs(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -> DataFrame:
+@query(_PAIRS + " SELECT x.label, x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.i = 1 AND y.i = 1")
+def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual nearest descriptors within every label, over the whole table."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return matching.mutual_nearest(rows if chosen is None else rows.filter(chosen), "label", "vec_id", "embedding")
+    return matching.mutual_nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "label", "vec_id", "embedding")
+
+
+@query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS e FROM embeddings),
+d AS (SELECT l.label, l.vec_id AS a, r.vec_id AS b, list_sum(list_transform(list_zip(l.e, r.e), lambda z: xor(z[1], z[2]))) AS d FROM n l JOIN n r ON l.label = r.label AND l.vec_id % 2 = 0 AND r.vec_id % 2 = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS i, row_number() OVER (PARTITION BY label, b ORDER BY d, a) AS j FROM d) SELECT label, a, b, CAST(d AS BIGINT) AS distance FROM k WHERE i = 1 AND j = 1""")
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual nearest binary descriptors of two pictures' sets: the signs of vectors of even and of odd numbers, by label."""
+    bits = F.rpad(F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), ""), F.expr("8 * cast(ceil(size(embedding) / 8) as int)"), F.lit("0"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", bits.alias("bits"))
+    packed = F.expr("unhex(array_join(transform(sequence(1, cast(length(bits) as int), 8), k -> lpad(conv(substring(bits, k, 8), 2, 16), 2, '0')), ''))")
+    rows = rows.select("vec_id", "label", packed.alias("descriptor"))
+    return matching.mutual_hamming(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1"), "label", "vec_id", "descriptor")
 
 
 def _spun(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ knows nothing of files or operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions import geometry, scalar
-from isochron.operators import charts, clock, frames, fusion, session, signal
+from isochron.operators import charts, clock, frames, fusion, session, signal, stereo
 from isochron.queries import DAY, E, _SIDES, _sides, _spun, events, query
 from isochron.sources import readers, resolve, writers
 
@@ -419,3 +421,50 @@ def pulse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = files.select("recording_id", F.when(F.col("user_id") % 5 > 0, 1).otherwise(0).alias("flags"))
     rates = files.select("recording_id", (F.lit(400.0) / F.col("k")).alias("fps"))
     return frames.pulse_times(samples, seen, headers, rates, ["recording_id"])
+
+
+_LENSES = ([820.0, 815.0, 960.0, 540.0, 0.05, -0.01, 0.004, -0.0008], [805.0, 810.0, 955.0, 550.0, 0.04, -0.02, 0.005, -0.0005])
+_TURNED = 0.06
+
+
+def _rig(rows: DataFrame) -> DataFrame:
+    """Two lenses 12 cm apart, one turned about x against the other, for each of the rows' takes."""
+    c, s = math.cos(_TURNED), math.sin(_TURNED)
+    numbers = lambda v: F.array(*map(F.lit, v))
+    placed = F.array(*map(numbers, ([1.0, 0.0, 0.0, -0.12], [0.0, c, -s, 0.0], [0.0, s, c, 0.0], [0.0, 0.0, 0.0, 1.0])))
+    return rows.select("take", numbers(_LENSES[0]).alias("lens0"), numbers(_LENSES[1]).alias("lens1"), placed.alias("placed"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(0.0).alias("cy1_shift"))
+
+
+def _pictured(rows: DataFrame, shift: Column) -> DataFrame:
+    """Points (x, y, z) in the first camera's frame as both cameras picture them; the second's cy is off by `shift`."""
+    c, s = math.cos(_TURNED), math.sin(_TURNED)
+    lens = lambda k: (tuple(_LENSES[k][4:]), *_LENSES[k][:4])
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    first, second = geometry.fisheye(x, y, z, *lens(0)), geometry.fisheye(x - 0.12, c * y - s * z, s * y + c * z, *lens(1))
+    both = rows.withColumns({"p": first, "q": second})
+    return both.select(*rows.columns, F.col("p.u").alias("u0"), F.col("p.v").alias("v0"), F.col("q.u").alias("u1"), (F.col("q.v") + shift).alias("v1"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    q, n, k = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double"), F.col("l_orderkey")
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", ((q - 25) / 20).alias("x"), ((n - 4) / 4).alias("y"), (2 + k % 5).cast("double").alias("z"), (k % 3).alias("take"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, 0 AS rows_apart_micro, CAST(round(((l_linenumber - 4) / 4.0::DOUBLE * sin({_TURNED / 2}::DOUBLE) + (2 + l_orderkey % 5) * cos({_TURNED / 2}::DOUBLE)) * 1e6) AS BIGINT) AS depth_micro, 120000 AS baseline_micro FROM lineitem""")
+def stereo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points pictured by two turned fisheye lenses: once rectified they share rows, and disparity gives their depth."""
+    rows = _points(spark, sf_dir)
+    rigs = stereo.rectified_rigs(_rig(rows.select("take").distinct())).withColumnRenamed("take", "rig")
+    met = _pictured(rows, F.lit(0.0)).join(rigs, F.col("take") == F.col("rig"))
+    seen = met.select("l_orderkey", "l_linenumber", "focal", "baseline", stereo.rectified(F.col("u0"), F.col("v0"), 0).alias("l"), stereo.rectified(F.col("u1"), F.col("v1"), 1).alias("r"))
+    micro = lambda c: F.round(c * 1e6).cast("long")
+    return seen.select("l_orderkey", "l_linenumber", micro(F.col("l.y") - F.col("r.y")).alias("rows_apart_micro"), micro(F.col("focal") * F.col("baseline") / (F.col("l.x") - F.col("r.x"))).alias("depth_micro"), micro(F.col("baseline")).alias("baseline_micro"))
+
+
+@query("SELECT l_suppkey AS take, CASE WHEN count(*) > 100 THEN l_suppkey % 9 - 4 ELSE 0 END AS shift_px, CASE WHEN count(*) > 100 THEN count(*) END AS n FROM lineitem GROUP BY 1")
+def stereo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takes whose second camera has moved by whole pixels: the rounds find by how many, from more than 100 matches."""
+    rows = _points(spark, sf_dir).withColumn("take", F.col("l_suppkey"))
+    found = stereo.aligned(_pictured(rows, F.col("take") % 9 - 4), _rig(rows.select("take").distinct()))
+    return found.select("take", F.round("shift").cast("long").alias("shift_px"), "n")
