@@ -11,20 +11,21 @@ from isochron.llm import jaccard, licenses, merkle, neighbours, urls
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_templates = ", ".join(f"({t}, '{label}', {str(base).lower()}, {words}, {grams}, '{gram}', {pos})" for t, label, base, words, grams, gram, pos in licenses.template_grams(licenses.BASE, licenses.NOTICES))
+_templates = ", ".join(f"({t}, '{label}', {str(base).lower()}, {words}, {grams}, {whole}, '{gram}', {pos}, {marks})" for t, label, base, words, grams, whole, gram, pos, marks in licenses.template_grams(licenses.BASE, licenses.NOTICES))
 
-LICENSES = f"""WITH t(template, label, is_base, t_words, t_grams, gram, t_at) AS (VALUES {_templates}),
+LICENSES = f"""WITH t(template, label, is_base, t_words, t_grams, t_marks, gram, t_at, marks) AS (VALUES {_templates}),
 d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d),
 g AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {licenses.SHORT}], ' ') AS gram FROM p WHERE pos + {licenses.SHORT} <= len(w)
+ UNION ALL SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {licenses.MID}], ' ') FROM p WHERE pos + {licenses.MID} <= len(w)
  UNION ALL SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {licenses.LONG}], ' ') FROM p WHERE pos + {licenses.LONG} <= len(w)),
-v AS (SELECT DISTINCT doc_id, template, label, is_base, t_grams, t_at, pos - t_at AS diagonal FROM g JOIN t USING (gram)),
-x AS (SELECT doc_id, template, label, is_base, t_grams, diagonal FROM v GROUP BY ALL),
+v AS (SELECT DISTINCT doc_id, template, label, is_base, t_grams, t_marks, t_at, marks, pos - t_at AS diagonal FROM g JOIN t USING (gram)),
+x AS (SELECT doc_id, template, label, is_base, t_grams, t_marks, diagonal FROM v GROUP BY ALL),
 y AS (SELECT *, CASE WHEN is_base OR diagonal - lag(diagonal) OVER o > {licenses.SHIFT} OR lag(diagonal) OVER o IS NULL THEN 1 ELSE 0 END AS apart FROM x WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 z AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM y),
-s AS (SELECT z.doc_id, z.template, z.label, z.is_base, z.span, min(z.diagonal) AS start, count(DISTINCT v.t_at) / max(z.t_grams) AS covered
+s AS (SELECT z.doc_id, z.template, z.label, z.is_base, z.span, z.t_marks, bit_or(v.marks) AS marks, min(z.diagonal) AS start, count(DISTINCT v.t_at) / max(z.t_grams) AS covered
  FROM z JOIN v ON z.doc_id = v.doc_id AND z.template = v.template AND z.diagonal = v.diagonal GROUP BY ALL),
-k AS (SELECT *, covered >= CASE WHEN is_base THEN 1.0 ELSE {licenses.COVERAGE} END AS kept FROM s)
+k AS (SELECT *, covered >= CASE WHEN is_base THEN 1.0 ELSE {licenses.COVERAGE} END AND marks = t_marks AS kept FROM s)
 SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(*) FILTER (kept AND is_base) AS n_base,
  CAST(min(start) FILTER (kept AND is_base) AS BIGINT) AS first_word, CAST(max(start) FILTER (kept AND is_base) AS BIGINT) AS last_word,
  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (kept AND is_base)), ','), '') AS base_labels,

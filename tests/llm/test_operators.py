@@ -556,3 +556,25 @@ def test_surrogates_of_long_names_and_plain_words(spark):
     assert a.startswith("fd") and "::" in a and len(a) == len("2001:db8:0:12::7")
     macs = out[5].split("; ")[1].split(" or ")
     assert macs[0].replace(":", "").lower() == macs[1].replace("-", "").lower() and macs[0].startswith("02:")
+
+
+def test_license_notices_that_were_edited(spark):
+    """Words put in or changed keep the label; a notice that lacks its telling words is another's or none."""
+    texts = {
+        "licensed under the apache license, the version 2.0": "apache-2.0",
+        "Distributed under the MIT License.": "mit",
+        "released under the the MIT license": "mit",
+        "licensed under the GNU Lesser General Public License version 3": "gpl,lgpl",
+        "licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+        "licensed under the GNU General Public License version 2": "gpl,gpl-2.0",
+        "licensed under the GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+        "licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "licensed under CC BY 4.0": "cc-by",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "we drove under the old bridge, under the mit museum": "",
+        "licensed under the terms below": "",
+    }
+    rows = list(enumerate(texts))
+    out = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {texts[t]: out[k] for k, t in rows} == {v: v for v in texts.values()} and [out[k] for k, _ in rows] == list(texts.values())
