@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions import geometry, scalar
-from isochron.operators import charts, clock, frames, fusion, session, signal, stereo
+from isochron.operators import charts, clock, disparity, frames, fusion, session, signal, stereo, volume
 from isochron.queries import DAY, E, _SIDES, _sides, _spun, events, query
 from isochron.sources import readers, resolve, writers
 
@@ -468,3 +468,42 @@ def stereo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir).withColumn("take", F.col("l_suppkey"))
     found = stereo.aligned(_pictured(rows, F.col("take") % 9 - 4), _rig(rows.select("take").distinct()))
     return found.select("take", F.round("shift").cast("long").alias("shift_px"), "n")
+
+
+def _floats(value: Column) -> Column:
+    """Bytes of a 32-bit float that is a whole number of 64ths from 1 up to below 2, by its digits."""
+    share = F.lpad(F.hex((value * 64 - 64).cast("long") * 131072), 6, "0")
+    number = F.concat(F.lit("3F"), F.lpad(F.hex(F.conv(F.substring(share, 1, 2), 16, 10).cast("long") + 128), 2, "0"), F.substring(share, 3, 4))
+    return F.concat(*(F.substring(number, k, 2) for k in (7, 5, 3, 1)))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS take, CAST(round((1 + s_suppkey % 60 / 64.0::DOUBLE) * 1e6) AS BIGINT) AS low_micro, CAST(round((1 + s_suppkey % 60 / 64.0::DOUBLE) * 1e6) AS BIGINT) AS high_micro, true AS covered FROM supplier")
+def plane_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wall a supplier's distance away, seen twice: voxels fused from its depth images, and the extent of the surface."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("take"), (1 + F.col("s_suppkey") % 60 / F.lit(64.0)).alias("z"))
+    depth = F.unhex(F.repeat(_floats(F.col("z")), 24 * 18)).alias("depth")
+    pose = F.array(*(F.array(*(F.lit(float(a == b)) for b in range(4))) for a in range(4))).alias("pose")
+    images = rows.withColumn("view", F.explode(F.array(F.lit(0), F.lit(1)))).select("take", F.lit(24).alias("width"), F.lit(18).alias("height"), depth, F.array(*map(F.lit, (30.0, 30.0, 11.5, 8.5))).alias("lens"), pose)
+    triangles = volume.surface(volume.fused(images, 0.1), 0.1)
+    micro = lambda c: F.round(c * 1e6).cast("long")
+    zs = F.array("z0", "z1", "z2")
+    return triangles.groupBy("take").agg(micro(F.min(F.array_min(zs))).alias("low_micro"), micro(F.max(F.array_max(zs))).alias("high_micro"), (F.count("*") > 20).alias("covered"))
+
+
+@query("SELECT s_suppkey AS take, 2 + s_suppkey % 9 AS disparity_px FROM supplier")
+def shifted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of hashed brightness whose left one is the right one moved by whole pixels: the disparity of most pixels."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("take"), (2 + F.col("s_suppkey") % 9).cast("int").alias("shift"))
+    bright = lambda k: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(64 * 24 - 1)), lambda i: F.substring(F.md5(F.concat_ws(":", F.col("take"), F.floor(i / 64), i % 64 - k).cast("binary")), 1, 2)), ""))
+    pairs = rows.select("take", F.lit(64).alias("width"), F.lit(24).alias("height"), bright(F.col("shift")).alias("left_pixels"), bright(F.lit(0)).alias("right_pixels"))
+    found = disparity.disparities(pairs, 16)
+    # Each disparity is four bytes; those that are no number end in 7F, least byte first.
+    at = F.explode(F.sequence(F.lit(1), F.length("disparity"), F.lit(4)))
+    bits = found.select("take", F.hex("disparity").alias("h"), at.alias("at")).select("take", F.substring("h", 2 * F.col("at") - 1, F.lit(8)).alias("h"))
+    number = F.conv(F.concat(*(F.substring("h", k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
+    kept = bits.select("take", number.alias("n")).filter(F.shiftright(F.col("n"), 23).bitwiseAND(F.lit(255)) < 255)
+    # A float's exponent and fraction, from 2 up.
+    power = F.shiftright(F.col("n"), 23).bitwiseAND(F.lit(255)) - 127
+    value = F.pow(F.lit(2.0), power) * (1 + F.col("n").bitwiseAND(F.lit(8388607)) / F.lit(8388608.0))
+    counted = kept.groupBy("take", F.round(value).cast("long").alias("disparity_px")).count()
+    return counted.groupBy("take").agg(F.max_by("disparity_px", F.struct("count", "disparity_px")).alias("disparity_px"))
