@@ -51,9 +51,11 @@ def _inspect(args: argparse.Namespace) -> int:
     from isochron.plans import takes
 
     spark = SparkSession.builder.getOrCreate()
-    for row in takes.inspected(spark, str(args.file)).toJSON().collect():  # one row a file
+    found = takes.inspected(spark, str(args.file)) if args.file.is_dir() else takes.recording(spark, str(args.file))
+    rows = found.toJSON().collect()  # one row a file, or the one recording
+    for row in rows:
         print(row)
-    return 0
+    return 0 if rows else 1
 
 
 def _config(args: argparse.Namespace) -> int:

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isochron.queries import events, query
+from isochron.functions import scalar
+from isochron.operators import asof, charts, signal
+from isochron.queries import _SIDES, DAY, E, events, query
 from isochron.recording_queries import _N, _numbered
-from isochron.sources import formats, tables
+from isochron.sources import formats, readers, tables, writers
+from isochron.streaming import ordered, stream
 
 #: A few floats and their bytes on disk, by number; and the DuckDB list of them.
 FLOATS = ((0.0, "00000000"), (1.0, "0000803F"), (2.0, "00000040"), (0.5, "0000003F"), (-1.5, "0000C0BF"))
@@ -262,3 +265,136 @@ def track_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     formats.save(formats.track_pieces(formats.track(spark, _movies(spark, sf_dir), 1 << 14), "imu"), rebuilt, "imu")
     rows = formats.open_records(spark, rebuilt, "imu", split=1 << 16)
     return rows.select("recording_id", "sample_idx", "ts_ns", F.col("accel.z").cast("double").alias("accel_z"), F.col("mag_age_us").cast("double").alias("mag_age_us"))
+
+
+@query(_N + """, k AS (SELECT user_id, count(*) AS n, max(u) - min(u) AS span FROM n GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS recording_id, n AS samples, CAST(round(span / 1e9::DOUBLE * 1e6) AS BIGINT) AS duration_us, CASE WHEN span > 0 THEN CAST(round((n - 1) / (span / 1e9::DOUBLE) * 1e6) AS BIGINT) END AS rate_micro,
+CASE WHEN user_id % 6 + 1 < 5 THEN 'v1' ELSE 'v3' END AS since, (SELECT CAST(round(avg(sqrt(x * x + y * y)) * 1e6) AS BIGINT) FROM (SELECT user_id AS w, """ + f"{_float('event_id')} AS x, 0 AS y FROM n) WHERE w = k.user_id) AS accel_micro FROM k")
+def inspected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of each inertial file: samples, duration, actual rate, generation, mean magnitude."""
+    from isochron.plans import takes
+
+    rows = takes.inspected(spark, _imu(spark, sf_dir))
+    micro = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return rows.select("recording_id", "samples", micro("duration_s").alias("duration_us"), micro("actual_rate_hz").alias("rate_micro"), F.when(F.col("version") < 5, "v1").otherwise("v3").alias("since"), micro("mean_accel").alias("accel_micro"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS recording_id, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 1000 END AS session, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 2 = 0 END AS synced, CASE WHEN s_suppkey % 5 > 0 THEN -s_suppkey END AS master_clock_offset_ns FROM supplier")
+def meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata files of recordings; each fifth is no JSON and gives nulls."""
+    k = F.col("s_suppkey")
+    whole = F.to_json(F.struct((k * 1000).alias("session"), (k % 2 == 0).alias("synced"), (-k).alias("master_clock_offset_ns"), F.lit("x").alias("more")))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.cast("string").alias("recording_id"), F.lit(0).alias("part"), F.lit(0).alias("seq"), F.when(k % 5 > 0, whole).otherwise("{no").cast("binary").alias("content"))
+    path = formats.scratch(spark)
+    formats.save(rows, path, "json")
+    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/part000\.json$", 1).alias("recording_id"), "value")
+    return readers.meta_of(raw).select("recording_id", "session", "synced", "master_clock_offset_ns")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS recording_id, 700.0::DOUBLE + s_suppkey AS fx, CAST(s_suppkey % 7 AS DOUBLE) / 8 AS d0, 'radtan' AS model FROM supplier")
+def calibration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrations that are JSON, not blobs."""
+    k = F.col("s_suppkey")
+    lens = F.struct((700.0 + k).alias("fx"), F.lit(701.0).alias("fy"), F.lit(960.0).alias("cx"), F.lit(540.0).alias("cy"), F.lit("radtan").alias("model"), F.array(k % 7 / 8, F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("distortion"), F.array(F.lit(1920), F.lit(1080)).alias("image_size"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.cast("string").alias("recording_id"), F.lit(0).alias("part"), F.to_json(F.struct(lens.alias("intrinsics"))).cast("binary").alias("content"))
+    return readers.calibrations(rows).select("recording_id", "calibration.intrinsics.fx", F.col("calibration.intrinsics.distortion")[0].alias("d0"), "calibration.intrinsics.model")
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.3f', l_orderkey / 8.0::DOUBLE) AS t, printf('%.4f', l_quantity / 16.0::DOUBLE) AS x, printf('%.4f', -l_linenumber / 4.0::DOUBLE) AS y, '2.5000' AS z FROM lineitem")
+def landmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmarks written as text with fixed decimals, and the text read again."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    points = rows.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("topic"), (F.col("l_orderkey") / 8.0).alias("t"), (F.col("l_quantity").cast("double") / 16).alias("x"), (-F.col("l_linenumber") / 4.0).alias("y"), F.lit(2.5).alias("z"))
+    path = formats.scratch(spark)
+    writers.landmarks_csv(points, path)
+    read = spark.read.option("header", "true").csv(path)
+    return read.select(F.split("topic", "/")[0].cast("long").alias("l_orderkey"), F.split("topic", "/")[1].cast("long").alias("l_linenumber"), "t", "x", "y", "z")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 AND event_id % 5 > 0 THEN event_type || ' t' || event_id % 5 WHEN event_id % 3 > 0 THEN event_type WHEN event_id % 5 > 0 THEN 't' || event_id % 5 ELSE 'e' || event_id END AS label FROM events")
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of cameras: role and tag where there are any, else the base name."""
+    k = F.col("event_id")
+    role, tag = F.when(k % 3 > 0, F.col("event_type")), F.when(k % 5 > 0, F.concat(F.lit("t"), k % 5)).otherwise("")
+    return events(spark, sf_dir).select("event_id", scalar.label(role, tag, F.concat(F.lit("e"), k)).alias("label"))
+
+
+@query(_SEI + f""", x AS (SELECT * FROM e WHERE n > 0) SELECT CAST(event_id AS VARCHAR) AS recording_id, t AS start_ns, n AS samples, {_float('event_id + 1')} AS gyro_x, v AS version, CASE WHEN v = 6 THEN t ELSE 0 END AS sof_ns, 0 AS venc_pts_us FROM x""")
+def side_channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertial and frame-timing files recovered from elementary streams without presentation times."""
+    rows = _streams(spark, sf_dir).select(F.col("event_id").cast("string").alias("recording_id"), F.lit(0).alias("part"), "content", F.lit(None).cast("array<long>").alias("pts_us"), F.lit(30.0).alias("fps"))
+    found = readers.side_channel(rows).filter(F.length("imu") > 64)
+    own = lambda c: found.select("recording_id", "part", F.col(c).alias("content"))
+    samples = readers.imu_samples_of(own("imu")).groupBy("recording_id").agg(F.min("ts_ns").alias("start_ns"), F.count("*").alias("samples"), F.min_by("gyro.x", "ts_ns").cast("double").alias("gyro_x"))
+    versions = readers.imu_headers_of(own("imu")).select("recording_id", F.col("version").cast("long").alias("version"))
+    return samples.join(versions, "recording_id").join(readers.frames_of(own("vts")).select("recording_id", "sof_ns", "venc_pts_us"), "recording_id")
+
+
+@query(_N + """, f AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS f, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type = 'click'),
+s AS (SELECT user_id, cents, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM n WHERE event_type = 'error'), z AS (SELECT user_id, max(n) AS n FROM s GROUP BY 1)
+SELECT f.event_id, s.cents FROM f LEFT JOIN z USING (user_id) LEFT JOIN s ON s.user_id = f.user_id AND s.p = CAST(floor(f.f / f.total::DOUBLE * (z.n - 1)) AS BIGINT)""")
+def asof_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples for frames without times: the one at the same share of the recording."""
+    left, right = events(spark, sf_dir, "click").select("event_id", "user_id"), events(spark, sf_dir, "error")
+    return asof.by_share(left, right, ["user_id"], "event_id", ["cents"], ["t", "event_id"]).select("event_id", "match.cents")
+
+
+@query(_N + ", k AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, user_id % 6 + 1 AS v FROM n GROUP BY user_id) SELECT recording_id, unnest(CASE WHEN v = 1 THEN ['accel', 'gyro'] WHEN v = 2 THEN ['accel', 'gyro', 'temp_c'] WHEN v < 5 THEN ['accel', 'gyro', 'temp_c', 'fsync_delay_us'] ELSE ['accel', 'gyro', 'temp_c', 'mag_age_us'] END) AS channel FROM k")
+def channels_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channels of files of each version that can be drawn."""
+    rows = formats.open_records(spark, _imu(spark, sf_dir), "imu")
+    return charts.available(rows, ["recording_id"], ["accel", "gyro", "temp_c", "fsync_delay_us", "mag_age_us"])
+
+
+@query(_N + """, r AS (SELECT user_id, list(CASE WHEN event_id % 5 > 0 THEN value END ORDER BY i) AS x FROM n GROUP BY 1)
+SELECT user_id, CAST(round(list_reduce(list_concat([NULL::DOUBLE], x), lambda s, v: CASE WHEN v IS NULL THEN NULL WHEN s IS NULL THEN v ELSE 0.9 * s + 0.1 * v END) * 1e6 + 0.23) AS BIGINT) AS last_micro FROM r""")
+def ema_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exponential average that starts anew after each value that is none."""
+    rows = _numbered(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("v")))), lambda r: r["v"]).alias("x"))
+    return rows.select("user_id", F.round(signal.smoothed(F.col("x"), 0.9) * 1e6 + 0.23).cast("long").alias("last_micro"))
+
+
+_END = 9 * 10**18
+
+
+def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows as a stream of parquet files, with event time; a last row, far behind, lets the watermark pass all others."""
+    path = formats.scratch(spark)
+    rows.write.parquet(path)
+    ended = spark.createDataFrame([(-1, _END)], "k long, ts_ns long")
+    ended.select(*(F.col(c) if c in ("k", "ts_ns") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns)).coalesce(1).write.parquet(f"{path}/end")
+    read = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 16).parquet(path)
+    return stream.with_event_time(read, late="3650 days")
+
+
+def _drained(table: DataFrame) -> DataFrame:
+    """What a stream has written when all of its files are read."""
+    spark = table.sparkSession
+    path = formats.scratch(spark)
+    table.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(table.schema).parquet(f"{path}/out")
+
+
+@query(f"WITH e AS ({E}), s AS (SELECT DISTINCT user_id, t FROM e), g AS (SELECT user_id AS k, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b, t FROM s) SELECT k, b * 1000 AS before_ns, t * 1000 AS after_ns FROM g WHERE t - b > {DAY}")
+def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pauses of more than a day, from a stream with state and timers."""
+    rows = events(spark, sf_dir).select(F.col("user_id").cast("long").alias("k"), (F.col("t") * 1000).alias("ts_ns"))
+    return _drained(ordered.gap_stream(_streamed(spark, rows), "k", DAY * 1000, idle_ms=10**12)).filter("k >= 0")
+
+
+@query(f"WITH e AS ({E}) SELECT user_id AS k, (t - t % {DAY}) * 1000 AS start_ns, count(*) AS n, min(cents) AS low, max(cents) AS high FROM e GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and extremes by day, from a stream."""
+    rows = events(spark, sf_dir).select(F.col("user_id").cast("long").alias("k"), (F.col("t") * 1000).alias("ts_ns"), F.col("cents").cast("double").alias("v"))
+    found = _drained(stream.windowed(_streamed(spark, rows), "k", "v", "1 day")).filter("k >= 0")
+    return found.select("k", (F.unix_micros("window.start") * 1000).alias("start_ns"), "n", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+
+
+@query(_SIDES + f""", b AS (SELECT c.*, p.t AS bt, p.cents AS bc FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.t >= p.t), a AS (SELECT b.*, p.t AS aft, p.cents AS ac FROM b ASOF LEFT JOIN p ON b.user_id = p.user_id AND b.t < p.t),
+n AS (SELECT *, aft IS NULL OR (bt IS NOT NULL AND t - bt <= aft - t) AS early FROM a), m AS (SELECT event_id, t, CASE WHEN early THEN bt ELSE aft END AS mt, CASE WHEN early THEN bc ELSE ac END AS mc FROM n)
+SELECT event_id, CASE WHEN abs(mt - t) <= {DAY} THEN mt * 1000 END AS match_ns, CASE WHEN abs(mt - t) <= {DAY} THEN mc END AS cents FROM m""")
+def stream_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the purchase nearest to it, not farther than a day, from two streams."""
+    side = lambda kind, v: events(spark, sf_dir, kind).select(F.col("user_id").cast("long").alias("k"), (F.col("t") * 1000).alias("ts_ns"), F.col(v).cast("double").alias("v"))
+    found = _drained(ordered.nearest_stream(_streamed(spark, side("click", "event_id")), _streamed(spark, side("purchase", "cents")), "k", "v", DAY * 1000, idle_ms=10**12))
+    return found.filter("k >= 0").select(F.col("left_value").cast("long").alias("event_id"), "match_ns", F.col("match_value").cast("long").alias("cents"))

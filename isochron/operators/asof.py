@@ -66,6 +66,22 @@ def forward(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str
     return both.withColumn("match", F.coalesce(match, F.col("lo")) if clamp else match).drop("lo", "hi")
 
 
+def by_share(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Each query with `match`, the sample at the same share of its key's length: for streams that have no times in common.
+
+    Of n samples and `total` queries, in the order of `on`, query number f takes sample int(f / total * (n - 1)). A key
+    without samples has no match.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    placed = samples.select(*(F.col(k).alias(f"share_{k}") for k in keys), F.struct(*values).alias("match"), place.alias("share_place"), F.count("*").over(W.partitionBy(*keys)).alias("share_n"))
+    sizes = placed.groupBy(*(f"share_{k}" for k in keys)).agg(F.first("share_n").alias("share_n"))
+    known = queries.withColumns({"share_f": F.row_number().over(W.partitionBy(*keys).orderBy(on)) - 1, "share_total": F.count("*").over(W.partitionBy(*keys))})
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"share_{k}") for k in keys))
+    sized = known.join(sizes, same, "left").withColumn("share_at", F.floor(F.col("share_f") / F.col("share_total") * (F.col("share_n") - 1)).cast("int")).drop(*(f"share_{k}" for k in keys), "share_n")
+    at = F.col("share_at") == F.col("share_place")
+    return sized.join(placed.drop("share_n"), same & at, "left").select(*queries.columns, "match")
+
+
 def nearest(queries: DataFrame, samples: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], gate: int | Column | None = None, bucket: int | None = None) -> DataFrame:
     """Each query with `match`, the sample nearest in time: the earlier one of two as near, null beyond the gate."""
     both = bracket(queries, samples, keys, on, values, bucket)

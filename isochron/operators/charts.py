@@ -36,3 +36,10 @@ def panel(rows: DataFrame, keys: Sequence[str], on: str, value: str, center: Col
     flat, mid = F.col("most") - F.col("least") < LEAST_SPAN, (F.col("most") + F.col("least")) / 2
     bottom, top = F.when(flat, mid - 1).otherwise(F.col("least")), F.when(flat, mid + 1).otherwise(F.col("most"))
     return pieces.select(*keys, on, value, "segment", ((F.col(on) - low) / (high - low)).alias("across"), ((F.col("number") - bottom) / (top - bottom)).alias("up"))
+
+
+def available(samples: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
+    """(keys, channel) of the channels that a recording has any value of, so that panels of the others are left out."""
+    known = samples.groupBy(*keys).agg(*(F.count(c).alias(c) for c in channels))
+    there = F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(c)) for c in channels)))
+    return known.select(*keys, F.explode(there).alias("channel"))

@@ -201,8 +201,13 @@ META = "format string, session long, `group` long, role string, device_id string
 def recording_meta(spark: SparkSession, path: str) -> DataFrame:
     """Recording metadata; a file that is no JSON gives nulls."""
     raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
+    return meta_of(raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("recording_id"), "value"))
+
+
+def meta_of(texts: DataFrame) -> DataFrame:
+    """(recording_id, value) JSON texts as columns."""
     parsed = F.from_json("value", META, {"mode": "PERMISSIVE"})
-    return raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("recording_id"), parsed.alias("m")).select("recording_id", "m.*")
+    return texts.select("recording_id", parsed.alias("m")).select("recording_id", "m.*")
 
 
 #: A trajectory has at least so many poses.

@@ -146,3 +146,15 @@ def test_panels_of_odd_values(spark):
     out = charts.panel(rows, ["k"], "t", "v", 2.0, 4.0, 100).orderBy("t").collect()
     assert [(r["k"], r["t"], r["segment"], r["across"]) for r in out] == [("flat", 1.0, 0, 1 / 6), ("flat", 3.0, 1, 0.5)] and all(r["up"] == 0.5 for r in out)
     assert charts.panel(rows.limit(0), ["k"], "t", "v", 2.0, 4.0, 100).count() == 0
+
+
+def test_a_recording_by_any_member(spark, folder):
+    from isochron.plans import takes
+
+    (folder / "left.mp4").write_bytes(b"\0" * 11)
+    for member in ("left.imu", "left.vts", "left.mp4", "left.json", "left"):
+        row = takes.recording(spark, f"{folder}/{member}").collect()
+        assert len(row) == 1 and (row[0]["samples"], row[0]["frames"], row[0]["mp4_bytes"], row[0]["fps"]) == (200, 10, 11, 30.0)
+    chunk = takes.recording(spark, f"{folder}/right/part002.vts").first()
+    assert (chunk["samples"], chunk["frames"], chunk["vts_version"]) == (None, 3, 1)
+    assert takes.recording(spark, f"{folder}/nobody.imu").collect() == []
