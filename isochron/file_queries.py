@@ -398,3 +398,66 @@ def stream_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda kind, v: events(spark, sf_dir, kind).select(F.col("user_id").cast("long").alias("k"), (F.col("t") * 1000).alias("ts_ns"), F.col(v).cast("double").alias("v"))
     found = _drained(ordered.nearest_stream(_streamed(spark, side("click", "event_id")), _streamed(spark, side("purchase", "cents")), "k", "v", DAY * 1000, idle_ms=10**12))
     return found.filter("k >= 0").select(F.col("left_value").cast("long").alias("event_id"), "match_ns", F.col("match_value").cast("long").alias("cents"))
+
+
+def _floats_of(k: Column, n: int) -> list[Column]:
+    """`n` of the known floats, one after the other from number k."""
+    return [f4(k + i) for i in range(n)]
+
+
+def _lens_bytes(k: Column) -> Column:
+    """1920 x 1080, model by parity, four coefficients of five, all floats by number k."""
+    return joined(le(1920, 2), le(1080, 2), le(k % 2, 1), le(4, 1), F.lit("0000"), *_floats_of(k, 8), F.lit("00000000"))
+
+
+def _sealed(body: Column) -> Column:
+    whole = F.unhex(body)
+    return F.concat(whole, F.unhex(le(F.crc32(whole), 4)))
+
+
+def _blobs(spark: SparkSession, sf_dir: str, chip: bool) -> DataFrame:
+    """Calibration blobs of one camera for odd suppliers, of two for even ones: (recording_id, part, content, k)."""
+    k = F.col("s_suppkey")
+    flags = 2 + 4 + 8 + 16 + (1 if chip else 0)
+    device = F.lpad(F.lower(F.hex(k)), 32, "0") if chip else F.lit("00" * 16)
+    head = lambda version: joined(le(0x434C4254, 4), le(version, 2), le(flags, 2), device)
+    noise = joined(*_floats_of(k + 1, 4), *_floats_of(k + 2, 3), *_floats_of(k + 3, 3))
+    one = joined(head(1), _lens_bytes(k), *_floats_of(k, 12), f4(k + 4), noise, *_floats_of(k + 1, 3), f4(k + 2), F.lit("00" * 20))
+    camera = lambda n: joined(_lens_bytes(k + n), f4(k + n), f4(k + n + 1))
+    two = joined(head(2), le(2, 1), F.lit("000000"), camera(0), camera(1), *_floats_of(k, 12), *_floats_of(k + 1, 12), noise, *_floats_of(k + 2, 2), f4(k + 2), F.lit("00" * 16))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.select(k.cast("string").alias("recording_id"), F.lit(0).alias("part"), F.when(k % 2 == 1, _sealed(one)).otherwise(_sealed(two)).alias("content"), k.cast("long").alias("k"))
+
+
+@query(f"""SELECT CAST(k AS VARCHAR) AS recording_id, 2 - k % 2 AS version, 31 AS flags, lpad(lower(hex(k)), 32, '0') AS chip_id, CASE WHEN k % 2 = 0 THEN 2 END AS num_cams, CASE WHEN k % 2 = 1 THEN 'equidistant' ELSE 'radtan' END AS model, {_float('k')} AS fx,
+{_float('k + 5')} AS d1, {_float('k + 10')} AS t_y, CASE WHEN k % 2 = 0 THEN {_float('k + 2')} END AS second_fy, {_float('k + 2')} AS rate, {_float('k + 4')} AS gyro_bias_y, true AS valid FROM (SELECT s_suppkey AS k FROM supplier)""")
+def calibration_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs of one and two cameras whose bytes and checksum SQL has made."""
+    blobs = _blobs(spark, sf_dir, True)
+    c = readers.calibrations(blobs)
+    first = F.coalesce(F.col("calibration.intrinsics"), F.get(F.col("calibration.cameras"), F.lit(0))["intrinsics"])
+    placed = F.coalesce("calibration.T_cam_imu", "calibration.T_cam0_imu")
+    wide = lambda name: F.col(f"calibration.{name}").cast("long").alias(name)
+    read = c.select("recording_id", wide("version"), wide("flags"), "calibration.chip_id", wide("num_cams"), first["model"].alias("model"), first["fx"].alias("fx"), first["distortion"][1].alias("d1"), placed[1][3].alias("t_y"), F.get(F.col("calibration.cameras"), F.lit(1))["intrinsics"]["fy"].alias("second_fy"), F.col("calibration.imu.sample_rate_hz").alias("rate"), F.col("calibration.imu.gyro_bias_rad_s")[1].alias("gyro_bias_y"))
+    return read.join(blobs.select("recording_id", readers.blob_valid(F.col("content")).alias("valid")), "recording_id")
+
+
+def _number(k: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v, _ in FLOATS)), (k % len(FLOATS) + 1).cast("int"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS recording_id, true AS same FROM supplier")
+def calibration_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrations of one and two cameras packed by the writer, byte for byte what SQL makes of the same numbers."""
+    blobs = _blobs(spark, sf_dir, False)
+    k = F.col("k")
+    numbers = lambda start, n: F.array(*(_number(start + i) for i in range(n)))
+    lens = lambda k: F.struct(*(_number(k + i).alias(c) for i, c in enumerate(("fx", "fy", "cx", "cy"))), F.when(k % 2 == 1, "equidistant").otherwise("radtan").alias("model"), numbers(k + 4, 4).alias("distortion"), F.array(F.lit(1920), F.lit(1080)).alias("image_size"))
+    placed = lambda k: F.array(*(F.array(*(_number(k + 3 * r + i) for i in range(3)), _number(k + 9 + r)) for r in range(3)), F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+    names = ("accel_noise_density", "gyro_noise_density", "accel_random_walk", "gyro_random_walk")
+    imu = F.struct(F.struct(*(_number(k + 1 + i).alias(c) for i, c in enumerate(names))).alias("noise_model"), numbers(k + 2, 3).alias("accel_bias_m_s2"), numbers(k + 3, 3).alias("gyro_bias_rad_s"), _number(k + 2).alias("sample_rate_hz")).alias("imu")
+    one = F.to_json(F.struct(lens(k).alias("intrinsics"), F.struct(placed(k).alias("T_cam_imu"), _number(k + 4).alias("timeshift_cam_imu_s"), _number(k + 1).alias("reprojection_rms_px"), _number(k + 2).alias("kalibr_gyro_error_mean"), _number(k + 3).alias("kalibr_accel_error_mean")).alias("extrinsics"), imu))
+    camera = lambda n: F.struct(lens(k + n).alias("intrinsics"), _number(k + n).alias("timeshift_cam_imu_s"), _number(k + n + 1).alias("reprojection_rms_px"))
+    two = F.to_json(F.struct(F.array(camera(0), camera(1)).alias("cameras"), placed(k).alias("T_cam0_imu"), placed(k + 1).alias("T_cam1_cam0"), imu, _number(k + 2).alias("kalibr_gyro_error_mean"), _number(k + 3).alias("kalibr_accel_error_mean")))
+    packed = writers.calibration_blobs(blobs.select("recording_id", F.when(k % 2 == 1, one).otherwise(two).alias("json"))).withColumnRenamed("content", "packed")
+    return blobs.join(packed, "recording_id").select("recording_id", (F.col("content") == F.col("packed")).alias("same"))
