@@ -67,11 +67,6 @@ def _advanced(q: Sequence[float], dt: float, accel: Sequence[float], gyro: Seque
     return _unit(moved)
 
 
-def resumed(before_ns: int, t_ns: int, accel: np.ndarray, gyro: np.ndarray, q: np.ndarray, gain: float = GAIN) -> np.ndarray:
-    """The attitude (x, y, z, w) at t_ns, from the one before."""
-    return gradient_filter(np.array([int(t_ns)]), np.asarray([accel], float), np.asarray([gyro], float), gain, (int(before_ns), np.asarray(q, float)))[0]
-
-
 def gradient_filter(t_ns: np.ndarray, accel: np.ndarray, gyro: np.ndarray, gain: float = GAIN, before: tuple[int, np.ndarray] | None = None) -> np.ndarray:
     """Attitudes (x, y, z, w) by gyro integration with a gradient step towards gravity; `before`: time and attitude to go on from."""
     out = np.empty((len(t_ns), 4))

@@ -1,19 +1,16 @@
-"""Streams of samples and frames: online statistics, gaps, stateful fusion, and pairing of two streams.
+"""Streams of samples and frames: arriving files, online statistics, sessions, and pairs of two streams.
+
+Gaps, attitudes and nearest pairs, whose state ends, are in `ordered`.
 
 Monotonic nanoseconds are no wall clock. Where a watermark needs a timestamp, one is derived from them; the long stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from isochron.operators import asof, fusion
+from isochron.operators import asof
 
 
 def chunk_files(spark: SparkSession, path: str, pattern: str, per_trigger: int = 100) -> DataFrame:
@@ -37,55 +34,8 @@ def sessions(rows: DataFrame, key: str, pause: str) -> DataFrame:
     return rows.groupBy(key, F.session_window("event_time", pause)).agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
 
-def gap_stream(rows: DataFrame, key: str, threshold_ns: int) -> DataFrame:
-    """(key, before_ns, after_ns) of each step over the threshold; the state is a key's last time."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = np.sort(np.concatenate([p["ts_ns"].to_numpy() for p in parts]))
-        times = times if last is None else np.concatenate([[last], times[times > last]])
-        wide = np.flatnonzero(np.diff(times) > threshold_ns)
-        if len(times):
-            state.update((int(times[-1]),))
-        yield pd.DataFrame({key: [group[0]] * len(wide), "before_ns": times[wide], "after_ns": times[wide + 1]})
-
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, before_ns long, after_ns long", "last_ns long", "append", GroupStateTimeout.NoTimeout)
-
-
-def fused_stream(rows: DataFrame, key: str, gain: float = fusion.GAIN) -> DataFrame:
-    """Attitudes of samples as they come (key, ts_ns, ax..az, gx..gz); the state is a key's last time and attitude."""
-    kind = rows.schema[key].dataType.simpleString()
-    names = ["ax", "ay", "az", "gx", "gy", "gz"]
-
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(parts)).sort_values("ts_ns")
-        t, values = batch["ts_ns"].to_numpy(), batch[names].to_numpy(float)
-        if state.exists:
-            last, *q = state.get
-            new = t > last
-            t, values = t[new], values[new]
-            q_all = continued(np.append(last, t), values, np.array(q), gain)
-        else:
-            q_all = fusion.gradient_filter(t, values[:, :3], values[:, 3:], gain)
-        if len(t):
-            state.update((int(t[-1]), *map(float, q_all[-1])))
-        yield pd.DataFrame({key: [group[0]] * len(t), "ts_ns": t, **{c: q_all[:, k] for k, c in enumerate(("qx", "qy", "qz", "qw"))}})
-
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts_ns long, qx double, qy double, qz double, qw double", "last_ns long, qx double, qy double, qz double, qw double", "append", GroupStateTimeout.NoTimeout)
-
-
-def continued(times: np.ndarray, values: np.ndarray, q: np.ndarray, gain: float) -> np.ndarray:
-    """Attitudes of rows after a known one: times has that one's time first."""
-    out = np.empty((len(values), 4))
-    for k in range(len(values)):
-        pair = fusion.resumed(times[k], times[k + 1], values[k, :3], values[k, 3:], q, gain)
-        out[k] = q = pair
-    return out
-
-
 def paired(left: DataFrame, right: DataFrame, key: str, gate_ms: int) -> DataFrame:
-    """Pairs of two watermarked streams within the gate, which bounds their state; the nearest is chosen downstream."""
+    """Pairs of two watermarked streams within the gate, which bounds their state; `ordered.nearest_stream` chooses the nearest."""
     a, b = left.alias("a"), right.alias("b")
     span = F.expr(f"b.event_time between a.event_time - interval {gate_ms} milliseconds and a.event_time + interval {gate_ms} milliseconds")
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & span)

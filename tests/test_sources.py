@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from isochron.codecs import calibration, records
 from isochron.operators import frames as frame_ops
-from isochron.operators import fusion
 from isochron.sources import readers, writers
-from isochron.streaming import stream
 from tests.test_core import MONO, STEREO, imu_columns, sei_stream
 
 
@@ -74,27 +72,6 @@ def test_channels_at_frames(spark, folder):
     assert [r["accel"]["y"] for r in got] == pytest.approx(want.tolist(), abs=1e-6)
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    r = np.random.default_rng(1)
-    rows = [("a", k * 10_000_000 + (500_000_000 if k >= 30 else 0), *map(float, r.standard_normal(6))) for k in range(60)]
-    ddl = "k string, ts_ns long, ax double, ay double, az double, gx double, gy double, gz double"
-    for n in range(3):
-        spark.createDataFrame(rows[20 * n : 20 * n + 20], ddl).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
-    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-
-    def run(table, name):
-        query = table.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        query.awaitTermination(180)
-        return spark.table(name).collect()
-
-    gaps = run(stream.gap_stream(source, "k", 100_000_000), "gaps")
-    assert [(g["before_ns"], g["after_ns"]) for g in gaps] == [(290_000_000, 800_000_000)]
-    fused = {r["ts_ns"]: r["qw"] for r in run(stream.fused_stream(source, "k"), "fused")}
-    values = np.array([x[2:] for x in rows])
-    want = fusion.gradient_filter(np.array([x[1] for x in rows]), values[:, :3], values[:, 3:])
-    assert [fused[x[1]] for x in rows] == pytest.approx(want[:, 3].tolist(), abs=1e-9)
-
-
 def test_plans(spark, folder):
     from isochron.plans import takes
 
