@@ -6,16 +6,21 @@ the lists: every class is a centre that introduces its neighbours, forward and r
 best it has met. A centre with a long reverse list is dealt into chunks, so hubs neither gather in a task nor lose
 members. Rounds go on until one brings no new link (similarity at the threshold or above).
 
-Saturated lists, whose K neighbours are all links, are enlarged without a cap: links make connected parts, and inside
-each part all pairs are compared in double precision, in blocks whose pairs are tasks of their own. A link between two
-parts can be in neither list only if both its ends are saturated: the saturated classes of each part lie in balls, and
-balls of two parts that are near enough for a link are compared, all pairs again, and the parts joined.
+Saturated lists, whose neighbours are all links, are enlarged: to the sizes of ENLARGED in turn, each with the buckets
+looked through once more for the saturated classes and rounds of its own around them. Lists beyond the last size would grow with the square of a group, so from there on
+links make connected parts, and inside each part all pairs are compared in double precision, in blocks whose pairs are
+tasks of their own. A link between two parts can be in neither list only if both its ends are still saturated: the
+saturated classes of each part lie in balls, and balls of two parts that are near enough for a link are compared, all
+pairs again, and the parts joined.
 
 There are so many tables that a pair at the threshold shares a bucket with probability RECALL, TABLES at least. An audit
 compares random classes with all others, until LINKED of them have links or all classes are audited, AUDIT at least;
 links that the lists missed are added. Recall is the mean over audited classes with links, so one large group does not
 outweigh the others; while it is under RECALL, more tables and rounds follow, and after TRIES of them an error.
 
+Vectors of every length go through the same jobs: the length is a part of the keys of buckets and of tiles, and the
+audit keeps its account by length. The driver holds a number for each distinct length.
+
 Defined results: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors
 link only with vectors of their own length; a null vec_id links with nothing and is kept; rows that share a vec_id
 share a component.
@@ -24,11 +29,12 @@ share a component.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,6 +46,8 @@ from isochron.llm.jaccard import roots
 
 LOG = logging.getLogger(__name__)
 THRESHOLD, K, TABLES, ROUNDS, RECALL = 0.9, 10, 8, 6, 0.999
+#: Sizes to which saturated lists are enlarged, in this order.
+ENLARGED = (40,)
 #: Members of a bucket or of a centre's chunk, classes of a block, classes that the audit compares with all.
 CHUNK, BLOCK_ROWS, AUDIT = 128, 512, 256
 #: Balls of a tile; tiles meet in pairs.
@@ -48,6 +56,8 @@ TILE = 1_024
 PIECE, LINKED, TRIES = 2_048, 1_000, 8
 #: Single precision may put a link this far below the threshold; such pairs are decided in double precision.
 SLACK = 1e-5
+#: A similarity that none exceeds: a list with this floor takes nothing more.
+NEVER = 2.0
 
 
 def clean(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -80,6 +90,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the unit vectors of each length in a batch."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        places = np.flatnonzero(sizes == size)
+        yield int(size) // 8, places, _matrix(column.take(pa.array(places)), np.float64)
+
+
 def _best(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[pa.RecordBatch]:
     """Rows (keys..., id, worst, vector) sorted by the keys: for each member its k best others of the group above worst."""
     held: list[list[np.ndarray]] = [[], [], []]
@@ -87,6 +105,8 @@ def _best(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[pa.R
         if group.num_rows < 2:
             continue
         ids, worst = group["id"].to_numpy(), group["worst"].to_numpy()
+        if worst.min() >= NEVER:
+            continue
         x = _matrix(group["vector"], np.float32)
         similar = x @ x.T
         similar[ids[:, None] == ids[None, :]] = -2
@@ -120,24 +140,37 @@ def tables_for(bits: int, threshold: float, recall: float, least: int) -> int:
     return max(least, int(np.ceil(np.log(1 - recall) / np.log1p(-shared))))
 
 
-def start(classes: DataFrame, dim: int, count: int, k: int, tables: int, first: int = 0) -> DataFrame:
-    """First lists: the k best of each bucket chunk of random hyperplanes; tables with another first are others."""
-    bits = _bits(count)
-    planes = np.random.default_rng(17 + first).standard_normal((tables, max(bits, 1), dim)).astype(np.float32)
+def start(classes: DataFrame, counts: Mapping[int, int], k: int, tables: Mapping[int, range], first: int, last: int, growing: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """First lists: the k best of each bucket chunk of random hyperplanes, in tables first to last - 1.
+
+    Given growing lists' classes, only they get lists, of links alone.
+    counts and tables: classes and tables of each length; a length takes no part in tables that are not its own.
+    """
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            x = _matrix(batch.column(1), np.float64).astype(np.float32)
-            narrow = pa.array([v.tobytes() for v in x], pa.binary())
-            for t in range(tables):
-                sign = ((x @ planes[t].T > 0).astype(np.int64) << np.arange(max(bits, 1))).sum(1) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sign * tables + t), batch.column(0), narrow], names=["bucket", "id", "vector"])
-
-    dealt = classes.select("id", "unit").mapInArrow(buckets, "bucket long, id long, vector binary")
-    sizes = classes.select("id", "unit").mapInArrow(buckets, "bucket long, id long, vector binary").groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = dealt.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id", "bucket"), "chunks").cast("int"))
-    dealt = dealt.select("bucket", "chunk", "id", F.lit(-2.0).cast("float").alias("worst"), "vector").repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-    return _lists(dealt.mapInArrow(lambda batches: _best(batches, 2, k), FOUND), k)
+            for dim, places, x in _by_length(batch.column(1)):
+                bits, ids, floor = _bits(counts[dim]), *(batch.column(k).take(pa.array(places)) for k in (0, 2))
+                x = x.astype(np.float32)
+                narrow = pa.array([v.tobytes() for v in x], pa.binary())
+                for t in range(max(first, tables[dim].start), min(last, tables[dim].stop)):
+                    if (dim, t) not in planes:
+                        planes[dim, t] = np.random.default_rng((17, dim, t)).standard_normal((max(bits, 1), dim)).astype(np.float32)
+                    sign = ((x @ planes[dim, t].T > 0).astype(np.int64) << np.arange(max(bits, 1))).sum(1) if bits else np.zeros(len(x), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), dim, np.int32)), pa.array(sign * last + t), ids, floor, narrow], names=["dim", "bucket", "id", "worst", "vector"])
+
+    if growing is None:
+        rows = classes.select("id", "unit", F.lit(-2.0).cast("float").alias("worst"))
+    else:
+        rows = classes.select("id", "unit").join(growing.withColumn("open", F.lit(True)), "id", "left")
+        rows = cut(rows.select("id", "unit", F.when(F.col("open"), threshold - SLACK).otherwise(NEVER).cast("float").alias("worst")))
+    dealt = rows.mapInArrow(buckets, "dim int, bucket long, id long, worst float, vector binary")
+    sizes = dealt.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = dealt.join(sizes, ["dim", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("id", "bucket"), "chunks").cast("int"))
+    dealt = dealt.select("dim", "bucket", "chunk", "id", "worst", "vector")
+    dealt = dealt.repartition("dim", "bucket", "chunk").sortWithinPartitions("dim", "bucket", "chunk")
+    return _lists(dealt.mapInArrow(lambda batches: _best(batches, 3, k), FOUND), k)
 
 
 def _lists(found: DataFrame, k: int) -> DataFrame:
@@ -152,27 +185,45 @@ def _known(graph: DataFrame) -> DataFrame:
     return graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.similar").alias("similar"))
 
 
-def widen(graph: DataFrame | None, classes: DataFrame, dim: int, count: int, k: int, tables: int, first: int, last: int) -> DataFrame:
-    """The lists with the best of tables first to last - 1, a few tables at a time."""
-    step = max(1, tables)
-    for low in range(first, last, step):
-        more = start(classes, dim, count, k, min(step, last - low), low)
-        graph = more if graph is None else _lists(_known(graph).union(_known(more)), k)
+def widen(graph: DataFrame | None, classes: DataFrame, counts: Mapping[int, int], k: int, held: int, step: int, tables: Mapping[int, range], growing: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The lists, of at most `held`, with the best of each length's tables, a few tables at a time."""
+    step, last = max(1, step), max(own.stop for own in tables.values())
+    for low in range(min(own.start for own in tables.values()), last, step):
+        more = start(classes, counts, k, tables, low, min(low + step, last), growing, threshold)
+        graph = more if graph is None else _lists(_known(graph).union(_known(more)), held)
     return graph
 
 
-def descend(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """One round: each class introduces its neighbours to each other."""
+def descend(graph: DataFrame, classes: DataFrame, k: int, held: int, growing: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """One round: each class introduces its neighbours to each other; lists keep at most `held`.
+
+    Given growing lists' classes, only they and their neighbours introduce, and the growing ones keep all links up to `held`
+    where the others keep what is better than their k-th.
+    """
     edges = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
     both = edges.union(edges.select("other", "id")).distinct()
-    members = both.select(F.col("id").alias("centre"), F.col("other").alias("id")).union(classes.select(F.col("id").alias("centre"), "id"))
+    worst = F.when(F.size("near") >= k, F.element_at("near", k)["similar"]).otherwise(F.lit(-2.0))
+    floors = graph.select("id", "near")
+    if growing is not None:
+        around = both.join(growing, "id").select(F.col("other").alias("id")).union(growing).distinct()
+        both = both.join(around, "id", "left_semi")
+        floors = floors.join(growing.withColumn("open", F.lit(True)), "id", "left")
+        full = F.when(F.size("near") >= held, F.element_at("near", held)["similar"]).otherwise(F.lit(threshold - SLACK))
+        worst = F.when(F.col("open"), full).otherwise(worst)
+    centres = both.select("id").distinct()
+    members = both.select(F.col("id").alias("centre"), F.col("other").alias("id")).union(centres.select(F.col("id").alias("centre"), "id"))
     chunks = both.groupBy(F.col("id").alias("centre")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     members = members.join(chunks, "centre").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    worst = graph.select("id", F.when(F.size("near") >= k, F.element_at("near", -1)["similar"]).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    narrow = classes.select("id", "vector").join(worst, "id")
+    narrow = classes.select("id", "vector").join(floors.select("id", worst.cast("float").alias("worst")), "id")
     dealt = members.join(narrow, "id").select("centre", "chunk", "id", "worst", "vector").repartition("centre", "chunk").sortWithinPartitions("centre", "chunk")
-    met = dealt.mapInArrow(lambda batches: _best(batches, 2, k), FOUND)
-    return _lists(_known(graph).union(met), k)
+    most = k if growing is None else held
+    met = dealt.mapInArrow(lambda batches: _best(batches, 2, most), FOUND)
+    return _lists(_known(graph).union(met), held)
+
+
+def saturated(graph: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Ids whose lists hold so many links."""
+    return graph.filter(F.size("near") >= size).filter(F.element_at("near", size)["similar"] >= threshold - SLACK).select("id")
 
 
 def linked(graph: DataFrame, threshold: float) -> DataFrame:
@@ -190,8 +241,8 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _reaching(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
-    """Rows (i, j, tile, component, block, centre, radius), sorted by the first two: balls of two parts within reach."""
-    for group in runs(batches, 2):
+    """Rows (dim, i, j, tile, component, block, centre, radius), sorted by the first three: balls of two parts within reach."""
+    for group in runs(batches, 3):
         tile, component, block, radius = (group[name].to_numpy() for name in ("tile", "component", "block", "radius"))
         x = _matrix(group["centre"], np.float64)
         square = (x * x).sum(1)
@@ -215,8 +266,7 @@ def _bridge(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 def bridged(graph: DataFrame, classes: DataFrame, parts: DataFrame, threshold: float, k: int) -> DataFrame:
     """The parts with those in one that are linked by classes whose lists are saturated."""
-    full = graph.filter(F.size("near") >= k).filter(F.element_at("near", k)["similar"] >= threshold - SLACK).select("id")
-    held = cut(full.join(parts, "id"))
+    held = cut(saturated(graph, threshold, k).join(parts, "id"))
     blocks = held.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     if blocks.limit(2).count() < 2:
         return parts
@@ -224,12 +274,13 @@ def bridged(graph: DataFrame, classes: DataFrame, parts: DataFrame, threshold: f
     held = cut(held.select("component", "block", "unit"))
     balls = held.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(_balls, "component long, block int, centre binary, radius double")
     balls = cut(balls)
-    tiles = -(-balls.count() // TILE)
-    dealt = balls.withColumn("tile", F.pmod(F.xxhash64("component", "block"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    dealt = dealt.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "component", "block", "centre", "radius")
+    balls = balls.withColumn("dim", (F.octet_length("centre") / 8).cast("int"))
+    tiles = balls.groupBy("dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = balls.join(tiles, "dim").withColumn("tile", F.pmod(F.xxhash64("component", "block"), "tiles").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    dealt = dealt.select("dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "component", "block", "centre", "radius")
     # Unit vectors with a cosine of at least the threshold are at most so far apart.
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    pairs = cut(dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(lambda batches: _reaching(batches, reach), "ca long, ba int, cb long, bb int"))
+    pairs = cut(dealt.repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j").mapInArrow(lambda batches: _reaching(batches, reach), "ca long, ba int, cb long, bb int"))
     sides = F.array(*(F.struct(F.col(f"c{x}").alias("component"), F.col(f"b{x}").alias("block"), F.lit(n).alias("side")) for n, x in enumerate("ab")))
     met = pairs.withColumn("x", F.explode(sides)).select("ca", "ba", "cb", "bb", "x.*").join(held, ["component", "block"])
     met = met.select("ca", "ba", "cb", "bb", "side", "unit").repartition("ca", "ba", "cb", "bb").sortWithinPartitions("ca", "ba", "cb", "bb")
@@ -240,46 +291,79 @@ def bridged(graph: DataFrame, classes: DataFrame, parts: DataFrame, threshold: f
     return cut(parts.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
 
 
-def missed(classes: DataFrame, parts: DataFrame, threshold: float, audit: int, count: int) -> tuple[float, DataFrame]:
-    """(recall of the links of the audited classes, those of them that lie in no one part); all audited: nothing is left."""
+def _passes(counts: Mapping[int, int], done: Mapping[int, int], at: int) -> list[tuple[int, int]]:
+    """The next (length, piece) pairs that one pass audits: PIECE classes of lengths that are not done, or one piece more."""
+    chosen, rows = [], 0
+    for dim, count in counts.items():
+        pieces = max(1, count // PIECE)
+        for piece in range(done[dim], pieces):
+            chosen.append((dim, piece))
+            rows += -(-count // pieces)
+            if rows >= at:
+                return chosen
+    return chosen
+
+
+def missed(classes: DataFrame, parts: DataFrame, threshold: float, audit: int, counts: Mapping[int, int]) -> tuple[float, DataFrame]:
+    """(least recall, over the lengths, of the links of audited classes; those of them that lie in no one part)."""
     none = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     if not audit:
         return 1.0, none
-    parted = classes.select("id", "unit").join(parts, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("part"))
-    pieces = max(1, count // PIECE)
-    parted = cut(parted.withColumn("piece", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(pieces))))
-    seen, linked, found, gone = 0, 0, 0.0, []
-    for piece in range(pieces):
-        chosen = parted.filter(F.col("piece") == piece).toArrow()
+    # A class without another of its length has no links to audit.
+    counts = {dim: count for dim, count in counts.items() if count > 1}
+    parted = classes.select("id", "unit", "dim").join(parts, "id", "left").select("id", "unit", "dim", F.coalesce("component", "id").alias("part"))
+    sizes = classes.groupBy("dim").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / PIECE)).alias("pieces"))
+    parted = cut(parted.join(F.broadcast(sizes), "dim").select("id", "unit", "part", "dim", F.pmod(F.xxhash64(F.lit(3), "id"), "pieces").alias("piece")))
+    done, gone = dict.fromkeys(counts, 0), []
+    sums: dict[int, list[float]] = {dim: [0, 0, 0.0] for dim in counts}
+    while True:
+        short = {dim: count for dim, count in counts.items() if not (sums[dim][1] >= LINKED and sums[dim][0] >= audit)}
+        units = _passes(short, done, PIECE)
+        if not units:
+            break
+        for dim, _ in units:
+            done[dim] += 1
+        pieces = [f"{dim}:{piece}" for dim, piece in units]
+        chosen = parted.filter(F.concat_ws(":", "dim", "piece").isin(pieces)).select("id", "unit", "part").toArrow()
         if not chosen.num_rows:
             continue
-        shared = classes.sparkSession.sparkContext.broadcast((chosen["id"].to_numpy(), chosen["part"].to_numpy(), _matrix(chosen["unit"], np.float64)))
+        ids, part = chosen["id"].to_numpy(), chosen["part"].to_numpy()
+        audited = {dim: (ids[places], part[places], x) for dim, places, x in _by_length(chosen["unit"].combine_chunks())}
+        shared = classes.sparkSession.sparkContext.broadcast(audited)
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, part, x = shared.value
             for batch in batches:
-                own, home = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                for low in range(0, len(own), 1_000):
-                    some = slice(low, low + 1_000)
-                    links = (_matrix(batch.column(1)[some], np.float64) @ x.T >= threshold) & (own[some, None] != ids[None, :])
-                    row, column = np.nonzero(links & (home[some, None] != part[None, :]))
-                    n, lost = links.sum(0), np.bincount(column, minlength=len(ids))
-                    any_ = n > 0
-                    zero = np.zeros(len(row), np.int64)
-                    a = pa.concat_arrays([pa.array(own[some][row]), pa.nulls(int(any_.sum()), pa.int64())])
-                    parts_of = [a, *(pa.array(np.concatenate(v).astype(np.int64)) for v in ((ids[column], ids[any_]), (zero, n[any_]), (zero, lost[any_])))]
-                    yield pa.RecordBatch.from_arrays(parts_of, names=["a", "b", "n", "lost"])
-
-        rows = cut(parted.select("id", "unit", "part").mapInArrow(each, "a long, b long, n long, lost long"))
-        sums = rows.groupBy("b").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
-        got = sums.agg(F.count("*"), F.coalesce(F.sum(1 - F.col("lost") / F.col("n")), F.lit(0.0)), F.coalesce(F.sum("lost"), F.lit(0))).first()
+                for low in range(0, batch.num_rows, 1_000):
+                    some = batch.slice(low, 1_000)
+                    for dim, places, y in _by_length(some.column(1)):
+                        if dim in shared.value:
+                            yield _links(some.column(0).to_numpy()[places], some.column(2).to_numpy()[places], y, *shared.value[dim], dim, threshold)
+
+        rows = cut(parted.select("id", "unit", "part").mapInArrow(each, "a long, b long, n long, lost long, dim int"))
+        linked = rows.groupBy("dim", "b").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+        for got in linked.groupBy("dim").agg(F.count("*").alias("linked"), F.sum(1 - F.col("lost") / F.col("n")).alias("found")).collect():
+            sums[got["dim"]][1] += got["linked"]
+            sums[got["dim"]][2] += got["found"]
+        for dim, (own, _, _) in audited.items():
+            sums[dim][0] += len(own)
         shared.unpersist()
-        seen, linked, found = seen + chosen.num_rows, linked + got[0], found + got[1]
-        if got[2]:
-            gone.append(rows.filter("a is not null").select("a", "b"))
-        if linked >= LINKED and seen >= audit:
-            break
-    return (1.0 if seen >= count else found / linked), reduce(DataFrame.union, gone) if gone else none
+        lost = rows.filter("a is not null").select("a", "b")
+        if not lost.isEmpty():
+            gone.append(lost)
+    recalls = [1.0 if seen >= counts[dim] else found / linked for dim, (seen, linked, found) in sums.items()]
+    return min(recalls, default=1.0), reduce(DataFrame.union, gone) if gone else none
+
+
+def _links(own: np.ndarray, home: np.ndarray, y: np.ndarray, ids: np.ndarray, part: np.ndarray, x: np.ndarray, dim: int, threshold: float) -> pa.RecordBatch:
+    """Links of audited classes (ids, part, x) with some classes (own, home, y): those outside their part, and counts."""
+    links = (y @ x.T >= threshold) & (own[:, None] != ids[None, :])
+    row, column = np.nonzero(links & (home[:, None] != part[None, :]))
+    n, lost = links.sum(0), np.bincount(column, minlength=len(ids))
+    any_ = n > 0
+    zero = np.zeros(len(row), np.int64)
+    a = pa.concat_arrays([pa.array(own[row]), pa.nulls(int(any_.sum()), pa.int64())])
+    columns = [a, *(pa.array(np.concatenate(v).astype(np.int64)) for v in ((ids[column], ids[any_]), (zero, n[any_]), (zero, lost[any_])))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), dim, np.int32))], names=["a", "b", "n", "lost", "dim"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -296,40 +380,48 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(roots(links[np.ix_(some, some)], ids[some])), pa.array(count[some])], names=["id", "root", "links"])
 
 
-def _found(classes: DataFrame, dim: int, threshold: float, k: int, tables: int, rounds: int, audit: int, recall: float) -> DataFrame:
-    """(id, links, component) of the linked classes of one length."""
+def _found(classes: DataFrame, counts: Mapping[int, int], threshold: float, k: int, tables: int, rounds: int, audit: int, recall: float, enlarged: Sequence[int]) -> DataFrame:
+    """(id, links, component) of the linked classes."""
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), np.float64).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "vector"])
+            vectors = [np.frombuffer(v).astype(np.float32).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["id", "vector"])
 
     narrow = classes.select("id", "unit").mapInArrow(narrowed, "id long, vector binary")
-    count = classes.count()
-    last = tables_for(_bits(count), threshold, recall, tables)
-    graph = widen(None, classes, dim, count, k, tables, 0, last)
+    last = {dim: tables_for(_bits(count), threshold, recall, tables) for dim, count in counts.items()}
+    held = max([k, *enlarged])
+    graph = widen(None, classes, counts, k, k, tables, {dim: range(n) for dim, n in last.items()})
     extra: list[DataFrame] = []
     for _ in range(TRIES):
-        links = linked(graph, threshold).count()
-        for _ in range(rounds):
-            graph = descend(graph, narrow, k)
-            now = linked(graph, threshold).count()
-            if now == links:
+        links, size = linked(graph, threshold).count(), k
+        for wider in [k, *(x for x in enlarged if x > k)]:
+            full = cut(saturated(graph, threshold, size)) if wider > k else None
+            if full is not None and full.isEmpty():
                 break
-            links = now
+            if full is not None:
+                graph = widen(graph, classes, counts, wider, held, tables, {dim: range(n) for dim, n in last.items()}, full, threshold)
+            for _ in range(rounds):
+                # After an audit that failed, lists may be longer already; none is shortened.
+                graph = descend(graph, narrow, k, wider if not extra else held, full, threshold)
+                now = linked(graph, threshold).count()
+                if now == links:
+                    break
+                links = now
+            size = wider
         edges = reduce(DataFrame.union, [linked(graph, threshold), *extra])
-        parts = bridged(graph, classes, components(edges), threshold, k)
-        reached, gone = missed(classes, parts, threshold, audit, count)
+        parts = bridged(graph, classes, components(edges), threshold, size)
+        reached, gone = missed(classes, parts, threshold, audit, counts)
         if not gone.isEmpty():
             extra.append(gone)
             parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(gone))
-        LOG.info("audited recall %.5f with %d tables over %d classes", reached, last, count)
+        LOG.info("audited recall %.5f with %d tables over %d classes", reached, max(last.values()), sum(counts.values()))
         if reached >= recall:
             break
-        graph = widen(graph, classes, dim, count, k, tables, last, last + tables)
-        last += tables
+        graph = widen(graph, classes, counts, k, held, tables, {dim: range(n, n + tables) for dim, n in last.items()})
+        last = {dim: n + tables for dim, n in last.items()}
     else:
-        raise RuntimeError(f"recall of {reached:.4f} is under {recall} after {TRIES} audits and {last} tables")
+        raise RuntimeError(f"recall of {reached:.4f} is under {recall} after {TRIES} audits and {max(last.values())} tables")
     sized = parts.join(classes.select("id", "unit", "copies"), "id")
     blocks = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -340,17 +432,17 @@ def _found(classes: DataFrame, dim: int, threshold: float, k: int, tables: int,
     return exact.groupBy("id").agg(F.sum("links").alias("links")).join(groups, "id")
 
 
-def join(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
+def join(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, tables: int = TABLES, rounds: int = ROUNDS, audit: int = AUDIT, recall: float = RECALL, enlarged: Sequence[int] = ENLARGED) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_id of each row."""
     cleaned = cut(clean(rows))
     valid = cleaned.filter("unit is not null")
     heads = valid.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     classes = cut(valid.select("id", "h1", "h2", "dim", "unit").join(heads, ["h1", "h2"]).filter("id = class_id").dropDuplicates(["h1", "h2"]))
-    dims = [r["dim"] for r in classes.select("dim").distinct().collect()]
-    each = [_found(cut(classes.filter(F.col("dim") == dim).select("id", "unit", "copies")), dim, threshold, k, tables, rounds, audit, recall) for dim in dims]
+    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     named = classes.select("h1", "h2", F.col("id").alias("class_id"), "copies")
-    if each:
-        named = named.join(reduce(DataFrame.union, each).withColumnRenamed("id", "class_id"), "class_id", "left")
+    if counts:
+        found = _found(classes.select("id", "unit", "copies", "dim"), counts, threshold, k, tables, rounds, audit, recall, enlarged)
+        named = named.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     else:
         named = named.withColumns({"links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
     full = valid.select("id", "h1", "h2").join(named, ["h1", "h2"])

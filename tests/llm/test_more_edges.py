@@ -3,10 +3,12 @@
 import gc
 import weakref
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from isochron.llm import decontaminate, jaccard, licenses, lm, neighbours, quality, toxicity
+from isochron.llm.common import cut
 
 HUGE = "plenty of quite ordinary words in a row number " * 26_000  # 1.2 MB
 
@@ -85,3 +87,61 @@ def test_one_automaton_at_a_time(spark, monkeypatch):
     assert len(most) == 6 and max(most) <= 1
     assert sorted(map(tuple, parts.collect())) == whole and all(r[2] == 24 for r in whole)
     assert parts.filter(F.col("n_items") != 2).count() == 0
+
+
+def test_vectors_of_many_lengths_in_one_run(spark):
+    """Lengths are parts of the keys: six lengths take about as many jobs as one, and link within themselves only."""
+    random = np.random.default_rng(21)
+    rows, links = [], {}
+    for dim in range(8, 20, 2):
+        x = np.concatenate([random.standard_normal((12, dim)), np.repeat(random.standard_normal((1, dim)), 25, 0) + 0.02 * random.standard_normal((25, dim))])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        linked = unit @ unit.T >= 0.9
+        for v, n in zip(x, linked.sum(1) - 1, strict=True):
+            links[len(rows)] = int(n)
+            rows.append((len(rows), v.tolist()))
+
+    def jobs(wanted) -> tuple[int, dict]:
+        group = f"lengths-{len(wanted)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = {r["vec_id"]: r["n_links"] for r in neighbours.join(spark.createDataFrame(wanted, "vec_id long, embedding array<double>")).collect()}
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n, out
+
+    one, _ = jobs(rows[:37])
+    six, out = jobs(rows)
+    assert out == links
+    assert six < 2 * one
+
+
+def test_saturated_lists_are_enlarged(spark):
+    """A group of 30 saturates lists of 10; enlarged to 40, they hold every link of it, so no class stays saturated."""
+    random = np.random.default_rng(22)
+    x = np.concatenate([*(c + 0.02 * random.standard_normal((30, 16)) for c in random.standard_normal((6, 16))), random.standard_normal((200, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = cut(spark.createDataFrame([(i, v.tobytes(), v.astype(np.float32).tobytes()) for i, v in enumerate(x)], "id long, unit binary, vector binary"))
+    graph = neighbours.start(classes, {16: len(x)}, 10, {16: range(8)}, 0, 8)
+    full = neighbours.saturated(graph, 0.9, 10)
+    assert {r["id"] for r in full.collect()} == set(range(180))
+    for size, wider in ((10, 20), (20, 40)):
+        full = cut(neighbours.saturated(graph, 0.9, size))
+        for _ in range(3):
+            graph = neighbours.descend(graph, classes.select("id", "vector"), 10, wider, full)
+    assert neighbours.saturated(graph, 0.9, 40).isEmpty()
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    counts = {r["a"]: r["count"] for r in neighbours.linked(graph, 0.9).groupBy("a").count().collect()}
+    assert counts == {i: int(n) for i, n in enumerate(linked.sum(1)) if n}
+
+
+def test_parts_with_saturated_lists_are_bridged(spark):
+    """Without enlarging, two tight groups at a cosine of 0.93 know of each other by their balls only."""
+    random = np.random.default_rng(23)
+    axes = np.linalg.qr(random.standard_normal((24, 24)))[0]
+    centres = [axes[0], 0.945 * axes[0] + np.sqrt(1 - 0.945**2) * axes[1]]
+    x = np.concatenate([*(c + 0.01 * random.standard_normal((20, 24)) for c in centres), random.standard_normal((60, 24))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r for r in neighbours.join(table, audit=0, enlarged=()).collect()}
+    assert [out[i]["n_links"] for i in range(100)] == [39] * 40 + [0] * 60
+    assert {out[i]["component_id"] for i in range(40)} == {0}
