@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -106,7 +107,8 @@ def evenly(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, l
 
 def smoothed(values: Column, keep: float) -> Column:
     """Exponential average of an ordered array: the first value seeds, null resets; the value after the last one."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda s, x: F.when(x.isNull(), F.lit(None).cast("double")).when(s.isNull(), x).otherwise(s * keep + x * (1 - keep)))
+    added = float(1 - Decimal(str(keep)))  # 0.1 for 0.9, not 0.09999999999999998
+    return F.aggregate(values, F.lit(None).cast("double"), lambda s, x: F.when(x.isNull(), F.lit(None).cast("double")).when(s.isNull(), x).otherwise(s * keep + x * added))
 
 
 def percentile_clip(rows: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98, margin: float = 0.5) -> DataFrame:

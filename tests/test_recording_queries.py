@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from isochron import file_queries, recording_queries
@@ -44,3 +45,13 @@ def test_sample_is_the_same_for_a_seed(spark):
     rows = spark.range(1000)
     first, again, other = (sorted(r["id"] for r in signal.sampled(rows, ["id"], 50, seed).collect()) for seed in (1, 1, 2))
     assert len(set(first)) == 50 and first == again != other and len(signal.sampled(rows, ["id"], 5000).collect()) == 1000
+
+
+def test_average_adds_the_decimal_share(spark):
+    """0.9 and 0.1 as written: with 1 - 0.9 in binary this average falls on the other side of a half millionth."""
+    x = [56.39, 381.72, 179.4, 416.95, 213.06, 312.16, 473.11]
+    rows = spark.createDataFrame([(x,), ([1.0, None, *x],)], "x array<double>")
+    want = x[0]
+    for v in x[1:]:
+        want = 0.9 * want + 0.1 * v
+    assert [r[0] for r in rows.select(signal.smoothed(F.col("x"), 0.9)).collect()] == [want, want]
