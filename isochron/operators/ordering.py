@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """The rows over four tasks a core, or as many as Spark shuffles to, however few bytes they have: for small rows that are much work."""
+    spark = rows.sparkSession
+    return rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Adds `rank`, each row's place from 0 among its key's rows in the order of these columns; nulls come first.
 

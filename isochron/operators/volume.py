@@ -3,8 +3,8 @@
 A voxel holds the mean of the truncated signed distances that depth images give it along their viewing direction. Space is
 cut into blocks of BLOCK voxels a side, of which only those near a measured point exist. A task turns an image into sums
 for the blocks it sees, adding up those of the images that it reads one after the other (at most HELD blocks at a time), and
-the sums of a block are added by its key. Sums are whole numbers, so no order of addition shows. For the surface each block
-is joined by the first layers of its neighbours, and its cubes are cut into six tetrahedra, in each of which the zero of a
+the sums of a block are added by its key, ROWS blocks at a time. Sums are whole numbers, so no order of addition shows. For
+the surface each block is joined by the first layers of its neighbours, which alone are sent to it, and its cubes are cut into six tetrahedra, in each of which the zero of a
 linear function is a triangle or two.
 
 Defined results: depths that are null, zero, negative or no number measure nothing; an image without pixels gives no
@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, HELD, UNIT = 8, 2_048, 1_000_000
+from isochron.operators import ordering
+
+BLOCK, HELD, UNIT, ROWS = 8, 2_048, 1_000_000, 1_024
 _inside = np.stack(np.meshgrid(*[np.arange(BLOCK)] * 3, indexing="ij"), -1).reshape(-1, 3)
 #: The corners of a cube's six tetrahedra: the paths along its edges from one end of a diagonal to the other.
 TETRAHEDRA = [[0, a, a | b, 7] for a in (1, 2, 4) for b in (1, 2, 4) if a != b]
@@ -38,7 +40,13 @@ def touched(depth: np.ndarray, lens: tuple[float, float, float, float], pose: np
     at = (z[:, None] + np.append(steps, reach)[None, :]).ravel()
     x, y = np.repeat((u - cx) / fx, len(steps) + 1) * at, np.repeat((v - cy) / fy, len(steps) + 1) * at
     points = np.column_stack([x, y, at])[at > 0] @ pose[:3, :3].T + pose[:3, 3]
-    return np.unique(np.floor(points / (voxel * BLOCK)).astype(np.int64), axis=0)
+    blocks = np.floor(points / (voxel * BLOCK)).astype(np.int64)
+    low = blocks.min(0)
+    size = blocks.max(0) - low + 1
+    if size.astype(float).prod() >= 2.0**62:  # too far apart to be numbered in a box
+        return np.unique(blocks, axis=0)
+    place = np.unique(np.ravel_multi_index((blocks - low).T, size))
+    return np.column_stack(np.unravel_index(place, size)) + low
 
 
 def distances(blocks: np.ndarray, depth: np.ndarray, lens: tuple[float, float, float, float], pose: np.ndarray, voxel: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +79,9 @@ def fused(images: DataFrame, voxel: float, reach: float | None = None, key: str
         type_of = None
 
         def flushed() -> pa.RecordBatch:
-            keys, values = list(held), list(held.values())
-            lists = [pa.array([v[k].tolist() for v in values], pa.list_(pa.int64())) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type_of), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), *lists], names=[key, "bx", "by", "bz", "d", "w"])
+            keys = list(held)
+            packed = [pa.array([v[k].tobytes() for v in held.values()], pa.binary()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type_of), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), *packed], names=[key, "bx", "by", "bz", "d", "w"])
 
         for batch in batches:
             type_of = batch.schema.field(key).type
@@ -97,25 +105,88 @@ def fused(images: DataFrame, voxel: float, reach: float | None = None, key: str
         if held:
             yield flushed()
 
-    def added(table: pa.Table) -> pa.Table:
-        d, w = (np.array(table[c].combine_chunks().flatten().to_numpy()).reshape(table.num_rows, -1).sum(0) for c in ("d", "w"))
-        mean = np.where(w > 0, d / np.maximum(w, 1) / UNIT * (reach / voxel), 0.0)
-        return table.slice(0, 1).select([key, "bx", "by", "bz"]).append_column("distance", pa.array([mean.tolist()])).append_column("weight", pa.array([w.tolist()]))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "bx", "by", "bz"]
+        for whole in _runs(batches, names):
+            first = _firsts(whole, names)
+            d, w = (np.add.reduceat(_matrix(whole.column(c), np.int64), first) for c in ("d", "w"))
+            mean = np.where(w > 0, d / np.maximum(w, 1) / UNIT * (reach / voxel), 0.0)
+            kept = whole.select(names).take(pa.array(first))
+            at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * BLOCK**3)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (mean, w))], names=[*names, "distance", "weight"])
+
+    # Images are dealt anew, those of a place together, so that a small file of many images keeps many tasks busy.
+    dealt = ordering.dealt(images.select(key, "width", "height", "depth", "lens", "pose"), key, "pose")
+    made = dealt.mapInArrow(sums, f"{key} {kind}, bx long, by long, bz long, d binary, w binary")
+    return _together(made, [key, "bx", "by", "bz"]).mapInArrow(added, f"{key} {kind}, bx long, by long, bz long, distance array<double>, weight array<long>")
+
+
+def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key in one task, one after the other."""
+    return ordering.dealt(rows, *keys).sortWithinPartitions(*keys)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in batches of at most about ROWS that end where a key does, so a key's rows stand in one batch."""
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for low in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(low, ROWS)
+            ends = _firsts(batch, names)
+            # The batch's last key may go on; what comes before it is whole, as what is held is if its key ends here.
+            last = int(ends[-1])
+            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in names):
+                yield _joined(held)
+                held = []
+            if last:
+                yield _joined([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
 
-    made = images.select(key, "width", "height", "depth", "lens", "pose").mapInArrow(sums, f"{key} {kind}, bx long, by long, bz long, d array<long>, w array<long>")
-    return made.groupBy(key, "bx", "by", "bz").applyInArrow(added, f"{key} {kind}, bx long, by long, bz long, distance array<double>, weight array<long>")
+def _firsts(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Places of the rows whose key is not that of the row before."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in names:
+        codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Binary values of one length as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def crossings(distance: np.ndarray, weight: np.ndarray, least: int = 1) -> np.ndarray:
     """Triangles (n, 3, 3) of the zero surface in a grid of values at whole places, on cubes whose corners are all known."""
-    n = np.array(distance.shape) - 1
-    if (n < 1).any():
-        return np.empty((0, 3, 3))
-    base = np.stack(np.meshgrid(*[np.arange(k) for k in n], indexing="ij"), -1).reshape(-1, 3)
-    at = base[:, None, :] + _corner[None, :, :]
-    values = distance[at[..., 0], at[..., 1], at[..., 2]]
-    use = (weight[at[..., 0], at[..., 1], at[..., 2]] >= least).all(1) & (values.min(1) < 0) & (values.max(1) >= 0)
-    at, values = at[use].astype(float), values[use]
+    return _crossed(distance[None], weight[None] >= least)[1]
+
+
+def _crossed(distance: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(grid, triangle) numbers (n,) and (n, 3, 3) of several grids at once, (g, x, y, z) values and whether they are known."""
+    n = np.array(distance.shape[1:]) - 1
+    if (n < 1).any() or not len(distance):
+        return np.empty(0, np.int64), np.empty((0, 3, 3))
+    part = lambda x, k: x[:, k & 1 : n[0] + (k & 1), k >> 1 & 1 : n[1] + (k >> 1 & 1), k >> 2 : n[2] + (k >> 2)]
+    below, above, use = np.zeros((len(distance), *n), bool), np.zeros((len(distance), *n), bool), np.ones((len(distance), *n), bool)
+    negative, positive = distance < 0, distance >= 0
+    for k in range(8):
+        below |= part(negative, k)
+        above |= part(positive, k)
+        use &= part(known, k)
+    grid, *base = np.nonzero(use & below & above)
+    at = np.stack(base, -1)[:, None, :] + _corner[None, :, :]
+    values = distance[grid[:, None], at[..., 0], at[..., 1], at[..., 2]]
+    at = at.astype(float)
+    own = []
     found = []
     for corners in TETRAHEDRA:
         p, v = at[:, corners], values[:, corners]
@@ -126,35 +197,57 @@ def crossings(distance: np.ndarray, weight: np.ndarray, least: int = 1) -> np.nd
         one, two, three = (np.flatnonzero(below == k) for k in (1, 2, 3))
         found.append(np.stack([cut(one, 0, k) for k in (1, 2, 3)], 1))
         found.append(np.stack([cut(three, k, 3) for k in (0, 1, 2)], 1))
+        own += [grid[one], grid[three], grid[two], grid[two]]
         a, b, c, d = cut(two, 0, 2), cut(two, 0, 3), cut(two, 1, 2), cut(two, 1, 3)
         found += [np.stack([a, b, c], 1), np.stack([b, c, d], 1)]
-    return np.concatenate(found)
+    return np.concatenate(own), np.concatenate(found)
 
 
 def surface(blocks: DataFrame, voxel: float, least: int = 1, key: str = "take") -> DataFrame:
     """(key, bx, by, bz, x0, y0, z0, .. z2) of the zero surface's triangles, in metres; at least `least` views a voxel."""
-    kind = blocks.schema[key].dataType.simpleString()
-    offsets = F.array(*(F.struct(*(F.lit(o).cast("long").alias(a) for a, o in zip(("ox", "oy", "oz"), corner, strict=True))) for corner in _corner.tolist()))
-    # A block is the neighbour, by (ox, oy, oz), of the block that many numbers before it.
-    lent = blocks.withColumn("o", F.explode(offsets)).select(key, *((F.col(f"b{a}") - F.col(f"o.o{a}")).alias(f"b{a}") for a in "xyz"), "o.*", "distance", "weight")
-
-    def each(table: pa.Table) -> pa.Table:
-        grid, weight = np.zeros((BLOCK + 1,) * 3), np.zeros((BLOCK + 1,) * 3, np.int64)
-        rows = table.to_pylist()
-        own = any(r["ox"] == r["oy"] == r["oz"] == 0 for r in rows)
-        for r in rows if own else []:
-            o = np.array([r["ox"], r["oy"], r["oz"]])
-            to = tuple(slice(BLOCK, BLOCK + 1) if k else slice(0, BLOCK) for k in o)
-            of = tuple(slice(0, 1) if k else slice(0, BLOCK) for k in o)
-            grid[to], weight[to] = (np.array(r[c]).reshape((BLOCK,) * 3)[of] for c in ("distance", "weight"))
-        found = crossings(grid, weight, least)
-        start = np.array([rows[0][f"b{a}"] for a in "xyz"]) * BLOCK
-        placed = (found + start + 0.5) * voxel
-        head = {c: pa.array([rows[0][c]] * len(found), table[c].type) for c in (key, "bx", "by", "bz")}
-        return pa.table(head | {f"{a}{n}": pa.array(placed[:, n, i]) for n in range(3) for i, a in enumerate("xyz")})
+    field = blocks.schema[key].dataType.simpleString()
+    names = [key, "bx", "by", "bz"]
+
+    def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block is the neighbour, by (ox, oy, oz), of the block that many numbers before it, which needs its first layers.
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                distance, weight = (batch.column(c).flatten().to_numpy().reshape(-1, BLOCK, BLOCK, BLOCK) for c in ("distance", "weight"))
+                for o, (ox, oy, oz) in enumerate(_corner.tolist()):
+                    of = (slice(None), *(slice(0, 1) if k else slice(None) for k in (ox, oy, oz)))
+                    known = weight[of].reshape(len(weight), -1) >= least
+                    # What is not known counts as nothing, so it need not travel.
+                    at = np.flatnonzero(known.any(1))
+                    values = np.ascontiguousarray(distance[of]).reshape(len(weight), -1)
+                    kept = batch.select(names).take(pa.array(at))
+                    moved = [pa.array(kept.column(f"b{a}").to_numpy() - k) for a, k in zip("xyz", (ox, oy, oz), strict=True)]
+                    packed = [pa.array([x.tobytes() for x in some[at]], pa.binary()) for some in (values, known)]
+                    yield pa.RecordBatch.from_arrays([kept.column(0), *moved, pa.array(np.full(len(at), o, np.int32)), *packed], names=[*names, "o", "distance", "known"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _runs(batches, names):
+            first = _firsts(whole, names)
+            block = np.repeat(np.arange(len(first)), np.diff(np.append(first, whole.num_rows)))
+            grid, known = np.zeros((len(first), *[BLOCK + 1] * 3)), np.zeros((len(first), *[BLOCK + 1] * 3), bool)
+            which = whole.column("o").to_numpy()
+            for o, corner in enumerate(_corner.tolist()):
+                at = np.flatnonzero(which == o)
+                if len(at):
+                    to = (block[at], *(slice(BLOCK, BLOCK + 1) if k else slice(0, BLOCK) for k in corner))
+                    shape = (len(at), *(1 if k else BLOCK for k in corner))
+                    some = whole.select(["distance", "known"]).take(pa.array(at))
+                    grid[to], known[to] = _matrix(some.column(0), np.float64).reshape(shape), _matrix(some.column(1), np.bool_).reshape(shape)
+            # A block that is not there itself has no known voxels and so no cubes.
+            own, found = _crossed(grid, known)
+            head = whole.select(names).take(pa.array(first[own]))
+            start = np.column_stack([head.column(f"b{a}").to_numpy() for a in "xyz"])[:, None, :] * BLOCK
+            placed = (found + start + 0.5) * voxel
+            yield pa.RecordBatch.from_arrays([*head.columns, *(pa.array(np.ascontiguousarray(placed[:, n, i])) for n in range(3) for i in range(3))], names=[*names, *(f"{a}{n}" for n in range(3) for a in "xyz")])
 
     points = ", ".join(f"{a}{n} double" for n in range(3) for a in "xyz")
-    return lent.groupBy(key, "bx", "by", "bz").applyInArrow(each, f"{key} {kind}, bx long, by long, bz long, {points}")
+    spread = blocks.select(*names, "distance", "weight").mapInArrow(lent, f"{key} {field}, bx long, by long, bz long, o int, distance binary, known binary")
+    return _together(spread, names).mapInArrow(each, f"{key} {field}, bx long, by long, bz long, {points}")
 
 
 def ply_pieces(triangles: DataFrame, key: str = "take") -> DataFrame:
@@ -162,8 +255,6 @@ def ply_pieces(triangles: DataFrame, key: str = "take") -> DataFrame:
 
     Each triangle has its own three vertices. Its number, which its face names, is its place among the key's triangles.
     """
-    from isochron.operators import ordering
-
     names = [f"{a}{n}" for n in range(3) for a in "xyz"]
     placed = ordering.ranked(triangles.select(key, *names), [key], names)
     sizes = placed.groupBy(key).agg(F.count("*").alias("n"))

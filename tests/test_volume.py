@@ -1,6 +1,7 @@
 """Fused volumes and their surface against a plane and a sphere, PLY files, and disparities of known pictures."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,21 @@ def test_disparities(spark, monkeypatch):
     found = np.concatenate([np.frombuffer(x["disparity"], "<f4").reshape(x["rows"], wide) for x in rows])
     known = ~np.isnan(found)
     assert known[:, 20:-5].mean() > 0.9 and (np.abs(found - want)[known] < 0.75).mean() > 0.97
+
+
+def test_runs_hold_whole_keys(monkeypatch):
+    monkeypatch.setattr(volume, "ROWS", 3)
+    table = pa.table({"k": ["a"] * 2 + ["b"] * 5 + [None] * 4 + ["d"], "x": list(range(12))})
+    found = list(volume._runs(iter(table.to_batches(max_chunksize=4)), ["k"]))
+    assert sum((b.column("x").to_pylist() for b in found), []) == list(range(12))
+    keys = [set(b.column("k").to_pylist()) for b in found]
+    assert sum(len(k) for k in keys) == len(set().union(*keys)) == 4
+
+
+def test_work_is_dealt_and_in_batches(spark):
+    """Images of one partition are many tasks' work, no function is called for each block, and neighbours get a layer each."""
+    images = spark.createDataFrame([view(f"t{k}", np.full((60, 80), 1.5)) for k in range(8)], IMAGES).coalesce(1)
+    triangles = volume.surface(volume.fused(images, 0.1), 0.1)
+    plan = triangles._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Generate" not in plan and plan.count("REPARTITION_BY_NUM") == 3
+    assert len({tuple(np.round(g.drop(columns="take").to_numpy().sum(0), 6)) for _, g in triangles.toPandas().groupby("take")}) == 1
