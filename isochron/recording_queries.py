@@ -455,11 +455,9 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stereo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points pictured by two turned fisheye lenses: once rectified they share rows, and disparity gives their depth."""
     rows = _points(spark, sf_dir)
-    rigs = stereo.rectified_rigs(_rig(rows.select("take").distinct())).withColumnRenamed("take", "rig")
-    met = _pictured(rows, F.lit(0.0)).join(rigs, F.col("take") == F.col("rig"))
-    seen = met.select("l_orderkey", "l_linenumber", "focal", "baseline", stereo.rectified(F.col("u0"), F.col("v0"), 0).alias("l"), stereo.rectified(F.col("u1"), F.col("v1"), 1).alias("r"))
+    seen = stereo.rectified_points(_pictured(rows, F.lit(0.0)), stereo.rectified_rigs(_rig(rows.select("take").distinct())))
     micro = lambda c: F.round(c * 1e6).cast("long")
-    return seen.select("l_orderkey", "l_linenumber", micro(F.col("l.y") - F.col("r.y")).alias("rows_apart_micro"), micro(F.col("focal") * F.col("baseline") / (F.col("l.x") - F.col("r.x"))).alias("depth_micro"), micro(F.col("baseline")).alias("baseline_micro"))
+    return seen.select("l_orderkey", "l_linenumber", micro(F.col("y0") - F.col("y1")).alias("rows_apart_micro"), micro(F.col("focal") * F.col("baseline") / (F.col("x0") - F.col("x1"))).alias("depth_micro"), micro(F.col("baseline")).alias("baseline_micro"))
 
 
 @query("SELECT l_suppkey AS take, CASE WHEN count(*) > 100 THEN l_suppkey % 9 - 4 ELSE 0 END AS shift_px, CASE WHEN count(*) > 100 THEN count(*) END AS n FROM lineitem GROUP BY 1")
