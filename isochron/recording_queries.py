@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions import geometry, scalar
-from isochron.operators import charts, clock, disparity, frames, fusion, session, signal, stereo, volume
+from isochron.operators import charts, clock, disparity, frames, fusion, ordering, session, signal, stereo, volume
 from isochron.queries import DAY, E, _SIDES, _sides, _spun, events, query
 from isochron.sources import readers, resolve, writers
 
@@ -491,13 +491,14 @@ def plane_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS take, 2 + s_suppkey % 9 AS disparity_px FROM supplier")
 def shifted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of hashed brightness whose left one is the right one moved by whole pixels: the disparity of most pixels."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("take"), (2 + F.col("s_suppkey") % 9).cast("int").alias("shift"))
+    # Pictures are drawn by many tasks, though their numbers are one small file.
+    rows = ordering.dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("take"), (2 + F.col("s_suppkey") % 9).cast("int").alias("shift")), "take")
     bright = lambda k: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(64 * 24 - 1)), lambda i: F.substring(F.md5(F.concat_ws(":", F.col("take"), F.floor(i / 64), i % 64 - k).cast("binary")), 1, 2)), ""))
     pairs = rows.select("take", F.lit(64).alias("width"), F.lit(24).alias("height"), bright(F.col("shift")).alias("left_pixels"), bright(F.lit(0)).alias("right_pixels"))
     found = disparity.disparities(pairs, 16)
     # Each disparity is four bytes; those that are no number end in 7F, least byte first.
     at = F.explode(F.sequence(F.lit(1), F.length("disparity"), F.lit(4)))
-    bits = found.select("take", F.hex("disparity").alias("h"), at.alias("at")).select("take", F.substring("h", 2 * F.col("at") - 1, F.lit(8)).alias("h"))
+    bits = found.select("take", "disparity", at.alias("at")).select("take", F.hex(F.substring("disparity", F.col("at"), F.lit(4))).alias("h"))
     number = F.conv(F.concat(*(F.substring("h", k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("long")
     kept = bits.select("take", number.alias("n")).filter(F.shiftright(F.col("n"), 23).bitwiseAND(F.lit(255)) < 255)
     # A float's exponent and fraction, from 2 up.

@@ -122,3 +122,10 @@ def test_work_is_dealt_and_in_batches(spark):
     plan = triangles._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "Generate" not in plan and plan.count("REPARTITION_BY_NUM") == 3
     assert len({tuple(np.round(g.drop(columns="take").to_numpy().sum(0), 6)) for _, g in triangles.toPandas().groupby("take")}) == 1
+
+
+def test_pictures_together():
+    """Several pictures at once have the disparities that each has alone."""
+    r = np.random.default_rng(3)
+    left, right = r.integers(0, 256, (2, 3, 24, 40)).astype(np.uint8)
+    assert np.array_equal(disparity.matched(left, right, 8), np.stack([disparity.matched(a, b, 8) for a, b in zip(left, right, strict=True)]), equal_nan=True)
