@@ -9,6 +9,7 @@
   filters is not used: in Spark 4.1.2 a data frame that is filtered twice keeps the first query's filters in its reader.
 * `mp4track`: the metadata track of MP4 files, a row for each chunk. A task walks the boxes by their headers, loads the
   movie box and then the chunks whose offset lies in its range.
+  Ranges are enlarged, up to 64 MB, where there would be more than 256 of them.
 * `recordfiles`: a sink that puts pieces together to files, `<path>/<recording_id>/part<NNN>.<extension>`. A task writes to
   a folder of its own; files get their names when all tasks have ended, and a failed job leaves none.
 
@@ -24,21 +25,25 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from isochron.codecs import boxes, records
 from isochron.sources import readers
 
 #: Bytes of a file that one task reads, unless the option splitBytes says otherwise, and those that it holds at a time.
 SPLIT, BLOCK = 64 << 20, 4 << 20
+#: Tasks that small ranges are dealt to, rows of the batches that small files and chunks are put together to, threads of a commit.
+TASKS, ROWS, THREADS = 256, 4_096, 16
 PART = re.compile(r"part(\d+)\.[^/.]+$")
 TRACK = "recording_id string, part int, chunk long, items array<struct<key:string,kind:int,size:int,payload:binary>>, meta string, calibration binary"
 
@@ -94,10 +99,11 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         split = int(self.options.get("splitbytes", SPLIT))
+        files = [(path, total) for path, total in listed(self.options, self.extension) if self.only is None or named(path)[0] in self.only]
+        # Ranges grow, up to SPLIT, where they would be more than TASKS: a task costs more than the reading of a few bytes.
+        split = max(split, min(sum(total for _, total in files) // TASKS, SPLIT))
         out, held, size = [], [], 0
-        for path, total in listed(self.options, self.extension):
-            if self.only is not None and named(path)[0] not in self.only:
-                continue
+        for path, total in files:
             for low in range(0, max(total, 1), split):
                 piece = (path, low, min(low + split, total), self.first, self.last)
                 if held and size + piece[2] - low > split:
@@ -109,10 +115,18 @@ class RangeReader(DataSourceReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         source, _ = filesystem(self.options["path"])
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
         for path, low, high, first, last in partition.pieces:
             with source.open_input_file(path) as file:
                 for columns, n in self.ranged(file, low, high, first, last):
-                    yield self.batch(path, columns, n)
+                    held.append(self.batch(path, columns, n))
+                    rows, size = rows + n, size + held[-1].nbytes
+                    if rows >= ROWS or size >= BLOCK:
+                        yield _whole(held)
+                        held, rows, size = [], 0, 0
+        if held:
+            yield _whole(held)
 
     def ranged(self, file: pa.NativeFile, low: int, high: int, first: int, last: int | None) -> Iterator[tuple[dict, int]]:
         raise NotImplementedError
@@ -132,6 +146,10 @@ class RangeReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays, names=self.schema.names)
 
 
+def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 TRACK_ITEMS = pa.list_(pa.struct([("key", pa.string()), ("kind", pa.int32()), ("size", pa.int32()), ("payload", pa.binary())]))
 
@@ -245,10 +263,19 @@ class TrackReader(RangeReader):
         # The first range tells of the file, whether a chunk lies in it or not.
         if not low and not any(k == 0 for k, _, _ in mine) and not first:
             yield {"chunk": [None], "items": [[]], "meta": [meta], "calibration": [calibration]}, 1
+        held: dict[str, list] = {"chunk": [], "items": [], "meta": [], "calibration": []}
+        size = 0
         for k, a, b in mine:
-            found = [{"key": key.decode("latin-1"), "kind": kind, "size": size, "payload": payload} for key, kind, size, payload in flat(file.read_at(b - a, a))]
             own = (meta, calibration) if not low and not k else (None, None)
-            yield {"chunk": [k], "items": [found], "meta": [own[0]], "calibration": [own[1]]}, 1
+            found = [{"key": key.decode("latin-1"), "kind": kind, "size": length, "payload": payload} for key, kind, length, payload in flat(file.read_at(b - a, a))]
+            for name, value in zip(held, (k, found, *own), strict=True):
+                held[name].append(value)
+            size += b - a
+            if size >= BLOCK or len(held["chunk"]) >= ROWS:
+                yield held, len(held["chunk"])
+                held, size = {name: [] for name in held}, 0
+        if held["chunk"]:
+            yield held, len(held["chunk"])
 
     @staticmethod
     def described(movie: bytes) -> tuple[str | None, bytes | None]:
@@ -274,12 +301,26 @@ def flat(data: bytes) -> Iterator[tuple[bytes, int, int, bytes]]:
             yield key, kind, size, payload
 
 
+def runs(recordings: pa.Array, parts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, after the last) row of each run of rows of one recording part."""
+    new = np.zeros(len(recordings), bool)
+    new[:1] = True
+    for column in (recordings, parts):
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(new).tolist()
+    yield from zip(starts, [*starts[1:], len(recordings)], strict=True) if starts else ()
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """A task's folder, and the final names of the files 0, 1, .. in it."""
 
+    folder: str
+    names: list[str]
 
-class FileSink(DataSourceWriter):
+
+class FileSink(DataSourceArrowWriter):
     """Pieces, sorted by file, to files that appear when the whole job has succeeded."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
@@ -289,45 +330,53 @@ class FileSink(DataSourceWriter):
         source, base = filesystem(self.path)
         return source, base.rstrip("/")
 
-    def write(self, rows: Iterator[T.Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         source, base = self._base()
         folder = f"{base}/_pending-{self.job}/{uuid.uuid4().hex}"
         source.create_dir(folder)
-        done: dict[str, str] = {}
+        done: dict[str, int] = {}
         name, out = None, None
         try:
-            for row in rows:
-                if not row["recording_id"] or "/" in row["recording_id"] or row["recording_id"] in (".", ".."):
-                    raise ValueError(f"no name for a folder: {row['recording_id']!r}")
-                wanted = f"{row['recording_id']}/part{row['part'] or 0:03d}.{self.extension}"
-                if wanted != name:
-                    if wanted in done:
-                        raise ValueError(f"pieces of {wanted} do not stand together")
-                    if out is not None:
-                        out.close()
-                    name, done[wanted] = wanted, f"{folder}/{len(done)}"
-                    out = source.open_output_stream(done[wanted])
-                out.write(row["content"] or b"")
+            for batch in iterator:
+                recordings, parts, contents = (batch.column(c) for c in ("recording_id", "part", "content"))
+                for low, high in runs(recordings, parts):
+                    recording, part = recordings[low].as_py(), parts[low].as_py()
+                    if not recording or "/" in recording or recording in (".", ".."):
+                        raise ValueError(f"no name for a folder: {recording!r}")
+                    wanted = f"{recording}/part{part or 0:03d}.{self.extension}"
+                    if wanted != name:
+                        if wanted in done:
+                            raise ValueError(f"pieces of {wanted} do not stand together")
+                        if out is not None:
+                            out.close()
+                        name, done[wanted] = wanted, len(done)
+                        out = source.open_output_stream(f"{folder}/{done[wanted]}")
+                    out.write(b"".join(x for x in contents.slice(low, high - low).to_pylist() if x))
         finally:
             if out is not None:
                 out.close()
-        return Written([(temporary, f"{base}/{name}") for name, temporary in done.items()])
+        return Written(folder, list(done))
 
     def commit(self, messages: list[Written | None]) -> None:
         source, base = self._base()
-        files = [f for m in messages if m is not None for f in m.files]
-        finals = [final for _, final in files]
+        finals = [name for m in messages if m is not None for name in m.names]
         if len(set(finals)) < len(finals):
             self.abort(messages)
             raise ValueError("pieces of one file came from two tasks")
-        there = [f.path for f in source.get_file_info(finals) if f.type != pafs.FileType.NotFound] if finals else []
-        if there and not self.overwrite:
-            self.abort(messages)
-            raise FileExistsError(there[0])
-        for folder in sorted({final.rsplit("/", 1)[0] for final in finals}):
-            source.create_dir(folder)
-        for temporary, final in files:
-            source.move(temporary, final)
+        with ThreadPoolExecutor(THREADS) as pool:
+            # What is there already is looked for in the folders that are there, not file by file.
+            top = source.get_file_info(base).type == pafs.FileType.Directory
+            folders = sorted({name.split("/")[0] for name in finals})
+            known = {f.base_name for f in source.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory} if top else set()
+            asked = [name for name in finals if name.split("/")[0] in known]
+            kinds = pool.map(lambda name: source.get_file_info(f"{base}/{name}").type, asked)
+            there = [name for name, kind in zip(asked, kinds, strict=True) if kind != pafs.FileType.NotFound]
+            if there and not self.overwrite:
+                self.abort(messages)
+                raise FileExistsError(f"{base}/{there[0]}")
+            list(pool.map(lambda folder: source.create_dir(f"{base}/{folder}"), folders))
+            moves = [(f"{m.folder}/{k}", f"{base}/{name}") for m in messages if m is not None for k, name in enumerate(m.names)]
+            list(pool.map(lambda move: source.move(*move), moves))
         source.delete_dir(f"{base}/_pending-{self.job}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -444,7 +493,7 @@ def track_pieces(chunks: DataFrame, extension: str) -> DataFrame:
     """The sidecar files that the tracks embed, as pieces for `save`: the first header, then each chunk's records.
 
     Inertial records are put together from the chunk's columns by the version in the first header, which is brought to all
-    chunks of its file by a join. The telemetry header's record count is that of the records.
+    chunks of its file by a window. The telemetry header's record count is that of the records.
     """
     header = {"imu": "IHDR", "vts": "VHDR", "tel": "THDR"}[extension]
     rows = chunks.filter("chunk is not null").select("recording_id", "part", "chunk", "items")
@@ -463,18 +512,25 @@ def track_pieces(chunks: DataFrame, extension: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = []
-            for found, head in zip(batch.column("items").to_pylist(), batch.column("header").to_pylist(), strict=True):
+            at, seqs, contents = [], [], []
+            for k, (seq, found, head, front) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seq", "items", "header", "front")), strict=True)):
                 held = boxes.Track(headers={"imu": head})
                 for x in found:
                     if x["key"].encode("latin-1") in boxes.COLUMNS:
                         held.columns.setdefault(x["key"].encode("latin-1"), bytearray()).extend(x["payload"])
                 whole = held.imu_bytes()
-                contents.append(whole[len(head) :] if whole else b"")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("recording_id", "part", "seq")), pa.array(contents, pa.binary())], names=["recording_id", "part", "seq", "content"])
-
-    body = rows.join(first, ["recording_id", "part"]).select("recording_id", "part", F.col("chunk").alias("seq"), "items", "header").mapInArrow(each, "recording_id string, part int, seq long, content binary")
-    return first.select("recording_id", "part", F.lit(-1).cast("long").alias("seq"), F.col("header").alias("content")).unionByName(body)
+                for place, content in ([(-1, head)] if front else []) + [(seq, whole[len(head) :] if whole else b"")]:
+                    at.append(k)
+                    seqs.append(place)
+                    contents.append(content)
+            named = batch.select(["recording_id", "part"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*named.columns, pa.array(seqs, pa.int64()), pa.array(contents, pa.binary())], names=["recording_id", "part", "seq", "content"])
+
+    # Chunks are read once and meet by file, where each is told its file's first header.
+    own = F.get(F.filter("items", lambda x: x["key"] == header), F.lit(0))["payload"]
+    w = W.partitionBy("recording_id", "part").orderBy("chunk")
+    told = rows.withColumn("own", own).select("recording_id", "part", F.col("chunk").alias("seq"), "items", F.first("own", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("header"), (F.row_number().over(w) == 1).alias("front"))
+    return told.filter("header is not null").mapInArrow(each, "recording_id string, part int, seq long, content binary")
 
 
 def record_pieces(rows: DataFrame, header: DataFrame, extension: str, block: int = 20_000) -> DataFrame:

@@ -4,8 +4,10 @@ import os
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isochron.codecs import boxes, records
 from isochron.sources import formats, readers, tables, writers
@@ -185,3 +187,22 @@ def test_table_functions(spark):
     units = spark.sql("select u.* from held, lateral nal_units(nal) u order by pos").collect()
     packets = spark.sql("select p.*, (select count(*) from held h, lateral sei_samples(h.nal)) total from held, lateral sei_packets(nal) p").collect()
     assert {6} < {r["kind"] for r in units} and sum(r["n"] for r in packets) == packets[0]["total"] > 0
+
+
+def test_many_small_ranges_are_few_tasks_and_batches(spark, tmp_path, monkeypatch):
+    """Ranges of a byte are enlarged where they would be thousands of tasks; files' rows are put together to whole batches."""
+    columns = {"frame_number": np.arange(5), "ts_ns": np.arange(5)}
+    for k in range(40):
+        (tmp_path / f"r{k}.vts").write_bytes(records.encode_vts({"version": 1, "frame_rate_milli": 30000}, columns))
+    monkeypatch.setattr(formats, "TASKS", 8)
+    reader = formats.VtsSource({"path": str(tmp_path), "splitBytes": "1"}).reader(T.StructType.fromDDL("recording_id string, frame_idx long"))
+    reader.options = {"path": str(tmp_path), "splitbytes": "1"}
+    found = reader.partitions()
+    assert len(found) <= 16
+    batches = [list(reader.read(p)) for p in found]
+    assert all(len(b) <= 1 for b in batches) and sum(x.num_rows for b in batches for x in b) == 200
+    assert len({r for b in batches for x in b for r in zip(*(c.to_pylist() for c in x.columns), strict=True)}) == 200
+
+
+def test_runs_of_files():
+    assert list(formats.runs(pa.array(["a", "a", "a", "b", None]), pa.array([0, 0, 1, 1, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 5)] and not list(formats.runs(pa.array([], pa.string()), pa.array([], pa.int32())))
