@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isochron.functions import scalar
-from isochron.operators import asof, charts, signal
+from isochron.operators import asof, charts, ordering, signal
 from isochron.queries import _SIDES, DAY, E, events, query
 from isochron.recording_queries import _N, _numbered
 from isochron.sources import formats, readers, tables, writers
@@ -323,7 +323,8 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def side_channel_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inertial and frame-timing files recovered from elementary streams without presentation times."""
     rows = _streams(spark, sf_dir).select(F.col("event_id").cast("string").alias("recording_id"), F.lit(0).alias("part"), "content", F.lit(None).cast("array<long>").alias("pts_us"), F.lit(30.0).alias("fps"))
-    found = readers.side_channel(rows).filter(F.length("imu") > 64)
+    # Three relations are read from the recovered files, which are recovered once.
+    found = ordering.cut(readers.side_channel(rows).filter(F.length("imu") > 64))
     own = lambda c: found.select("recording_id", "part", F.col(c).alias("content"))
     samples = readers.imu_samples_of(own("imu")).groupBy("recording_id").agg(F.min("ts_ns").alias("start_ns"), F.count("*").alias("samples"), F.min_by("gyro.x", "ts_ns").cast("double").alias("gyro_x"))
     versions = readers.imu_headers_of(own("imu")).select("recording_id", F.col("version").cast("long").alias("version"))

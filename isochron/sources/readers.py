@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from isochron.codecs import boxes, calibration, records, sei
 
+#: Rows of small files that are put together to one batch, at least.
+ROWS = 4_096
 _xyz = "struct<x:float,y:float,z:float>"
 HEADER = "recording_id string, part int, device_id string, version int, rate_hz long, accel_fs int, gyro_fs int, flags long, start_ns long, video_start_ns long, host_offset_ns long"
 SAMPLES = f"recording_id string, part int, sample_idx long, ts_ns long, accel {_xyz}, gyro {_xyz}, mag {_xyz}, lin_accel {_xyz}, quat struct<x:float,y:float,z:float,w:float>, temp_c float, fsync_delay_us float, mag_age_us float"
@@ -49,13 +51,29 @@ def _decoded(listed: DataFrame, ddl: str, decode: Callable[[bytes], dict[str, np
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for recording, part, content in zip(*(batch.column(k) for k in range(3)), strict=True):
+            # Files whose columns are the same ones are put together, so that small files are not a batch each.
+            held: dict[tuple, list[tuple[int, int, dict[str, np.ndarray]]]] = {}
+            rows = 0
+            for k, content in enumerate(batch.column(2)):
                 columns = decode(content.as_py())
                 n = len(next(iter(columns.values())))
-                arrays = [pa.array([recording.as_py()] * n, pa.string()), pa.array([part.as_py()] * n, pa.int32())]
-                for field in schema.fields[2:]:
-                    arrays.append(_column(field.name, field, np.arange(n) if field.name == index else columns.get(field.name), n))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                held.setdefault(tuple(columns), []).append((k, n, columns))
+                rows += n
+                if rows >= ROWS:
+                    yield from made(batch, held)
+                    held, rows = {}, 0
+            yield from made(batch, held)
+
+    def made(batch: pa.RecordBatch, held: dict) -> Iterator[pa.RecordBatch]:
+        for names, found in held.items():
+            sizes = np.array([n for _, n, _ in found])
+            whole = {name: np.concatenate([columns[name] for _, _, columns in found]) for name in names}
+            if index:
+                whole[index] = np.concatenate([np.arange(n) for n in sizes])
+            at = pa.array(np.repeat(np.array([k for k, _, _ in found]), sizes))
+            arrays = [batch.column(0).take(at), batch.column(1).take(at)]
+            arrays += [_column(field.name, field, whole.get(field.name), len(at)) for field in schema.fields[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return listed.mapInArrow(each, schema)
 

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,18 @@ def test_a_recording_by_any_member(spark, folder):
     chunk = takes.recording(spark, f"{folder}/right/part002.vts").first()
     assert (chunk["samples"], chunk["frames"], chunk["vts_version"]) == (None, 3, 1)
     assert takes.recording(spark, f"{folder}/nobody.imu").collect() == []
+
+
+def test_small_files_share_batches(spark):
+    """Files of two versions, some empty, decoded together: each keeps its own rows and numbers."""
+    files = []
+    for k in range(60):
+        columns = imu_columns(k % 4)
+        files.append((f"r{k}", k, bytearray(records.encode_imu({"version": 3 + k % 2 * 3, "rate_hz": 400}, columns))))
+    rows = spark.createDataFrame(files, "recording_id string, part int, content binary").coalesce(1)
+    found = readers.imu_samples_of(rows)
+    assert sorted((r["recording_id"], r["part"], r["sample_idx"]) for r in found.collect()) == sorted((f"r{k}", k, i) for k in range(60) for i in range(k % 4))
+    batches = []
+    frames = found.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
+    batches = [r["n"] for r in frames.collect()]
+    assert sum(batches) == 90 and len(batches) <= 4
