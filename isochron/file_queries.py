@@ -193,7 +193,8 @@ def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     timing = joined(le(F.col("t"), 8), le(F.col("cents"), 4), le(k % 16, 1), le(26470, 4))
     samples = [joined(le(F.col("t") + j, 8), zero, zero, f4(k + j), f4(k + j + 1), zero, zero, zero, zero, zero, f4(k + j + 2), zero, zero, zero, F.lit("0000803F"), zero, zero, zero, f4(F.col("cents") + j)) for j in range(3)]
     body = joined(F.lit(_PAYLOAD), le(version, 1), le(n, 2), le(k % 3, 2), le(k % 5, 2), F.when(version == 6, timing).otherwise(""), *(F.when(n > j, s).otherwise("") for j, s in enumerate(samples)))
-    rows = events(spark, sf_dir).withColumn("body", body)
+    # Streams are made and read by many tasks, though the events are a small file.
+    rows = ordering.dealt(events(spark, sf_dir), "event_id").withColumn("body", body)
     length = F.length("body") / 2
     size = joined(F.expr("repeat('FF', cast(floor(length(body) / 2 / 255) as int))"), le(length % 255, 1))
     # Bytes apart by blanks, so that the pattern meets whole bytes only.
