@@ -32,15 +32,15 @@ def dealt(rows: DataFrame, *by: str | Column) -> DataFrame:
     return rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
 
 
-#: Rows that a task of `spread` is given on average, at most.
+#: Rows that a task of `spread` is given on average, at most, unless the caller says otherwise.
 SPREAD = 250_000
 
 
-def spread(rows: DataFrame, n: int, *by: str | Column) -> DataFrame:
+def spread(rows: DataFrame, n: int, *by: str | Column, most: int | None = None) -> DataFrame:
     """`n` rows as `dealt` deals them, but over more tasks the more rows there are, so that no task's share grows with the table."""
     spark = rows.sparkSession
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(max(least, -(-n // SPREAD)), *by)
+    return rows.repartition(max(least, -(-n // (most or SPREAD))), *by)
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -11,24 +11,61 @@ from pyspark.sql import functions as F
 
 from isochron.codecs import calibration, records
 from isochron.functions import geometry
+from isochron.operators import ordering
 
+#: Rows of files that are given to a task on average, at most; some hundreds of bytes each while they are sorted.
+ROWS = 100_000
 VECTORS = ("accel", "gyro", "mag", "lin_accel", "quat")
 
 
 def _files(rows: DataFrame, keys: Sequence[str], order: str, headers: DataFrame, encode) -> DataFrame:
-    """(keys..., content): one encoded file for each group; a file's rows meet in one task, as a file does on disk."""
-    named = headers.select(*keys, F.struct(*[c for c in headers.columns if c not in keys]).alias("header"))
-    whole = rows.join(named, list(keys)).withColumn("row", F.struct(*[c for c in rows.columns if c not in keys]))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def each(table: pa.Table) -> pa.Table:
-        group = table.sort_by(order)
-        header = {k: v for k, v in group["header"][0].as_py().items() if v is not None}
-        content = encode(header, group)
-        return pa.table({**{k: group[k].slice(0, 1) for k in keys}, "content": pa.array([content], pa.binary())})
+    """(keys..., content): one encoded file for each group; a file's rows meet in one task, as a file does on disk.
 
+    Files are dealt to more tasks the more rows there are: rows are wide, and Spark would go by their compressed bytes.
+    """
     columns = [c for c in rows.columns if c not in keys]
-    return whole.select(*keys, "header", *columns).groupBy(*keys).applyInArrow(each, f"{kinds}, content binary")
+    head = headers.select(*keys, F.lit(0).alias("side"), F.struct(*[c for c in headers.columns if c not in keys]).alias("header"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns))
+    own = rows.select(*keys, F.lit(1).alias("side"), F.lit(None).cast(head.schema["header"].dataType).alias("header"), *columns)
+    known = head.unionByName(own).dropna(subset=list(keys))
+    whole = ordering.spread(known, rows.count(), *keys, most=ROWS).sortWithinPartitions(*keys, "side")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last file, which may go on
+        for batch in batches:
+            new = np.zeros(batch.num_rows, bool)
+            for k in range(len(keys)):
+                values = pa.concat_arrays([*(b.column(k).slice(b.num_rows - 1) for b in held[-1:]), batch.column(k)])
+                code = values.dictionary_encode().indices.to_numpy()
+                new[len(new) - len(code) + 1 :] |= code[1:] != code[:-1]
+            files, low = [], 0
+            for at in np.flatnonzero(new).tolist():
+                files += encoded([*held, batch.slice(low, at - low)])
+                held, low = [], at
+            if low < batch.num_rows:
+                held.append(batch.slice(low))
+            if files:
+                yield made(files)
+        if held and (files := encoded(held)):
+            yield made(files)
+
+    def encoded(pieces: list[pa.RecordBatch]) -> list[tuple[list[pa.Array], bytes]]:
+        """The file of a group that has both a header and rows."""
+        table = pa.Table.from_batches(pieces)
+        heads = np.count_nonzero(table["side"].to_numpy() == 0)
+        named = [table[k].chunk(0).slice(0, 1) for k in keys]
+        if heads > 1:
+            raise ValueError(f"two headers of file {[k[0].as_py() for k in named]}")
+        if not heads or len(table) == 1:
+            return []
+        header = {k: v for k, v in table["header"][0].as_py().items() if v is not None}
+        return [(named, encode(header, table.slice(1).select(columns).sort_by(order)))]
+
+    def made(files: list[tuple[list[pa.Array], bytes]]) -> pa.RecordBatch:
+        named = [pa.concat_arrays(values) for values in zip(*(n for n, _ in files), strict=True)]
+        return pa.RecordBatch.from_arrays([*named, pa.array([content for _, content in files], pa.binary())], names=[*keys, "content"])
+
+    return whole.mapInArrow(each, f"{kinds}, content binary")
 
 
 def _numpy(column: pa.ChunkedArray) -> np.ndarray | None:
@@ -42,12 +79,12 @@ def _numpy(column: pa.ChunkedArray) -> np.ndarray | None:
 
 def imu_files(samples: DataFrame, headers: DataFrame) -> DataFrame:
     """The .imu file of each recording part."""
-    return _files(samples, ["recording_id", "part"], "sample_idx", headers, lambda header, group: records.encode_imu(header, {c: _numpy(group[c]) for c in group.column_names if c not in ("recording_id", "part", "header", "sample_idx")}))
+    return _files(samples, ["recording_id", "part"], "sample_idx", headers, lambda header, group: records.encode_imu(header, {c: _numpy(group[c]) for c in group.column_names if c != "sample_idx"}))
 
 
 def vts_files(frames: DataFrame, headers: DataFrame) -> DataFrame:
     """The .vts file of each recording part."""
-    return _files(frames, ["recording_id", "part"], "frame_idx", headers, lambda header, group: records.encode_vts(header, {c: _numpy(group[c]) for c in group.column_names if c not in ("recording_id", "part", "header", "frame_idx")}))
+    return _files(frames, ["recording_id", "part"], "frame_idx", headers, lambda header, group: records.encode_vts(header, {c: _numpy(group[c]) for c in group.column_names if c != "frame_idx"}))
 
 
 def drop_leading(frames: DataFrame, decoded: Column, keys: Sequence[str] = ("recording_id", "part")) -> DataFrame:

@@ -151,3 +151,25 @@ def test_small_files_share_batches(spark):
     frames = found.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
     batches = [r["n"] for r in frames.collect()]
     assert sum(batches) == 90 and len(batches) <= 4
+
+
+def test_files_are_dealt_by_their_rows(spark, monkeypatch):
+    """More rows, more tasks; files that run over several batches, and rows and headers that have no partner."""
+    r = np.random.default_rng(9)
+    sizes = {(f"r{k % 30:02}", k // 30): int(r.integers(1, 40)) for k in range(60)}
+    times = {key: np.cumsum(r.integers(1, 1000, n)) for key, n in sizes.items()}
+    rows = [(*key, k, k, int(t)) for key, ts in times.items() for k, t in enumerate(ts)] + [("no header", 0, 0, 0, 1), (None, 0, 0, 0, 1)]
+    frames = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], "recording_id string, part int, frame_idx long, frame_number long, sof_ns long")
+    heads = [(*key, 4, 30_000 + k) for k, key in enumerate(sizes)]
+    headers = spark.createDataFrame([*heads, ("no rows", 0, 4, 1), (None, 0, 4, 1)], "recording_id string, part int, version int, frame_rate_milli long")
+    monkeypatch.setattr(writers, "ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = writers.vts_files(frames, headers)
+        found = {(x["recording_id"], x["part"]): bytes(x["content"]) for x in made.collect()}
+        with pytest.raises(Exception, match="two headers of file"):
+            writers.vts_files(frames, headers.unionByName(headers.limit(1))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {key: records.encode_vts({"version": 4, "frame_rate_milli": rate}, {"frame_number": np.arange(sizes[key]), "sof_ns": times[key]}) for *key, _, rate in heads for key in [tuple(key)]}
+    assert made.rdd.getNumPartitions() >= len(rows) // 50
