@@ -4,6 +4,9 @@ Rows may come in any order within the watermark. Each key's rows wait in its sta
 timer then takes them in the order of their times, so a stream gives what the batch operator gives on the same rows. A
 second timer ends a key that has had no row for `idle_ms` of event time and leaves nothing of it behind; a key that comes
 back later starts anew. Rows behind the watermark are left out, and so are those with a null key or time.
+
+Waiting rows are one value of Arrow bytes for each batch of a key, as a value and a call for each row would cost more than
+the work. Nearest pairs have no other state, so many keys share one: a key of its own costs as much as thousands of rows.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +33,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.known = handle.getValueState("known", self.state)
         self.latest = handle.getValueState("latest", "ms long, due long")
 
@@ -37,9 +41,8 @@ class Ordered(StatefulProcessor):
         got = pd.concat(list(rows))
         got = got[got["ts_ns"].notna()]
         if len(got):
-            held = [tuple(_plain(v) for v in r) for r in got[self.columns.names].itertuples(index=False, name=None)]
-            self.waiting.appendList(held)
-            last, due = self.latest.get() if self.latest.exists() else (-(1 << 62), 0)
+            self.waiting.appendList([(_packed(got[self.columns.names]),)])
+            last, due = self.latest.get() or (-(1 << 62), 0)
             last = max(last, int(got["ts_ns"].max()) // 1_000_000)
             # One timer is open at a time: the first row that waits, then the next, at last the end of the key.
             wanted = self._after(timerValues, int(got["ts_ns"].min()) // 1_000_000 + self.wait_ms + 1)
@@ -56,15 +59,16 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns.names)
+        held = [_unpacked(r[0]) for r in self.waiting.get()]
+        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame([], columns=self.columns.names)
         last, _ = self.latest.get()
         ready = rows["ts_ns"].astype("int64") // 1_000_000 + self.wait_ms < mark if len(rows) else np.zeros(0, bool)
-        before = self.known.get() if self.known.exists() else None
+        before = self.known.get()
         out, after, kept = self.step(key, rows[ready] if len(rows) else rows, rows[~ready] if len(rows) else rows, before, mark)
         if after is not None:
             self.known.update(after)
         if len(kept):
-            self.waiting.put([tuple(_plain(v) for v in r) for r in kept[self.columns.names].itertuples(index=False, name=None)])
+            self.waiting.put([(_packed(kept[self.columns.names]),)])
             due = max(int(kept["ts_ns"].min()) // 1_000_000 + self.wait_ms + 1, mark + 1)
         else:
             self.waiting.clear()
@@ -85,10 +89,16 @@ class Ordered(StatefulProcessor):
         raise NotImplementedError
 
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, float) and np.isnan(value):
-        return None
-    return value.item() if isinstance(value, np.generic) else value
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all().to_pandas()
 
 
 class Gaps(Ordered):
@@ -122,7 +132,7 @@ class Fused(Ordered):
 
 
 class Nearest(Ordered):
-    """Left rows (side 0) with the right one (side 1) nearest in time, within the gate."""
+    """Left rows (side 0) with the right one (side 1) of their key nearest in time, within the gate; a group holds many keys."""
 
     def __init__(self, key: str, columns: T.StructType, idle_ms: int, gate_ns: int) -> None:
         # A left row waits until all right rows within the gate behind it have come.
@@ -131,20 +141,25 @@ class Nearest(Ordered):
 
     def step(self, key: Any, ready: pd.DataFrame, later: pd.DataFrame, before: Row | None, mark: int) -> tuple[pd.DataFrame, tuple | None, pd.DataFrame]:
         rows = pd.concat([x for x in (ready, later) if len(x)]) if len(ready) or len(later) else ready
-        left = ready[ready["side"] == 0].sort_values("ts_ns", kind="stable")
-        right = rows[rows["side"] == 1].sort_values(["ts_ns", "value"]).drop_duplicates("ts_ns")
+        # Keys and times by rank, so that one number stands for both.
+        rows = rows.assign(code=pd.factorize(rows[self.key])[0], place=np.unique(rows["ts_ns"].to_numpy("int64"), return_inverse=True)[1])
+        rows["place"] += rows["code"].astype("int64") * len(rows)
+        left = rows[: len(ready)]
+        left = left[left["side"] == 0].sort_values("place", kind="stable")
+        right = rows[rows["side"] == 1].sort_values(["place", "value"]).drop_duplicates("place")
         t, s = left["ts_ns"].to_numpy("int64"), right["ts_ns"].to_numpy("int64")
-        at = np.searchsorted(s, t, "right")
-        low, high = np.clip(at - 1, 0, None), np.clip(at, None, max(len(s) - 1, 0))
+        at = np.searchsorted(right["place"].to_numpy("int64"), left["place"].to_numpy("int64"), "right")
         if len(s):
-            behind = np.where(at > 0, t - s[low], np.iinfo(np.int64).max)
-            ahead = np.where(at < len(s), s[high] - t, np.iinfo(np.int64).max)
+            low, high = np.clip(at - 1, 0, None), np.clip(at, None, len(s) - 1)
+            own, of = left["code"].to_numpy(), right["code"].to_numpy()
+            behind = np.where((at > 0) & (of[low] == own), t - s[low], np.iinfo(np.int64).max)
+            ahead = np.where((at < len(s)) & (of[high] == own), s[high] - t, np.iinfo(np.int64).max)
             pick, far = np.where(behind <= ahead, low, high), np.minimum(behind, ahead)
             met = far <= self.gate_ns
             match, value = np.where(met, s[pick], 0), right["value"].to_numpy()[pick]
         else:
             met, match, value = np.zeros(len(t), bool), np.zeros(len(t), "int64"), np.zeros(len(t))
-        out = pd.DataFrame({self.key: [key[0]] * len(t), "ts_ns": t, "left_value": left["value"].to_numpy(), "match_ns": pd.array(match, "Int64"), "match_value": value})
+        out = pd.DataFrame({self.key: left[self.key].to_numpy(), "ts_ns": t, "left_value": left["value"].to_numpy(), "match_ns": pd.array(match, "Int64"), "match_value": value})
         out.loc[~met, "match_ns"] = pd.NA
         out.loc[~met, "match_value"] = None
         # A right row is of use to left rows up to the gate after it, which may come until the watermark is there.
@@ -153,6 +168,10 @@ class Nearest(Ordered):
         return out, None, kept
 
 
+#: Groups of keys that nearest pairs are found in; each holds its keys' waiting rows while it is worked on.
+GROUPS = 1_024
+
+
 def _processed(rows: DataFrame, key: str, processor: Ordered, schema: str) -> DataFrame:
     # State of several variables and timers needs this store.
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -184,7 +203,9 @@ def nearest_stream(left: DataFrame, right: DataFrame, key: str, value: str, gate
     Both: key, ts_ns, value (doubles) and event_time with a watermark. Of right rows of one time the smallest value counts.
     """
     kind = left.schema[key].dataType.simpleString()
-    one = lambda rows, side: rows.filter(F.col(key).isNotNull()).select(key, "ts_ns", F.col(value).cast("double").alias("value"), F.lit(side).alias("side"), "event_time")
+    known = F.col(key).isNotNull() & F.col("ts_ns").isNotNull()
+    group = F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("nearest_group")
+    one = lambda rows, side: rows.filter(known).select(group, key, "ts_ns", F.col(value).cast("double").alias("value"), F.lit(side).alias("side"), "event_time")
     rows = one(left, 0).unionByName(one(right, 1))
-    processor = Nearest(key, _columns(rows, ["ts_ns", "value", "side"]), idle_ms, gate_ns)
-    return _processed(rows, key, processor, f"{key} {kind}, ts_ns long, left_value double, match_ns long, match_value double")
+    processor = Nearest(key, _columns(rows, [key, "ts_ns", "value", "side"]), idle_ms, gate_ns)
+    return _processed(rows, "nearest_group", processor, f"{key} {kind}, ts_ns long, left_value double, match_ns long, match_value double")

@@ -82,3 +82,26 @@ def test_nearest_pairs(spark, tmp_path, r):
     got = [(x["k"], x["ts_ns"], x["left_value"], x["match_ns"], x["match_value"]) for x in found if x["k"] != "end"]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {x[3] is None for x in got} == {True, False} and left_keys(query) <= 12
+
+
+def test_many_keys_share_state(spark, tmp_path, monkeypatch, r):
+    """Pairs of 200 keys in four groups: each key matched by itself, with values that are null, and no state of a key's own."""
+    monkeypatch.setattr(ordered, "GROUPS", 4)
+    side = lambda n: [(int(k) - 100, int(t) * MS, float(v)) for k, t, v in zip(r.integers(0, 200, n), r.integers(0, 2000, n), range(n), strict=True)]
+    left, right = side(600), side(900)
+    right[5] = (*right[5][:2], None)
+    ddl = "k long, ts_ns long, v double"
+    a = fed(spark, tmp_path / "l", [*left, (None, 5, 1.0), (3, None, 1.0), (999, END, 0.0)], ddl, files=2)
+    b = fed(spark, tmp_path / "r", [*right, (3, None, 2.0), (999, END, 0.0)], ddl, files=2)
+    gate = 60 * MS
+    found, query = run(spark, ordered.nearest_stream(a, b, "k", "v", gate, idle_ms=30_000), "nearest_of_many_keys", tmp_path)
+    values = {(k, t): [v for q, s, v in right if (q, s) == (k, t)] for k, t, _ in right}
+    want = []
+    for k, t, v in left:
+        near = min(((abs(s - t), s) for q, s, _ in right if q == k), default=(gate + 1, 0))
+        met = near[0] <= gate
+        want.append((k, t, v, near[1] if met else None, min((x for x in values[k, near[1]] if x is not None), default=None) if met else None))
+    got = [(x["k"], x["ts_ns"], x["left_value"], x["match_ns"], x["match_value"]) for x in found if x["k"] != 999]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    assert held <= 5 * 8  # some values and a timer for each group and the last key; more than 200 if each key had its own
