@@ -1,6 +1,8 @@
 """Recordings as Spark data sources: byte ranges of files in, whole files out.
 
-`register(spark)` makes known
+`open_records`, `headers`, `track` and `save` leave files to tasks: folders are listed, ranges dealt and finished files moved by
+Spark jobs, so what the driver holds grows with the tasks, not with the files. `register(spark)` makes known to Spark itself,
+whose driver plans their ranges and moves their files and so holds the names of all,
 
 * `imu`, `vts`, `tel`: records of sidecar files. A file is read by as many tasks as it has ranges of `splitBytes`, each by
   seeking to its first whole record, a few megabytes at a time, so no file is ever one value. Only the columns of the
@@ -11,7 +13,7 @@
   movie box and then the chunks whose offset lies in its range.
   Ranges are enlarged, up to 64 MB, where there would be more than 256 of them.
 * `recordfiles`: a sink that puts pieces together to files, `<path>/<recording_id>/part<NNN>.<extension>`. A task writes to
-  a folder of its own; files get their names when all tasks have ended, and a failed job leaves none.
+  a folder of its own, with a list of their names; files get them when all tasks have ended, and a failed job leaves none.
 
 Paths are of any file system that pyarrow knows (local or shared folders, HDFS, object stores); readers.files has the
 same files, below Spark's bound of a value, from any store that Spark knows. A file shorter than its header, or with another
@@ -38,12 +40,15 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from isochron.codecs import boxes, records
+from isochron.operators import ordering
 from isochron.sources import readers
 
 #: Bytes of a file that one task reads, unless the option splitBytes says otherwise, and those that it holds at a time.
 SPLIT, BLOCK = 64 << 20, 4 << 20
-#: Tasks that small ranges are dealt to, rows of the batches that small files and chunks are put together to, threads of a commit.
+#: Tasks that small ranges are dealt to, rows of the batches that small files and chunks are put together to, threads that list and move files.
 TASKS, ROWS, THREADS = 256, 4_096, 16
+#: Files that a task lists or moves on average, at most; ranges that are still dealt one by one, and so exactly evenly.
+FILES, EVEN = 10_000, 100_000
 PART = re.compile(r"part(\d+)\.[^/.]+$")
 TRACK = "recording_id string, part int, chunk long, items array<struct<key:string,kind:int,size:int,payload:binary>>, meta string, calibration binary"
 
@@ -83,8 +88,41 @@ def listed(options: dict, extension: str) -> list[tuple[str, int]]:
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(options["path"])
     found = [info] if info.type == pafs.FileType.File else source.get_file_info(pafs.FileSelector(base, recursive=True))
-    kept = [f for f in found if f.type == pafs.FileType.File and f.path.endswith(f".{extension}") and not any(p.startswith(("_", ".")) for p in f.path.removeprefix(base).split("/"))]
-    return sorted((f.path, f.size) for f in kept)
+    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(f".{extension}") and not hidden(f.path, base))
+
+
+def hidden(path: str, base: str) -> bool:
+    return any(p.startswith(("_", ".")) for p in path.removeprefix(base).split("/"))
+
+
+def listing(spark: SparkSession, path: str, extension: str, recordings: list[str] | None = None) -> DataFrame:
+    """(path, size) of the files that `listed` has: one task lists the folder itself, many those in it, with all below them."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = filesystem(path)
+        for _ in batches:
+            info = source.get_file_info(base)
+            if info.type == pafs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            found = [info] if info.type == pafs.FileType.File else source.get_file_info(pafs.FileSelector(base))
+            for low in range(0, len(found), ROWS):
+                some = [f for f in found[low : low + ROWS] if not hidden(f.path, base)]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in some], pa.string()), pa.array([None if f.type == pafs.FileType.Directory else f.size for f in some], pa.int64())], names=["path", "size"])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = filesystem(path)
+        only = None if recordings is None else set(recordings)
+        inside = lambda folder: [(f.path, f.size) for f in source.get_file_info(pafs.FileSelector(folder, recursive=True)) if f.type == pafs.FileType.File and not hidden(f.path, base)]
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                for found in ([row for row in rows if row[1] is not None], *pool.map(inside, [name for name, size in rows if size is None])):
+                    kept = [f for f in found if f[0].endswith(f".{extension}") and (only is None or named(f[0])[0] in only)]
+                    if kept:
+                        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in kept], pa.string()), pa.array([f[1] for f in kept], pa.int64())], names=["path", "size"])
+
+    kinds = "path string, size long"
+    return ordering.dealt(spark.range(0, 1, 1, 1).mapInArrow(top, kinds), "path").mapInArrow(below, kinds)
 
 
 class RangeReader(DataSourceReader):
@@ -314,17 +352,49 @@ def runs(recordings: pa.Array, parts: pa.Array) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's folder, and the final names of the files 0, 1, .. in it."""
+    """A task's folder, in which the file `names` has the final names of the files 0, 1, .. in it, and how many they are."""
 
     folder: str
-    names: list[str]
+    files: int
+
+
+def names_in(source: pafs.FileSystem, folder: str) -> list[str]:
+    with source.open_input_stream(f"{folder}/names") as file:
+        return [json.loads(line) for line in file.read().decode().split("\n") if line]
+
+
+def there(source: pafs.FileSystem, base: str, names: list[str]) -> list[str]:
+    """The names of files that are there already."""
+    return [name for name, info in zip(names, source.get_file_info([f"{base}/{name}" for name in names]), strict=True) if info.type != pafs.FileType.NotFound] if names else []
+
+
+def move(source: pafs.FileSystem, base: str, moves: list[tuple[str, str]]) -> None:
+    """Files (where they are, final name) to their places; those that an earlier attempt has moved are left there."""
+
+    def one(pair: tuple[str, str]) -> None:
+        old, new = pair[0], f"{base}/{pair[1]}"
+        try:
+            source.move(old, new)
+        except OSError:
+            if source.get_file_info(old).type != pafs.FileType.NotFound or source.get_file_info(new).type == pafs.FileType.NotFound:
+                raise
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        for low in range(0, len(moves), ROWS):
+            some = moves[low : low + ROWS]
+            list(pool.map(lambda folder: source.create_dir(f"{base}/{folder}"), sorted({name.split("/")[0] for _, name in some})))
+            list(pool.map(one, some))
 
 
 class FileSink(DataSourceArrowWriter):
-    """Pieces, sorted by file, to files that appear when the whole job has succeeded."""
+    """Pieces, sorted by file, to files that appear when the whole job has succeeded.
+
+    With the option `job`, the folders of the tasks that succeeded are listed in the job's own, and `save` moves the files.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.extension, self.overwrite, self.job = options["path"], options["extension"], overwrite, uuid.uuid4().hex
+        self.path, self.extension, self.overwrite, self.later = options["path"], options["extension"], overwrite, "job" in options
+        self.job = options["job"] if self.later else uuid.uuid4().hex
 
     def _base(self) -> tuple[pafs.FileSystem, str]:
         source, base = filesystem(self.path)
@@ -355,28 +425,25 @@ class FileSink(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
-        return Written(folder, list(done))
+        with source.open_output_stream(f"{folder}/names") as file:
+            file.write("".join(f"{json.dumps(name)}\n" for name in done).encode())
+        return Written(folder, len(done))
 
     def commit(self, messages: list[Written | None]) -> None:
         source, base = self._base()
-        finals = [name for m in messages if m is not None for name in m.names]
+        folders = [m.folder for m in messages if m is not None]
+        source.create_dir(f"{base}/_pending-{self.job}")
+        if self.later:
+            with source.open_output_stream(f"{base}/_pending-{self.job}/tasks") as file:
+                file.write(json.dumps([(m.folder, m.files) for m in messages if m is not None]).encode())
+            return
+        moves = [(f"{folder}/{k}", name) for folder in folders for k, name in enumerate(names_in(source, folder))]
+        finals = [name for _, name in moves]
         if len(set(finals)) < len(finals):
-            self.abort(messages)
             raise ValueError("pieces of one file came from two tasks")
-        with ThreadPoolExecutor(THREADS) as pool:
-            # What is there already is looked for in the folders that are there, not file by file.
-            top = source.get_file_info(base).type == pafs.FileType.Directory
-            folders = sorted({name.split("/")[0] for name in finals})
-            known = {f.base_name for f in source.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory} if top else set()
-            asked = [name for name in finals if name.split("/")[0] in known]
-            kinds = pool.map(lambda name: source.get_file_info(f"{base}/{name}").type, asked)
-            there = [name for name, kind in zip(asked, kinds, strict=True) if kind != pafs.FileType.NotFound]
-            if there and not self.overwrite:
-                self.abort(messages)
-                raise FileExistsError(f"{base}/{there[0]}")
-            list(pool.map(lambda folder: source.create_dir(f"{base}/{folder}"), folders))
-            moves = [(f"{m.folder}/{k}", f"{base}/{name}") for m in messages if m is not None for k, name in enumerate(m.names)]
-            list(pool.map(lambda move: source.move(*move), moves))
+        if not self.overwrite and (found := there(source, base, finals)):
+            raise FileExistsError(f"{base}/{found[0]}")
+        move(source, base, moves)
         source.delete_dir(f"{base}/_pending-{self.job}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -414,6 +481,9 @@ class TelSource(_Records):
     reads, ddl, headers = TelReader, readers.TELEMETRY + ", record_idx long", "recording_id string, part int, version int, record_count long, device_id string"
 
 
+SOURCES = {kind.name(): kind for kind in (ImuSource, VtsSource, TelSource)}
+
+
 class TrackSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -440,7 +510,7 @@ class RecordFiles(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session."""
-    for source in (ImuSource, VtsSource, TelSource, TrackSource, RecordFiles):
+    for source in (*SOURCES.values(), TrackSource, RecordFiles):
         spark.dataSource.register(source)
 
 
@@ -450,9 +520,70 @@ def save(pieces: DataFrame, path: str, extension: str, overwrite: bool = False)
     Pieces are shuffled by file and streamed, so a file may be of any size. Files that are there are an error, or replaced
     with `overwrite`; others in the folder stay. A null recording has no name, which is an error; a null part is part 0.
     """
-    register(pieces.sparkSession)
+    spark, job = pieces.sparkSession, uuid.uuid4().hex
+    register(spark)
+    source, base = filesystem(path)
+    base = base.rstrip("/")
+    fresh = source.get_file_info(base).type == pafs.FileType.NotFound
     ordered = pieces.repartition("recording_id", "part").sortWithinPartitions("recording_id", "part", "seq").select("recording_id", "part", "content")
-    ordered.write.format("recordfiles").option("path", path).option("extension", extension).mode("overwrite" if overwrite else "append").save()
+    ordered.write.format("recordfiles").option("path", path).option("extension", extension).option("job", job).mode("overwrite" if overwrite else "append").save()
+    try:
+        with source.open_input_stream(f"{base}/_pending-{job}/tasks") as file:
+            folders = json.loads(file.read())
+        _place(spark, path, [(folder, n) for folder, n in folders if n], overwrite or fresh)
+    finally:
+        source.delete_dir(f"{base}/_pending-{job}")
+
+
+def _place(spark: SparkSession, path: str, folders: list[tuple[str, int]], overwrite: bool) -> None:
+    """Move the files in tasks' folders to their places, by as many tasks as they need, when no two and none that is there have a name in common."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, _ = filesystem(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names = names_in(source, folder)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{k}" for k in range(len(names))], pa.string()), pa.array(names, pa.string())], names=["old", "name"])
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = filesystem(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(there(source, base.rstrip("/"), batch.column("name").to_pylist()), pa.string())], names=["name"])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = filesystem(path)
+        for batch in batches:
+            move(source, base.rstrip("/"), list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    if not folders:
+        return
+    n = sum(files for _, files in folders)
+    names = ordering.spread(spark.createDataFrame(folders, "folder string, files long").mapInArrow(told, "old string, name string"), n, "name", most=FILES)
+    if names.groupBy("name").count().filter("count > 1").limit(1).collect():
+        raise ValueError("pieces of one file came from two tasks")
+    if not overwrite and (found := names.mapInArrow(taken, "name string").limit(1).collect()):
+        raise FileExistsError(f"{path}/{found[0]['name']}")
+    if (done := names.mapInArrow(moved, "files long").agg(F.sum("files")).first()[0]) != n:
+        raise ValueError(f"{done} of {n} files have been moved")
+
+
+def _opened(spark: SparkSession, path: str, reader: RangeReader, split: int) -> DataFrame:
+    """What a reader makes of the files' ranges, which are dealt as `partitions` deals them."""
+    recordings = None if reader.only is None else sorted(reader.only)
+    files = ordering.cut(listing(spark, path, reader.extension, recordings))
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    split = max(split, min(total // TASKS, SPLIT))
+    first, last = reader.first, reader.last
+    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(split).cast("long"))).alias("low"))
+    few = files.agg(F.coalesce(F.sum(F.greatest(F.ceil(F.col("size") / split), F.lit(1))), F.lit(0))).first()[0] <= EVEN
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield from reader.read(Ranges([(name, low, min(low + split, size), first, last) for name, size, low in pieces]))
+
+    return (ranges.coalesce(1) if few else ranges).repartition(max(-(-total // split), 1)).mapInArrow(each, reader.schema)
 
 
 def open_records(spark: SparkSession, path: str, extension: str, columns: str | None = None, recordings: list[str] | None = None, first: int = 0, last: int | None = None, split: int = SPLIT) -> DataFrame:
@@ -460,22 +591,19 @@ def open_records(spark: SparkSession, path: str, extension: str, columns: str |
 
     `columns` is the DDL of those wanted; of files of the named recordings, or of all, the records numbered first to last.
     """
-    register(spark)
-    reader = spark.read.format(extension).option("splitBytes", split).option("first", first)
-    reader = reader if last is None else reader.option("last", last)
-    reader = reader if recordings is None else reader.option("recordings", json.dumps(recordings))
-    return (reader.schema(columns) if columns else reader).load(path)
+    kind = SOURCES[extension]
+    options = {"path": path, "first": first} | ({} if last is None else {"last": last}) | ({} if recordings is None else {"recordings": json.dumps(recordings)})
+    return _opened(spark, path, kind.reads(T.StructType.fromDDL(columns or kind.ddl), options), split)
 
 
 def headers(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    register(spark)
-    return spark.read.format(extension).option("rows", "headers").load(path)
+    kind = SOURCES[extension]
+    return _opened(spark, path, HeaderReader(T.StructType.fromDDL(kind.headers), {"path": path}, kind.reads), SPLIT)
 
 
 def track(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """Chunks of the metadata tracks of all MP4 files below a path."""
-    register(spark)
-    return spark.read.format("mp4track").option("splitBytes", split).load(path)
+    return _opened(spark, path, TrackReader(T.StructType.fromDDL(TRACK), {"path": path}), split)
 
 
 def track_info(chunks: DataFrame) -> DataFrame:

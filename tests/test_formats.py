@@ -1,6 +1,7 @@
 """Data sources by byte ranges, the sink of whole files, and the table functions."""
 
 import os
+import pickle
 import struct
 
 import numpy as np
@@ -204,5 +205,59 @@ def test_many_small_ranges_are_few_tasks_and_batches(spark, tmp_path, monkeypatc
     assert len({r for b in batches for x in b for r in zip(*(c.to_pylist() for c in x.columns), strict=True)}) == 200
 
 
+def written(path, names, **more):
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([0] * len(names), pa.int32()), pa.array([n.encode() for n in names], pa.binary())], names=["recording_id", "part", "content"])
+    sink = formats.FileSink({"path": str(path), "extension": "bin"} | more, False)
+    return sink, sink.write(iter([batch]))
+
+
+def test_what_a_task_tells_the_driver_does_not_grow_with_its_files(spark, tmp_path):
+    """Names stay in the task's folder; the driver's commit and the one by tasks find them there, and the same errors."""
+    names = [f"long name of a recording {k}\n" for k in range(3000)]
+    sink, told = written(tmp_path, names)
+    assert len(pickle.dumps(told)) < 1000
+    with pytest.raises(ValueError, match="two tasks"):
+        sink.commit([told, told])
+    sink.commit([told, None])
+    assert sorted(os.listdir(tmp_path)) == sorted(names)
+    assert (tmp_path / names[7] / "part000.bin").read_bytes() == names[7].encode()
+    sink, told = written(tmp_path, names[:1], job="a")
+    assert not sink.commit([told]) and sorted(os.listdir(tmp_path / "_pending-a"))[-1] == "tasks"
+    with pytest.raises(FileExistsError, match="part000"):
+        formats._place(spark, str(tmp_path), [(told.folder, told.files)], False)
+    _, twice = written(tmp_path, names[:1], job="a")
+    with pytest.raises(ValueError, match="two tasks"):
+        formats._place(spark, str(tmp_path), [(told.folder, 1), (twice.folder, 1)], True)
+    formats._place(spark, str(tmp_path), [(told.folder, told.files)], True)
+    assert os.listdir(told.folder) == ["names"]
+
+
+def test_moves_may_be_repeated(tmp_path):
+    """A task that runs again finds some of its files moved; one that is nowhere is an error."""
+    source, _ = formats.filesystem(str(tmp_path))
+    moves = [(str(tmp_path / f"{k}"), f"r{k}/part000.bin") for k in range(3)]
+    for old, _ in moves:
+        with open(old, "w") as f:
+            f.write(old)
+    formats.move(source, str(tmp_path), moves[:2])
+    formats.move(source, str(tmp_path), moves)
+    assert [(tmp_path / name).read_text() for _, name in moves] == [old for old, _ in moves]
+    with pytest.raises(FileNotFoundError):
+        formats.move(source, str(tmp_path), [(str(tmp_path / "9"), "r9/part000.bin")])
+
+
+def test_folders_are_listed_and_ranges_dealt_by_tasks(spark, folder, tmp_path):
+    """Tasks list what the driver would; hidden files and folders, and those of other kinds, are left out at all levels."""
+    for name in ("a/b/c/x.vts", "a/_b/x.vts", "_a/x.vts", ".a.vts", "b.vts/part001.vts", "x.imu", "top.vts", "a/.x.vts"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345"[: len(name) % 5])
+    for path, extension in ((str(tmp_path), "vts"), (str(tmp_path / "top.vts"), "vts"), (folder, "imu"), (folder, "tel")):
+        assert sorted(map(tuple, formats.listing(spark, path, extension).collect())) == formats.listed({"path": path}, extension) != []
+    found = formats.open_records(spark, folder, "imu", split=5_000)
+    assert "BatchScan" not in found._jdf.queryExecution().toString()
+    dealt = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(dealt) < 3 * sum(dealt) / len(dealt)
+
+
 def test_runs_of_files():
     assert list(formats.runs(pa.array(["a", "a", "a", "b", None]), pa.array([0, 0, 1, 1, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 5)] and not list(formats.runs(pa.array([], pa.string()), pa.array([], pa.int32())))
