@@ -189,6 +189,8 @@ def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+#: Keys of the inertial columns as they are named in items.
+KEYS = {key.decode("latin-1"): key for key in boxes.COLUMNS}
 TRACK_ITEMS = pa.list_(pa.struct([("key", pa.string()), ("kind", pa.int32()), ("size", pa.int32()), ("payload", pa.binary())]))
 
 
@@ -620,8 +622,9 @@ def track_info(chunks: DataFrame) -> DataFrame:
 def track_pieces(chunks: DataFrame, extension: str) -> DataFrame:
     """The sidecar files that the tracks embed, as pieces for `save`: the first header, then each chunk's records.
 
-    Inertial records are put together from the chunk's columns by the version in the first header, which is brought to all
-    chunks of its file by a window. The telemetry header's record count is that of the records.
+    Inertial records are put together from the chunks' columns by the version in the first header, which is brought to all
+    chunks of its file by a window; chunks that follow each other and have columns of the same lengths make one piece, up to a
+    few megabytes. The telemetry header's record count is that of the records.
     """
     header = {"imu": "IHDR", "vts": "VHDR", "tel": "THDR"}[extension]
     rows = chunks.filter("chunk is not null").select("recording_id", "part", "chunk", "items")
@@ -641,16 +644,40 @@ def track_pieces(chunks: DataFrame, extension: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, seqs, contents = [], [], []
-            for k, (seq, found, head, front) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seq", "items", "header", "front")), strict=True)):
-                held = boxes.Track(headers={"imu": head})
-                for x in found:
-                    if x["key"].encode("latin-1") in boxes.COLUMNS:
-                        held.columns.setdefault(x["key"].encode("latin-1"), bytearray()).extend(x["payload"])
+
+            def done(first: int, seq: int, held: boxes.Track) -> None:
                 whole = held.imu_bytes()
-                for place, content in ([(-1, head)] if front else []) + [(seq, whole[len(head) :] if whole else b"")]:
+                at.append(first)
+                seqs.append(seq)
+                contents.append(whole[len(held.headers["imu"]) :] if whole else b"")
+
+            # Items of all chunks side by side: nested values would cost more than all else.
+            ends = np.cumsum([0, *batch.column("items").value_lengths().fill_null(0).to_pylist()]).tolist()
+            found = batch.column("items").flatten()
+            keys, payloads = (found.field(c).to_pylist() for c in ("key", "payload"))
+            run: tuple | None = None  # place and number of its first chunk, its track, what its chunks have in common
+            last = size = 0
+            for k, (recording, part, seq, head, front) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("recording_id", "part", "seq", "header", "front")), strict=True)):
+                columns: dict[bytes, bytes] = {}
+                for key, payload in zip(keys[ends[k] : ends[k + 1]], payloads[ends[k] : ends[k + 1]], strict=True):
+                    if key in KEYS:
+                        columns[KEYS[key]] = columns.get(KEYS[key], b"") + payload
+                alike = recording, part, head, sorted((key, len(payload)) for key, payload in columns.items())
+                if run and (run[3] != alike or seq <= last or size >= BLOCK):
+                    done(*run[:3])
+                    run = None
+                if front:
                     at.append(k)
-                    seqs.append(place)
-                    contents.append(content)
+                    seqs.append(-1)
+                    contents.append(head)
+                if not run:
+                    run, size = (k, seq, boxes.Track(headers={"imu": head}), alike), 0
+                for key, payload in columns.items():
+                    run[2].columns.setdefault(key, bytearray()).extend(payload)
+                    size += len(payload)
+                last = seq
+            if run:
+                done(*run[:3])
             named = batch.select(["recording_id", "part"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*named.columns, pa.array(seqs, pa.int64()), pa.array(contents, pa.binary())], names=["recording_id", "part", "seq", "content"])
 

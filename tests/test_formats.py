@@ -175,6 +175,31 @@ def test_track_by_ranges(spark, tmp_path, wide):
             assert f.read() == expected
 
 
+def test_chunks_that_are_alike_make_one_piece(spark, tmp_path):
+    """Runs of chunks are rebuilt at once, to the bytes of each chunk alone; a chunk without a column has zeros there."""
+    head = records.encode_imu({"version": 5, "rate_hz": 400}, {"ts_ns": np.empty(0, np.int64)})
+    chunks, expected = [], b""
+    for k in range(40):
+        n = 3 if k % 20 == 19 else 2
+        t = np.arange(10 * k, 10 * k + n)
+        columns = {"ts_ns": t, "accel": np.zeros((n, 3), np.float32)} if k in (7, 8, 30) else {"ts_ns": t, "accel": np.repeat(t[:, None], 3, 1).astype(np.float32)}
+        parts = [item(b"TSNS", t.astype("<u8").tobytes(), b"J", 8)] + ([] if k in (7, 8, 30) else [item(b"ACCL", columns["accel"].astype("<f4").tobytes(), b"f", 12)])
+        chunks.append(nest(b"CHNK", (item(b"IHDR", head) if not k else b"") + (b"".join(parts) if k != 11 else item(b"NONE", b"1234"))))
+        # As each chunk alone is rebuilt.
+        expected += records.encode_imu({"version": 5, "rate_hz": 400}, columns)[len(head) :] if k != 11 else b""
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.mp4").write_bytes(movie(chunks))
+    pieces = formats.track_pieces(formats.track(spark, str(tmp_path)), "imu").collect()
+    for name in ("a", "b"):
+        own = sorted((r["seq"], bytes(r["content"])) for r in pieces if r["recording_id"] == name)
+        assert [seq for seq, _ in own] == [-1, 0, 7, 9, 11, 12, 19, 20, 30, 31, 39]
+        assert b"".join(content for _, content in own) == head + expected
+    broken = [nest(b"CHNK", item(b"IHDR", head) + item(b"TSNS", b"\x00" * 16, b"J", 8) + item(b"ACCL", b"\x00" * (24 + 12 * d), b"f", 12)) for d in (1, -1)]
+    (tmp_path / "c.mp4").write_bytes(movie(broken))
+    with pytest.raises(Exception, match="reshape"):
+        formats.track_pieces(formats.track(spark, str(tmp_path / "c.mp4")), "imu").collect()
+
+
 def test_table_functions(spark):
     tables.register(spark)
     data = chunked_file(2)
